@@ -1,3 +1,3 @@
 """Registered queries, one module per area of the operator inventory."""
 
-from coverlake.queries import cleaning  # noqa: F401
+from coverlake.queries import cleaning, evaluation  # noqa: F401
