@@ -1,3 +1,3 @@
 """Registered queries, one module per area of the operator inventory."""
 
-from coverlake.queries import binning, cleaning, evaluation  # noqa: F401
+from coverlake.queries import binning, cleaning, evaluation, universe  # noqa: F401
