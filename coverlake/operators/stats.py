@@ -93,3 +93,10 @@ def spearman_long(df: DataFrame, columns) -> DataFrame:
     rows = [(a, b, float(round(m[i][j], 9)))
             for i, a in enumerate(columns) for j, b in enumerate(columns) if j >= i]
     return spark.createDataFrame(rows, "col_a string, col_b string, rho double")
+
+
+def cut_lineage_small(df: DataFrame) -> DataFrame:
+    """Materialise a small derived table once (reliable checkpoint) before it
+    is read several times."""
+    from coverlake.session import cut_lineage
+    return cut_lineage(df)
