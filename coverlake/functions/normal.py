@@ -91,3 +91,19 @@ def bs_value(S, K, r, sigma, tau, cp="cp_flag") -> Column:
     cp = col(cp)
     return (F.when(cp == "C", bs_call(S, K, r, sigma, tau))
              .when(cp == "P", bs_put(S, K, r, sigma, tau)))
+
+
+def d1_sql(S: str, K: str, r: str, sigma: str, tau: str) -> str:
+    return f"((ln(({S})/({K})) + (({r}) + ({sigma})*({sigma})/2)*({tau}))/(({sigma})*sqrt({tau})))"
+
+
+def bs_call_sql(S: str, K: str, r: str, sigma: str, tau: str) -> str:
+    D1 = d1_sql(S, K, r, sigma, tau)
+    D2 = f"({D1} - ({sigma})*sqrt({tau}))"
+    return f"(({S})*{norm_cdf_sql(D1)} - ({K})*exp(-({r})*({tau}))*{norm_cdf_sql(D2)})"
+
+
+def bs_put_sql(S: str, K: str, r: str, sigma: str, tau: str) -> str:
+    D1 = d1_sql(S, K, r, sigma, tau)
+    D2 = f"({D1} - ({sigma})*sqrt({tau}))"
+    return f"(({K})*exp(-({r})*({tau}))*{norm_cdf_sql('-' + D2)} - ({S})*{norm_cdf_sql('-' + D1)})"

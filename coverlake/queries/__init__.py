@@ -1,3 +1,4 @@
 """Registered queries, one module per area of the operator inventory."""
 
-from coverlake.queries import binning, cleaning, evaluation, search, splits, universe  # noqa: F401
+from coverlake.queries import (binning, cleaning, conformal, evaluation, search, splits,  # noqa: F401
+                               universe, valuation)
