@@ -48,3 +48,127 @@ def q_clean_features(spark, sf_dir):
     """Clean feature table from raw quotes."""
     return clean_features(fx.quotes(spark, sf_dir), fx.prices(spark, sf_dir),
                           fx.zero_curve(spark, sf_dir))
+
+
+# --- parts of E1, registered one by one ----------------------------------------
+
+from coverlake.functions import quote as qf  # noqa: E402
+from coverlake.operators import curve as cv  # noqa: E402
+from coverlake.operators import quotes as qops  # noqa: E402
+from coverlake.operators import splits as sp  # noqa: E402
+from coverlake.queries._sql import KEYS  # noqa: E402
+from coverlake.sources.fixtures import KEY_COLS  # noqa: E402
+
+QUOTE_COLS = ", ".join(qops.QUOTE_COLUMNS[2:])
+
+
+def _screened(spark, sf_dir):
+    return qops.screen_quotes(fx.quotes(spark, sf_dir))
+
+
+@register("quote_screen", f"SELECT {KEYS}, secid, {QUOTE_COLS} FROM quotes WHERE {SCREEN_SQL}")
+def q_quote_screen(spark, sf_dir):
+    """11 NOT NULLs, positive volume / open interest / bid, 9 < days to
+    expiry < 730, staleness < 5 days."""
+    return _screened(spark, sf_dir).select(*KEY_COLS, "secid", *qops.QUOTE_COLUMNS[2:])
+
+
+@register("spot_lookup", f"""
+SELECT {', '.join('s.' + c for c in KEY_COLS)}, s.secid, round(p.close, 9) AS spot_price
+FROM (SELECT * FROM quotes WHERE {SCREEN_SQL}) s LEFT JOIN prices p ON p.secid = s.secid AND p.date = s.date""")
+def q_spot_lookup(spark, sf_dir):
+    """Spot close per (secid, date), left join (NULL where missing)."""
+    j = qops.attach_spot(_screened(spark, sf_dir), fx.prices(spark, sf_dir))
+    return j.select(*KEY_COLS, "secid", F.round("spot_price", 9).alias("spot_price"))
+
+
+@register("quote_features", f"""
+SELECT {KEYS}, round(strike_price/1000, 9) AS K, round((best_bid + best_offer)/2, 9) AS option_price,
+       round(((best_bid + best_offer)/2)/(strike_price/1000), 9) AS V,
+       round(spot_price/(strike_price/1000), 9) AS moneyness,
+       CAST(datediff('day', date, exdate) AS INTEGER) AS days,
+       round(datediff('day', date, exdate)/365, 9) AS tau,
+       concat_ws(':', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
+                 CAST(l_suppkey AS VARCHAR), CAST(date AS VARCHAR)) AS row_id
+FROM (SELECT s.*, p.close AS spot_price FROM (SELECT * FROM quotes WHERE {SCREEN_SQL}) s
+      LEFT JOIN prices p ON p.secid = s.secid AND p.date = s.date) t""")
+def q_quote_features(spark, sf_dir):
+    """Strike rescale, mid price, V = price/K, moneyness, days, tau,
+    surrogate row id from natural keys."""
+    df = qops.add_quote_features(qops.attach_spot(_screened(spark, sf_dir), fx.prices(spark, sf_dir)))
+    return df.select(*KEY_COLS, *[F.round(c, 9).alias(c) for c in ("K", "option_price", "V", "moneyness")],
+                     F.col("days").cast("int").alias("days"), F.round("tau", 9).alias("tau"),
+                     qf.row_key(*KEY_COLS).alias("row_id"))
+
+
+@register("moneyness_band", f"""
+SELECT {KEYS}, round(spot_price/(strike_price/1000), 9) AS moneyness
+FROM (SELECT s.*, p.close AS spot_price FROM (SELECT * FROM quotes WHERE {SCREEN_SQL}) s
+      LEFT JOIN prices p ON p.secid = s.secid AND p.date = s.date) t
+WHERE spot_price/(strike_price/1000) IS NULL OR NOT (spot_price/(strike_price/1000) < 0.5
+                                                    OR spot_price/(strike_price/1000) > 1.5)""")
+def q_moneyness_band(spark, sf_dir):
+    """F2: drop moneyness < 0.5 or > 1.5 (NULL moneyness survives the DELETE)."""
+    df = qops.add_quote_features(qops.attach_spot(_screened(spark, sf_dir), fx.prices(spark, sf_dir)))
+    return qops.moneyness_band(df).select(*KEY_COLS, F.round("moneyness", 9).alias("moneyness"))
+
+
+@register("curve_rates", f"""
+WITH b AS (SELECT {KEYS}, datediff('day', date, exdate) AS t FROM quotes),
+r AS (
+  SELECT b.*,
+         (SELECT max(z.rate) FROM zero_curve z WHERE z.date = b.date AND z.days = b.t AND z.rate IS NOT NULL) AS exact_rate,
+         r1.days AS t1, r1.rate AS ir1, r2.days AS t2, r2.rate AS ir2,
+         CASE WHEN r1.days IS NOT NULL AND r2.days IS NOT NULL
+              THEN r1.rate + (r2.rate - r1.rate)/(r2.days - r1.days)*(b.t - r1.days) END AS interp_rate
+  FROM b
+  LEFT JOIN zero_curve r1 ON r1.date = b.date AND r1.days =
+       (SELECT max(z1.days) FROM zero_curve z1 WHERE z1.date = b.date AND z1.days < b.t)
+  LEFT JOIN zero_curve r2 ON r2.date = b.date AND r2.days =
+       (SELECT min(z2.days) FROM zero_curve z2 WHERE z2.date = b.date AND z2.days > b.t))
+SELECT {KEYS}, CAST(t AS INTEGER) AS days, round(exact_rate, 9) AS exact_rate, t1, round(ir1, 9) AS ir1, t2,
+       round(ir2, 9) AS ir2, round(interp_rate, 9) AS interp_rate, round(coalesce(exact_rate, interp_rate), 9) AS rf
+FROM r""")
+def q_curve_rates(spark, sf_dir):
+    """J2-J4 (+ D5 interpolated_data columns) on every quote: exact tenor
+    rate, neighbouring tenors and rates, interpolated rate, filled rate."""
+    q = fx.quotes(spark, sf_dir).withColumn("days", F.datediff("exdate", "date"))
+    df = cv.attach_rate(q, fx.zero_curve(spark, sf_dir), keep_parts=True)
+    return df.select(*KEY_COLS, F.col("days").cast("int").alias("days"),
+                     F.round("exact_rate", 9).alias("exact_rate"), "t1", F.round("ir1", 9).alias("ir1"), "t2",
+                     F.round("ir2", 9).alias("ir2"), F.round("interp_rate", 9).alias("interp_rate"),
+                     F.round("rf", 9).alias("rf"))
+
+
+@register("export_features", f"""
+SELECT secid, date, year(date) AS year, round(S, 9) AS S, round(sigma, 9) AS sigma, round(tau, 9) AS tau,
+       round(r, 9) AS r, coalesce(cp_flag = 'C', false) AS is_call, round(V, 9) AS V
+FROM ({CLEAN_SQL}) c""")
+def q_export_features(spark, sf_dir):
+    """Export layout of the clean table: features, call flag as
+    boolean (NULL -> false), keys kept, year column for partitioning."""
+    c = q_clean_features(spark, sf_dir)
+    return c.select("secid", "date", F.year("date").alias("year"),
+                    *[F.round(x, 9).alias(x) for x in ("S", "sigma", "tau", "r")],
+                    qf.call_flag("cp_flag").alias("is_call"), F.round("V", 9).alias("V"))
+
+
+@register("calls_in_window", f"""
+SELECT secid, date, round(S, 9) AS S, round(V, 9) AS V FROM ({CLEAN_SQL}) c
+WHERE cp_flag = 'C' AND date > DATE '1996-01-01' AND date < DATE '2000-12-31'""")
+def q_calls_in_window(spark, sf_dir):
+    """F4 + F5: calls only, inside an open date range (both ends excluded)."""
+    c = q_clean_features(spark, sf_dir)
+    return (c.filter((F.col("cp_flag") == "C") & (F.col("date") > F.lit("1996-01-01").cast("date"))
+                     & (F.col("date") < F.lit("2000-12-31").cast("date")))
+             .select("secid", "date", F.round("S", 9).alias("S"), F.round("V", 9).alias("V")))
+
+
+@register("systematic_sample", f"""
+SELECT {KEYS}, row_no FROM (SELECT {KEYS}, row_number() OVER (ORDER BY {KEYS}) - 1 AS row_no FROM predictions) t
+WHERE row_no % 100 = 0""")
+def q_systematic_sample(spark, sf_dir):
+    """every 100th row in key order (a sampling operator: the modulo is
+    the feature), on distributed row numbers."""
+    df = fx.predictions(spark, sf_dir).select(*KEY_COLS)
+    return sp.global_row_number(df, list(KEY_COLS)).filter(F.col("row_no") % 100 == 0)
