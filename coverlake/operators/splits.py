@@ -54,10 +54,12 @@ def seed_draws(df: DataFrame, key_cols, n_seeds: int, first_seed: int = 0) -> Da
     """One row per (row, seed) with that seed's role; the replication
     factor is the caller's seed count (a parameter, not data-dependent)."""
     seeds = F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + n_seeds - 1))).alias("seed")
-    out = df.select("*", seeds)
-    key = F.concat_ws(":", F.col("seed").cast("string"), *[F.col(c).cast("string") for c in key_cols])
+    # the row key string is built once per row, not once per (row, seed)
+    keyed = df.withColumn("__key", F.concat_ws(":", *[F.col(c).cast("string") for c in key_cols]))
+    out = keyed.select("*", seeds)
+    key = F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("__key"))
     u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / 4294967296.0
-    return out.withColumn("role", role_from_uniform(u))
+    return out.withColumn("role", role_from_uniform(u)).drop("__key")
 
 
 def global_row_number(df: DataFrame, order_cols, num_partitions: int | None = None,

@@ -3,8 +3,6 @@ summary, Spearman matrix (A11, A15, A16, A21, A22)."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,17 +80,69 @@ def numeric_summary(df: DataFrame, columns) -> DataFrame:
                       "max").withColumnsRenamed({"q_25": "q25", "q_50": "q50", "q_75": "q75"})
 
 
-def spearman_long(df: DataFrame, columns) -> DataFrame:
-    """Spearman matrix with Spark ML (distributed per-column rank by sort,
-    average rank for ties, then Pearson); booleans as 0/1.  Returned as the
-    upper triangle (col_a, col_b, rho) -- a k x k result."""
-    spark = df.sparkSession
+def average_ranks(df: DataFrame, col: str, out: str, small_limit: int = 1_000_000) -> DataFrame:
+    """Value -> average rank (ties share the mean of their positions):
+    ``rows below the value + (count + 1) / 2``.  Works on the distinct-value
+    table: a single window when it has at most ``small_limit`` rows (checked),
+    otherwise range partitions with per-partition offsets (no single task
+    holds more than one range partition)."""
+    from coverlake.operators.joins import is_small
+    vc = df.groupBy(col).agg(F.count(F.lit(1)).alias("__c")).filter(F.col(col).isNotNull())
+    if is_small(vc, small_limit):
+        w = Window.orderBy(col)
+        below = F.sum("__c").over(w) - F.col("__c")
+        return vc.select(col, (below + (F.col("__c") + 1) / 2.0).alias(out))
+    from coverlake.operators.splits import global_row_number  # noqa: F401  (same offset scheme)
+    from coverlake.session import cut_lineage
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(vc.repartitionByRange(parts, col).withColumn("__pid", F.spark_partition_id()))
+    tot = ranged.groupBy("__pid").agg(F.sum("__c").alias("__t"))
+    offs = tot.select("__pid", (F.sum("__t").over(Window.orderBy("__pid")) - F.col("__t")).alias("__off"))
+    local = Window.partitionBy("__pid").orderBy(col)
+    return (ranged.join(F.broadcast(offs), "__pid")
+                  .select(col, (F.col("__off") + F.sum("__c").over(local) - F.col("__c")
+                                + (F.col("__c") + 1) / 2.0).alias(out)))
+
+
+def spearman_long(df: DataFrame, columns, small_limit: int = 1_000_000) -> DataFrame:
+    """Spearman matrix = Pearson correlation of average ranks (booleans
+    as 0/1), rows with a NULL in any column dropped.
+
+    One job counts rows per (column, value) over a long view; the rank table
+    is built from those counts (one window per column when every column has
+    at most ``small_limit`` distinct values -- checked -- else range
+    partitions with offsets), checkpointed, joined back per column
+    (broadcast when small) and all pairwise ``corr`` run in one pass.
+    Upper triangle as (col_a, col_b, rho)."""
+    from coverlake.operators.joins import BROADCAST_ROW_LIMIT
+    from coverlake.session import cut_lineage
     num = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    vec = VectorAssembler(inputCols=list(columns), outputCol="__v").transform(num).select("__v")
-    m = Correlation.corr(vec, "__v", "spearman").first()[0].toArray()
-    rows = [(a, b, float(round(m[i][j], 9)))
-            for i, a in enumerate(columns) for j, b in enumerate(columns) if j >= i]
-    return spark.createDataFrame(rows, "col_a string, col_b string, rho double")
+    long_ = num.select(F.explode(F.array(*[F.struct(F.lit(c).alias("__col"), F.col(c).alias("__v"))
+                                          for c in columns])).alias("p")).select("p.*")
+    vc = cut_lineage(long_.groupBy("__col", "__v").agg(F.count(F.lit(1)).alias("__c")))
+    per_col = {r["__col"]: r["n"] for r in vc.groupBy("__col").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if max(per_col.values(), default=0) <= small_limit:
+        w = Window.partitionBy("__col").orderBy("__v")
+        ranks = vc.select("__col", "__v", (F.sum("__c").over(w) - F.col("__c") + (F.col("__c") + 1) / 2.0).alias("__rk"))
+    else:
+        ranks = None
+        for c in columns:
+            rc = average_ranks(long_.filter(F.col("__col") == c).select(F.col("__v")), "__v", "__rk")
+            rc = rc.withColumn("__col", F.lit(c))
+            ranks = rc if ranks is None else ranks.unionByName(rc)
+    ranks = cut_lineage(ranks)
+    ranked = num
+    for c in columns:
+        rc = ranks.filter(F.col("__col") == c).select(F.col("__v").alias(c), F.col("__rk").alias(f"__rk_{c}"))
+        ranked = ranked.join(F.broadcast(rc) if per_col.get(c, 0) <= BROADCAST_ROW_LIMIT else rc, c, "inner")
+    aggs, names = [], []
+    for i, a in enumerate(columns):
+        for b in columns[i:]:
+            aggs.append(F.corr(f"__rk_{a}", f"__rk_{b}").alias(f"{a}|{b}"))
+            names.append((a, b))
+    row = ranked.agg(*aggs).first()
+    rows = [(a, b, None if row[f"{a}|{b}"] is None else float(round(row[f"{a}|{b}"], 9))) for a, b in names]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, rho double")
 
 
 def cut_lineage_small(df: DataFrame) -> DataFrame:

@@ -9,7 +9,18 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """Lazy Parquet scan; projections and filters applied later are pushed
-    into the scan by Catalyst (ReadSchema / PushedFilters)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    into the scan by Catalyst (ReadSchema / PushedFilters).
+
+    A Parquet row group is never split, so a table stored as one big row
+    group scans in a single task.  When the scan has fewer splits than the
+    cluster has cores, rows are spread round-robin once (column pruning and
+    filters still reach the scan below the exchange).  On large inputs the
+    split count exceeds the core count and this is a no-op."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
