@@ -39,14 +39,23 @@ def _tail_fraction(x):
     return b
 
 
-def norm_cdf(x) -> Column:
-    x = col(x)
-    a = F.abs(x)
+def lower_tail(a) -> Column:
+    """P(Z > a) = P(Z < -a) for a >= 0."""
+    a = col(a)
     e = F.exp(-a * a / 2)
     inner = e * _horner(NUM, a) / _horner(DEN, a)
     outer = e / _tail_fraction(a) / SQRT_2PI
-    lower = F.when(a > TAIL, F.lit(0.0)).when(a < SPLIT, inner).otherwise(outer)
-    return F.when(x > 0, 1 - lower).otherwise(lower)
+    return F.when(a > TAIL, F.lit(0.0)).when(a < SPLIT, inner).otherwise(outer)
+
+
+def cdf_from_tail(x, tail) -> Column:
+    """N(x) given tail = lower_tail(|x|)."""
+    return F.when(col(x) > 0, 1 - col(tail)).otherwise(col(tail))
+
+
+def norm_cdf(x) -> Column:
+    x = col(x)
+    return cdf_from_tail(x, lower_tail(F.abs(x)))
 
 
 def norm_cdf_sql(x: str) -> str:
@@ -107,3 +116,24 @@ def bs_put_sql(S: str, K: str, r: str, sigma: str, tau: str) -> str:
     D1 = d1_sql(S, K, r, sigma, tau)
     D2 = f"({D1} - ({sigma})*sqrt({tau}))"
     return f"(({K})*exp(-({r})*({tau}))*{norm_cdf_sql('-' + D2)} - ({S})*{norm_cdf_sql('-' + D1)})"
+
+
+def with_bs_values(df, S="S", K="K", r="r", sigma="sigma", tau="tau", cp=None, out: str = "C"):
+    """Black-Scholes value as staged projections: d1/d2, then the normal
+    tail terms, then the price.  Each stage is a separate projection that
+    Catalyst keeps apart (it does not collapse projections when that would
+    duplicate non-cheap expressions), so d1 and d2 are computed once per row
+    instead of once per use inside the CDF polynomial.  Values equal
+    ``bs_call`` / ``bs_put`` exactly.  ``cp`` None -> call; else 'C' call,
+    'P' put, other NULL."""
+    S, K, r, sigma, tau = map(col, (S, K, r, sigma, tau))
+    staged = df.withColumns({"__d1": d1(S, K, r, sigma, tau), "__disc": K * F.exp(-r * tau),
+                             "__sqt": sigma * F.sqrt(tau)})
+    staged = staged.withColumn("__d2", F.col("__d1") - F.col("__sqt"))
+    staged = staged.withColumns({"__t1": lower_tail(F.abs(F.col("__d1"))),
+                                 "__t2": lower_tail(F.abs(F.col("__d2")))})
+    d1c, d2c = F.col("__d1"), F.col("__d2")
+    call = S * cdf_from_tail(d1c, "__t1") - F.col("__disc") * cdf_from_tail(d2c, "__t2")
+    put = F.col("__disc") * cdf_from_tail(-d2c, "__t2") - S * cdf_from_tail(-d1c, "__t1")
+    value = call if cp is None else F.when(col(cp) == "C", call).when(col(cp) == "P", put)
+    return staged.withColumn(out, value).drop("__d1", "__disc", "__sqt", "__d2", "__t1", "__t2")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverlake.functions.hashing import hash_normal
-from coverlake.functions.normal import bs_call, bs_value
+from coverlake.functions.normal import with_bs_values
 
 
 def strike_ladder(base: DataFrame, key_cols, kappa: int, spot: str = "S", seed: int = 7,
@@ -24,16 +24,16 @@ def strike_ladder(base: DataFrame, key_cols, kappa: int, spot: str = "S", seed:
 
 
 def value_calls(df: DataFrame, S="S", K="K", r="r", sigma="sigma", tau="tau", out: str = "C") -> DataFrame:
-    """P21 (call) as a column."""
-    return df.withColumn(out, bs_call(S, K, r, sigma, tau))
+    """P21 (call), staged so d1/d2 are computed once per row."""
+    return with_bs_values(df, S, K, r, sigma, tau, None, out)
 
 
 def market_model_gap(clean: DataFrame, rate_in_percent: bool = True) -> DataFrame:
     """P21 re-aimed: model value per unit strike for every clean quote
     (S = moneyness, K = 1, rate unit explicit), gap = market V - model V."""
     r = F.col("r") / 100.0 if rate_in_percent else F.col("r")
-    model = bs_value(F.col("S"), F.lit(1.0), r, F.col("sigma"), F.col("tau"), F.col("cp_flag"))
-    return clean.withColumns({"V_model": model}).withColumn("gap", F.col("V") - F.col("V_model"))
+    valued = with_bs_values(clean, F.col("S"), F.lit(1.0), r, F.col("sigma"), F.col("tau"), "cp_flag", "V_model")
+    return valued.withColumn("gap", F.col("V") - F.col("V_model"))
 
 
 def quality_counters(df: DataFrame, price: str = "C", spot: str = "S") -> DataFrame:

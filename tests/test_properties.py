@@ -42,7 +42,7 @@ def test_strike_ladder_rows_and_partition_independence(spark):
     b = V.strike_ladder(base.repartition(5), KEY_COLS, 4).select(*KEY_COLS, "j", "K")
     assert a.count() == 4 * n
     assert a.exceptAll(b).count() == 0
-    z = a.join(base, KEY_COLS).select((F.col("S") / F.col("K")).alias("z")).agg(F.avg("z"), F.stddev("z")).first()
+    z = a.join(base, list(KEY_COLS)).select((F.col("S") / F.col("K")).alias("z")).agg(F.avg("z"), F.stddev("z")).first()
     assert z[0] == pytest.approx(1.0, abs=0.02) and z[1] == pytest.approx(0.1, abs=0.02)
 
 
@@ -52,7 +52,7 @@ def test_kth_smallest_selection_path_equals_window(spark):
                                     "seed_id int, __tid int, __k long")
     sel = Q.kth_smallest(df, "w", targets.drop("__tid").withColumn("__tid", F.col("__k")), ["seed_id"],
                          final_rows=3)
-    sel = {(r.seed_id, r.__tid): round(r.__value, 9) for r in sel.collect()}
+    sel = {(r["seed_id"], r["__tid"]): round(r["__value"], 9) for r in sel.collect()}
     w = Window.partitionBy("seed_id").orderBy("w")
     ref = (df.select("seed_id", "w", F.row_number().over(w).alias("rn")).filter(F.col("rn").isin(1, 5, 40)))
     ref = {(r.seed_id, r.rn): round(r.w, 9) for r in ref.collect()}
