@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverlake.operators.quantiles import exact_quantiles
+from coverlake.session import cut_lineage
 
 
 def _minmax(df: DataFrame, col: str) -> tuple[float, float]:
@@ -123,7 +124,9 @@ def bin_stats(df: DataFrame, bin_col: str, feature: str, measure: str, probs=(0.
     base = df.filter(F.col(bin_col).isNotNull())
     counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
                                      ((F.max(feature) + F.min(feature)) / 2).alias("center"))
-    qs = exact_quantiles(base, measure, probs, keys, prefix="p")
+    counts = cut_lineage(counts)            # one row per bin; reused below
+    biggest = counts.agg(F.max("n")).first()[0] or 0
+    qs = exact_quantiles(base, measure, probs, keys, prefix="p", max_group_rows=biggest)
     return counts.join(qs, keys, "left")
 
 

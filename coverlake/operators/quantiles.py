@@ -109,13 +109,17 @@ def _group_sizes_ok(df: DataFrame, value: str, by, limit: int) -> bool:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs, by=(), *, direct_limit: int = 2_000_000,
-                    prefix: str = "q") -> DataFrame:
+                    prefix: str = "q", max_group_rows: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles (pandas / numpy default) per group:
     one column ``{prefix}_{int(p*100)}`` per probability (the name keeps
-    decimals as ``_``)."""
+    decimals as ``_``).  ``max_group_rows`` (an upper bound on the largest
+    group's row count, when the caller already knows it) skips the size
+    check job."""
     by = list(by)
     names = [f"{prefix}_{str(round(p * 100, 6)).rstrip('0').rstrip('.').replace('.', '_')}" for p in probs]
-    if _group_sizes_ok(df, value, by, direct_limit):
+    small = (max_group_rows <= direct_limit) if max_group_rows is not None else \
+        _group_sizes_ok(df, value, by, direct_limit)
+    if small:
         v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
         agg = df.groupBy(*by).agg(F.percentile(v, F.array(*[F.lit(float(p)) for p in probs])).alias("__qs"))
         return agg.select(*by, *[F.col("__qs")[i].alias(n) for i, n in enumerate(names)])

@@ -25,6 +25,16 @@ def counts_on_spine(spark: SparkSession, binned: DataFrame, edges, bin_col: str
                       r9(100.0 * F.col("n") / total).alias("pct"))
 
 
+def on_spine(spark: SparkSession, per_bin: DataFrame, edges, bin_col: str = "bin") -> DataFrame:
+    """Left-join a per-bin table that has ``n`` onto the bin spine: empty
+    bins get n = 0; adds lower / upper edges and the percent of all rows."""
+    spine = B.bin_spine(spark, edges).withColumnRenamed("bin", bin_col)
+    out = spine.join(F.broadcast(per_bin), bin_col, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    total = F.sum("n").over(Window.partitionBy())     # spine-sized (k rows)
+    return out.withColumns({"lower": r9(F.col("lower")), "upper": r9(F.col("upper")),
+                            "pct": r9(100.0 * F.col("n") / total)})
+
+
 def feature_ranges(df: DataFrame, features) -> DataFrame:
     """One aggregate pass, then the 2 x k result is unpivoted to rows."""
     aggs = []

@@ -98,9 +98,7 @@ def _log_bins(spark, sf_dir, first=None):
     res = _res(spark, sf_dir)
     edges = B.log_edges(res, "y_true", 11, first=first)
     binned = res.select(B.right_closed_bin("y_true", edges).alias("bin"), "y_true", "rel_width")
-    counts = S.counts_on_spine(spark, binned, edges)
-    st = B.bin_stats(binned, "bin", "y_true", "rel_width").drop("n")
-    out = counts.join(st, "bin", "left")
+    out = S.on_spine(spark, B.bin_stats(binned, "bin", "y_true", "rel_width"), edges)
     return out.select("bin", "lower", "upper", "n", "pct", *[r9(F.col(c)).alias(c)
                                                             for c in ("center", "p_5", "p_50", "p_95")])
 

@@ -15,12 +15,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
 
     A Parquet row group is never split, so a table stored as one big row
     group scans in a single task.  When the scan has fewer splits than the
-    cluster has cores, rows are spread round-robin once (column pruning and
-    filters still reach the scan below the exchange).  On large inputs the
-    split count exceeds the core count and this is a no-op."""
+    cluster has cores, rows are hash-spread on the first (key) column once
+    (hash, not round-robin: round-robin sorts every partition first to stay
+    deterministic on retry).  Column pruning and filters still reach the
+    scan below the exchange.  On large inputs the split count exceeds the
+    core count and this is a no-op."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if spread:
         cores = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
+            df = df.repartition(cores, df.columns[0])
     return df
