@@ -27,8 +27,8 @@ def change_dates(membership: DataFrame, cutoff: _dt.date | None = None,
     if cutoff is not None:
         d = d.filter(F.col("change_date") >= F.lit(cutoff))
     d = d.filter(F.col("change_date").isNotNull()).distinct()
-    last = d.agg(F.max("change_date").alias("__last"))
-    return d.join(F.broadcast(last), F.col("change_date") < F.col("__last"), "inner").select("change_date")
+    last = d.agg(F.max("change_date")).scalar()        # scalar sub-query, evaluated once
+    return d.filter(F.col("change_date") < last)
 
 
 def members_at_change(dates: DataFrame, membership: DataFrame, links: DataFrame) -> DataFrame:
