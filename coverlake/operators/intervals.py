@@ -32,7 +32,7 @@ def aligned_years(left: DataFrame, right: DataFrame, year_col: str = "year") ->
     lc = left.groupBy(year_col).agg(F.count(F.lit(1)).alias("__n"))
     rc = right.groupBy(year_col).agg(F.count(F.lit(1)).alias("__n"))
     ok_years = lc.join(rc, [year_col, "__n"], "inner").select(year_col)
-    return left.join(F.broadcast(ok_years), year_col, "left_semi")
+    return left.join(F.broadcast(ok_years), year_col, "left_semi")   # one row per calendar year
 
 
 def _pct(flag: Column) -> Column:

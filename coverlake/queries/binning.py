@@ -147,7 +147,8 @@ def q_width_by_feature_decile(spark, sf_dir):
                                            for f in FEATURES])).alias("fx"), "rel_width")
                 .select("fx.feature", "fx.x", "rel_width"))
     edges = B.decile_edges(longf, "x", 10, by=["feature"], duplicates="drop")
-    binned = longf.join(F.broadcast(edges), "feature").withColumn("bin", B.array_right_closed_bin("x"))
+    binned = (longf.join(F.broadcast(edges), "feature")              # one edge array per feature
+                   .withColumn("bin", B.array_right_closed_bin("x")))
     st = B.bin_stats(binned, "bin", "x", "rel_width", by=["feature"])
     return st.select("feature", "bin", "n", *[r9(F.col(c)).alias(c) for c in ("center", "p_5", "p_50", "p_95")])
 
