@@ -58,3 +58,54 @@ def bucketed_range_join(points: DataFrame, intervals: DataFrame, point_col: str,
     joined = pts.join(iv, cond, how)
     drop_keys = [iv[k] for k in keys]
     return joined.drop(pts[b]).drop(iv[b]).drop(*drop_keys) if keys else joined.drop(pts[b]).drop(iv[b])
+
+
+# --- day-coverage bitmaps -----------------------------------------------------
+#
+# When only *whether* some interval covers a date matters (semi-join
+# semantics), overlapping intervals of one key need not be paired with every
+# point: each interval is cut into 32-day buckets, each piece becomes a
+# 32-bit day mask, and masks are OR-ed per (key, bucket) -- a partial
+# aggregation, so any number of overlapping intervals per key collapses to
+# one row per bucket before the shuffle.  A point then equi-joins its
+# (key, bucket) row and tests one bit.
+
+MASK_DAYS = 32
+_EPOCH = "1970-01-01"
+
+
+def day_coverage(intervals: DataFrame, keys, start_col: str, end_col: str,
+                 closed_end: bool = False) -> DataFrame:
+    """(keys..., __bucket, __mask): days covered by the union of the
+    intervals of each key, as one bitmap per 32-day bucket."""
+    epoch = F.lit(_EPOCH).cast("date")
+    s = F.datediff(F.col(start_col), epoch)
+    e = F.datediff(F.col(end_col), epoch) + (1 if closed_end else 0)       # exclusive end
+    iv = intervals.select(*keys, s.alias("__s"), e.alias("__e")).filter(F.col("__e") > F.col("__s"))
+    iv = iv.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("__s") / MASK_DAYS).cast("long"),
+                                                        F.floor((F.col("__e") - 1) / MASK_DAYS).cast("long"))))
+    base = F.col("__bucket") * MASK_DAYS
+    lo = F.greatest(F.col("__s") - base, F.lit(0)).cast("int")
+    hi = F.least(F.col("__e") - base, F.lit(MASK_DAYS)).cast("int")
+    one = F.lit(1).cast("long")
+    mask = F.call_function("shiftleft", one, hi) - F.call_function("shiftleft", one, lo)
+    return iv.groupBy(*keys, "__bucket").agg(F.bit_or(mask).alias("__mask"))
+
+
+def covered_points(points: DataFrame, coverage: DataFrame, point_col: str, join_keys=(),
+                   broadcast: bool | None = None) -> DataFrame:
+    """Points whose date is covered for a key: equi-join on (join_keys,
+    bucket) and a one-bit test.  Extra key columns of ``coverage`` (beyond
+    ``join_keys``) come along, one output row per covering key value."""
+    epoch = F.lit(_EPOCH).cast("date")
+    p = F.datediff(F.col(point_col), epoch)
+    pts = points.withColumns({"__bucket": F.floor(p / MASK_DAYS).cast("long"),
+                              "__bit": (p - F.floor(p / MASK_DAYS) * MASK_DAYS).cast("int")})
+    cov = coverage
+    if broadcast is None:
+        cov = broadcast_if_small(cov)
+    elif broadcast:
+        cov = F.broadcast(cov)
+    j = pts.join(cov, list(join_keys) + ["__bucket"], "inner")
+    hit = F.call_function("shiftright", F.col("__mask"), F.col("__bit")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return j.filter(hit).drop("__bucket", "__bit", "__mask")

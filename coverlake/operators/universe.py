@@ -15,7 +15,9 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverlake.operators.joins import broadcast_if_small, bucketed_range_join
+from coverlake.operators.joins import (broadcast_if_small, bucketed_range_join, covered_points,
+                                      day_coverage)
+from coverlake.session import cut_lineage
 
 
 def change_dates(membership: DataFrame, cutoff: _dt.date | None = None,
@@ -28,18 +30,23 @@ def change_dates(membership: DataFrame, cutoff: _dt.date | None = None,
         d = d.filter(F.col("change_date") >= F.lit(cutoff))
     d = d.filter(F.col("change_date").isNotNull()).distinct()
     last = d.agg(F.max("change_date")).scalar()        # scalar sub-query, evaluated once
-    return d.filter(F.col("change_date") < last)
+    # one row per calendar date at most; materialised once, read by every later step
+    return cut_lineage(d.filter(F.col("change_date") < last))
 
 
 def members_at_change(dates: DataFrame, membership: DataFrame, links: DataFrame) -> DataFrame:
     """At each change date d the permnos with start <= d < ending, then the
-    secids linked to them with sdate <= d < edate; distinct (change_date, secid)."""
-    permnos = (bucketed_range_join(dates, membership.select("permno", "start", "ending").distinct(),
-                                   "change_date", "start", "ending")
-               .select("change_date", "permno").distinct())
-    j = permnos.join(links, "permno", "inner").filter(
-        (F.col("sdate") <= F.col("change_date")) & (F.col("edate") > F.col("change_date")))
-    return j.select("change_date", "secid").distinct()
+    secids linked to them with sdate <= d < edate; distinct (change_date, secid).
+
+    Both interval tables are reduced to day-coverage bitmaps per key and
+    32-day bucket first (any number of overlapping intervals per permno or
+    per (permno, secid) collapses to one row per bucket), so no step pairs
+    every interval of a key with every date."""
+    mem_cov = day_coverage(membership, ["permno"], "start", "ending")
+    active = covered_points(dates, mem_cov, "change_date").select("change_date", "permno")
+    link_cov = day_coverage(links, ["permno", "secid"], "sdate", "edate")
+    linked = covered_points(active, link_cov, "change_date", join_keys=["permno"])
+    return linked.select("change_date", "secid").distinct()
 
 
 def change_segments(dates: DataFrame) -> DataFrame:
@@ -63,9 +70,11 @@ def restrict_to_universe(quotes: DataFrame, dates: DataFrame, members: DataFrame
                          date_col: str = "date", id_col: str = "secid") -> DataFrame:
     """Keep rows whose id is in the as-of member list of their date
     (``secid IN (list)`` as a left-semi join on (change_date, secid))."""
-    amap = broadcast_if_small(asof_change_date(quotes.select(date_col), dates, date_col))
+    # both lookup tables are small (dates x index size): materialise once, then
+    # the size checks and the join read the stored rows instead of recomputing
+    amap = broadcast_if_small(cut_lineage(asof_change_date(quotes.select(date_col), dates, date_col)))
     tagged = quotes.join(amap, date_col, "inner")
-    mem = broadcast_if_small(members.withColumnRenamed("secid", id_col))
+    mem = broadcast_if_small(cut_lineage(members.withColumnRenamed("secid", id_col)))
     return tagged.join(mem, ["change_date", id_col], "left_semi").drop("change_date")
 
 
