@@ -49,6 +49,13 @@ def _attach_range(data: DataFrame, ranges: DataFrame, by) -> DataFrame:
     return data.withColumns({"__rid": rid, "__lo": lo, "__hi": hi}).filter(F.col("__rid").isNotNull())
 
 
+def _number_ranges(ranges: DataFrame, by) -> DataFrame:
+    """Dense ids for the open value ranges (one per target at most, so the
+    window runs over a table bounded by the number of targets)."""
+    w = Window.orderBy(*by, "__lo", "__hi")
+    return ranges.withColumn("__rid", F.row_number().over(w).cast("long"))
+
+
 def kth_smallest(df: DataFrame, value: str, targets: DataFrame, by=(), *,
                  final_rows: int = 200_000, max_passes: int = 12) -> DataFrame:
     """For each row of ``targets`` (columns ``by`` + ``__tid`` + ``__k``,
@@ -71,8 +78,7 @@ def kth_smallest(df: DataFrame, value: str, targets: DataFrame, by=(), *,
         is_open = (F.col("__n") > final_rows) & (F.col("__lo") < F.col("__hi"))
         if st.filter(is_open).limit(1).count() == 0:
             break
-        ranges = (st.filter(is_open).select(*by, "__lo", "__hi").distinct()
-                    .withColumn("__rid", F.xxhash64(*by, "__lo", "__hi")))
+        ranges = _number_ranges(st.filter(is_open).select(*by, "__lo", "__hi").distinct(), by)
         ranges = cut_lineage(ranges)
         rows = _attach_range(data, ranges, by)
         width = F.col("__hi") - F.col("__lo")
@@ -91,8 +97,7 @@ def kth_smallest(df: DataFrame, value: str, targets: DataFrame, by=(), *,
         st = cut_lineage(st.filter(~is_open).unionByName(picked))
     single = st.filter(F.col("__lo") == F.col("__hi")).select(*by, "__tid", F.col("__lo").alias("__value"))
     rest = st.filter(F.col("__lo") < F.col("__hi"))
-    ranges = (rest.select(*by, "__lo", "__hi").distinct()
-                  .withColumn("__rid", F.xxhash64(*by, "__lo", "__hi")))
+    ranges = _number_ranges(rest.select(*by, "__lo", "__hi").distinct(), by)
     ranges = cut_lineage(ranges)
     rows = _attach_range(data, ranges, by)
     w = Window.partitionBy("__rid").orderBy("__v")          # bounded slice (<= final_rows)

@@ -59,10 +59,12 @@ def change_segments(dates: DataFrame) -> DataFrame:
 def asof_change_date(trading_dates: DataFrame, dates: DataFrame, date_col: str = "date") -> DataFrame:
     """For each trading date the last change date <= it (dates before the
     first change date drop out).  Works on distinct trading dates."""
-    seg = change_segments(dates).withColumn(
-        "next_change", F.coalesce("next_change", F.lit(_dt.date(9999, 12, 31))))
+    seg = change_segments(dates)
+    # the open last segment ends the day after the latest trading date
+    last_day = trading_dates.agg(F.date_add(F.max(date_col), 1)).scalar()
+    seg = seg.withColumn("next_change", F.coalesce(F.col("next_change"), F.greatest(last_day, F.col("change_date"))))
     td = trading_dates.select(date_col).distinct()
-    return (bucketed_range_join(td, seg, date_col, "change_date", "next_change", bucket_days=365)
+    return (bucketed_range_join(td, seg, date_col, "change_date", "next_change", bucket_days=32)
             .select(date_col, "change_date"))
 
 
