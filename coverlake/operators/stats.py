@@ -102,7 +102,6 @@ def average_ranks(df: DataFrame, col: str, out: str, small_limit: int = 1_000_00
         w = Window.orderBy(col)
         below = F.sum("__c").over(w) - F.col("__c")
         return vc.select(col, (below + (F.col("__c") + 1) / 2.0).alias(out))
-    from coverlake.operators.splits import global_row_number  # noqa: F401  (same offset scheme)
     from coverlake.session import cut_lineage
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut_lineage(vc.repartitionByRange(parts, col).withColumn("__pid", F.spark_partition_id()))

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from coverlake.operators import quotes as qops
 from coverlake.queries._sql import KEYS
 from coverlake.queries.cleaning import CLEAN_SQL, SCREEN_SQL, q_clean_features
 from coverlake.registry import register

@@ -4,9 +4,7 @@ import datetime as dt
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
-from coverlake.functions import interval as iv
 from coverlake.functions.normal import bs_call, bs_put, norm_cdf
 from coverlake.operators import bins as B
 from coverlake.operators import conformal as C

@@ -1,6 +1,8 @@
 """Physical-plan checks: broadcast where intended, no nested loops,
 pruned scans and partition pruning."""
 
+from pyspark.sql import functions as F
+
 from coverlake.operators import curve as cv
 from coverlake.sources import fixtures as fx
 from coverlake.sources import io
@@ -13,7 +15,7 @@ def _plan(df):
 
 
 def test_curve_lookup_is_one_broadcast_hash_join(spark):
-    q = fx.quotes(spark, SF_SMALL).withColumn("days", __import__("pyspark.sql.functions", fromlist=["x"]).datediff("exdate", "date"))
+    q = fx.quotes(spark, SF_SMALL).withColumn("days", F.datediff("exdate", "date"))
     df = cv.attach_rate(q, fx.zero_curve(spark, SF_SMALL))
     df.collect()
     plan = _plan(df)
