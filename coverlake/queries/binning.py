@@ -218,21 +218,21 @@ def q_feature_ranges(spark, sf_dir):
     return S.feature_ranges(fx.predictions(spark, sf_dir), FEATURES)
 
 
-def _hist_sql():
+def _hist_sql(flag: str = "valid", k: int = 10):
     parts = []
     for f in FEATURES:
-        step = f"((mx - mn)/10)"
-        binv = _sql_bin_sum(f, [f"(mn + {i}*{step})" for i in range(1, 10)], ">=")
+        step = f"((mx - mn)/{k})"
+        binv = _sql_bin_sum(f, [f"(mn + {i}*{step})" for i in range(1, k)], ">=")
         parts.append(f"""
   SELECT '{f}' AS feature, s.bin, s.lower, s.upper, coalesce(c.n, 0) AS n FROM
    (SELECT CAST(i AS INTEGER) AS bin, mn + i*{step} AS lower,
-           CASE WHEN i = 9 THEN mx ELSE mn + (i + 1)*{step} END AS upper
-    FROM (SELECT min({f}) AS mn, max({f}) AS mx FROM bad) m, range(10) t(i)) s
+           CASE WHEN i = {k - 1} THEN mx ELSE mn + (i + 1)*{step} END AS upper
+    FROM (SELECT min({f}) AS mn, max({f}) AS mx FROM bad) m, range({k}) t(i)) s
    LEFT JOIN (SELECT {binv} AS bin, count(*) AS n FROM bad,
               (SELECT min({f}) AS mn, max({f}) AS mx FROM bad) m GROUP BY 1) c ON c.bin = s.bin""")
     return f"""
 WITH {FLAGGED},
-bad AS (SELECT * FROM flagged WHERE NOT valid),
+bad AS (SELECT * FROM flagged WHERE NOT {flag}),
 h AS ({' UNION ALL '.join(parts)})
 SELECT feature, bin, round(lower, 9) AS lower, round(upper, 9) AS upper, n FROM h"""
 
@@ -245,6 +245,14 @@ def q_feature_histogram(spark, sf_dir):
     return S.histograms(spark, bad, FEATURES, 10)
 
 
+@register("feature_histogram_pp", _hist_sql("pp_valid", 50))
+def q_feature_histogram_pp(spark, sf_dir):
+    """50-bin histogram of each feature over the point-invalid
+    (pp_valid = false) predictions."""
+    bad = _flagged(spark, sf_dir).filter(~F.col("pp_valid"))
+    return S.histograms(spark, bad, FEATURES, 50)
+
+
 _SUMMARY_COLS = ("y_true", "lb", "ub", "S", "sigma", "tau", "r")
 
 
