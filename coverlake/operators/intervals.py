@@ -19,6 +19,12 @@ def add_interval_flags(df: DataFrame, y="y_true", lb="lb", ub="ub", pp: str | No
     return df.withColumns(cols).withColumn("rel_width_w", iv.winsorize("rel_width"))
 
 
+def add_suffix(df: DataFrame, suffix: str, cols=None) -> DataFrame:
+    """Rename columns with a suffix (``DataFrame.add_suffix``)."""
+    cols = list(cols) if cols is not None else df.columns
+    return df.withColumnsRenamed({c: c + suffix for c in cols})
+
+
 def join_by_key(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     """The reference concatenates frames by row position; here rows are
     aligned by an explicit key (1:1 equi-join, no order dependence)."""

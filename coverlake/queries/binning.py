@@ -274,22 +274,27 @@ def q_numeric_summary(spark, sf_dir):
 _RANK_COLS = ("S", "sigma", "tau", "r", "y_true", "valid", "pp_valid")
 
 
-def _spearman_sql():
+def spearman_sql(ctes: str, source: str, columns) -> str:
+    """DuckDB Spearman: average rank = rank() + (ties - 1) / 2, then corr."""
     ranks = ",\n  ".join(
         f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1)/2.0) AS rk_{c}"
-        for c in _RANK_COLS)
+        for c in columns)
     pairs = []
-    for i, a in enumerate(_RANK_COLS):
-        for b in _RANK_COLS[i:]:
+    for i, a in enumerate(columns):
+        for b in columns[i:]:
             pairs.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr(rk_{a}, rk_{b}), 9) AS rho FROM rk")
-    cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _RANK_COLS)
+    cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
     return f"""
-WITH {FLAGGED},
-v AS (SELECT {cols} FROM flagged),
+WITH {ctes},
+v AS (SELECT {cols} FROM {source}),
 rk AS (SELECT {ranks} FROM v)
 {' UNION ALL '.join(pairs)}"""
 
 
+def _spearman_sql():
+    return spearman_sql(FLAGGED, "flagged", _RANK_COLS)
+
+
 @register("spearman_matrix", _spearman_sql())
 def q_spearman_matrix(spark, sf_dir):
     """Spearman rank correlation (average ranks for ties, booleans as

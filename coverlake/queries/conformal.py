@@ -110,3 +110,37 @@ def q_cqr_vs_raw_coverage(spark, sf_dir):
         F.round(F.avg(iv.covered("y_true", "lb_cqr", "ub_cqr").cast("double")), 9).alias("coverage_cqr"),
         F.round(100 * F.avg((F.col("ub") < F.col("lb")).cast("double")), 9).alias("crossed_pct_raw"),
         F.round(100 * F.avg((F.col("ub_cqr") < F.col("lb_cqr")).cast("double")), 9).alias("crossed_pct_cqr"))
+
+
+_SUFFIXED = ("valid_cp", "pp_valid_cp", "valid_noncp", "pp_valid_noncp")
+
+
+def _suffixed_sql():
+    from coverlake.queries.binning import spearman_sql
+    ctes = f"""{SCORED_SQL.strip()},
+t AS (SELECT coalesce(s.lb - q.q_hat <= s.ub + q.q_hat, false) AS valid_cp,
+             coalesce(s.lb - q.q_hat <= s.pp AND s.pp <= s.ub + q.q_hat, false) AS pp_valid_cp,
+             coalesce(s.lb <= s.ub, false) AS valid_noncp,
+             coalesce(s.lb <= s.pp AND s.pp <= s.ub, false) AS pp_valid_noncp
+      FROM scored s JOIN qhat q ON q.seed_id = s.seed_id WHERE s.role = 'validation')"""
+    return spearman_sql(ctes, "t", _SUFFIXED)
+
+
+@register("flag_spearman_cp_vs_noncp", _suffixed_sql())
+def q_flag_spearman_cp_vs_noncp(spark, sf_dir):
+    """P8 (suffixes) + A21: rank correlation between the validity flags of
+    the conformalised (``_cp``) and the raw quantile (``_noncp``) intervals
+    on the validation rows."""
+    from coverlake.operators import intervals as I
+    from coverlake.operators import stats as S
+    scored = _scored(spark, sf_dir)
+    test = scored.filter(F.col("role") == "validation")
+    out = C.cqr_intervals(test, _qhat(spark, sf_dir, scored), ["seed_id"])
+    cp = I.add_suffix(out.select(*KEY_COLS, iv.ordered("lb_cqr", "ub_cqr").alias("valid"),
+                                 iv.point_ordered("lb_cqr", "pp", "ub_cqr").alias("pp_valid")),
+                      "_cp", ["valid", "pp_valid"])
+    noncp = I.add_suffix(out.select(*KEY_COLS, iv.ordered("lb", "ub").alias("valid"),
+                                    iv.point_ordered("lb", "pp", "ub").alias("pp_valid")),
+                         "_noncp", ["valid", "pp_valid"])
+    flags = I.join_by_key(cp, noncp, KEY_COLS)      # the reference concatenates the two frames by position
+    return S.spearman_long(flags, _SUFFIXED)
