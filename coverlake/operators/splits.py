@@ -52,14 +52,23 @@ def assign_folds(df: DataFrame, folds: DataFrame, year_col: str = "year") -> Dat
 
 def seed_draws(df: DataFrame, key_cols, n_seeds: int, first_seed: int = 0) -> DataFrame:
     """One row per (row, seed) with that seed's role; the replication
-    factor is the caller's seed count (a parameter, not data-dependent)."""
-    seeds = F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + n_seeds - 1))).alias("seed")
+    factor is the caller's seed count (a parameter, not data-dependent).
+
+    One md5 digest holds four independent 32-bit uniforms, so seeds share a
+    digest in blocks of four: seed s uses hex digits 8*(s % 4) .. +7 of
+    md5((s // 4) ':' key) -- a quarter of the hashing of one digest per seed."""
+    seeds = list(range(first_seed, first_seed + n_seeds))
+    blocks = sorted({s // 4 for s in seeds})
     # the row key string is built once per row, not once per (row, seed)
     keyed = df.withColumn("__key", F.concat_ws(":", *[F.col(c).cast("string") for c in key_cols]))
-    out = keyed.select("*", seeds)
-    key = F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("__key"))
-    u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / 4294967296.0
-    return out.withColumn("role", role_from_uniform(u)).drop("__key")
+    per_block = keyed.select("*", F.explode(F.array(*[F.lit(b) for b in blocks])).alias("__block"))
+    per_block = per_block.withColumn(
+        "__h", F.md5(F.concat(F.col("__block").cast("string"), F.lit(":"), F.col("__key"))))
+    per_seed = per_block.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("__part"))
+    per_seed = per_seed.withColumn("seed", F.col("__block") * 4 + F.col("__part"))
+    per_seed = per_seed.filter(F.col("seed").between(seeds[0], seeds[-1]))
+    u = F.conv(F.substring(F.col("__h"), F.col("__part") * 8 + 1, 8), 16, 10).cast("bigint") / 4294967296.0
+    return per_seed.withColumn("role", role_from_uniform(u)).drop("__key", "__block", "__h", "__part")
 
 
 def global_row_number(df: DataFrame, order_cols, num_partitions: int | None = None,

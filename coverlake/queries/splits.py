@@ -61,9 +61,9 @@ def q_walk_forward_folds(spark, sf_dir):
 _SEED_SQL = f"""
 WITH flagged AS (SELECT *, {FLAGS_SQL} FROM predictions),
 draws AS (SELECT f.*, s.seed,
-                 CAST(('0x' || substr(md5(concat_ws(':', CAST(s.seed AS VARCHAR), CAST(l_orderkey AS VARCHAR),
+                 CAST(('0x' || substr(md5(concat_ws(':', CAST(s.seed // 4 AS VARCHAR), CAST(l_orderkey AS VARCHAR),
                       CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR),
-                      CAST(date AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0 AS u
+                      CAST(date AS VARCHAR))), 8*(s.seed % 4) + 1, 8)) AS BIGINT) / 4294967296.0 AS u
           FROM flagged f, (SELECT CAST(unnest(generate_series(0, {N_SEEDS - 1})) AS INTEGER) AS seed) s),
 per_seed AS (SELECT seed, avg(CAST(covered AS DOUBLE)) AS coverage,
                     100*avg(CAST(pp_valid AS DOUBLE)) AS pp_valid_pct, 100*avg(CAST(valid AS DOUBLE)) AS valid_pct

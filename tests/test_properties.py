@@ -88,3 +88,17 @@ def test_identities(spark):
                F.avg(abs_error("y_true", "pp")).alias("mae")).first()
     assert r.miss == pytest.approx(1 - r.cov)            # missed rate = 1 - coverage
     assert r.mae == pytest.approx(2 * r.pb)              # MAE = 2 x pinball(0.5)
+
+
+def test_seed_draws_partition_independent_and_balanced(spark):
+    base = fx.predictions(spark, SF_SMALL).select(*KEY_COLS)
+    a = sp.seed_draws(base, KEY_COLS, 10)
+    b = sp.seed_draws(base.repartition(3), KEY_COLS, 10)
+    assert a.exceptAll(b).count() == 0 and a.count() == 10 * base.count()
+    shares = {r.seed: r.v for r in a.groupBy("seed").agg(
+        F.avg((F.col("role") == "validation").cast("double")).alias("v")).collect()}
+    assert sorted(shares) == list(range(10))
+    assert all(0.12 < v < 0.28 for v in shares.values())
+    # seeds sharing one digest (0..3) still give different splits
+    roles = {s: {tuple(r[:5]): r.role for r in a.filter(F.col("seed") == s).collect()} for s in (0, 1)}
+    assert sum(roles[0][k] != roles[1][k] for k in roles[0]) > 0.3 * len(roles[0])
