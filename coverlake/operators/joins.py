@@ -11,19 +11,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Row limit for explicitly broadcast sides (AQE still converts joins whose
-# measured shuffle size is under spark.sql.adaptive.autoBroadcastJoinThreshold).
+# Default row limit for explicitly broadcast sides; a session can override it
+# with the conf key below.  AQE still converts joins whose measured shuffle
+# size is under spark.sql.adaptive.autoBroadcastJoinThreshold.
 BROADCAST_ROW_LIMIT = 2_000_000
+BROADCAST_ROWS_CONF = "coverlake.broadcast.maxRows"
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.  ``limit`` stops the
-    scan early, so the check costs at most max_rows + 1 rows of work after
-    any aggregation in ``df``."""
+def broadcast_row_limit(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROW_LIMIT)))
+
+
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (default: the session's
+    broadcast row limit).  ``limit`` stops the scan early, so the check costs
+    at most max_rows + 1 rows of work after any aggregation in ``df``."""
+    max_rows = broadcast_row_limit(df) if max_rows is None else max_rows
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast hint behind a row-count check; otherwise leave the choice to
     the planner / AQE (shuffle join)."""
     return F.broadcast(df) if is_small(df, max_rows) else df

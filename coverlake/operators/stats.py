@@ -123,7 +123,7 @@ def spearman_long(df: DataFrame, columns, small_limit: int = 1_000_000) -> DataF
     partitions with offsets), checkpointed, joined back per column
     (broadcast when small) and all pairwise ``corr`` run in one pass.
     Upper triangle as (col_a, col_b, rho)."""
-    from coverlake.operators.joins import BROADCAST_ROW_LIMIT
+    from coverlake.operators.joins import broadcast_row_limit
     from coverlake.session import cut_lineage
     num = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
     long_ = num.select(F.explode(F.array(*[F.struct(F.lit(c).alias("__col"), F.col(c).alias("__v"))
@@ -143,7 +143,8 @@ def spearman_long(df: DataFrame, columns, small_limit: int = 1_000_000) -> DataF
     ranked = num
     for c in columns:
         rc = ranks.filter(F.col("__col") == c).select(F.col("__v").alias(c), F.col("__rk").alias(f"__rk_{c}"))
-        ranked = ranked.join(F.broadcast(rc) if per_col.get(c, 0) <= BROADCAST_ROW_LIMIT else rc, c, "inner")
+        small = per_col.get(c, 0) <= broadcast_row_limit(df)
+        ranked = ranked.join(F.broadcast(rc) if small else rc, c, "inner")
     aggs, names = [], []
     for i, a in enumerate(columns):
         for b in columns[i:]:
