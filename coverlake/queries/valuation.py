@@ -115,3 +115,20 @@ def q_market_model_gap(spark, sf_dir):
                  F.least(F.floor((F.col("S") - 0.5) * 10), F.lit(_M_BINS - 1)).cast("int").alias("m_bin"), "gap")
     return b.groupBy("year", "m_bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("gap"), 9).alias("mean_gap"),
                                           F.round(F.avg(F.abs("gap")), 9).alias("mean_abs_gap"))
+
+
+@register("market_model_gap_daily", f"""
+WITH clean AS ({CLEAN_SQL}),
+g AS (SELECT date, S, V - CASE WHEN cp_flag = 'C' THEN {bs_call_sql('S', '1.0', 'r/100.0', 'sigma', 'tau')}
+                                WHEN cp_flag = 'P' THEN {bs_put_sql('S', '1.0', 'r/100.0', 'sigma', 'tau')} END AS gap
+      FROM clean),
+b AS (SELECT date, CAST(least(floor((S - 0.5)*10), {_M_BINS - 1}) AS INTEGER) AS m_bin, gap FROM g)
+SELECT date, m_bin, count(*) AS n, round(avg(gap), 9) AS mean_gap FROM b GROUP BY date, m_bin""")
+def q_market_model_gap_daily(spark, sf_dir):
+    """P21 re-aimed, daily: market minus model per trading date and
+    moneyness bin."""
+    clean = clean_features(fx.quotes(spark, sf_dir), fx.prices(spark, sf_dir), fx.zero_curve(spark, sf_dir))
+    g = V.market_model_gap(clean)
+    b = g.select("date", F.least(F.floor((F.col("S") - 0.5) * 10), F.lit(_M_BINS - 1)).cast("int").alias("m_bin"),
+                 "gap")
+    return b.groupBy("date", "m_bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("gap"), 9).alias("mean_gap"))
