@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coverlake.functions.hashing import hash_uniform
-from coverlake.session import cut_lineage
+from coverlake.session import cut_lineage, shuffle_partitions
 
 
 def role_from_uniform(u, proper: float = 0.6, calib: float = 0.8):
@@ -78,7 +78,7 @@ def global_row_number(df: DataFrame, order_cols, num_partitions: int | None = No
     partition, add each partition's offset (prefix sum of a P-row table) to a
     per-partition row number.  The range-partitioned data is checkpointed so
     both passes see the same partition layout."""
-    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = num_partitions or shuffle_partitions(df.sparkSession)
     ranged = (df.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols)
                 .withColumn("__pid", F.spark_partition_id()))
     ranged = cut_lineage(ranged)

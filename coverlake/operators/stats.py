@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from coverlake.operators import bins as B
 from coverlake.operators.quantiles import exact_quantiles
+from coverlake.session import shuffle_partitions
 
 
 def r9(c):
@@ -103,7 +104,7 @@ def average_ranks(df: DataFrame, col: str, out: str, small_limit: int = 1_000_00
         below = F.sum("__c").over(w) - F.col("__c")
         return vc.select(col, (below + (F.col("__c") + 1) / 2.0).alias(out))
     from coverlake.session import cut_lineage
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = shuffle_partitions(df.sparkSession)
     ranged = cut_lineage(vc.repartitionByRange(parts, col).withColumn("__pid", F.spark_partition_id()))
     tot = ranged.groupBy("__pid").agg(F.sum("__c").alias("__t"))
     offs = tot.select("__pid", (F.sum("__t").over(Window.orderBy("__pid")) - F.col("__t")).alias("__off"))

@@ -55,3 +55,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executors, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's shuffle partition count; falls back to the default
+    parallelism when the setting is not a number (e.g. 'auto')."""
+    v = spark.conf.get("spark.sql.shuffle.partitions", "200")
+    return int(v) if str(v).isdigit() else spark.sparkContext.defaultParallelism
