@@ -29,6 +29,8 @@ def get_spark(app: str = "coverlake", master: str | None = None,
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+               # checkpoint files of collected (unreferenced) datasets are deleted
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.driver.memory", os.environ.get("COVERLAKE_DRIVER_MEMORY", "16g")))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
