@@ -31,13 +31,21 @@ def join_by_key(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     return left.join(right, list(keys), "inner")
 
 
-def aligned_years(left: DataFrame, right: DataFrame, year_col: str = "year") -> DataFrame:
+def aligned_years(left: DataFrame, right: DataFrame, year_col: str = "year", strict_keys=None) -> DataFrame:
     """Per-year row counts on both sides; keep ``left`` rows only in years
     whose counts are equal (the reference skips a year whose lengths differ).
-    Both count tables are tiny (one row per year)."""
+    With ``strict_keys`` a year is kept only if, in addition, no key is on one
+    side without the other (two anti-joins).  The per-year tables are tiny
+    (one row per calendar year)."""
     lc = left.groupBy(year_col).agg(F.count(F.lit(1)).alias("__n"))
     rc = right.groupBy(year_col).agg(F.count(F.lit(1)).alias("__n"))
     ok_years = lc.join(rc, [year_col, "__n"], "inner").select(year_col)
+    if strict_keys:
+        keys = [year_col] + list(strict_keys)
+        lk, rk = left.select(*keys), right.select(*keys)
+        bad = (lk.join(rk, keys, "left_anti").select(year_col)
+                 .union(rk.join(lk, keys, "left_anti").select(year_col)).distinct())
+        ok_years = ok_years.join(bad, year_col, "left_anti")
     return left.join(F.broadcast(ok_years), year_col, "left_semi")   # one row per calendar year
 
 

@@ -148,3 +148,10 @@ def test_norm_cdf_accuracy(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     for row in df.select("x", norm_cdf("x").alias("p")).collect():
         assert row.p == pytest.approx(0.5 * math.erfc(-row.x / math.sqrt(2)), abs=1e-15)
+
+
+def test_year_alignment_strict_keys(spark):
+    left = spark.createDataFrame([(2000, 1), (2000, 2), (2001, 3)], "year int, k int")
+    right = spark.createDataFrame([(2000, 1), (2000, 9), (2001, 3)], "year int, k int")
+    assert sorted(r.k for r in I.aligned_years(left, right).collect()) == [1, 2, 3]          # counts equal
+    assert sorted(r.k for r in I.aligned_years(left, right, strict_keys=["k"]).collect()) == [3]
