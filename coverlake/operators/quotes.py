@@ -28,15 +28,22 @@ def screen_quotes(quotes: DataFrame, **kw) -> DataFrame:
     return quotes.filter(screen_condition(**kw))
 
 
-def attach_spot(quotes: DataFrame, prices: DataFrame, spot_col: str = "spot_price") -> DataFrame:
+def attach_spot(quotes: DataFrame, prices: DataFrame, spot_col: str = "spot_price",
+                on_duplicate: str = "max") -> DataFrame:
     """Left lookup of the close on (secid, date).
 
     The right side is reduced to one row per key first (``max`` makes the
     pick deterministic where the source keeps an arbitrary match); that
     aggregate hash-partitions prices on (secid, date), which the join reuses.
+    ``on_duplicate='error'`` instead checks that the key is unique (one
+    extra aggregate job) and raises if it is not.
     """
-    spot = prices.groupBy("secid", "date").agg(F.max("close").alias(spot_col))
-    return quotes.join(spot, ["secid", "date"], "left")
+    spot = prices.groupBy("secid", "date").agg(F.max("close").alias(spot_col), F.count(F.lit(1)).alias("__n"))
+    if on_duplicate == "error":
+        dup = spot.filter(F.col("__n") > 1).limit(1).collect()
+        if dup:
+            raise ValueError(f"prices not unique on (secid, date): {dup[0]['secid']}, {dup[0]['date']}")
+    return quotes.join(spot.drop("__n"), ["secid", "date"], "left")
 
 
 def add_quote_features(df: DataFrame) -> DataFrame:

@@ -155,3 +155,20 @@ def test_year_alignment_strict_keys(spark):
     right = spark.createDataFrame([(2000, 1), (2000, 9), (2001, 3)], "year int, k int")
     assert sorted(r.k for r in I.aligned_years(left, right).collect()) == [1, 2, 3]          # counts equal
     assert sorted(r.k for r in I.aligned_years(left, right, strict_keys=["k"]).collect()) == [3]
+
+
+def test_spot_lookup_duplicates(spark):
+    from coverlake.operators.quotes import attach_spot
+    q = spark.createDataFrame([(1, D(2000, 1, 3))], "secid int, date date")
+    p = spark.createDataFrame([(1, D(2000, 1, 3), 10.0), (1, D(2000, 1, 3), 11.0)], "secid int, date date, close double")
+    assert attach_spot(q, p).first().spot_price == 11.0          # one row, deterministic pick
+    with pytest.raises(ValueError):
+        attach_spot(q, p, on_duplicate="error")
+
+
+def test_clean_table_moneyness_audit(spark):
+    from coverlake.queries.cleaning import q_clean_features
+    from tests.conftest import SF_SMALL
+    df = q_clean_features(spark, SF_SMALL)
+    assert df.filter((df.S < 0.5) | (df.S > 1.5)).count() == 0
+    assert df.count() > 0 and df.na.drop().count() == df.count()
