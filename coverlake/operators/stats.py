@@ -132,8 +132,12 @@ def spearman_long(df: DataFrame, columns, small_limit: int = 1_000_000) -> DataF
     vc = cut_lineage(long_.groupBy("__col", "__v").agg(F.count(F.lit(1)).alias("__c")))
     per_col = {r["__col"]: r["n"] for r in vc.groupBy("__col").agg(F.count(F.lit(1)).alias("n")).collect()}
     if max(per_col.values(), default=0) <= small_limit:
+        # one window partition per column; the explicit partition count keeps AQE
+        # from coalescing all columns into a single task
         w = Window.partitionBy("__col").orderBy("__v")
-        ranks = vc.select("__col", "__v", (F.sum("__c").over(w) - F.col("__c") + (F.col("__c") + 1) / 2.0).alias("__rk"))
+        ranks = (vc.repartition(len(columns), "__col")
+                   .select("__col", "__v", (F.sum("__c").over(w) - F.col("__c") + (F.col("__c") + 1) / 2.0)
+                           .alias("__rk")))
     else:
         ranks = None
         for c in columns:
