@@ -26,6 +26,37 @@ def hash_split(df: DataFrame, key_cols, seed: int = 42, proper: float = 0.6, cal
     return df.withColumn("__u", u).withColumn(role_col, role_from_uniform(F.col("__u"), proper, calib)).drop("__u")
 
 
+def exact_split(df: DataFrame, key_cols, seed: int = 42, by=(), test_size: str = "0.2",
+                calib_size: str = "0.25", role_col: str = "role") -> DataFrame:
+    """X1, exact sizes: per group of ``by``, rows ordered by their hash draw
+    (ties by key) get the first n - ceil(test n) - ceil(calib (n - ceil(test n)))
+    positions as proper_train, then calibration, then validation -- the sizes
+    of an 80/20 then 75/25 split, order-free and repeatable.
+
+    Positions come from one distributed row numbering of (by, draw, key)
+    minus each group's first position (a per-group min/count table), so no
+    group is ever sorted inside one task."""
+    from decimal import Decimal
+    by = list(by)
+    keyed = df.withColumn("__u", hash_uniform(seed, *key_cols))
+    numbered = global_row_number(keyed, by + ["__u"] + list(key_cols), col="__rn")
+    sizes = numbered.groupBy(*by).agg(F.min("__rn").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    n = F.col("__n")
+    n_val = F.ceil(F.lit(Decimal(test_size)) * n)
+    n_cal = F.ceil(F.lit(Decimal(calib_size)) * (n - n_val))
+    sizes = sizes.withColumns({"__n_proper": n - n_val - n_cal, "__n_train": n - n_val})
+    if by:
+        from coverlake.operators.joins import broadcast_if_small
+        j = numbered.join(broadcast_if_small(sizes), by, "inner")     # one row per group
+    else:
+        row = sizes.first()
+        j = numbered.withColumns({c: F.lit(row[c]) for c in ("__first", "__n", "__n_proper", "__n_train")})
+    pos = F.col("__rn") - F.col("__first")
+    role = (F.when(pos < F.col("__n_proper"), "proper_train")
+             .when(pos < F.col("__n_train"), "calibration").otherwise("validation"))
+    return j.withColumn(role_col, role).drop("__u", "__rn", "__first", "__n", "__n_proper", "__n_train")
+
+
 def group_split(df: DataFrame, group_cols, seed: int = 42, proper: float = 0.6, calib: float = 0.8,
                 role_col: str = "role") -> DataFrame:
     """Hash the group key instead of the row key, so every row of a group

@@ -34,6 +34,22 @@ def q_hash_split(spark, sf_dir):
     return sp.hash_split(df, KEY_COLS, SPLIT_SEED)
 
 
+@register("exact_split", f"""
+WITH d AS (SELECT {KEYS}, seed_id, {hash_uniform_sql(SPLIT_SEED, KEY_SQL)} AS u FROM predictions),
+r AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY u, {KEYS}) - 1 AS pos,
+             count(*) OVER (PARTITION BY seed_id) AS n FROM d),
+z AS (SELECT *, CAST(ceil(0.2*n) AS BIGINT) AS n_val FROM r),
+z2 AS (SELECT *, n - n_val - CAST(ceil(0.25*(n - n_val)) AS BIGINT) AS n_proper, n - n_val AS n_train FROM z)
+SELECT {KEYS}, seed_id,
+       CASE WHEN pos < n_proper THEN 'proper_train' WHEN pos < n_train THEN 'calibration' ELSE 'validation' END AS role
+FROM z2""")
+def q_exact_split(spark, sf_dir):
+    """X1, exact sizes per sample (seed_id): the 80/20 then 75/25 split sizes,
+    rows assigned in hash order."""
+    df = fx.predictions(spark, sf_dir).select(*KEY_COLS, "seed_id")
+    return sp.exact_split(df, KEY_COLS, SPLIT_SEED, by=["seed_id"])
+
+
 @register("group_split", f"""
 SELECT {KEYS}, secid, {_role_sql(hash_uniform_sql(SPLIT_SEED, 'CAST(secid AS VARCHAR)'))} AS role FROM quotes""")
 def q_group_split(spark, sf_dir):

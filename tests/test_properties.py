@@ -102,3 +102,23 @@ def test_seed_draws_partition_independent_and_balanced(spark):
     # seeds sharing one digest (0..3) still give different splits
     roles = {s: {tuple(r[:5]): r.role for r in a.filter(F.col("seed") == s).collect()} for s in (0, 1)}
     assert sum(roles[0][k] != roles[1][k] for k in roles[0]) > 0.3 * len(roles[0])
+
+
+@pytest.mark.parametrize("by", [[], ["seed_id"]])
+def test_exact_split_sizes(spark, by):
+    import math
+    from fractions import Fraction
+    df = fx.predictions(spark, SF_SMALL).select(*KEY_COLS, "seed_id")
+    out = sp.exact_split(df, KEY_COLS, 42, by=by)
+    groups = out.groupBy(*by, "role").count().collect()
+    totals = {}
+    for r in groups:
+        g = tuple(r[c] for c in by)
+        totals.setdefault(g, {})[r["role"]] = r["count"]
+    for g, roles in totals.items():
+        n = sum(roles.values())
+        n_val = math.ceil(Fraction(n, 5))
+        n_cal = math.ceil(Fraction(n - n_val, 4))
+        assert roles.get("validation", 0) == n_val
+        assert roles.get("calibration", 0) == n_cal
+        assert roles.get("proper_train", 0) == n - n_val - n_cal
