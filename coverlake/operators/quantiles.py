@@ -81,9 +81,10 @@ def kth_smallest(df: DataFrame, value: str, targets: DataFrame, by=(), *,
         ranges = _number_ranges(st.filter(is_open).select(*by, "__lo", "__hi").distinct(), by)
         ranges = cut_lineage(ranges)
         rows = _attach_range(data, ranges, by)
-        width = F.col("__hi") - F.col("__lo")
+        # halves first: hi - lo can overflow to inf for values spanning the double range
+        width = F.col("__hi") / 2 - F.col("__lo") / 2
         idx = F.least(F.lit(NUM_BUCKETS - 1),
-                      F.floor((F.col("__v") - F.col("__lo")) / width * NUM_BUCKETS).cast("int"))
+                      F.floor((F.col("__v") / 2 - F.col("__lo") / 2) / width * NUM_BUCKETS).cast("int"))
         hist = rows.groupBy("__rid", idx.alias("__b")).agg(
             F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__blo"), F.max("__v").alias("__bhi"))
         w = Window.partitionBy("__rid").orderBy("__b")      # <= NUM_BUCKETS rows per range

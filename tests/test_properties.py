@@ -122,3 +122,11 @@ def test_exact_split_sizes(spark, by):
         assert roles.get("validation", 0) == n_val
         assert roles.get("calibration", 0) == n_cal
         assert roles.get("proper_train", 0) == n - n_val - n_cal
+
+
+def test_kth_smallest_extreme_range(spark):
+    vals = [-1.7e308, -1.0, 0.0, 2.5, 1e300, 1.7e308] * 3
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    targets = spark.createDataFrame([(k, k) for k in range(1, len(vals) + 1)], "__tid int, __k long")
+    got = {r["__tid"]: r["__value"] for r in Q.kth_smallest(df, "v", targets, final_rows=2).collect()}
+    assert [got[k] for k in range(1, len(vals) + 1)] == sorted(vals)
