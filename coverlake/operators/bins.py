@@ -21,9 +21,14 @@ from coverlake.session import cut_lineage
 
 
 def _minmax(df: DataFrame, col: str) -> tuple[float, float]:
+    return minmax_count(df, col)[:2]
+
+
+def minmax_count(df: DataFrame, col: str) -> tuple[float, float, int]:
+    """min, max and non-NULL count of a column in one aggregate."""
     v = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
-    r = df.agg(F.min(v), F.max(v)).first()
-    return r[0], r[1]
+    r = df.agg(F.min(v), F.max(v), F.count(v)).first()
+    return r[0], r[1], r[2]
 
 
 def equal_width_edges(df: DataFrame, col: str, k: int = 10) -> list[float]:
@@ -42,11 +47,13 @@ def equal_width_edges(df: DataFrame, col: str, k: int = 10) -> list[float]:
     return edges
 
 
-def log_edges(df: DataFrame, col: str, n_edges: int = 11, first: float | None = None) -> list[float]:
+def log_edges(df: DataFrame, col: str, n_edges: int = 11, first: float | None = None,
+              stats: tuple | None = None) -> list[float]:
     """B2: ``logspace(log10(first or min), log10(max), n_edges)`` with the end
     edges pinned to exactly ``first or min`` and ``max`` (unpinned, rounding can
-    put the first edge above the minimum and drop that row)."""
-    mn, mx = _minmax(df, col)
+    put the first edge above the minimum and drop that row).  ``stats`` =
+    (min, max, ...) when already computed."""
+    mn, mx = (stats or _minmax(df, col))[:2]
     if mn is None:
         return []
     lo = mn if first is None else first
@@ -117,16 +124,26 @@ def array_right_closed_bin(x, edges_col: str = "edges") -> Column:
 
 
 def bin_stats(df: DataFrame, bin_col: str, feature: str, measure: str, probs=(0.05, 0.5, 0.95),
-              by=()) -> DataFrame:
+              by=(), max_group_rows: int | None = None, direct_limit: int = 2_000_000) -> DataFrame:
     """A8-A11 per bin: count, centre (max+min)/2 of the binned feature, and
-    exact percentiles of ``measure`` (median, 5th, 95th by default)."""
+    exact percentiles of ``measure`` (median, 5th, 95th by default).
+
+    When the caller knows an upper bound for the bin sizes (e.g. the row
+    count from the edge pass) under ``direct_limit``, everything is one
+    aggregation; otherwise the per-bin counts are materialised first and
+    decide between Spark's ``percentile`` and the selection search."""
     keys = list(by) + [bin_col]
     base = df.filter(F.col(bin_col).isNotNull())
-    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                     ((F.max(feature) + F.min(feature)) / 2).alias("center"))
-    counts = cut_lineage(counts)            # one row per bin; reused below
+    counts_aggs = [F.count(F.lit(1)).alias("n"), ((F.max(feature) + F.min(feature)) / 2).alias("center")]
+    if max_group_rows is not None and max_group_rows <= direct_limit:
+        v = F.nanvl(F.col(measure).cast("double"), F.lit(None).cast("double"))
+        names = [f"p_{str(round(p * 100, 6)).rstrip('0').rstrip('.').replace('.', '_')}" for p in probs]
+        out = base.groupBy(*keys).agg(*counts_aggs, F.percentile(v, F.array(*[F.lit(float(p)) for p in probs]))
+                                      .alias("__qs"))
+        return out.select(*keys, "n", "center", *[F.col("__qs")[i].alias(n) for i, n in enumerate(names)])
+    counts = cut_lineage(base.groupBy(*keys).agg(*counts_aggs))     # one row per bin; reused below
     biggest = counts.agg(F.max("n")).first()[0] or 0
-    qs = exact_quantiles(base, measure, probs, keys, prefix="p", max_group_rows=biggest)
+    qs = exact_quantiles(base, measure, probs, keys, prefix="p", max_group_rows=biggest, direct_limit=direct_limit)
     return counts.join(qs, keys, "left")
 
 

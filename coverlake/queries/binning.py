@@ -96,9 +96,10 @@ FROM spine s LEFT JOIN agg a ON a.bin = s.bin"""
 
 def _log_bins(spark, sf_dir, first=None):
     res = _res(spark, sf_dir)
-    edges = B.log_edges(res, "y_true", 11, first=first)
+    stats = B.minmax_count(res, "y_true")                 # edges and a bound on every bin's size
+    edges = B.log_edges(res, "y_true", 11, first=first, stats=stats)
     binned = res.select(B.right_closed_bin("y_true", edges).alias("bin"), "y_true", "rel_width")
-    out = S.on_spine(spark, B.bin_stats(binned, "bin", "y_true", "rel_width"), edges)
+    out = S.on_spine(spark, B.bin_stats(binned, "bin", "y_true", "rel_width", max_group_rows=stats[2]), edges)
     return out.select("bin", "lower", "upper", "n", "pct", *[r9(F.col(c)).alias(c)
                                                             for c in ("center", "p_5", "p_50", "p_95")])
 
