@@ -41,7 +41,10 @@ def get_spark(app: str = "coverlake", master: str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
     (local tests) fall back to a fresh scratch folder."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:              # Spark Connect: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -63,4 +66,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     """The session's shuffle partition count; falls back to the default
     parallelism when the setting is not a number (e.g. 'auto')."""
     v = spark.conf.get("spark.sql.shuffle.partitions", "200")
-    return int(v) if str(v).isdigit() else spark.sparkContext.defaultParallelism
+    if str(v).isdigit():
+        return int(v)
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:
+        return 200

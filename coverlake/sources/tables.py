@@ -22,7 +22,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
     core count and this is a no-op."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if spread:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
+        try:
+            cores = spark.sparkContext.defaultParallelism
+            splits = df.rdd.getNumPartitions()
+        except Exception:          # Spark Connect: no RDD / SparkContext access -> leave the scan as is
+            return df
+        if splits < cores:
             df = df.repartition(cores, df.columns[0])
     return df
