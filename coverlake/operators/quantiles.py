@@ -56,15 +56,24 @@ def _number_ranges(ranges: DataFrame, by) -> DataFrame:
     return ranges.withColumn("__rid", F.row_number().over(w).cast("long"))
 
 
+def group_stats(df: DataFrame, value: str, by=()) -> DataFrame:
+    """Per group: min (``__lo``), max (``__hi``) and count (``__n``) of the
+    non-NULL values -- the starting range of ``kth_smallest``."""
+    data = _clean(df, value, list(by))
+    return data.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
+                                 F.count(F.lit(1)).alias("__n"))
+
+
 def kth_smallest(df: DataFrame, value: str, targets: DataFrame, by=(), *,
-                 final_rows: int = 200_000, max_passes: int = 12) -> DataFrame:
+                 final_rows: int = 200_000, max_passes: int = 12, stats: DataFrame | None = None) -> DataFrame:
     """For each row of ``targets`` (columns ``by`` + ``__tid`` + ``__k``,
     1-based rank within its group) return ``by, __tid, __value``: the
-    ``__k``-th smallest non-NULL ``value`` of the group (no row if k > n)."""
+    ``__k``-th smallest non-NULL ``value`` of the group (no row if k > n).
+    ``stats`` = ``group_stats(df, value, by)`` when the caller has it."""
     by = list(by)
     data = _clean(df, value, by)
-    stats = data.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
-                                  F.count(F.lit(1)).alias("__n"))
+    if stats is None:
+        stats = group_stats(df, value, by)
     if by:
         st = targets.join(stats, by, "inner")
     else:
