@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from coverlake.llm.pieces import q_pieces
 from coverlake.llm.quality import QUALITY_SQL, q_quality
+from coverlake.llm.secrets import q_secrets
 from coverlake.llm.token_frames import q_token_frames
 
 QUERIES = {
+    "op1_secrets": q_secrets,
     "op2_quality_rules": q_quality,
     "op3_token_frames": q_token_frames,
+    "op8_pieces": q_pieces,
 }
 ORACLES = {
     "op2_quality_rules": QUALITY_SQL,

@@ -69,7 +69,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*parts) - self.known.keys()
+        missing = {w for w in set().union(*parts) if w not in self.known}
         if len(self.known) + len(missing) > self.cache_words:
             self.known = {"": b""}
             missing = set().union(*parts) - {""}
