@@ -19,6 +19,9 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+PUNCTUATION = _SPACE.copy()
+"""Bytes that separate words when ASCII punctuation does so, too."""
+PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
@@ -92,13 +95,14 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES):
         i = j
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, words per text) of the words ``[^\\x20\\x09-\\x0D]+`` of
-    consecutive texts; ``offsets`` are relative to ``data``."""
+    consecutive texts; ``offsets`` are relative to ``data``, and ``apart`` holds
+    the bytes that separate words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    word = ~_SPACE[data]
+    word = ~apart[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty(n, dtype=bool)
@@ -110,9 +114,10 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return start, end, np.diff(np.searchsorted(start, offsets))
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, offsets: np.ndarray,
+               apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, words per text): a 64-bit hash of each word's bytes."""
-    start, end, counts = word_bounds(data, offsets)
+    start, end, counts = word_bounds(data, offsets, apart)
     if not len(start):
         return np.zeros(0, np.uint64), start, end, counts
     power, inverse = _power_tables(len(data) + 1)

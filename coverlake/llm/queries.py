@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from coverlake.llm.near_copies import q_jaccard_join
 from coverlake.llm.pieces import q_pieces
 from coverlake.llm.quality import QUALITY_SQL, q_quality
 from coverlake.llm.secrets import q_secrets
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_secrets": q_secrets,
     "op2_quality_rules": q_quality,
     "op3_token_frames": q_token_frames,
+    "op5_jaccard_join": q_jaccard_join,
     "op8_pieces": q_pieces,
 }
 ORACLES = {
