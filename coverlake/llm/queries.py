@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from coverlake.llm.decontaminate import q_decontaminate
 from coverlake.llm.near_copies import q_jaccard_join
 from coverlake.llm.pieces import q_pieces
 from coverlake.llm.quality import QUALITY_SQL, q_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_token_frames": q_token_frames,
     "op5_jaccard_join": q_jaccard_join,
     "op8_pieces": q_pieces,
+    "op10_decontaminate": q_decontaminate,
 }
 ORACLES = {
     "op2_quality_rules": QUALITY_SQL,
