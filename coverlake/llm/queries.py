@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from coverlake.llm.decontaminate import q_decontaminate
+from coverlake.llm.html_text import q_html_text
+from coverlake.llm.language import q_language
 from coverlake.llm.near_copies import q_jaccard_join
 from coverlake.llm.pieces import q_pieces
 from coverlake.llm.quality import QUALITY_SQL, q_quality
@@ -14,7 +16,9 @@ QUERIES = {
     "op2_quality_rules": q_quality,
     "op3_token_frames": q_token_frames,
     "op5_jaccard_join": q_jaccard_join,
+    "op7_language": q_language,
     "op8_pieces": q_pieces,
+    "op9_html_text": q_html_text,
     "op10_decontaminate": q_decontaminate,
 }
 ORACLES = {
