@@ -7,6 +7,7 @@ from coverlake.llm.html_text import q_html_text
 from coverlake.llm.language import q_language
 from coverlake.llm.near_copies import q_jaccard_join
 from coverlake.llm.pieces import q_pieces
+from coverlake.llm.preferences import PREFERENCES_SQL, q_preferences
 from coverlake.llm.quality import QUALITY_SQL, q_quality
 from coverlake.llm.secrets import q_secrets
 from coverlake.llm.token_frames import q_token_frames
@@ -16,11 +17,13 @@ QUERIES = {
     "op2_quality_rules": q_quality,
     "op3_token_frames": q_token_frames,
     "op5_jaccard_join": q_jaccard_join,
+    "op6_preferences": q_preferences,
     "op7_language": q_language,
     "op8_pieces": q_pieces,
     "op9_html_text": q_html_text,
     "op10_decontaminate": q_decontaminate,
 }
 ORACLES = {
+    "op6_preferences": PREFERENCES_SQL,
     "op2_quality_rules": QUALITY_SQL,
 }
