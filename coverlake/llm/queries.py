@@ -10,12 +10,14 @@ from coverlake.llm.pieces import q_pieces
 from coverlake.llm.preferences import PREFERENCES_SQL, q_preferences
 from coverlake.llm.quality import QUALITY_SQL, q_quality
 from coverlake.llm.secrets import q_secrets
+from coverlake.llm.surrogates import q_surrogates
 from coverlake.llm.token_frames import q_token_frames
 
 QUERIES = {
     "op1_secrets": q_secrets,
     "op2_quality_rules": q_quality,
     "op3_token_frames": q_token_frames,
+    "op4_surrogates": q_surrogates,
     "op5_jaccard_join": q_jaccard_join,
     "op6_preferences": q_preferences,
     "op7_language": q_language,
