@@ -25,6 +25,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +47,8 @@ ENTRY = np.dtype([("size", "<u4"), ("content", "<u4"), ("checksum", "<u4")])
 
 FRAME_IDS = 1 << 24
 """Ids in one frame at most; a longer document takes several frames."""
-CACHE_WORDS = 300_000
-"""Encoded words that a worker keeps; the cache starts anew beyond it."""
+CACHE_WORDS = 400_000
+"""Encoded words of a generation; a worker keeps two generations."""
 
 MANIFEST = "doc_id bigint, shard string, shard_no int, first_frame bigint, n_frames int, in_shard bigint, n_tokens bigint"
 
@@ -57,28 +58,63 @@ class WordEncoder:
 
     The tokenizer must split at white space before its merges and drop it
     (``word_bpe_49k.json`` does): then the ids of a text are those of its
-    blank-separated parts, and each distinct part is encoded once.
+    blank-separated parts, and each distinct part is encoded once.  New parts
+    are encoded together, with a control character between them whose single
+    id shows where each ends; a part that holds that character is encoded on
+    its own.
     """
 
+    MARK = "\x01"
+
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        ids = self.tokenizer.encode(f" {self.MARK} ", add_special_tokens=False).ids
+        self.mark = ids[0] if len(ids) == 1 else None
+        ids = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")]
+        self.lowers = ids[0] == ids[1] and all(t.content.startswith("<") for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.cache_words = cache_words
 
+    def _lower(self, text: str) -> str:
+        """ASCII capitals in lower case, if the tokenizer does so anyway and
+        no special token could come out of it: fewer distinct parts."""
+        return text.encode().lower().decode() if self.lowers and "<" not in text else text
+
+    def _learn(self, words: list[str]) -> None:
+        alone = [w for w in words if self.mark is None or self.MARK in w]
+        for w, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False)):
+            self.young[w] = array("I", e.ids).tobytes()
+        if self.mark is not None:
+            words = [w for w in words if self.MARK not in w]
+            for at in range(0, len(words), 5000):
+                part = words[at:at + 5000]
+                ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+                ends = (np.flatnonzero(ids == self.mark) * 4).tolist() + [len(ids) * 4]
+                if len(ends) != len(part):
+                    raise AssertionError("the mark's id stands in another place")
+                data, first = ids.tobytes(), 0
+                for w, end in zip(part, ends):
+                    self.young[w] = data[first:end]
+                    first = end + 4
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        missing = {w for w in set().union(*parts) if w not in self.known}
-        if len(self.known) + len(missing) > self.cache_words:
-            self.known = {"": b""}
-            missing = set().union(*parts) - {""}
-        if missing:
-            missing = list(missing)
-            found = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-            for word, e in zip(missing, found):
-                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
-        at = self.known.__getitem__
+        parts = [self._lower(t or "").replace("\n", " ").split(" ") for t in texts]
+        missing = [w for w in set().union(*parts) if w not in self.young]
+        if len(self.young) + len(missing) > self.cache_words:      # the last generation stays for words that recur
+            self.old, self.young = self.young, {"": b""}
+            missing = [w for w in set().union(*parts) if w]
+        fresh = []
+        for w in missing:
+            known = self.old.get(w)
+            if known is None:
+                fresh.append(w)
+            else:
+                self.young[w] = known
+        self._learn(fresh)
+        at = self.young.__getitem__
         return [b"".join(map(at, p)) for p in parts]
 
 
@@ -168,8 +204,8 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
-            for at in range(0, len(ids), 128):
-                for doc_id, content in zip(ids[at:at + 128], encoder(tokenizer_path).encode(texts[at:at + 128])):
+            for at in range(0, len(ids), 500):
+                for doc_id, content in zip(ids[at:at + 500], encoder(tokenizer_path).encode(texts[at:at + 500])):
                     content += tail
                     if writer is None:
                         writer = ShardWriter(folder, number, level)
