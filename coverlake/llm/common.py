@@ -52,6 +52,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with a number if needed, as a column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"{base}{k or ''}" for k in range(len(taken) + 1)) if n.lower() not in taken)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element by element."""
     x = x ^ (x >> np.uint64(30))

@@ -5,7 +5,8 @@ classifier (tags, class and id words, link share, length, punctuation) gives
 each block log-odds of being content, and these become its capacity to the
 source (content) or to the sink (boilerplate).  Smoothness edges join each
 block with the next one, and with the next one under the same element; their
-capacity grows with the share of open elements that both have.  The minimum
+capacity grows with the share of open elements that both have, and is small
+across the border of a menu, an advert or an article.  The minimum
 cut is the labelling of least total cost; blocks on the source's side are the
 main text.  Scripts, styles, forms' controls and hidden elements give no block.
 
@@ -57,6 +58,8 @@ BOILERPLATE_ROLES = frozenset("alert banner complementary contentinfo dialog for
 
 SMOOTH = 1.0
 """Capacity between neighbours with all elements in common."""
+BORDER = 0.1
+"""Share of that capacity where only one of the two is inside a menu, advert, article or the like."""
 SCALE = 1000
 _WORD = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
@@ -84,10 +87,10 @@ class Element:
 
 
 class Block:
-    __slots__ = ("text", "path", "parent", "odds")
+    __slots__ = ("text", "path", "parent", "odds", "region")
 
-    def __init__(self, text: str, path: tuple[int, ...], odds: float):
-        self.text, self.path, self.odds = text, path, odds
+    def __init__(self, text: str, path: tuple[int, ...], odds: float, region: tuple[bool, float]):
+        self.text, self.path, self.odds, self.region = text, path, odds, region
         self.parent = path[-2] if len(path) > 1 else -1
 
 
@@ -106,7 +109,8 @@ class PageParser(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append(Block(text, tuple(e.number for e in self.open), self.odds(text)))
+            region = max((e.boiler for e in self.open), default=0.0) >= 5.0, max((e.content for e in self.open), default=0.0)
+            self.blocks.append(Block(text, tuple(e.number for e in self.open), self.odds(text), region))
         self.parts, self.link_chars = [], 0
 
     def odds(self, text: str) -> float:
@@ -211,7 +215,8 @@ def neighbours(blocks: list[Block]) -> Iterator[tuple[int, int, float]]:
                 if x != y:
                     break
                 same += 1
-            yield j, k, SMOOTH * (same + 1) / (max(len(a), len(c)) + 1)
+            border = BORDER if blocks[j].region != b.region else 1.0
+            yield j, k, SMOOTH * border * (same + 1) / (max(len(a), len(c)) + 1)
         last[b.parent] = k
 
 

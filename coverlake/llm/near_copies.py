@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlake.llm.common import binary, blocks, hash_words, mix, read, small_batches, stored, utf8, window_hashes
+from coverlake.llm.common import binary, blocks, free_name, hash_words, mix, read, small_batches, stored, utf8, window_hashes
 from coverlake.llm.components import connected_components
 
 SHINGLE = 5
@@ -245,9 +245,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with one document of each class: that of the smallest id.
     Rows without an id stay."""
     joined = jaccard_join(docs, id_col, text_col, **options)
-    keep = joined.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("kept_id"))
-    key = F.col(f"`{id_col}`")
-    first = docs.filter(key.isNotNull()).join(keep, key == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
+    kept, key = free_name(docs, "kept_id"), F.col(f"`{id_col}`")
+    keep = joined.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias(kept))
+    first = docs.filter(key.isNotNull()).join(keep, key == F.col(kept), "left_semi").dropDuplicates([id_col])
     return first.unionByName(docs.filter(key.isNull()))
 
 

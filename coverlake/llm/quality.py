@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coverlake.llm.common import read, stored
+from coverlake.llm.common import free_name, read, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -127,7 +127,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     must be among them) with a struct column of counts, ``base_failed`` and
     ``kept``, and that column's name (one that ``docs`` does not have)."""
     keep = keep or docs.columns
-    name = next(n for n in (f"quality{k or ''}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    name = free_name(docs, "quality")
     counted = stored(base_counts(docs, F.col(f"`{text_col}`"), name, keep), "quality-counts")
     c = F.col(name)
     keys = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")).alias(a) for k, a in ((lang_col, "lang"), (source_col, "source"))]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverlake.llm.automata import Automaton, learn
-from coverlake.llm.common import read, small_batches, stored
+from coverlake.llm.common import free_name, read, small_batches, stored
 
 # The base patterns (ASCII letters in either case for the keyword).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -172,7 +172,7 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: redact(t, formats))
 
-    new = next(n for n in (f"redacted{k or ''}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    new = free_name(docs, "redacted")
     text = F.col(f"`{text_col}`")
     out = docs.withColumn(new, clean(text))
     columns = {text_col: F.col(new)}

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coverlake.llm.common import read, small_batches, stored
+from coverlake.llm.common import free_name, read, small_batches, stored
 
 KEY = b"change this key"
 
@@ -183,10 +183,6 @@ def rendered(kind: str, value: str, new: str) -> str:
     return new[0].upper() + new[1:] if value[0].isupper() else new
 
 
-def _taken(spans: list[tuple[str, int, int]], a: int, b: int) -> bool:
-    return any(s < b and a < e for _, s, e in spans)
-
-
 def detect(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the entities of a text, in order, none overlapping."""
     found: list[tuple[str, int, int]] = []
@@ -219,16 +215,17 @@ def detect(text: str) -> list[tuple[str, int, int]]:
             words.append(w[0])
         for k, w in enumerate(words):
             if len(w) > 1:
-                people.setdefault(w, f"{'family' if k == len(words) - 1 else 'given'}_{GENDER[m[1]]}")
+                people.setdefault(w.casefold(), f"{'family' if k == len(words) - 1 else 'given'}_{GENDER[m[1]]}")
     if people:
         known = sorted(found, key=lambda s: s[1])
         at = 0
         for w in re.finditer(_TOKEN, text):
-            if w[0] in people:
+            kind = people.get(w[0].casefold()) if w[0][0].isupper() else None
+            if kind:
                 while at < len(known) and known[at][2] <= w.start():
                     at += 1
                 if at == len(known) or known[at][1] >= w.end():
-                    found.append((people[w[0]], *w.span()))
+                    found.append((kind, *w.span()))
     return sorted(found, key=lambda s: s[1])
 
 
@@ -294,7 +291,7 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     again = stored(distinct_attempts(found, key).filter("attempt > 0").select("kind", "entity", "attempt"), "attempts")
     own = stored(found.join(again, ["kind", "entity"]).groupBy("doc_id").agg(
         F.collect_set(F.struct("kind", "entity", "attempt")).alias("attempts")), "doc-attempts")
-    names = [n for n in (f"pii{k or ''}" for k in range(len(docs.columns) + 2)) if n not in docs.columns]
+    names = free_name(docs, "pii_id"), free_name(docs, "pii_attempts")
     own = own.select(F.col("doc_id").alias(names[0]), F.col("attempts").alias(names[1]))
 
     @F.pandas_udf("string")
