@@ -44,6 +44,8 @@ DEPTH = 8
 RECALL = 0.9999
 FEW = 8
 """A shingle of at most so many nodes of a group is counted pair by pair."""
+BUCKETS = 1 << 20
+"""Hash buckets of the ids that are compared; texts in no such bucket are not shuffled."""
 PART_NODES = 512
 PART_SHINGLES = 500_000
 """A part of a cluster holds about this many nodes and shingles (a node with more is on its own)."""
@@ -94,6 +96,7 @@ def labels(sets: list[np.ndarray], trees: int, prefix: int) -> np.ndarray:
     for k, a in enumerate(seeds(trees * prefix)):
         values[:, k] = np.minimum.reduceat((flat * a) >> np.uint64(16), starts)
     out = np.zeros((len(sets), trees), dtype=np.uint64)
+    out += np.arange(trees, dtype=np.uint64)      # a trie's prefixes are its own
     for k in range(prefix):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + values[:, k::prefix])
     return out.view(np.int64)
@@ -129,11 +132,13 @@ def sign(docs: DataFrame, trees: int, prefix: int) -> DataFrame:
 
 
 def clusters(nodes: DataFrame) -> DataFrame:
-    """(node, cluster): nodes that the forest's matches hold together."""
-    at = nodes.select("node", F.posexplode("prefixes").alias("tree", "prefix"))
-    heads = at.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    edges = at.join(heads, ["tree", "prefix"]).select(F.col("node").alias("a"), F.col("head").alias("b"))
-    return connected_components(edges).withColumnRenamed("root", "cluster")
+    """(key, cluster): nodes that the forest's matches hold together, by
+    the 64-bit ``xxhash64`` of the node; two nodes that share one would only be
+    compared once more."""
+    at = nodes.select(F.xxhash64("node").alias("key"), F.explode("prefixes").alias("prefix"))
+    heads = at.groupBy("prefix").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    edges = at.join(heads, "prefix").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    return connected_components(edges).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
 
 
 def link_parts(sets: list[np.ndarray], weight: np.ndarray, part: np.ndarray, same: bool,
@@ -178,7 +183,8 @@ def link_parts(sets: list[np.ndarray], weight: np.ndarray, part: np.ndarray, sam
 def verify(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """(node, root, links) from each pair of parts, for nodes with a link.
     ``docs`` has id and text; a node's set is read from its representative."""
-    members = stored(clusters(nodes).join(nodes.select("node", "rep", "size", "weight"), "node"), "members")
+    keyed = nodes.select("node", "rep", "size", "weight", F.xxhash64("node").alias("key"))
+    members = stored(clusters(nodes).join(keyed, "key"), "members")
     parts = members.groupBy("cluster").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / PART_NODES), F.ceil(F.sum("size") / PART_SHINGLES)).cast("int").alias("n_parts"))
     members = stored(members.join(parts, "cluster").select(
@@ -200,8 +206,12 @@ def verify(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
             if keep:
                 yield pa.RecordBatch.from_arrays([*rows.take(pa.array(keep)).columns, binary(sets)], names=[*rows.schema.names, "shingles"])
 
+    # texts that cannot be a member's stay where they are: at most BUCKETS numbers are broadcast
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    wanted = F.broadcast(members.select(place("rep").alias("place")).distinct())
+    docs = docs.join(wanted, place(docs["id"]) == wanted["place"], "left_semi")
     text = docs.join(members, docs["id"] == members["rep"]).select("text", "node", "cluster", "weight", "n_parts", "part")
-    sets = text.mapInArrow(fetch, "node binary, cluster binary, weight bigint, n_parts int, part int, shingles binary")
+    sets = text.mapInArrow(fetch, "node binary, cluster bigint, weight bigint, n_parts int, part int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("other")
     dealt = sets.select("*", other).select(
         "node", "weight", "part", "shingles", "cluster", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
