@@ -43,22 +43,22 @@ def ill(lb="lb", ub="ub") -> Column:
 
 
 def abs_width(lb="lb", ub="ub") -> Column:
-    """P17."""
-    return col(ub) - col(lb)
+    """P17; NULL when a bound is missing (NULL or NaN)."""
+    return _num(ub) - _num(lb)
 
 
 def rel_width(y="y_true", lb="lb", ub="ub") -> Column:
-    """100 * (ub - lb) / y.  y = 0 gives +-inf as in pandas (0/0 -> NULL)."""
-    w = 100 * (col(ub) - col(lb))
-    y = col(y)
+    """100 * (ub - lb) / y.  y = 0 gives +-inf as in pandas (0/0 and a missing y -> NULL)."""
+    w = 100 * (_num(ub) - _num(lb))
+    y = _num(y)
     return (F.when(y != 0, w / y)
-             .when(w > 0, F.lit(float("inf")))
-             .when(w < 0, F.lit(float("-inf"))))
+             .when((y == 0) & (w > 0), F.lit(float("inf")))
+             .when((y == 0) & (w < 0), F.lit(float("-inf"))))
 
 
 def winsorize(x, cap: float = 100.0) -> Column:
-    """Values above ``cap`` become ``cap``; NULL stays NULL."""
-    x = col(x)
+    """Values above ``cap`` become ``cap``; a missing value (NULL, NaN) stays missing."""
+    x = _num(x)
     return F.when(x > cap, F.lit(cap)).otherwise(x)
 
 

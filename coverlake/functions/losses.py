@@ -15,9 +15,10 @@ def pinball(y, f, alpha: float) -> Column:
 
 
 def cqr_score(y, q_lo, q_hi) -> Column:
-    """Conformity score max(q_lo - y, y - q_hi)."""
-    y = col(y)
-    return F.greatest(col(q_lo) - y, y - col(q_hi))
+    """Conformity score max(q_lo - y, y - q_hi); NULL when any of the
+    three is missing (``greatest`` alone would give a one-sided score)."""
+    below, above = col(q_lo) - col(y), col(y) - col(q_hi)
+    return F.when(below.isNotNull() & above.isNotNull(), F.greatest(below, above))
 
 
 def abs_error(y, f) -> Column:

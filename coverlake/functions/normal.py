@@ -81,27 +81,6 @@ def d1(S, K, r, sigma, tau) -> Column:
     return (F.log(S / K) + (r + sigma * sigma / 2) * tau) / (sigma * F.sqrt(tau))
 
 
-def d2(S, K, r, sigma, tau) -> Column:
-    return d1(S, K, r, sigma, tau) - col(sigma) * F.sqrt(col(tau))
-
-
-def bs_call(S, K, r, sigma, tau) -> Column:
-    D1, D2 = d1(S, K, r, sigma, tau), d2(S, K, r, sigma, tau)
-    return col(S) * norm_cdf(D1) - col(K) * F.exp(-col(r) * col(tau)) * norm_cdf(D2)
-
-
-def bs_put(S, K, r, sigma, tau) -> Column:
-    D1, D2 = d1(S, K, r, sigma, tau), d2(S, K, r, sigma, tau)
-    return col(K) * F.exp(-col(r) * col(tau)) * norm_cdf(-D2) - col(S) * norm_cdf(-D1)
-
-
-def bs_value(S, K, r, sigma, tau, cp="cp_flag") -> Column:
-    """Call for 'C', put for 'P', NULL for any other flag."""
-    cp = col(cp)
-    return (F.when(cp == "C", bs_call(S, K, r, sigma, tau))
-             .when(cp == "P", bs_put(S, K, r, sigma, tau)))
-
-
 def d1_sql(S: str, K: str, r: str, sigma: str, tau: str) -> str:
     return f"((ln(({S})/({K})) + (({r}) + ({sigma})*({sigma})/2)*({tau}))/(({sigma})*sqrt({tau})))"
 
@@ -123,8 +102,7 @@ def with_bs_values(df, S="S", K="K", r="r", sigma="sigma", tau="tau", cp=None, o
     tail terms, then the price.  Each stage is a separate projection that
     Catalyst keeps apart (it does not collapse projections when that would
     duplicate non-cheap expressions), so d1 and d2 are computed once per row
-    instead of once per use inside the CDF polynomial.  Values equal
-    ``bs_call`` / ``bs_put`` exactly.  ``cp`` None -> call; else 'C' call,
+    instead of once per use inside the CDF polynomial.   ``cp`` None -> call; else 'C' call,
     'P' put, other NULL."""
     S, K, r, sigma, tau = map(col, (S, K, r, sigma, tau))
     staged = df.withColumns({"__d1": d1(S, K, r, sigma, tau), "__disc": K * F.exp(-r * tau),

@@ -112,39 +112,20 @@ def decile_edges(df: DataFrame, col: str, q: int = 10, by=(), duplicates: str =
     return out
 
 
-def array_right_closed_bin(x, edges_col: str = "edges") -> Column:
-    """``right_closed_bin`` with per-row edges held in an array column."""
-    x = F.col(x) if isinstance(x, str) else x
-    e = F.col(edges_col)
-    n = F.size(e)
-    inner = F.slice(e, 2, n - 2)
-    idx = F.size(F.filter(inner, lambda v: x > v))
-    inside = (x >= F.element_at(e, 1)) & (x <= F.element_at(e, -1))
-    return F.when(inside & (n >= 2), idx)
-
-
-def bin_stats(df: DataFrame, bin_col: str, feature: str, measure: str, probs=(0.05, 0.5, 0.95),
-              by=(), max_group_rows: int | None = None, direct_limit: int = 2_000_000) -> DataFrame:
+def bin_stats(df: DataFrame, bin_col: str, feature: str, measure: str, probs=(0.05, 0.5, 0.95), by=(),
+              method: str = "search") -> DataFrame:
     """A8-A11 per bin: count, centre (max+min)/2 of the binned feature, and
-    exact percentiles of ``measure`` (median, 5th, 95th by default).
-
-    When the caller knows an upper bound for the bin sizes (e.g. the row
-    count from the edge pass) under ``direct_limit``, everything is one
-    aggregation; otherwise the per-bin counts are materialised first and
-    decide between Spark's ``percentile`` and the selection search."""
+    exact percentiles of ``measure`` (median, 5th, 95th by default).  One
+    aggregate gives the counts, centres and the starting ranges of the
+    percentile search."""
     keys = list(by) + [bin_col]
     base = df.filter(F.col(bin_col).isNotNull())
-    counts_aggs = [F.count(F.lit(1)).alias("n"), ((F.max(feature) + F.min(feature)) / 2).alias("center")]
-    if max_group_rows is not None and max_group_rows <= direct_limit:
-        v = F.nanvl(F.col(measure).cast("double"), F.lit(None).cast("double"))
-        names = [f"p_{str(round(p * 100, 6)).rstrip('0').rstrip('.').replace('.', '_')}" for p in probs]
-        out = base.groupBy(*keys).agg(*counts_aggs, F.percentile(v, F.array(*[F.lit(float(p)) for p in probs]))
-                                      .alias("__qs"))
-        return out.select(*keys, "n", "center", *[F.col("__qs")[i].alias(n) for i, n in enumerate(names)])
-    counts = cut_lineage(base.groupBy(*keys).agg(*counts_aggs))     # one row per bin; reused below
-    biggest = counts.agg(F.max("n")).first()[0] or 0
-    qs = exact_quantiles(base, measure, probs, keys, prefix="p", max_group_rows=biggest, direct_limit=direct_limit)
-    return counts.join(qs, keys, "left")
+    v = F.nanvl(F.col(measure).cast("double"), F.lit(None).cast("double"))
+    counts = cut_lineage(base.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), ((F.max(feature) + F.min(feature)) / 2).alias("center"),
+        F.min(v).alias("__lo"), F.max(v).alias("__hi"), F.count(v).alias("__n")))     # one row per bin
+    qs = exact_quantiles(base, measure, probs, keys, prefix="p", method=method, stats=counts.select(*keys, "__lo", "__hi", "__n"))
+    return counts.drop("__lo", "__hi", "__n").join(qs, keys, "left")
 
 
 def rate_by_bin(df: DataFrame, bin_col: str, flags: dict[str, Column], by=()) -> DataFrame:

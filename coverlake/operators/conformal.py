@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverlake.functions.losses import cqr_score
-from coverlake.operators.joins import broadcast_if_small
 from coverlake.operators.quantiles import group_stats, kth_smallest
 from coverlake.session import cut_lineage
 
@@ -46,11 +45,11 @@ def conformal_constant(scores: DataFrame, alpha: float = 0.1, by=(), score: str
 
 def cqr_intervals(test: DataFrame, constants: DataFrame, by=(), q_lo="lb", q_hi="ub") -> DataFrame:
     """M3: widen raw quantile bounds by the group's Q (constants table has
-    one row per group: broadcast behind a size check)."""
+    one row per group)."""
     by = list(by)
     c = constants.select(*by, "q_hat")
     if by:
-        df = test.join(broadcast_if_small(c), by, "inner")
+        df = test.join(c, by, "inner")
     else:
         q = c.first()["q_hat"]
         df = test.withColumn("q_hat", F.lit(q))

@@ -3,9 +3,10 @@
 The reference finds, per quote, the largest tenor below and the smallest
 tenor above its days-to-expiry on the same date with correlated MAX/MIN
 sub-queries.  Here the curve of each date is one sorted
-``array<struct<days, rate>>`` row; quotes equi-join it on ``date`` (broadcast
-when the per-date table passes the size check) and pick neighbours with
-``filter`` + ``array_max`` / ``array_min``, all inside codegen.
+``array<struct<days, rate>>`` row; quotes equi-join it on ``date`` (broadcast:
+a row per calendar date with a handful of tenors) and pick neighbours with
+``filter`` + ``array_max`` / ``array_min`` (higher-order functions, which Spark
+evaluates outside whole-stage code).
 """
 
 from __future__ import annotations
@@ -13,8 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverlake.operators.joins import broadcast_if_small
-
 
 def curve_by_date(curve: DataFrame) -> DataFrame:
     """One row per date with the sorted tenor array (the table that is
@@ -30,7 +29,7 @@ def attach_rate(quotes: DataFrame, curve: DataFrame, days_col: str = "days",
     """J2 exact tenor with non-NULL rate, else J3 interpolation between the
     neighbouring tenors (NULL neighbour rate -> NULL; no extrapolation);
     J4 = coalesce(exact, interpolated)."""
-    per_date = broadcast_if_small(curve_by_date(curve), 500_000)
+    per_date = F.broadcast(curve_by_date(curve))      # bounded by the calendar: one row per date
     t = F.col(days_col)
     arr = F.col("__curve")
     exact = F.try_element_at(F.filter(arr, lambda x: (x["days"] == t) & x["rate"].isNotNull()), F.lit(1))["rate"]

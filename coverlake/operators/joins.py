@@ -1,9 +1,9 @@
-"""Join helpers: size-checked broadcast and a bucketed range join.
+"""Join helpers: a bucketed range join and day-coverage bitmaps.
 
 Spark has no native range or as-of join.  A range condition alone plans as a
 nested-loop join; these helpers always give Spark an equi-key (an exact key
-or a date bucket) so the join stays a hash or sort-merge join, and broadcast
-only a side whose row count was checked against a limit.
+or a date bucket) so the join stays a hash or sort-merge join.  No side is
+hinted for broadcast: the planner and AQE decide on measured bytes.
 """
 
 from __future__ import annotations
@@ -11,35 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Default row limit for explicitly broadcast sides; a session can override it
-# with the conf key below.  AQE still converts joins whose measured shuffle
-# size is under spark.sql.adaptive.autoBroadcastJoinThreshold.
-BROADCAST_ROW_LIMIT = 2_000_000
-BROADCAST_ROWS_CONF = "coverlake.broadcast.maxRows"
-
-
-def broadcast_row_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROW_LIMIT)))
-
-
-def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (default: the session's
-    broadcast row limit).  ``limit`` stops the scan early, so the check costs
-    at most max_rows + 1 rows of work after any aggregation in ``df``."""
-    max_rows = broadcast_row_limit(df) if max_rows is None else max_rows
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast hint behind a row-count check; otherwise leave the choice to
-    the planner / AQE (shuffle join)."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
 def bucketed_range_join(points: DataFrame, intervals: DataFrame, point_col: str,
                         start_col: str, end_col: str, *, keys: tuple[str, ...] = (),
-                        closed_end: bool = False, bucket_days: int = 32,
-                        how: str = "inner", broadcast_intervals: bool | None = None) -> DataFrame:
+                        closed_end: bool = False, bucket_days: int = 32, how: str = "inner") -> DataFrame:
     """Join each point date to every interval that contains it.
 
     Intervals are ``[start, end)`` (``closed_end=False``) or ``[start, end]``.
@@ -55,10 +29,6 @@ def bucketed_range_join(points: DataFrame, intervals: DataFrame, point_col: str,
     sb = F.floor(F.datediff(F.col(start_col), epoch) / bucket_days).cast("long")
     eb = F.floor(F.datediff(F.col(end_col), epoch) / bucket_days).cast("long")
     iv = intervals.withColumn(b, F.explode(F.sequence(sb, F.greatest(sb, eb))))
-    if broadcast_intervals is None:
-        iv = broadcast_if_small(iv)
-    elif broadcast_intervals:
-        iv = F.broadcast(iv)
     pts = points.withColumn(b, pbucket)
     cond = [pts[k] == iv[k] for k in keys] + [pts[b] == iv[b], pts[point_col] >= iv[start_col]]
     cond.append(pts[point_col] <= iv[end_col] if closed_end else pts[point_col] < iv[end_col])
@@ -99,8 +69,7 @@ def day_coverage(intervals: DataFrame, keys, start_col: str, end_col: str,
     return iv.groupBy(*keys, "__bucket").agg(F.bit_or(mask).alias("__mask"))
 
 
-def covered_points(points: DataFrame, coverage: DataFrame, point_col: str, join_keys=(),
-                   broadcast: bool | None = None) -> DataFrame:
+def covered_points(points: DataFrame, coverage: DataFrame, point_col: str, join_keys=()) -> DataFrame:
     """Points whose date is covered for a key: equi-join on (join_keys,
     bucket) and a one-bit test.  Extra key columns of ``coverage`` (beyond
     ``join_keys``) come along, one output row per covering key value."""
@@ -108,11 +77,6 @@ def covered_points(points: DataFrame, coverage: DataFrame, point_col: str, join_
     p = F.datediff(F.col(point_col), epoch)
     pts = points.withColumns({"__bucket": F.floor(p / MASK_DAYS).cast("long"),
                               "__bit": (p - F.floor(p / MASK_DAYS) * MASK_DAYS).cast("int")})
-    cov = coverage
-    if broadcast is None:
-        cov = broadcast_if_small(cov)
-    elif broadcast:
-        cov = F.broadcast(cov)
-    j = pts.join(cov, list(join_keys) + ["__bucket"], "inner")
+    j = pts.join(coverage, list(join_keys) + ["__bucket"], "inner")
     hit = F.call_function("shiftright", F.col("__mask"), F.col("__bit")).bitwiseAND(F.lit(1).cast("long")) == 1
     return j.filter(hit).drop("__bucket", "__bit", "__mask")

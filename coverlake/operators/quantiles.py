@@ -6,54 +6,67 @@ buckets: every pass counts rows per (target, bucket) with partial
 aggregation (output <= NUM_BUCKETS rows per target), keeps the bucket that
 holds the rank, and repeats on the rows of that bucket.  Once a bucket holds
 at most ``final_rows`` rows (or a single value) the rank is resolved with a
-window over that bounded slice.  ``exact_quantiles`` uses Spark's exact
-``percentile`` directly only when the largest group is under
-``direct_limit`` rows (checked with one small count aggregate).
+window over that bounded slice.
+
+Buckets are linear within an octave and logarithmic over wider ranges: the
+first pass over any doubles leaves a range of half an octave at most, and a
+linear pass divides what is left by NUM_BUCKETS, so the 52 bits of a double's
+fraction are used up after a few passes.  There is no cap on the passes: each
+one leaves a smaller range, since both ends of a range are values of it.
+
+``exact_quantiles`` uses this search; ``method="percentile"`` is for callers
+who know that every group is small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverlake.operators.joins import broadcast_if_small
 from coverlake.session import cut_lineage
 
 NUM_BUCKETS = 4096
 
 
+def _scale(v: Column) -> Column:
+    """A monotone logarithmic scale of all doubles: -2100 .. 2100, 0 at 0."""
+    size = F.least(F.log2(F.abs(v)) + 1076.0, F.lit(2101.0))
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0.0))
+
+
+def _bucket(v: Column, lo: Column, hi: Column) -> Column:
+    """Bucket of ``v`` in [lo, hi], 0 for lo and NUM_BUCKETS - 1 for hi."""
+    wide = _scale(hi) - _scale(lo) > 1.0
+    # halves first: hi - lo can overflow to inf for values spanning the double range
+    share = F.when(wide, F.try_divide(_scale(v) - _scale(lo), _scale(hi) - _scale(lo))).otherwise(
+        F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2))
+    inner = F.floor(F.coalesce(share, F.lit(0.0)) * NUM_BUCKETS).cast("int")
+    return (F.when(v <= lo, F.lit(0)).when(v >= hi, F.lit(NUM_BUCKETS - 1))
+             .otherwise(F.greatest(F.lit(0), F.least(F.lit(NUM_BUCKETS - 1), inner))))
+
+
 def _clean(df: DataFrame, value: str, by) -> DataFrame:
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
     return df.select(*by, v.alias("__v")).filter(F.col("__v").isNotNull())
 
 
 def _attach_range(data: DataFrame, ranges: DataFrame, by) -> DataFrame:
-    """Tag each row with the id of the (disjoint) value range of its group
-    that contains it; rows outside every range are dropped.  Grouped: an
-    equi-join on the group key plus a range residual.  Ungrouped: the few
-    ranges are inlined as a CASE expression (no join)."""
+    """Rows within the (disjoint) value ranges of their group, with
+    the range's ends.  Grouped: an equi-join on the group key plus a range
+    residual.  Ungrouped: the few ranges are inlined as a CASE expression."""
     v = F.col("__v")
     if by:
-        r = broadcast_if_small(ranges.select(*by, "__rid", "__lo", "__hi"))
-        return (data.join(r, by, "inner").filter(v.between(F.col("__lo"), F.col("__hi"))))
-    rows = ranges.select("__rid", "__lo", "__hi").collect()   # <= number of targets
+        r = ranges.select(*by, "__lo", "__hi")
+        return data.join(r, by, "inner").filter(v.between(F.col("__lo"), F.col("__hi")))
+    rows = ranges.select("__lo", "__hi").collect()   # <= number of targets
     if not rows:
-        return data.limit(0).withColumns({"__rid": F.lit(None).cast("long"),
-                                          "__lo": F.lit(None).cast("double"), "__hi": F.lit(None).cast("double")})
-    rid = lo = hi = None
+        return data.limit(0).withColumns({"__lo": F.lit(None).cast("double"), "__hi": F.lit(None).cast("double")})
+    lo = hi = None
     for r in rows:
         cond = v.between(F.lit(r["__lo"]), F.lit(r["__hi"]))
-        rid = (F.when(cond, F.lit(r["__rid"])) if rid is None else rid.when(cond, F.lit(r["__rid"])))
         lo = (F.when(cond, F.lit(r["__lo"])) if lo is None else lo.when(cond, F.lit(r["__lo"])))
         hi = (F.when(cond, F.lit(r["__hi"])) if hi is None else hi.when(cond, F.lit(r["__hi"])))
-    return data.withColumns({"__rid": rid, "__lo": lo, "__hi": hi}).filter(F.col("__rid").isNotNull())
-
-
-def _number_ranges(ranges: DataFrame, by) -> DataFrame:
-    """Dense ids for the open value ranges (one per target at most, so the
-    window runs over a table bounded by the number of targets)."""
-    w = Window.orderBy(*by, "__lo", "__hi")
-    return ranges.withColumn("__rid", F.row_number().over(w).cast("long"))
+    return data.withColumns({"__lo": lo, "__hi": hi}).filter(F.col("__lo").isNotNull())
 
 
 def group_stats(df: DataFrame, value: str, by=()) -> DataFrame:
@@ -65,7 +78,7 @@ def group_stats(df: DataFrame, value: str, by=()) -> DataFrame:
 
 
 def kth_smallest(df: DataFrame, value: str, targets: DataFrame, by=(), *,
-                 final_rows: int = 200_000, max_passes: int = 12, stats: DataFrame | None = None) -> DataFrame:
+                 final_rows: int = 200_000, stats: DataFrame | None = None) -> DataFrame:
     """For each row of ``targets`` (columns ``by`` + ``__tid`` + ``__k``,
     1-based rank within its group) return ``by, __tid, __value``: the
     ``__k``-th smallest non-NULL ``value`` of the group (no row if k > n).
@@ -83,23 +96,21 @@ def kth_smallest(df: DataFrame, value: str, targets: DataFrame, by=(), *,
     st = st.filter(F.col("__k").between(1, F.col("__n")))
     # state: one row per target with its current value range and remaining rank
     st = cut_lineage(st.select(*by, "__tid", "__k", "__lo", "__hi", "__n"))
-    for _ in range(max_passes):
-        is_open = (F.col("__n") > final_rows) & (F.col("__lo") < F.col("__hi"))
-        if st.filter(is_open).limit(1).count() == 0:
-            break
-        ranges = _number_ranges(st.filter(is_open).select(*by, "__lo", "__hi").distinct(), by)
-        ranges = cut_lineage(ranges)
-        rows = _attach_range(data, ranges, by)
-        # halves first: hi - lo can overflow to inf for values spanning the double range
-        width = F.col("__hi") / 2 - F.col("__lo") / 2
-        idx = F.least(F.lit(NUM_BUCKETS - 1),
-                      F.floor((F.col("__v") / 2 - F.col("__lo") / 2) / width * NUM_BUCKETS).cast("int"))
-        hist = rows.groupBy("__rid", idx.alias("__b")).agg(
+    span = by + ["__lo", "__hi"]
+    is_open = (F.col("__n") > final_rows) & (F.col("__lo") < F.col("__hi"))
+    passes = 0
+    while not st.filter(is_open).isEmpty():
+        if passes == 0:
+            data = cut_lineage(data)             # several scans follow: read the source once
+        passes += 1
+        rows = _attach_range(data, st.filter(is_open).select(*span).distinct(), by)
+        idx = _bucket(F.col("__v"), F.col("__lo"), F.col("__hi"))
+        hist = rows.groupBy(*span, idx.alias("__b")).agg(
             F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__blo"), F.max("__v").alias("__bhi"))
-        w = Window.partitionBy("__rid").orderBy("__b")      # <= NUM_BUCKETS rows per range
+        w = Window.partitionBy(*span).orderBy("__b")      # <= NUM_BUCKETS rows per range
         hist = hist.withColumn("__cum", F.sum("__c").over(w))
-        open_t = st.filter(is_open).join(ranges, by + ["__lo", "__hi"], "inner").select(*by, "__tid", "__k", "__rid")
-        picked = (open_t.join(hist, "__rid")
+        open_t = st.filter(is_open).select(*span, "__tid", "__k")
+        picked = (open_t.join(hist, span)
                         .filter((F.col("__cum") - F.col("__c") < F.col("__k")) & (F.col("__cum") >= F.col("__k")))
                         .select(*by, "__tid", (F.col("__k") - (F.col("__cum") - F.col("__c"))).alias("__k"),
                                 F.col("__blo").alias("__lo"), F.col("__bhi").alias("__hi"),
@@ -107,57 +118,44 @@ def kth_smallest(df: DataFrame, value: str, targets: DataFrame, by=(), *,
         st = cut_lineage(st.filter(~is_open).unionByName(picked))
     single = st.filter(F.col("__lo") == F.col("__hi")).select(*by, "__tid", F.col("__lo").alias("__value"))
     rest = st.filter(F.col("__lo") < F.col("__hi"))
-    ranges = _number_ranges(rest.select(*by, "__lo", "__hi").distinct(), by)
-    ranges = cut_lineage(ranges)
-    rows = _attach_range(data, ranges, by)
-    w = Window.partitionBy("__rid").orderBy("__v")          # bounded slice (<= final_rows)
-    ranked = rows.select("__rid", "__v", F.row_number().over(w).alias("__k"))
-    tgt = rest.join(ranges, by + ["__lo", "__hi"], "inner").select(*by, "__tid", "__k", "__rid")
-    resolved = tgt.join(ranked, ["__rid", "__k"], "inner").select(*by, "__tid", F.col("__v").alias("__value"))
+    rows = _attach_range(data, rest.select(*span).distinct(), by)
+    w = Window.partitionBy(*span).orderBy("__v")          # bounded slice (<= final_rows)
+    ranked = rows.select(*span, "__v", F.row_number().over(w).alias("__k"))
+    resolved = (rest.select(*span, "__tid", "__k").join(ranked, span + ["__k"], "inner")
+                    .select(*by, "__tid", F.col("__v").alias("__value")))
     return single.unionByName(resolved)
 
 
-def _group_sizes_ok(df: DataFrame, value: str, by, limit: int) -> bool:
-    sizes = _clean(df, value, by).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    biggest = sizes.agg(F.max("n")).first()[0]
-    return biggest is None or biggest <= limit
-
-
-def exact_quantiles(df: DataFrame, value: str, probs, by=(), *, direct_limit: int = 2_000_000,
-                    prefix: str = "q", max_group_rows: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs, by=(), *, prefix: str = "q", method: str = "search",
+                    stats: DataFrame | None = None) -> DataFrame:
     """Linear-interpolated quantiles (pandas / numpy default) per group:
     one column ``{prefix}_{int(p*100)}`` per probability (the name keeps
-    decimals as ``_``).  ``max_group_rows`` (an upper bound on the largest
-    group's row count, when the caller already knows it) skips the size
-    check job."""
+    decimals as ``_``).  ``method``: ``"search"`` (any group size) or
+    ``"percentile"`` (Spark's own aggregate, whose state is a group's distinct
+    values: for groups known to be small).  ``stats`` = ``group_stats(df,
+    value, by)`` when the caller has it."""
     by = list(by)
     names = [f"{prefix}_{str(round(p * 100, 6)).rstrip('0').rstrip('.').replace('.', '_')}" for p in probs]
-    small = (max_group_rows <= direct_limit) if max_group_rows is not None else \
-        _group_sizes_ok(df, value, by, direct_limit)
-    if small:
+    if method == "percentile":
         v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
         agg = df.groupBy(*by).agg(F.percentile(v, F.array(*[F.lit(float(p)) for p in probs])).alias("__qs"))
         return agg.select(*by, *[F.col("__qs")[i].alias(n) for i, n in enumerate(names)])
-    return _quantiles_by_selection(df, value, probs, by, names)
-
-
-def _quantiles_by_selection(df, value, probs, by, names):
-    data = _clean(df, value, by)
-    sizes = data.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    per_p = []
-    for i, p in enumerate(probs):
-        h = (F.col("__n") - 1) * float(p)
-        per_p.append(sizes.select(*by, F.lit(i).alias("__pi"), (F.floor(h) + 1).cast("long").alias("__klo"),
-                                  (F.ceil(h) + 1).cast("long").alias("__khi"),
-                                  (h - F.floor(h)).alias("__frac")))
-    plan = per_p[0]
-    for t in per_p[1:]:
-        plan = plan.unionByName(t)
-    plan = cut_lineage(plan)
+    if method != "search":
+        raise ValueError(f"unknown method {method!r}")
+    return _quantiles_by_selection(df, value, probs, by, names, stats)
+
+
+def _quantiles_by_selection(df, value, probs, by, names, stats=None):
+    stats = cut_lineage(group_stats(df, value, by) if stats is None else stats)     # one row per group
+    h = (F.col("__n") - 1) * F.col("__p")
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("__pi"), F.lit(float(p)).alias("__p")) for i, p in enumerate(probs)]))
+    plan = (stats.filter(F.col("__n") > 0).select(*by, "__n", asked.alias("__a")).select(*by, "__n", "__a.*")
+                 .select(*by, "__pi", (F.floor(h) + 1).cast("long").alias("__klo"), (F.ceil(h) + 1).cast("long").alias("__khi"),
+                         (h - F.floor(h)).alias("__frac")))
     ranks = (plan.select(*by, F.col("__klo").alias("__k"))
                  .unionByName(plan.select(*by, F.col("__khi").alias("__k"))).distinct()
                  .withColumn("__tid", F.col("__k")))
-    vals = kth_smallest(data.withColumnRenamed("__v", "__val"), "__val", ranks, by)
+    vals = cut_lineage(kth_smallest(df, value, ranks, by, stats=stats))             # a row per rank
     lo = vals.select(*by, F.col("__tid").alias("__klo"), F.col("__value").alias("__vlo"))
     hi = vals.select(*by, F.col("__tid").alias("__khi"), F.col("__value").alias("__vhi"))
     q = (plan.join(lo, by + ["__klo"]).join(hi, by + ["__khi"])

@@ -9,8 +9,10 @@ Gradient boosting for the pinball loss at level alpha:
   residuals in that leaf (exact, per-leaf, via ``exact_quantiles``);
 * ``f += learning_rate * leaf_value``.
 
-The working table is reliably checkpointed every few rounds to cut lineage.
-A fitted model is a list of (tree, leaf -> value) pairs; prediction is one
+The new ``f`` is one projection (tree transform and a literal map from leaf to
+value, at most 2^depth entries), so a round adds no scan and no join; the
+working table is reliably checkpointed every few rounds, since the chain of
+projections is evaluated anew in each round.  A fitted model is a list of (tree, leaf -> value) pairs; prediction is one
 projection chain (tree transforms + literal maps), no joins.
 """
 
@@ -24,7 +26,6 @@ from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegre
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverlake.operators.joins import broadcast_if_small
 from coverlake.operators.quantiles import exact_quantiles
 from coverlake.session import cut_lineage
 
@@ -37,6 +38,14 @@ def _session():
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
+def leaf_lookup(values: dict, leaf):
+    """Leaf index -> value as a literal map; an unknown leaf adds nothing."""
+    if not values:
+        return F.lit(0.0)
+    table = F.create_map(*[x for k, v in sorted(values.items()) for x in (F.lit(float(k)), F.lit(float(v)))])
+    return F.coalesce(table[leaf], F.lit(0.0))
+
+
 @dataclass
 class QuantileGBMModel:
     alpha: float
@@ -54,8 +63,7 @@ class QuantileGBMModel:
             leaf = f"__leaf_{m}"
             t = tree.copy().setFeaturesCol(vec).setPredictionCol(f"__tp_{m}").setLeafCol(leaf)
             cur = t.transform(cur)
-            lookup = F.create_map(*[x for k, v in sorted(values.items()) for x in (F.lit(float(k)), F.lit(float(v)))])
-            total = total + self.learning_rate * F.coalesce(lookup[F.col(leaf)], F.lit(0.0))
+            total = total + self.learning_rate * leaf_lookup(values, F.col(leaf))
         drop = [vec] + [c for c in cur.columns if c.startswith("__leaf_") or c.startswith("__tp_")]
         return cur.withColumn(out, total).drop(*drop)
 
@@ -88,15 +96,16 @@ class QuantileGBM:
     min_instances: int = 20
     features: tuple = FEATURES
     label: str = "y"
-    checkpoint_every: int = 4
+    checkpoint_every: int = 5
 
     def fit(self, df: DataFrame) -> QuantileGBMModel:
         vec = "__qgbm_features"
         y = F.col(self.label).cast("double")
         data = VectorAssembler(inputCols=list(self.features), outputCol=vec).transform(
             df.select(*self.features, y.alias("__y")).na.drop())
+        data = cut_lineage(data.select(vec, "__y"))
         init = exact_quantiles(data, "__y", [self.alpha], prefix="q").first()[0]
-        cur = cut_lineage(data.select(vec, "__y", F.lit(init).alias("__f")))
+        cur = data.withColumn("__f", F.lit(init))
         model = QuantileGBMModel(self.alpha, tuple(self.features), float(init), self.learning_rate)
         for m in range(self.n_rounds):
             grad = cur.withColumn("__g", F.when(F.col("__y") < F.col("__f"), self.alpha - 1.0)
@@ -110,10 +119,9 @@ class QuantileGBM:
             values = {r["__leaf"]: (r[gname] if r[gname] is not None else 0.0) for r in gam.collect()}
             model.trees.append(tree)
             model.leaf_values.append(values)
-            upd = leafed.join(broadcast_if_small(gam), "__leaf", "left")
-            cur = upd.select(vec, "__y", (F.col("__f") + self.learning_rate * F.coalesce(F.col(gname), F.lit(0.0)))
-                             .alias("__f"))
-            if (m + 1) % self.checkpoint_every == 0:
+            step = self.learning_rate * leaf_lookup(values, F.col("__leaf"))
+            cur = leafed.select(vec, "__y", (F.col("__f") + step).alias("__f"))
+            if (m + 1) % self.checkpoint_every == 0 and m + 1 < self.n_rounds:
                 cur = cut_lineage(cur)
         return model
 

@@ -46,8 +46,7 @@ def exact_split(df: DataFrame, key_cols, seed: int = 42, by=(), test_size: str =
     n_cal = F.ceil(F.lit(Decimal(calib_size)) * (n - n_val))
     sizes = sizes.withColumns({"__n_proper": n - n_val - n_cal, "__n_train": n - n_val})
     if by:
-        from coverlake.operators.joins import broadcast_if_small
-        j = numbered.join(broadcast_if_small(sizes), by, "inner")     # one row per group
+        j = numbered.join(sizes, by, "inner")     # one row per group
     else:
         row = sizes.first()
         j = numbered.withColumns({c: F.lit(row[c]) for c in ("__first", "__n", "__n_proper", "__n_train")})

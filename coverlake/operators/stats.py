@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 from coverlake.operators import bins as B
 from coverlake.operators.quantiles import exact_quantiles
-from coverlake.session import shuffle_partitions
+from coverlake.session import cut_lineage, shuffle_partitions
+
+
+def number(c: str):
+    """A column as double, NaN as NULL (missing, like in pandas)."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
 
 
 def r9(c):
@@ -40,7 +45,7 @@ def feature_ranges(df: DataFrame, features) -> DataFrame:
     """One aggregate pass, then the 2 x k result is unpivoted to rows."""
     aggs = []
     for f in features:
-        aggs += [F.min(f).alias(f"{f}__min"), F.max(f).alias(f"{f}__max")]
+        aggs += [F.min(number(f)).alias(f"{f}__min"), F.max(number(f)).alias(f"{f}__max")]
     wide = df.agg(*aggs)
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f"{f}__min").alias("min"), F.col(f"{f}__max").alias("max"))
@@ -51,8 +56,8 @@ def histograms(spark: SparkSession, df: DataFrame, features, k: int = 10) -> Dat
     """``np.histogram(x, bins=k)`` per feature: edges linspace(min, max,
     k+1) from one small aggregate, left-closed bins, last bin closed, empty
     bins kept."""
-    mm = df.agg(*[F.min(f).alias(f"{f}__min") for f in features],
-                *[F.max(f).alias(f"{f}__max") for f in features]).first()
+    mm = df.agg(*[F.min(number(f)).alias(f"{f}__min") for f in features],
+                *[F.max(number(f)).alias(f"{f}__max") for f in features]).first()
     edges = {}
     for f in features:
         lo, hi = mm[f"{f}__min"], mm[f"{f}__max"]
@@ -79,77 +84,56 @@ def histograms(spark: SparkSession, df: DataFrame, features, k: int = 10) -> Dat
 
 def numeric_summary(df: DataFrame, columns) -> DataFrame:
     """A15 (``DataFrame.describe()`` with exact quartiles): moments in one
-    pass over a long (column, value) view, quartiles by ``exact_quantiles``."""
-    longf = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+    pass over a long (column, value) view, which also gives the quartile search
+its starting ranges; NaN counts as missing."""
+    longf = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("v"))
                                           for c in columns])).alias("cv")).select("cv.column", "cv.v"))
-    moments = longf.groupBy("column").agg(
-        F.count("v").alias("count"), r9(F.avg("v")).alias("mean"), r9(F.stddev_samp("v")).alias("std"),
-        r9(F.min("v")).alias("min"), r9(F.max("v")).alias("max"))
-    qs = exact_quantiles(longf, "v", [0.25, 0.5, 0.75], ["column"], prefix="q")
+    stats = cut_lineage(longf.groupBy("column").agg(
+        F.min("v").alias("__lo"), F.max("v").alias("__hi"), F.count("v").alias("__n"),
+        F.avg("v").alias("__mean"), F.stddev_samp("v").alias("__std")))      # one row per column
+    moments = stats.select("column", F.col("__n").alias("count"), r9(F.col("__mean")).alias("mean"),
+                           r9(F.col("__std")).alias("std"), r9(F.col("__lo")).alias("min"), r9(F.col("__hi")).alias("max"))
+    qs = exact_quantiles(longf, "v", [0.25, 0.5, 0.75], ["column"], prefix="q", stats=stats.select("column", "__lo", "__hi", "__n"))
     out = moments.join(qs, "column", "left")
     return out.select("column", "count", "mean", "std", "min", *[r9(F.col(c)).alias(c) for c in ("q_25", "q_50", "q_75")],
                       "max").withColumnsRenamed({"q_25": "q25", "q_50": "q50", "q_75": "q75"})
 
 
-def average_ranks(df: DataFrame, col: str, out: str, small_limit: int = 1_000_000) -> DataFrame:
-    """Value -> average rank (ties share the mean of their positions):
-    ``rows below the value + (count + 1) / 2``.  Works on the distinct-value
-    table: a single window when it has at most ``small_limit`` rows (checked),
-    otherwise range partitions with per-partition offsets (no single task
-    holds more than one range partition)."""
-    from coverlake.operators.joins import is_small
-    vc = df.groupBy(col).agg(F.count(F.lit(1)).alias("__c")).filter(F.col(col).isNotNull())
-    if is_small(vc, small_limit):
-        w = Window.orderBy(col)
-        below = F.sum("__c").over(w) - F.col("__c")
-        return vc.select(col, (below + (F.col("__c") + 1) / 2.0).alias(out))
-    from coverlake.session import cut_lineage
-    parts = shuffle_partitions(df.sparkSession)
-    ranged = cut_lineage(vc.repartitionByRange(parts, col).withColumn("__pid", F.spark_partition_id()))
-    tot = ranged.groupBy("__pid").agg(F.sum("__c").alias("__t"))
-    offs = tot.select("__pid", (F.sum("__t").over(Window.orderBy("__pid")) - F.col("__t")).alias("__off"))
-    local = Window.partitionBy("__pid").orderBy(col)
-    return (ranged.join(F.broadcast(offs), "__pid")
-                  .select(col, (F.col("__off") + F.sum("__c").over(local) - F.col("__c")
-                                + (F.col("__c") + 1) / 2.0).alias(out)))
-
-
-def spearman_long(df: DataFrame, columns, small_limit: int = 1_000_000) -> DataFrame:
+def average_ranks(counts: DataFrame, by, value: str, count: str = "__c", out: str = "__rk") -> DataFrame:
+    """(by, value) -> average rank within ``by`` (ties share the mean of their
+    positions): ``rows below the value + (count + 1) / 2``, from a table of
+    distinct values with their counts.  Values are range-partitioned on (by,
+    value); each partition's running sum starts at the sum of those before it
+    (one row per partition), so no column is ever sorted in one task."""
+    by = list(by)
+    parts = shuffle_partitions(counts.sparkSession)
+    ranged = cut_lineage(counts.repartitionByRange(parts, *by, value).withColumn("__pid", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "__pid").agg(F.sum(count).alias("__t"))          # <= partitions + groups rows
+    before = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "__pid", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__off"))
+    local = Window.partitionBy(*by, "__pid").orderBy(value)
+    return (ranged.join(F.broadcast(offsets), by + ["__pid"])
+                  .select(*by, value, (F.col("__off") + F.sum(count).over(local) - F.col(count)
+                                       + (F.col(count) + 1) / 2.0).alias(out)))
+
+
+def spearman_long(df: DataFrame, columns) -> DataFrame:
     """Spearman matrix = Pearson correlation of average ranks (booleans
-    as 0/1), rows with a NULL in any column dropped.
-
-    One job counts rows per (column, value) over a long view; the rank table
-    is built from those counts (one window per column when every column has
-    at most ``small_limit`` distinct values -- checked -- else range
-    partitions with offsets), checkpointed, joined back per column
-    (broadcast when small) and all pairwise ``corr`` run in one pass.
-    Upper triangle as (col_a, col_b, rho)."""
-    from coverlake.operators.joins import broadcast_row_limit
-    from coverlake.session import cut_lineage
-    num = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    long_ = num.select(F.explode(F.array(*[F.struct(F.lit(c).alias("__col"), F.col(c).alias("__v"))
-                                          for c in columns])).alias("p")).select("p.*")
-    vc = cut_lineage(long_.groupBy("__col", "__v").agg(F.count(F.lit(1)).alias("__c")))
-    per_col = {r["__col"]: r["n"] for r in vc.groupBy("__col").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if max(per_col.values(), default=0) <= small_limit:
-        # one window partition per column; the explicit partition count keeps AQE
-        # from coalescing all columns into a single task
-        w = Window.partitionBy("__col").orderBy("__v")
-        ranks = (vc.repartition(len(columns), "__col")
-                   .select("__col", "__v", (F.sum("__c").over(w) - F.col("__c") + (F.col("__c") + 1) / 2.0)
-                           .alias("__rk")))
-    else:
-        ranks = None
-        for c in columns:
-            rc = average_ranks(long_.filter(F.col("__col") == c).select(F.col("__v")), "__v", "__rk")
-            rc = rc.withColumn("__col", F.lit(c))
-            ranks = rc if ranks is None else ranks.unionByName(rc)
-    ranks = cut_lineage(ranks)
-    ranked = num
-    for c in columns:
-        rc = ranks.filter(F.col("__col") == c).select(F.col("__v").alias(c), F.col("__rk").alias(f"__rk_{c}"))
-        small = per_col.get(c, 0) <= broadcast_row_limit(df)
-        ranked = ranked.join(F.broadcast(rc) if small else rc, c, "inner")
+    as 0/1), rows with a missing value in any column dropped.
+
+    One aggregate counts rows per (column, value) over a long view, one
+    range-partitioned pass ranks all columns, and the ranks meet the long
+    view again in one join on (column, value); a row's ranks are regrouped by
+    its id, and all pairwise ``corr`` run in one pass.  Upper triangle as
+    (col_a, col_b, rho)."""
+    num = df.select(*[number(c).alias(c) for c in columns]).na.drop()
+    num = cut_lineage(num.withColumn("__row", F.monotonically_increasing_id()))      # ids are fixed by the checkpoint
+    long_ = num.select("__row", F.explode(F.array(*[F.struct(F.lit(c).alias("__col"), F.col(c).alias("__v"))
+                                                    for c in columns])).alias("p")).select("__row", "p.*")
+    counts = long_.groupBy("__col", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    ranks = average_ranks(counts, ["__col"], "__v")
+    ranked = long_.join(ranks, ["__col", "__v"]).groupBy("__row").agg(
+        *[F.max(F.when(F.col("__col") == c, F.col("__rk"))).alias(f"__rk_{c}") for c in columns])
     aggs, names = [], []
     for i, a in enumerate(columns):
         for b in columns[i:]:
@@ -158,10 +142,3 @@ def spearman_long(df: DataFrame, columns, small_limit: int = 1_000_000) -> DataF
     row = ranked.agg(*aggs).first()
     rows = [(a, b, None if row[f"{a}|{b}"] is None else float(round(row[f"{a}|{b}"], 9))) for a, b in names]
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, rho double")
-
-
-def cut_lineage_small(df: DataFrame) -> DataFrame:
-    """Materialise a small derived table once (reliable checkpoint) before it
-    is read several times."""
-    from coverlake.session import cut_lineage
-    return cut_lineage(df)

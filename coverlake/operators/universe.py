@@ -5,7 +5,7 @@ change dates only (as in the reference: link changes between change dates
 are not seen).  Joins are equi-joins on a key (permno / date bucket) with
 the interval test as residual; the per-date tables that meet the big quote
 table (change-date segments, date -> change date map) have one row per
-calendar date at most and are broadcast behind a size check.
+calendar date at most; only those are hinted for broadcast.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverlake.operators.joins import (broadcast_if_small, bucketed_range_join, covered_points,
-                                      day_coverage)
+from coverlake.functions.quote import fill_open_end
+from coverlake.operators.joins import bucketed_range_join, covered_points, day_coverage
 from coverlake.session import cut_lineage
 
 
@@ -72,11 +72,10 @@ def restrict_to_universe(quotes: DataFrame, dates: DataFrame, members: DataFrame
                          date_col: str = "date", id_col: str = "secid") -> DataFrame:
     """Keep rows whose id is in the as-of member list of their date
     (``secid IN (list)`` as a left-semi join on (change_date, secid))."""
-    # both lookup tables are small (dates x index size): materialise once, then
-    # the size checks and the join read the stored rows instead of recomputing
-    amap = broadcast_if_small(cut_lineage(asof_change_date(quotes.select(date_col), dates, date_col)))
+    # bounded by the calendar: one row per trading date
+    amap = F.broadcast(asof_change_date(quotes.select(date_col), dates, date_col))
     tagged = quotes.join(amap, date_col, "inner")
-    mem = broadcast_if_small(cut_lineage(members.withColumnRenamed("secid", id_col)))
+    mem = members.withColumnRenamed("secid", id_col)      # any size: the planner and AQE choose the join
     return tagged.join(mem, ["change_date", id_col], "left_semi").drop("change_date")
 
 
@@ -108,7 +107,7 @@ def members_with_returns(index_list: DataFrame, returns: DataFrame) -> DataFrame
 def names_in_force(df: DataFrame, names: DataFrame, as_of: _dt.date) -> DataFrame:
     """P11 + J9: open name end -> as-of date, then namedt <= date <= nameendt
     (a left merge followed by the range filter, i.e. an inner join)."""
-    n = names.withColumn("nameendt", F.coalesce("nameendt", F.lit(as_of)))
+    n = names.withColumn("nameendt", fill_open_end("nameendt", as_of))
     return (df.join(n, "permno", "inner")
               .filter(F.col("date").between(F.col("namedt"), F.col("nameendt"))))
 
@@ -117,7 +116,7 @@ def usable_links(links: DataFrame, as_of: _dt.date) -> DataFrame:
     """P22 + P11: link types starting with 'L', primary links 'C' or 'P',
     open end -> as-of date."""
     return (links.filter((F.substring("linktype", 1, 1) == "L") & F.col("linkprim").isin("C", "P"))
-                 .withColumn("linkenddt", F.coalesce("linkenddt", F.lit(as_of))))
+                 .withColumn("linkenddt", fill_open_end("linkenddt", as_of)))
 
 
 def links_in_force(df: DataFrame, links: DataFrame) -> DataFrame:

@@ -51,10 +51,17 @@ def binned_surface(spark: SparkSession, df: DataFrame, x: str, y: str, z: str, g
     reference's n*n boolean-mask scans."""
     mm = grid_from.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"),
                        F.max(y).alias("y1")).first()
+    if mm["x0"] is None or mm["y0"] is None:          # no row in the box: no grid
+        return spark.createDataFrame([], "i int, j int, y_center double, x_center double, mean_z double, n long")
     dx = (mm["x1"] - mm["x0"]) / (n - 1)
     dy = (mm["y1"] - mm["y0"]) / (n - 1)
-    j = F.floor((F.col(x) - (mm["x0"] - dx / 2)) / dx).cast("int")
-    i = F.floor((F.col(y) - (mm["y0"] - dy / 2)) / dy).cast("int")
+
+    def cell(c: str, first: float, step: float):
+        if step == 0:                                  # one value: all of it in the first cell
+            return F.when(F.col(c) == first, F.lit(0))
+        return F.floor((F.col(c) - (first - step / 2)) / step).cast("int")
+
+    j, i = cell(x, mm["x0"], dx), cell(y, mm["y0"], dy)
     cells = (df.select(i.alias("i"), j.alias("j"), F.col(z).alias("z"))
                .filter(F.col("i").between(0, n - 1) & F.col("j").between(0, n - 1))
                .groupBy("i", "j").agg(F.avg("z").alias("mean_z"), F.count(F.lit(1)).alias("n")))

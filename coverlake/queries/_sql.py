@@ -6,8 +6,8 @@ FLAGS_SQL = """coalesce(lb <= y_true AND y_true <= ub, false) AS covered,
        coalesce(ub <= lb, false) AS ill,
        ub - lb AS abs_width,
        CASE WHEN y_true <> 0 THEN 100*(ub - lb)/y_true
-            WHEN ub - lb > 0 THEN CAST('inf' AS DOUBLE)
-            WHEN ub - lb < 0 THEN CAST('-inf' AS DOUBLE) END AS rel_width"""
+            WHEN y_true = 0 AND ub - lb > 0 THEN CAST('inf' AS DOUBLE)
+            WHEN y_true = 0 AND ub - lb < 0 THEN CAST('-inf' AS DOUBLE) END AS rel_width"""
 
 FLAGGED = f"flagged AS (SELECT *, {FLAGS_SQL} FROM predictions)"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from coverlake.functions.quote import to_percent
 from coverlake.operators import bins as B
 from coverlake.operators import intervals as iops
 from coverlake.operators import stats as S
@@ -96,10 +97,10 @@ FROM spine s LEFT JOIN agg a ON a.bin = s.bin"""
 
 def _log_bins(spark, sf_dir, first=None):
     res = _res(spark, sf_dir)
-    stats = B.minmax_count(res, "y_true")                 # edges and a bound on every bin's size
+    stats = B.minmax_count(res, "y_true")
     edges = B.log_edges(res, "y_true", 11, first=first, stats=stats)
     binned = res.select(B.right_closed_bin("y_true", edges).alias("bin"), "y_true", "rel_width")
-    out = S.on_spine(spark, B.bin_stats(binned, "bin", "y_true", "rel_width", max_group_rows=stats[2]), edges)
+    out = S.on_spine(spark, B.bin_stats(binned, "bin", "y_true", "rel_width"), edges)
     return out.select("bin", "lower", "upper", "n", "pct", *[r9(F.col(c)).alias(c)
                                                             for c in ("center", "p_5", "p_50", "p_95")])
 
@@ -143,13 +144,15 @@ def q_width_by_feature_decile(spark, sf_dir):
     """B3 + A8-A10 + P12: decile bins per feature (r in percent), median and
     5/95 % relative width and bin centre.  Tied features drop duplicate edges
     (``pd.qcut(duplicates='drop')``)."""
-    res = _res(spark, sf_dir).withColumn("r", 100 * F.col("r"))
+    res = _res(spark, sf_dir).withColumn("r", to_percent("r"))
     longf = (res.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x"))
                                            for f in FEATURES])).alias("fx"), "rel_width")
                 .select("fx.feature", "fx.x", "rel_width"))
-    edges = B.decile_edges(longf, "x", 10, by=["feature"], duplicates="drop")
-    binned = (longf.join(F.broadcast(edges), "feature")              # one edge array per feature
-                   .withColumn("bin", B.array_right_closed_bin("x")))
+    edges = B.decile_edges(longf, "x", 10, by=["feature"], duplicates="drop").collect()     # a row per feature
+    bin_ = F.lit(None).cast("int")
+    for row in edges:
+        bin_ = F.when(F.col("feature") == row["feature"], B.right_closed_bin("x", row["edges"])).otherwise(bin_)
+    binned = longf.withColumn("bin", bin_)
     st = B.bin_stats(binned, "bin", "x", "rel_width", by=["feature"])
     return st.select("feature", "bin", "n", *[r9(F.col(c)).alias(c) for c in ("center", "p_5", "p_50", "p_95")])
 

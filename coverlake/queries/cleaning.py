@@ -22,33 +22,45 @@ SCREEN_SQL = """secid IS NOT NULL AND date IS NOT NULL AND exdate IS NOT NULL AN
   AND datediff('day', last_date, date) < 5"""
 
 # Reference form: correlated MAX/MIN neighbour tenors.
-CLEAN_SQL = f"""
-WITH scr AS (SELECT * FROM quotes WHERE {SCREEN_SQL}),
-spot AS (SELECT s.*, p.close AS spot_price FROM scr s
-         LEFT JOIN prices p ON p.secid = s.secid AND p.date = s.date),
-feat AS (SELECT *, strike_price/1000 AS K, (best_bid + best_offer)/2 AS option_price,
-                datediff('day', date, exdate) AS days_to_exp FROM spot),
-feat2 AS (SELECT *, option_price/K AS V, spot_price/K AS moneyness, days_to_exp/365 AS tau FROM feat),
-band AS (SELECT * FROM feat2 WHERE moneyness IS NULL OR NOT (moneyness < 0.5 OR moneyness > 1.5)),
-rated AS (
-  SELECT b.*,
-         (SELECT max(z.rate) FROM zero_curve z WHERE z.date = b.date AND z.days = b.days_to_exp
-                                              AND z.rate IS NOT NULL) AS exact_rate,
-         CASE WHEN r1.days IS NOT NULL AND r2.days IS NOT NULL
-              THEN r1.rate + (r2.rate - r1.rate)/(r2.days - r1.days)*(b.days_to_exp - r1.days) END AS interp_rate
-  FROM band b
-  LEFT JOIN zero_curve r1 ON r1.date = b.date AND r1.days =
-       (SELECT max(z1.days) FROM zero_curve z1 WHERE z1.date = b.date AND z1.days < b.days_to_exp)
-  LEFT JOIN zero_curve r2 ON r2.date = b.date AND r2.days =
-       (SELECT min(z2.days) FROM zero_curve z2 WHERE z2.date = b.date AND z2.days > b.days_to_exp))
-SELECT secid, date, moneyness AS S, impl_volatility AS sigma, tau, coalesce(exact_rate, interp_rate) AS r,
-       cp_flag, V
-FROM rated
-WHERE secid IS NOT NULL AND date IS NOT NULL AND moneyness IS NOT NULL AND impl_volatility IS NOT NULL
-  AND tau IS NOT NULL AND coalesce(exact_rate, interp_rate) IS NOT NULL AND cp_flag IS NOT NULL AND V IS NOT NULL
+# The zero curve as a function of (date, days): on a tenor its own rate, between
+# two tenors the line through them.
+RATE_SQL = """
+tenors AS (SELECT date, days, rate, lag(days) OVER w AS below_days, lag(rate) OVER w AS below_rate,
+                  lead(days) OVER w AS above_days, lead(rate) OVER w AS above_rate
+           FROM zero_curve WINDOW w AS (PARTITION BY date ORDER BY days)),
+asked AS (SELECT DISTINCT date, date_diff('day', date, exdate) AS days FROM quotes),
+on_tenor AS (SELECT a.date, a.days, t.rate AS exact_rate, t.below_days AS t1, t.below_rate AS ir1, t.above_days AS t2, t.above_rate AS ir2
+             FROM asked a JOIN tenors t ON t.date = a.date AND t.days = a.days),
+off_tenor AS (SELECT a.date, a.days, CAST(NULL AS DOUBLE) AS exact_rate, t.days AS t1, t.rate AS ir1, t.above_days AS t2, t.above_rate AS ir2
+              FROM asked a ASOF JOIN tenors t ON t.date = a.date AND a.days >= t.days
+              WHERE t.days < a.days),
+ahead AS (SELECT a.date, a.days, CAST(NULL AS DOUBLE) AS exact_rate, NULL AS t1, NULL AS ir1, f.days AS t2, f.rate AS ir2
+          FROM asked a JOIN tenors f ON f.date = a.date AND f.below_days IS NULL AND a.days < f.days),
+looked_up AS (SELECT * FROM on_tenor UNION ALL SELECT * FROM off_tenor UNION ALL SELECT * FROM ahead),
+curve AS (SELECT *, CASE WHEN t1 IS NOT NULL AND t2 IS NOT NULL THEN ir1 + (ir2 - ir1)/(t2 - t1)*(days - t1) END AS interp_rate
+          FROM looked_up)"""
+
+
+def clean_sql(keys: str = "") -> str:
+    """The clean feature table as one statement, with more columns in front."""
+    needed = ("secid", "date", "S", "sigma", "tau", "r", "cp_flag", "V")
+    return f"""
+WITH {RATE_SQL},
+valued AS (SELECT q.*, p.close/(q.strike_price/1000) AS S, q.impl_volatility AS sigma, date_diff('day', q.date, q.exdate) AS days,
+                  ((q.best_bid + q.best_offer)/2)/(q.strike_price/1000) AS V
+           FROM (SELECT * FROM quotes WHERE {SCREEN_SQL}) q LEFT JOIN prices p USING (secid, date)),
+features AS (SELECT v.*, v.days/365 AS tau, coalesce(c.exact_rate, c.interp_rate) AS r
+             FROM valued v LEFT JOIN curve c ON c.date = v.date AND c.days = v.days
+             WHERE v.S BETWEEN 0.5 AND 1.5)
+SELECT {keys}{', ' if keys else ''}{', '.join(needed)} FROM features
+WHERE {' AND '.join(f'{c} IS NOT NULL' for c in needed)}
 """
 
 
+CLEAN_SQL = clean_sql()
+CLEAN_KEYED_SQL = clean_sql("l_orderkey, l_linenumber, l_partkey, l_suppkey")
+
+
 @register("clean_features", CLEAN_SQL)
 def q_clean_features(spark, sf_dir):
     """Clean feature table from raw quotes."""
@@ -114,21 +126,11 @@ def q_moneyness_band(spark, sf_dir):
 
 
 @register("curve_rates", f"""
-WITH b AS (SELECT {KEYS}, datediff('day', date, exdate) AS t FROM quotes),
-r AS (
-  SELECT b.*,
-         (SELECT max(z.rate) FROM zero_curve z WHERE z.date = b.date AND z.days = b.t AND z.rate IS NOT NULL) AS exact_rate,
-         r1.days AS t1, r1.rate AS ir1, r2.days AS t2, r2.rate AS ir2,
-         CASE WHEN r1.days IS NOT NULL AND r2.days IS NOT NULL
-              THEN r1.rate + (r2.rate - r1.rate)/(r2.days - r1.days)*(b.t - r1.days) END AS interp_rate
-  FROM b
-  LEFT JOIN zero_curve r1 ON r1.date = b.date AND r1.days =
-       (SELECT max(z1.days) FROM zero_curve z1 WHERE z1.date = b.date AND z1.days < b.t)
-  LEFT JOIN zero_curve r2 ON r2.date = b.date AND r2.days =
-       (SELECT min(z2.days) FROM zero_curve z2 WHERE z2.date = b.date AND z2.days > b.t))
-SELECT {KEYS}, CAST(t AS INTEGER) AS days, round(exact_rate, 9) AS exact_rate, t1, round(ir1, 9) AS ir1, t2,
-       round(ir2, 9) AS ir2, round(interp_rate, 9) AS interp_rate, round(coalesce(exact_rate, interp_rate), 9) AS rf
-FROM r""")
+WITH {RATE_SQL}
+SELECT {', '.join('q.' + k for k in KEY_COLS)}, CAST(date_diff('day', q.date, q.exdate) AS INTEGER) AS days,
+       round(c.exact_rate, 9) AS exact_rate, c.t1, round(c.ir1, 9) AS ir1, c.t2, round(c.ir2, 9) AS ir2,
+       round(c.interp_rate, 9) AS interp_rate, round(coalesce(c.exact_rate, c.interp_rate), 9) AS rf
+FROM quotes q LEFT JOIN curve c ON c.date = q.date AND c.days = date_diff('day', q.date, q.exdate)""")
 def q_curve_rates(spark, sf_dir):
     """J2-J4 (+ D5 interpolated_data columns) on every quote: exact tenor
     rate, neighbouring tenors and rates, interpolated rate, filled rate."""

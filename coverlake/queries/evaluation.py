@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from coverlake.functions import interval as iv
 from coverlake.operators import intervals as ops
+from coverlake.operators import quotes as qops
 from coverlake.queries._sql import FLAGGED, KEYS, KEY_JOIN
 from coverlake.registry import register
 from coverlake.sources import fixtures as fx
@@ -40,9 +41,9 @@ COVERAGE_SELECT = """count(*) AS n,
        round(100*(1 - avg(CAST(valid AS DOUBLE))), 9) AS invalid_pct,
        round(100*(1 - avg(CAST(pp_valid AS DOUBLE))), 9) AS pp_invalid_pct,
        round(100*avg(CAST(ill AS DOUBLE)), 9) AS ill_pct,
-       round(100*avg(CAST(lb < 0 AS DOUBLE)), 9) AS neg_lb_pct,
-       round(100*avg(CAST(ub < 0 AS DOUBLE)), 9) AS neg_ub_pct,
-       round(avg(CASE WHEN NOT ill THEN CAST(rel_width < 100 AS DOUBLE) END), 9) AS rel_width_lt100_share,
+       round(100.0*count(*) FILTER (WHERE lb < 0)/count(*), 9) AS neg_lb_pct,
+       round(100.0*count(*) FILTER (WHERE ub < 0)/count(*), 9) AS neg_ub_pct,
+       round(CAST(count(*) FILTER (WHERE NOT ill AND rel_width < 100) AS DOUBLE)/count(*) FILTER (WHERE NOT ill), 9) AS rel_width_lt100_share,
        count(*) FILTER (WHERE covered) AS covered_n,
        count(*) FILTER (WHERE NOT covered) AS missed_n"""
 
@@ -102,6 +103,39 @@ def q_coverage_pivot(spark, sf_dir):
     return wide.select("method", "n_label", *[r9(F.col(str(k))).alias(f"kappa_{k}") for k in (1, 4, 20)])
 
 
+def _crossing_sql():
+    cells = ", ".join(f"""round(avg(CAST(covered AS DOUBLE)) FILTER (WHERE kappa = {k}), 9) AS coverage_{k},
+       round(100*(1 - avg(CAST(valid AS DOUBLE)) FILTER (WHERE kappa = {k})), 9) AS crossed_pct_{k},
+       round(100*(1 - avg(CAST(pp_valid AS DOUBLE)) FILTER (WHERE kappa = {k})), 9) AS point_out_pct_{k}""" for k in (1, 4, 20))
+    return f"""
+WITH {FLAGGED},
+dims AS (SELECT *, CASE WHEN seed_id % 2 = 0 THEN 'CQR' ELSE 'NQR' END AS method,
+                CAST(5000*(1 + l_partkey % 4) AS INTEGER) AS n_label,
+                ([1, 4, 20])[CAST(l_orderkey % 3 + 1 AS INTEGER)] AS kappa FROM flagged)
+SELECT method, n_label, {cells} FROM dims GROUP BY method, n_label"""
+
+
+@register("crossing_pivot", _crossing_sql())
+def q_crossing_pivot(spark, sf_dir):
+    """A27 in full: coverage, crossed % and point-outside % by method x n
+    (rows) and kappa (columns)."""
+    wide = ops.pivot_report(_method_dims(flagged(spark, sf_dir)), metric=ops.crossing_metrics())
+    return wide.select("method", "n_label", *[r9(F.col(f"{k}_{m}")).alias(f"{m}_{k}")
+                                              for k in (1, 4, 20) for m in ("coverage", "crossed_pct", "point_out_pct")])
+
+
+@register("moneyness_outside", """
+SELECT cp_flag, count(*) AS n, round(100.0*count(*) FILTER (WHERE c.close/(strike_price/1000) > 1.5)/count(*), 9) AS outside_pct
+FROM quotes q LEFT JOIN (SELECT secid, date, max(close) AS close FROM prices GROUP BY secid, date) c
+     ON c.secid = q.secid AND c.date = q.date
+GROUP BY cp_flag""")
+def q_moneyness_outside(spark, sf_dir):
+    """A5: percent of quotes with moneyness above 1.5 before the band filter."""
+    q = qops.attach_spot(fx.quotes(spark, sf_dir), fx.prices(spark, sf_dir))
+    q = qops.add_quote_features(q)
+    return q.groupBy("cp_flag").agg(F.count(F.lit(1)).alias("n"), r9(ops.share_outside("moneyness", 1.5)).alias("outside_pct"))
+
+
 @register("interval_money_bounds", f"""
 SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey, a.date,
        round(b.strike_price/1000*a.lb, 9) AS lb_money, round(b.strike_price/1000*a.ub, 9) AS ub_money,
@@ -119,13 +153,19 @@ def q_interval_money_bounds(spark, sf_dir):
 @register("aligned_years", f"""
 WITH l AS (SELECT *, year(date) AS year FROM predictions),
 r AS (SELECT year(date) AS year FROM quotes WHERE date < DATE '2001-09-01'),
-lc AS (SELECT year, count(*) AS n FROM l GROUP BY year),
-rc AS (SELECT year, count(*) AS n FROM r GROUP BY year)
-SELECT {KEYS}, year FROM l WHERE year IN (SELECT lc.year FROM lc JOIN rc ON lc.year = rc.year AND lc.n = rc.n)""")
+d AS (SELECT year(date) AS year FROM quotes WHERE NOT (year(date) = 1995 AND date > DATE '1995-06-30')),
+sizes AS (SELECT 1 AS input, year, count(*) AS n FROM l GROUP BY year UNION ALL
+          SELECT 2, year, count(*) FROM r GROUP BY year UNION ALL SELECT 3, year, count(*) FROM d GROUP BY year)
+SELECT {KEYS}, year FROM l
+WHERE year IN (SELECT year FROM sizes GROUP BY year HAVING count(*) = 3 AND min(n) = max(n))""")
 def q_aligned_years(spark, sf_dir):
-    """Keep prediction rows only in years whose row count equals the
-    feature side's (features cut at the curve end, so the last year differs)."""
+    """Keep prediction rows only in years in which predictions, features
+    and date keys have equally many rows.  The three inputs differ: features
+    end with the curve (the last year falls out), date keys lack half of 1995
+    (that year falls out, too)."""
     left = fx.predictions(spark, sf_dir).withColumn("year", F.year("date"))
     right = (fx.quotes(spark, sf_dir).filter(F.col("date") < F.lit(fx.CURVE_CUTOFF))
                .select(F.year("date").alias("year")))
-    return ops.aligned_years(left, right).select(*KEY_COLS, "year")
+    dates = (fx.quotes(spark, sf_dir).filter(~((F.year("date") == 1995) & (F.col("date") > F.lit("1995-06-30").cast("date"))))
+               .select(F.year("date").alias("year")))
+    return ops.aligned_years(left, right, dates).select(*KEY_COLS, "year")

@@ -10,6 +10,7 @@ from coverlake.operators import splits as sp
 from coverlake.operators import stats as S
 from coverlake.queries._sql import FLAGS_SQL, KEYS
 from coverlake.registry import register
+from coverlake.session import cut_lineage
 from coverlake.sources import fixtures as fx
 from coverlake.sources.fixtures import KEY_COLS
 
@@ -58,6 +59,27 @@ def q_group_split(spark, sf_dir):
     return sp.group_split(df, ["secid"], SPLIT_SEED)
 
 
+_FEATURE_KEY = ("concat_ws(':', CAST(S AS DECIMAL(18,6)), CAST(sigma AS DECIMAL(18,6)), CAST(tau AS DECIMAL(18,6)), "
+                "CAST(r AS DECIMAL(18,6)))")
+
+
+@register("feature_group_split", f"""
+WITH d AS (SELECT *, {_role_sql(hash_uniform_sql(SPLIT_SEED, _FEATURE_KEY))} AS role FROM predictions),
+g AS (SELECT {_FEATURE_KEY} AS k, count(*) AS n, count(DISTINCT role) AS sides, min(role) AS role FROM d GROUP BY 1)
+SELECT role, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_keys, count(*) FILTER (WHERE sides > 1) AS keys_on_two_sides
+FROM g GROUP BY role""")
+def q_feature_group_split(spark, sf_dir):
+    """X2 on the stated key (S, sigma, tau, r), equal to six places: rows and
+    keys per role, and the number of keys that sit on two sides (0)."""
+    df = fx.predictions(spark, sf_dir)
+    key = [F.col(c).cast("decimal(18,6)").alias(f"k_{c}") for c in ("S", "sigma", "tau", "r")]
+    split = sp.group_split(df.select(*key), ["k_S", "k_sigma", "k_tau", "k_r"], SPLIT_SEED)
+    keys = split.groupBy("k_S", "k_sigma", "k_tau", "k_r").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("role").alias("sides"), F.min("role").alias("role"))
+    return keys.groupBy("role").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_keys"),
+                                    F.count_if(F.col("sides") > 1).alias("keys_on_two_sides"))
+
+
 @register("walk_forward_folds", f"""
 WITH folds AS (SELECT CAST(y AS INTEGER) AS test_year, CAST(y - o AS INTEGER) AS year,
                       CASE WHEN o = 0 THEN 'test' WHEN o = 1 THEN 'calibration' ELSE 'train' END AS role
@@ -119,7 +141,7 @@ FROM spine s LEFT JOIN c ON c.bin = s.bin, mm""")
 def q_seed_coverage_summary(spark, sf_dir):
     """Mean coverage over the seeds and a 10-bin percent histogram."""
     t = _seed_table(spark, sf_dir)
-    t = S.cut_lineage_small(t)
+    t = cut_lineage(t)
     hist = S.histograms(spark, t, ["coverage"], 10)
     mean = t.agg(F.avg("coverage").alias("m"), F.count(F.lit(1)).alias("total")).first()
     return hist.select("bin", "lower", "upper", "n",

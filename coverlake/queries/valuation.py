@@ -9,7 +9,7 @@ from coverlake.functions.normal import bs_call_sql, bs_put_sql
 from coverlake.operators import valuation as V
 from coverlake.plans.clean import clean_features
 from coverlake.queries._sql import KEYS
-from coverlake.queries.cleaning import CLEAN_SQL
+from coverlake.queries.cleaning import CLEAN_KEYED_SQL, CLEAN_SQL
 from coverlake.registry import register
 from coverlake.sources import fixtures as fx
 from coverlake.sources.fixtures import KEY_COLS
@@ -45,30 +45,47 @@ def q_strike_ladder(spark, sf_dir):
                                          F.round("K", 9).alias("K"))
 
 
+# Valuation on the quoted strikes: S and K in money, rate in percent.
+_QUOTED_SQL = f"""
+quoted AS (SELECT {', '.join('q.' + k for k in KEY_COLS)}, p.close AS S, q.strike_price/1000 AS K, c.sigma, c.tau, c.r/100.0 AS r
+           FROM ({CLEAN_KEYED_SQL}) c
+           JOIN quotes q ON q.l_orderkey = c.l_orderkey AND q.l_linenumber = c.l_linenumber AND q.l_partkey = c.l_partkey
+                AND q.l_suppkey = c.l_suppkey AND q.date = c.date
+           JOIN prices p ON p.secid = q.secid AND p.date = q.date),
+valued AS (SELECT *, {bs_call_sql('S', 'K', 'r', 'sigma', 'tau')} AS C FROM quoted)"""
+
+
+def _quoted(spark, sf_dir):
+    """Clean quotes with spot and strike in money and the call's model value."""
+    clean = clean_features(fx.quotes(spark, sf_dir), fx.prices(spark, sf_dir), fx.zero_curve(spark, sf_dir), keep_keys=(*KEY_COLS[:4], "K"))
+    rows = clean.select(*KEY_COLS, (F.col("S") * F.col("K")).alias("S"), "K", "sigma", "tau", (F.col("r") / 100.0).alias("r"))
+    return V.value_calls(rows)
+
+
 @register("ladder_values", f"""
-WITH {LADDER_SQL}
-SELECT {KEYS}, j, round(S/K, 9) AS moneyness, round(C/K, 9) AS V FROM valued""")
+WITH {_QUOTED_SQL}
+SELECT {KEYS}, round(S/K, 9) AS moneyness, round(C/K, 9) AS V FROM valued""")
 def q_ladder_values(spark, sf_dir):
-    """Black-Scholes call value of every ladder row, normalised by K."""
-    v = V.value_calls(_ladder(spark, sf_dir))
-    return v.select(*KEY_COLS, F.col("j").cast("int").alias("j"), F.round(F.col("S") / F.col("K"), 9).alias("moneyness"),
-                    F.round(F.col("C") / F.col("K"), 9).alias("V"))
+    """Black-Scholes call value of every clean quote at its own strike,
+    normalised by K."""
+    v = _quoted(spark, sf_dir)
+    return v.select(*KEY_COLS, F.round(F.col("S") / F.col("K"), 9).alias("moneyness"), F.round(F.col("C") / F.col("K"), 9).alias("V"))
 
 
 @register("valuation_checks", f"""
-WITH {LADDER_SQL}
+WITH {_QUOTED_SQL}
 SELECT count(*) FILTER (WHERE C > S) AS n_price_above_spot, count(*) FILTER (WHERE C IS NULL) AS n_null_price,
        count(*) AS n FROM valued""")
 def q_valuation_checks(spark, sf_dir):
     """Price above spot and NULL price counters."""
-    return V.quality_counters(V.value_calls(_ladder(spark, sf_dir)))
+    return V.quality_counters(_quoted(spark, sf_dir))
 
 
 def _surface_sql():
     box = " AND ".join(f"{c} >= {lo} AND {c} <= {hi}" for c, (lo, hi) in BOX.items())
     return f"""
-WITH {LADDER_SQL},
-d AS (SELECT S/K AS x, tau AS y, C AS z, r, sigma FROM valued),
+WITH {_QUOTED_SQL},
+d AS (SELECT S/K AS x, tau AS y, C/K AS z, r, sigma FROM valued),
 mm AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM d WHERE {box}),
 st AS (SELECT x0, y0, (x1 - x0)/{GRID - 1} AS dx, (y1 - y0)/{GRID - 1} AS dy FROM mm),
 cells AS (SELECT CAST(floor((y - (y0 - dy/2))/dy) AS INTEGER) AS i, CAST(floor((x - (x0 - dx/2))/dx) AS INTEGER) AS j, z
@@ -84,13 +101,14 @@ FROM spine s LEFT JOIN agg a ON a.i = s.i AND a.j = s.j"""
 
 @register("value_surface", _surface_sql())
 def q_value_surface(spark, sf_dir):
-    """A17 + F9: 30 x 30 mean-value surface over (S/K, tau); grid fixed on the
-    r / sigma box, means over all rows, empty cells NULL."""
-    v = V.value_calls(_ladder(spark, sf_dir)).withColumn("x", F.col("S") / F.col("K"))
+    """A17 + F9: 30 x 30 mean-value surface over (S/K, tau) of the clean
+    quotes; grid fixed on the r / sigma box, means over all rows, empty
+    cells NULL."""
+    v = _quoted(spark, sf_dir).withColumns({"x": F.col("S") / F.col("K"), "z": F.col("C") / F.col("K")})
     box = F.lit(True)
     for c, (lo, hi) in BOX.items():
         box = box & F.col(c).between(lo, hi)
-    s = V.binned_surface(spark, v, "x", "tau", "C", v.filter(box), GRID)
+    s = V.binned_surface(spark, v, "x", "tau", "z", v.filter(box), GRID)
     return s.select("i", "j", F.round("y_center", 9).alias("y_center"), F.round("x_center", 9).alias("x_center"),
                     F.round("mean_z", 9).alias("mean_z"), "n")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,18 +41,25 @@ def get_spark(app: str = "coverlake", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """The cluster's shared ``spark.checkpoint.dir``.  Only a local master may
+    go without it (tests, trials): it gets a scratch folder of its own; on a
+    cluster the driver's disk is no place that executors can read."""
     try:
         sc = spark.sparkContext
-    except Exception:              # Spark Connect: the server's spark.checkpoint.dir applies
-        return spark.conf.get("spark.checkpoint.dir", None)
+    except Exception as exc:        # Spark Connect: no SparkContext, the folder must be named
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder") from exc
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="coverlake-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)      # our own scratch, one per session
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 

@@ -9,24 +9,14 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy Parquet scan; projections and filters applied later are pushed
-    into the scan by Catalyst (ReadSchema / PushedFilters).
+    into the scan by Catalyst (ReadSchema / PushedFilters).  Parallelism comes
+    from the files' row groups.
 
-    A Parquet row group is never split, so a table stored as one big row
-    group scans in a single task.  When the scan has fewer splits than the
-    cluster has cores, rows are hash-spread on the first (key) column once
-    (hash, not round-robin: round-robin sorts every partition first to stay
-    deterministic on retry).  Column pruning and filters still reach the
-    scan below the exchange.  On large inputs the split count exceeds the
-    core count and this is a no-op."""
+    ``coverlake.scan.partitions`` (unset by default; the bench sets it) deals
+    the rows out to that many partitions by their first column: a row group
+    is never split, so a table in one row group is otherwise one task."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread:
-        try:
-            cores = spark.sparkContext.defaultParallelism
-            splits = df.rdd.getNumPartitions()
-        except Exception:          # Spark Connect: no RDD / SparkContext access -> leave the scan as is
-            return df
-        if splits < cores:
-            df = df.repartition(cores, df.columns[0])
-    return df
+    parts = spark.conf.get("coverlake.scan.partitions", None)
+    return df.repartition(int(parts), df.columns[0]) if parts else df

@@ -1,16 +1,22 @@
-"""IO8: incremental, idempotent load of daily quote drops.
-
-The reference loops over years and trading dates, fetching and appending one
-day at a time (a rerun appends duplicates).  Here the landing folder of
-daily files is a streaming source; each micro-batch is screened (F1) and
-written partitioned by date with dynamic partition overwrite, so replaying a
-day rewrites that day only.  The checkpoint lives under the shared
-``spark.checkpoint.dir``; ``availableNow`` processes everything present and
-stops (a batch backfill), a processing-time trigger keeps it running.
+"""IO8: incremental, lossless and idempotent load of quote drops.
+
+A landing folder of files is a streaming source.  Each micro-batch is
+screened (F1) and written to a sub-partition of its own, ``date=.../
+drop=<run>-<batch>``: batches never touch each other's files, so a day whose
+files fall into several batches, or a late drop for an old day, only adds
+rows.  Rows whose key the table already holds in another drop are left out
+(an anti-join on the batch's days), so replaying a file adds nothing; a batch
+that is run again after a failure rewrites its own sub-partitions.  The
+checkpoint lives under the shared ``spark.checkpoint.dir``; ``availableNow``
+processes everything present and stops (a batch backfill), a processing-time
+trigger keeps it running.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,41 +34,61 @@ def cluster_by_day(df: DataFrame, day_col: str, files_per_day: int) -> DataFrame
     return df.repartition(F.col(day_col), salt)
 
 
-def _write_batch(target: str, transform, files_per_day: int):
-    def run(batch: DataFrame, epoch_id: int) -> None:
-        out = cluster_by_day(transform(batch), "date", files_per_day)
+def _stored(spark: SparkSession, target: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(target)
+    except AnalysisException:           # nothing written yet
+        return None
+
+
+def _write_batch(target: str, run: str, transform, key_cols, files_per_day: int):
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        drop, spark = f"{run}-{epoch_id}", batch.sparkSession
+        new = transform(batch)
+        keys = list(key_cols or new.columns)
+        new = new.dropDuplicates(keys)
+        old = _stored(spark, target)
+        if old is not None:
+            days = [r[0] for r in new.select("date").distinct().collect()]       # the batch's trading days
+            old = old.filter(F.col("date").isin(days) & (F.col("drop") != drop)).select(*keys)
+            same = [new[k].eqNullSafe(old[k]) for k in keys]
+            new = new.join(old, same, "left_anti")
+        out = cluster_by_day(new.withColumn("drop", F.lit(drop)), "date", files_per_day)
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("date").parquet(target))
-    return run
+            .partitionBy("date", "drop").parquet(target))
+    return write
 
 
 def start_quote_ingest(spark: SparkSession, landing: str, target: str, checkpoint: str,
                        schema: StructType, *, available_now: bool = True,
                        max_files_per_trigger: int | None = None, transform=screen_quotes,
-                       files_per_day: int = 1):
-    """Start the stream; returns the ``StreamingQuery``."""
+                       key_cols=None, files_per_day: int = 1):
+    """Start the stream; returns the ``StreamingQuery``.  ``key_cols``
+    identify a row (all columns if None)."""
     reader = spark.readStream.schema(schema).format("parquet")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(landing)
-    writer = (stream.writeStream.foreachBatch(_write_batch(target, transform, files_per_day))
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:8]       # a new checkpoint numbers its batches from 0 again
+    writer = (stream.select(*schema.names).writeStream
+                    .foreachBatch(_write_batch(target, run, transform, key_cols, files_per_day))
                     .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
 
-def ingest_available(spark: SparkSession, landing: str, target: str, checkpoint: str, schema: StructType) -> DataFrame:
-    """Run the ingest over everything in ``landing`` and return the table."""
-    q = start_quote_ingest(spark, landing, target, checkpoint, schema, available_now=True)
+def ingest_available(spark: SparkSession, landing: str, target: str, checkpoint: str, schema: StructType,
+                     **options) -> DataFrame:
+    """Run the ingest over everything in ``landing`` and return the table;
+    ``options`` as for ``start_quote_ingest``."""
+    q = start_quote_ingest(spark, landing, target, checkpoint, schema, available_now=True, **options)
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.read.parquet(target)
+    return spark.read.parquet(target).drop("drop")
 
 
-def land_files(quotes: DataFrame, landing: str, period: str = "day", files_per_period: int = 1) -> None:
-    """Stage raw quotes as drops, one folder per trading day (or per month
-    when days are tiny: per-folder overhead dominates small days)."""
-    unit = F.col("date") if period == "day" else F.date_trunc("month", F.col("date")).cast("date")
-    staged = cluster_by_day(quotes.withColumn("drop_period", unit), "drop_period", files_per_period)
-    staged.write.mode("overwrite").partitionBy("drop_period").parquet(landing)
+def land_files(quotes: DataFrame, landing: str, files_per_day: int = 1, mode: str = "overwrite") -> None:
+    """Stage raw quotes as drops, one folder per trading day."""
+    staged = cluster_by_day(quotes.withColumn("drop_day", F.col("date")), "drop_day", files_per_day)
+    staged.write.mode(mode).partitionBy("drop_day").parquet(landing)

@@ -4,8 +4,9 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from coverlake.functions.normal import bs_call, bs_put, norm_cdf
+from coverlake.functions.normal import norm_cdf, with_bs_values
 from coverlake.operators import bins as B
 from coverlake.operators import conformal as C
 from coverlake.operators import curve as cv
@@ -137,7 +138,10 @@ def test_year_alignment_guard(spark):
 
 def test_black_scholes_reference_values_and_parity(spark):
     df = spark.createDataFrame([(100.0, 100.0, 0.05, 0.2, 1.0)], "S double, K double, r double, sigma double, tau double")
-    r = df.select(bs_call("S", "K", "r", "sigma", "tau").alias("c"), bs_put("S", "K", "r", "sigma", "tau").alias("p")).first()
+    df = df.crossJoin(spark.createDataFrame([("C",), ("P",), ("X",)], "cp string"))
+    v = {x.cp: x.v for x in with_bs_values(df, cp="cp", out="v").collect()}
+    assert v["X"] is None
+    r = type("R", (), {"c": v["C"], "p": v["P"]})
     assert r.c == pytest.approx(10.450584, abs=1e-6)
     assert r.p == pytest.approx(5.573526, abs=1e-6)
     assert r.c - r.p == pytest.approx(100.0 - 100.0 * math.exp(-0.05), abs=1e-9)
@@ -172,3 +176,109 @@ def test_clean_table_moneyness_audit(spark):
     df = q_clean_features(spark, SF_SMALL)
     assert df.filter((df.S < 0.5) | (df.S > 1.5)).count() == 0
     assert df.count() > 0 and df.na.drop().count() == df.count()
+
+
+def test_missing_bounds_stay_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, -1.0, 0.5, 2.0), (1.0, None, 0.5, 2.0), (1.0, 0.5, 0.7, 900.0), (nan, 0.1, 0.2, 0.3), (1.0, nan, 0.2, nan)],
+                               "y_true double, lb double, pp double, ub double")
+    f = I.add_interval_flags(df).collect()
+    assert [r.rel_width_w for r in f] == [100.0, None, 100.0, None, None]
+    r = I.coverage_report(I.add_interval_flags(df), []).first()
+    assert r.neg_lb_pct == pytest.approx(20.0) and r.neg_ub_pct == 0.0
+    # not ill: rows 1-5 but the crossed ones; a missing width is not below 100
+    assert r.rel_width_lt100_share == pytest.approx(0.0)
+    assert I.crossing_metrics().keys() == {"coverage", "crossed_pct", "point_out_pct"}
+
+
+def test_share_of_rows_counts_missing_values_in_the_denominator(spark):
+    df = spark.createDataFrame([(-1.0, 1.6), (None, None), (2.0, 1.0)], "lb double, S double")
+    r = df.agg(I._pct(F.col("lb") < 0).alias("neg"), I.share_outside().alias("out")).first()
+    assert r.neg == pytest.approx(100 / 3) and r.out == pytest.approx(100 / 3)
+
+
+def test_score_needs_both_quantiles(spark):
+    from coverlake.functions.losses import cqr_score
+    df = spark.createDataFrame([(1.0, 0.5, 2.0), (1.0, None, 2.0), (1.0, 0.5, None), (None, 0.5, 2.0)], "y double, lo double, hi double")
+    assert [r[0] for r in df.select(cqr_score("y", "lo", "hi")).collect()] == [-0.5, None, None, None]
+
+
+def test_summaries_leave_nan_out(spark):
+    from coverlake.operators import stats as S
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (None,), (4.0,)], "x double")
+    r = S.numeric_summary(df, ["x"]).first()
+    assert (r["count"], r["min"], r["max"], r["q50"]) == (3, 1.0, 4.0, 2.0) and r["mean"] == pytest.approx(7 / 3)
+    assert tuple(S.feature_ranges(df, ["x"]).first()) == ("x", 1.0, 4.0)
+    h = S.histograms(spark, df, ["x"], 3).collect()
+    assert sum(b.n for b in h) == 3 and max(b.upper for b in h) == 4.0
+
+
+def test_surface_of_an_empty_and_a_one_value_box(spark):
+    from coverlake.operators.valuation import binned_surface
+    df = spark.createDataFrame([(1.0, 2.0, 3.0), (1.0, 2.5, 4.0)], "x double, y double, z double")
+    assert binned_surface(spark, df, "x", "y", "z", df.limit(0), 4).count() == 0
+    cells = {(r.i, r.j): r.n for r in binned_surface(spark, df, "x", "y", "z", df, 4).collect()}
+    assert len(cells) == 16 and cells[0, 0] == 1 and cells[3, 0] == 1 and sum(cells.values()) == 2
+
+
+def test_checkpoint_folder_is_required_off_local(monkeypatch):
+    from coverlake import session
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    fake = type("S", (), {"sparkContext": Context(), "conf": Conf()})()
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(fake)
+
+
+def test_loader_loses_and_doubles_nothing(spark):
+    import datetime as dt
+    from coverlake.sources import io
+    from coverlake.streaming import incremental as L
+    day, other = dt.date(2000, 1, 3), dt.date(2000, 1, 4)
+    schema = "k int, date date, v double"
+    make = lambda ks, d: spark.createDataFrame([(k, d, float(k)) for k in ks], schema)
+    landing, target, ckpt = (io.scratch_path(spark, f"t-{x}") for x in ("landing", "target", "ckpt"))
+    run = {"transform": lambda df: df, "key_cols": ["k", "date"], "max_files_per_trigger": 1}
+    make(range(10), day).coalesce(1).write.mode("append").parquet(landing)
+    make(range(10, 20), day).coalesce(1).write.mode("append").parquet(landing)          # the same day, another file
+    make(range(5), other).coalesce(1).write.mode("append").parquet(landing)
+    out = L.ingest_available(spark, landing, target, ckpt, make([], day).schema, **run)
+    assert out.count() == 25
+    make([30], day).coalesce(1).write.mode("append").parquet(landing)                   # a late row
+    make(range(10), day).coalesce(1).write.mode("append").parquet(landing)              # a replayed file
+    assert L.ingest_available(spark, landing, target, ckpt, make([], day).schema, **run).count() == 26
+    again = io.scratch_path(spark, "t-ckpt2")                                           # all of it, from the start
+    out = L.ingest_available(spark, landing, target, again, make([], day).schema, files_per_day=3, **run)
+    assert out.count() == 26 and out.select("k", "date").distinct().count() == 26
+
+
+def test_order_statistics_of_log_uniform_values(spark):
+    import random
+    from coverlake.operators.quantiles import exact_quantiles, kth_smallest
+    rng = random.Random(1)
+    xs = [rng.choice((-1, 1)) * 10 ** rng.uniform(-300, 300) for _ in range(3000)] + [0.0, 5e-324, -5e-324, float("inf"), float("-inf")] + [7.0] * 200
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    ranks = [1, 2, 700, 1500, 1604, 1700, len(xs) - 1, len(xs)]
+    t = spark.createDataFrame([(k, k) for k in ranks], "__tid long, __k long")
+    got = {r["__tid"]: r["__value"] for r in kth_smallest(df, "x", t, final_rows=4).collect()}
+    assert got == {k: sorted(xs)[k - 1] for k in ranks}
+    assert exact_quantiles(df, "x", [0.5], method="percentile").first()[0] == exact_quantiles(df, "x", [0.5]).first()[0]
+
+
+def test_boosting_rounds_add_no_scan(spark):
+    from coverlake.operators.quantreg import QuantileGBM, leaf_lookup
+    df = spark.createDataFrame([(float(k % 7), float(k % 3), 1.0, 2.0, float(k % 11)) for k in range(400)], "S double, sigma double, tau double, r double, y double")
+    m = QuantileGBM(alpha=0.5, n_rounds=3, max_depth=2, min_instances=5).fit(df)
+    plan = m.predict(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Scan") == 1
+    row = spark.createDataFrame([(1.0,), (5.0,)], "leaf double").select(leaf_lookup({1.0: 2.5}, F.col("leaf")).alias("v")).collect()
+    assert [r.v for r in row] == [2.5, 0.0]

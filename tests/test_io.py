@@ -49,14 +49,14 @@ def test_streaming_ingest_is_idempotent_on_replay(spark):
     landing = io.scratch_path(spark, "t-landing")
     target = io.scratch_path(spark, "t-target")
     ckpt = io.scratch_path(spark, "t-ckpt")
-    incremental.land_files(q, landing, period="day")
+    incremental.land_files(q, landing)
     first = incremental.ingest_available(spark, landing, target, ckpt, q.schema)
     expected = screen_quotes(q)
     assert first.count() == expected.count()
     # a replayed drop of one whole day (same rows, new file) arrives later
     day = q.select(F.min("date")).first()[0]
-    replay = q.filter(F.col("date") == F.lit(day)).withColumn("drop_period", F.col("date"))
-    replay.write.mode("append").partitionBy("drop_period").parquet(landing)
+    replay = q.filter(F.col("date") == F.lit(day)).withColumn("drop_day", F.col("date"))
+    replay.write.mode("append").partitionBy("drop_day").parquet(landing)
     again = incremental.ingest_available(spark, landing, target, ckpt, q.schema)
     assert again.count() == expected.count()                  # no duplicates
     cols = expected.columns

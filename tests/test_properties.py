@@ -65,7 +65,7 @@ def test_quantiles_selection_equals_percentile(spark):
     direct = {r[0]: [round(x, 9) for x in r[1:]] for r in Q.exact_quantiles(df, "tau", probs, ["seed_id"]).collect()}
     orig = Q.kth_smallest
     try:
-        Q.kth_smallest = lambda *a, **k: orig(*a, final_rows=7)
+        Q.kth_smallest = lambda *a, **k: orig(*a, **k, final_rows=7)
         sel = {r[0]: [round(x, 9) for x in r[1:]] for r in
                Q._quantiles_by_selection(df, "tau", probs, ["seed_id"], [f"c{i}" for i in range(5)]).collect()}
     finally:
