@@ -104,21 +104,22 @@ def seed_draws(df: DataFrame, key_cols, n_seeds: int, first_seed: int = 0) -> Da
 def global_row_number(df: DataFrame, order_cols, num_partitions: int | None = None,
                       col: str = "row_no") -> DataFrame:
     """0-based row number in ``order_cols`` order without a global
-    single-partition window: range-partition and sort, count rows per
-    partition, add each partition's offset (prefix sum of a P-row table) to a
-    per-partition row number.  The range-partitioned data is checkpointed so
-    both passes see the same partition layout."""
+    single-partition window: range-partition and sort, number the rows of
+    each partition as they stand (``monotonically_increasing_id``: partition
+    in the high bits, place in the low 33), and add each partition's offset
+    (prefix sum of a P-row table).  The sorted data is checkpointed with its
+    ids, so the rows are shuffled once."""
     parts = num_partitions or shuffle_partitions(df.sparkSession)
     ranged = (df.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols)
-                .withColumn("__pid", F.spark_partition_id()))
-    ranged = cut_lineage(ranged)
+                .withColumn("__id", F.monotonically_increasing_id()))
+    place = F.lit((1 << 33) - 1)
+    ranged = cut_lineage(ranged).withColumns({"__pid": F.call_function("shiftright", F.col("__id"), F.lit(33)),
+                                              "__at": F.col("__id").bitwiseAND(place)})
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     w = Window.orderBy("__pid")                       # P rows only
     offsets = counts.select("__pid", (F.sum("__cnt").over(w) - F.col("__cnt")).alias("__off"))
-    local = Window.partitionBy("__pid").orderBy(*order_cols)
-    return (ranged.join(F.broadcast(offsets), "__pid")
-                  .withColumn(col, F.col("__off") + F.row_number().over(local) - 1)
-                  .drop("__pid", "__off"))
+    return (ranged.join(F.broadcast(offsets), "__pid").withColumn(col, F.col("__off") + F.col("__at"))
+                  .drop("__id", "__pid", "__at", "__off"))
 
 
 def block_labels(df: DataFrame, sizes, row_col: str = "row_no", label: str = "sample_id") -> DataFrame:
