@@ -37,8 +37,9 @@ WINDOW = 5
 MEASURES = {
     # name: (value, two-sided, least spread), in thousandths or hundredths
     "symbols": ("1000 * n_symbols div nullif(n_words, 0)", False, 30),
-    "dup_lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", False, 100),
+    "dup_lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", False, 170),
     "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", False, 70),
+    "stutters": ("1000 * n_stutters div nullif(n_words, 0)", False, 60),
     "word_length": ("100 * word_chars div nullif(n_words, 0)", True, 150),
 }
 REACH = 3
@@ -47,7 +48,8 @@ MIN_ROWS = 200
 
 def base_counts(df: DataFrame, text: Column, out: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``df`` and a struct column ``out``: n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, n_lines (all long) of the whole text.
+    n_dup_lines, n_repeat_words, n_lines, n_stutters (words equal to the one
+    before), all long, of the whole text.
 
     Each step is a projection of its own, so that nothing is evaluated
     twice.  Windows are compared by a 64-bit hash; only texts in which two
@@ -61,7 +63,8 @@ def base_counts(df: DataFrame, text: Column, out: str, keep: list[str]) -> DataF
                  F.transform("words", lambda x: F.xxhash64(x)).alias("h"))
     gram = F.transform(F.slice("h", 1, F.greatest(F.col("n") - (WINDOW - 1), F.lit(0))),
                        lambda x, i: F.xxhash64(x, *[F.get("h", i + k) for k in range(1, WINDOW)]))
-    t = t.select("row", "n", "n_lines", "dup", F.length("chars").alias("word_chars"),
+    stutter = F.size(F.filter("h", lambda x, i: x == F.get("h", i - 1)))
+    t = t.select("row", "n", "n_lines", "dup", F.length("chars").alias("word_chars"), stutter.alias("stutter"),
                  (F.length("chars") - F.length(F.regexp_replace("chars", SYMBOLS, ""))).alias("symbols"), gram.alias("g"))
     again = F.size(F.array_distinct("g")) < F.size("g")
     t = t.withColumn("s", F.when(again, F.sort_array(F.transform("g", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
@@ -71,7 +74,7 @@ def base_counts(df: DataFrame, text: Column, out: str, keep: list[str]) -> DataF
     covered = F.transform("p", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get("p", k + 1) - x, F.lit(WINDOW))))
     repeat = F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0))
     counts = {"n_words": F.col("n"), "word_chars": F.col("word_chars"), "n_symbols": F.col("symbols"),
-              "n_dup_lines": F.col("dup"), "n_repeat_words": repeat, "n_lines": F.col("n_lines")}
+              "n_dup_lines": F.col("dup"), "n_repeat_words": repeat, "n_lines": F.col("n_lines"), "n_stutters": F.col("stutter")}
     return t.select("row.*", F.struct(*[c.cast("bigint").alias(k) for k, c in counts.items()]).alias(out))
 
 
@@ -185,7 +188,8 @@ covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) t(k)
 measured AS (
   SELECT doc_id, lang, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
          length(array_to_string(words, '')) - length(regexp_replace(array_to_string(words, ''), '{SYMBOLS}', '', 'g')) AS n_symbols,
-         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+         len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_stutters
   FROM split_docs LEFT JOIN covered c USING (doc_id)),
 counts AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured),
 valued AS ({_PASSED}),

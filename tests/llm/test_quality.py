@@ -28,6 +28,8 @@ def test_counts_match_brute_force(spark, text):
     df = spark.createDataFrame([(1, text, "en", "s")], SCHEMA)
     r = Q.judge(df, keep=["doc_id", "lang", "source"])[0].first()[-1]
     assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(text)
+    words = WORD.findall(text or "")
+    assert r.n_stutters == sum(a == b for a, b in zip(words, words[1:]))
     assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
 
 
