@@ -79,7 +79,8 @@ class Element:
         self.content = (2.0 if tag in CONTENT_TAGS or attrs.get("itemprop") == "articleBody" or attrs.get("role") == "main"
                         else 1.0 if good else 0.0)
         if tag in BOILERPLATE_TAGS or words & BOILERPLATE_WORDS or attrs.get("role") in BOILERPLATE_ROLES:
-            self.boiler = 6.0
+            # a form around the article is how some servers wrap a page; one inside it is not text
+            self.boiler = 3.5 if tag == "form" and not inside_content and not words & BOILERPLATE_WORDS else 8.0
         elif tag == "header" or words & HEADER_WORDS and not good:
             self.boiler = 1.0 if inside_content else 5.0
         else:
@@ -109,7 +110,7 @@ class PageParser(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            region = max((e.boiler for e in self.open), default=0.0) >= 5.0, max((e.content for e in self.open), default=0.0)
+            region = max((e.boiler for e in self.open), default=0.0) >= 3.0, max((e.content for e in self.open), default=0.0)
             self.blocks.append(Block(text, tuple(e.number for e in self.open), self.odds(text), region))
         self.parts, self.link_chars = [], 0
 
@@ -158,7 +159,7 @@ class PageParser(HTMLParser):
             if self.open[k].tag in limit:
                 break
         self.count += 1
-        self.open.append(Element(tag, got, self.count, any(e.content == 2.0 for e in self.open)))
+        self.open.append(Element(tag, got, self.count, any(e.content for e in self.open)))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)

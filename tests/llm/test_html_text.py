@@ -50,6 +50,13 @@ def test_a_page_without_landmarks():
     assert H.main_text(f"<p>{text}<p>{text}") == f"{text}\n\n{text}"
 
 
+def test_forms_around_and_inside_an_article():
+    text = "Words of a paragraph that is long enough to be content by itself, surely."
+    page = f"<form id=f1><div class=top>Site</div><article><header><h1>Head</h1></header><p>{text}<form><p>{text} Subscribe.</p></form></article></form>"
+    assert H.main_text(page) == f"Head\n\n{text}"
+    assert H.main_text(f"<main><p>{text}</p><div class='comments'><p>{text}</p></div><aside><p>{text}</p></aside></main>") == text
+
+
 def test_long_pages():
     text = "Words of a paragraph that is long enough to be content by itself, surely."
     blocks = [f"<p>{text}</p>", "<ul><li><a>link</a></li></ul>"] * 3000
