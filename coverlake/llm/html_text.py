@@ -60,6 +60,8 @@ SMOOTH = 1.0
 """Capacity between neighbours with all elements in common."""
 BORDER = 0.1
 """Share of that capacity where only one of the two is inside a menu, advert, article or the like."""
+WEAK = 3.5
+"""Cost of a form outside articles."""
 SCALE = 1000
 _WORD = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
@@ -80,7 +82,7 @@ class Element:
                         else 1.0 if good else 0.0)
         if tag in BOILERPLATE_TAGS or words & BOILERPLATE_WORDS or attrs.get("role") in BOILERPLATE_ROLES:
             # a form around the article is how some servers wrap a page; one inside it is not text
-            self.boiler = 3.5 if tag == "form" and not inside_content and not words & BOILERPLATE_WORDS else 8.0
+            self.boiler = WEAK if tag == "form" and not inside_content and not words & BOILERPLATE_WORDS else 8.0
         elif tag == "header" or words & HEADER_WORDS and not good:
             self.boiler = 1.0 if inside_content else 5.0
         else:
@@ -110,7 +112,7 @@ class PageParser(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            region = max((e.boiler for e in self.open), default=0.0) >= 3.0, max((e.content for e in self.open), default=0.0)
+            region = self.boiler() >= 3.0, max((e.content for e in self.open), default=0.0)
             self.blocks.append(Block(text, tuple(e.number for e in self.open), self.odds(text), region))
         self.parts, self.link_chars = [], 0
 
@@ -122,7 +124,16 @@ class PageParser(HTMLParser):
         score += 0.5 if text[-1] in ".!?…。:;\"'”»" else 0.0
         score -= 4.0 * min(1.0, self.link_chars / len(text))
         score += 1.5 * min(2.0, max((e.content for e in self.open), default=0.0))
-        return score - max((e.boiler for e in self.open), default=0.0)
+        return score - self.boiler()
+
+    def boiler(self) -> float:
+        """The largest cost of the open elements; a weak one ends where an article begins."""
+        cost, content = 0.0, False
+        for e in reversed(self.open):
+            if not (content and e.boiler == WEAK):
+                cost = max(cost, e.boiler)
+            content = content or e.content > 0
+        return cost
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.hidden:
