@@ -103,7 +103,7 @@ SELECT lpad(CAST(p_partkey % 997 AS VARCHAR), 6, '0') AS gvkey,
 FROM part, (SELECT unnest([0, 1]) AS j) jj""",
     "company_names": """
 SELECT lpad(CAST(p_partkey % 997 AS VARCHAR), 6, '0') AS gvkey, min(p_brand) AS conm,
-       min(p_container) AS tic, lpad(CAST(max(p_partkey) AS VARCHAR), 9, '0') AS cusip,
+       min(p_type) AS tic, lpad(CAST(max(p_partkey) AS VARCHAR), 9, '0') AS cusip,
        lpad(CAST(min(p_partkey) AS VARCHAR), 10, '0') AS cik, CAST(max(p_size)*10 AS INTEGER) AS sic,
        CAST(max(p_size)*1000 + min(p_size) AS INTEGER) AS naics,
        CAST(10000000 + max(p_size)*100 AS VARCHAR) AS gsubind, CAST(100000 + max(p_size) AS VARCHAR) AS gind

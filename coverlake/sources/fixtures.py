@@ -206,7 +206,7 @@ def company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part")
     gv = F.lpad((F.col("p_partkey") % 997).cast("string"), 6, "0")
     return (p.groupBy(gv.alias("gvkey"))
-             .agg(F.min("p_brand").alias("conm"), F.min("p_container").alias("tic"),
+             .agg(F.min("p_brand").alias("conm"), F.min("p_type").alias("tic"),
                   F.lpad(F.max("p_partkey").cast("string"), 9, "0").alias("cusip"),
                   F.lpad(F.min("p_partkey").cast("string"), 10, "0").alias("cik"),
                   (F.max("p_size") * 10).cast("int").alias("sic"),
