@@ -63,7 +63,7 @@ def opening_pairs(conv: DataFrame) -> DataFrame:
     # a common opening is dealt to SALTS tasks, each with a copy of its first conversation
     keyed = conv.select("*", F.md5(F.to_json(F.get("turns", F.lit(0)))).alias("opening"), F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).alias("salt"))
     first = keyed.groupBy("opening").agg(F.min_by(F.struct("conv_id", "turns"), "conv_id").alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return keyed.join(first, ["opening", "salt"]).filter(F.col("conv_id") != F.col("f.conv_id")).select(
         F.lit("opening").alias("kind"), F.col("f.conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id"),
         F.col("f.turns").alias("chosen"), F.col("turns").alias("rejected"))
