@@ -78,7 +78,7 @@ def group_stats(df: DataFrame, value: str, by=()) -> DataFrame:
 
 
 def kth_smallest(df: DataFrame, value: str, targets: DataFrame, by=(), *,
-                 final_rows: int = 200_000, stats: DataFrame | None = None) -> DataFrame:
+                 final_rows: int = 1_000_000, stats: DataFrame | None = None) -> DataFrame:
     """For each row of ``targets`` (columns ``by`` + ``__tid`` + ``__k``,
     1-based rank within its group) return ``by, __tid, __value``: the
     ``__k``-th smallest non-NULL ``value`` of the group (no row if k > n).
