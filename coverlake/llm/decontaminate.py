@@ -1,13 +1,21 @@
-"""Benchmark decontamination (10): rare n-gram seeds, then Smith-Waterman.
-
-Words are lower-cased and split at white space and ASCII punctuation.  The
-benchmark's three-word grams are counted over all documents; in every window
-of ``PICK`` consecutive grams of an item the rarest one becomes a seed, so a
-stretch of ``PICK + 2`` unchanged words always holds one, however common its
-words are.  Seeds that a text shares with an item, on diagonals close to
-each other, name a passage; it is aligned word by word with the item (match
-2, mismatch and gap -1), and the best local score over that of a perfect copy
-is the passage's score.  ``LIMIT`` or more is a leak.
+"""Benchmark decontamination (10): rare word pairs as seeds, then Smith-Waterman.
+
+Words are lower-cased and split at white space and ASCII punctuation.  A
+passage is aligned word by word with an item (match 2, mismatch and gap -1),
+and the best local score over that of a perfect copy is the passage's score.
+``LIMIT`` or more is a leak.
+
+Seeds are an item's word pairs: each word with the next one and with the one
+after it.  No passage that reaches the limit goes unaligned.  Of two matches that
+follow each other in an alignment, none, one, or more edits lie between; with
+b1 and b2 the number of the first two, the score is at most 2 + 2 * b1 + b2.
+Matches without an edit between them are neighbours in item and text, with one
+edit they are at most two words apart in either.  So a text must hold pairs
+of the item that weigh ``2 * limit * words - 2`` (2 for neighbours in both, else
+1, once per place of the item), and one of them is among the item's rarest
+pairs, as many as it takes that the others weigh less.  These rarest pairs
+(counted over all documents) open the passages; the weight of all pairs
+within reach decides which of them are aligned.
 
 The benchmark is a stated query set: it is taken in blocks of about
 ``BLOCK_WORDS`` words, and each block goes to all tasks (that is the bound of
@@ -16,7 +24,7 @@ are not shuffled: every task aligns its own, whole texts.  A passage that
 very many documents hold is work for each of these documents alone.
 
 Defined cases: a null text has no passage; an item of fewer than three words
-has no seed and matches nothing; items with equal texts both match; rows with
+matches nothing; items with equal texts both match; rows with
 equal ids are judged one by one and the best score of an id and item counts;
 other columns do not matter; empty tables give an empty result.
 """
@@ -31,15 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlake.llm.common import PUNCTUATION, blocks, hash_words, read, small_batches, utf8, window_hashes
+from coverlake.llm.common import PUNCTUATION, blocks, hash_words, read, small_batches, utf8
 
-GRAM = 3
-PICK = 3
+SHORTEST = 3
+PICK = 2
+"""Each word is paired with that many of the next words: two matches with one edit between are that far apart."""
 MATCH, MISMATCH, GAP = 2, -1, -1
 LIMIT = 0.5
 BLOCK_WORDS = 300_000
 CELLS = 1 << 20
-"""Cells of one row of the alignment matrices that are scored together."""
+"""Cells of one row of the alignment matrices that are scored together, and pairs that are weighed together."""
 _UNIT = 1 << 32     # a cell is score * _UNIT + start word: one maximum keeps both
 
 
@@ -52,13 +61,23 @@ def texts_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield i, words, counts
 
 
-def grams_of(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, place in the row) of the grams that lie within one row."""
-    whole = window_hashes(words, GRAM)
+def pairs_of(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, place in the row, distance) of the word pairs within one row."""
     row = np.repeat(np.arange(len(counts)), counts)
-    first = np.cumsum(counts) - counts
-    inside = np.flatnonzero(row[:len(whole)] == row[GRAM - 1:]) if len(whole) else np.zeros(0, np.int64)
-    return whole[inside], row[inside], inside - first[row[inside]]
+    place = np.arange(len(words)) - (np.cumsum(counts) - counts)[row]
+    parts = []
+    for step in range(1, PICK + 1):
+        inside = np.flatnonzero(row[:-step] == row[step:])
+        pair = words[inside] * np.uint64(0x9E3779B97F4A7C15) + words[inside + step]
+        parts.append((pair, row[inside], place[inside], np.full(len(inside), step)))
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, value) of the values of ranges, one after the other."""
+    times = np.maximum(0, stop - start)
+    which = np.repeat(np.arange(len(times)), times)
+    return which, np.arange(len(which)) + (start - np.cumsum(times) + times)[which]
 
 
 class Lookup:
@@ -91,24 +110,55 @@ class Items:
             rows.append(c)
         counts = np.concatenate(rows)
         self.words = np.split(np.concatenate(words), np.cumsum(counts)[:-1]) if len(counts) else []
-        self.grams, self.gram_item, self.gram_at = grams_of(np.concatenate(words), counts)
-
-    def choose(self, frequency: dict[int, int]) -> None:
-        """Seeds: in each window of ``PICK`` grams the rarest (ties by hash)."""
-        keep = np.zeros(len(self.grams), dtype=bool)
-        rank = np.array([frequency.get(g, 0) for g in self.grams.view(np.int64).tolist()], dtype=np.int64)
-        for n in range(len(self.ids)):
-            own = np.flatnonzero(self.gram_item == n)
-            for k in range(max(1, len(own) - PICK + 1) if len(own) else 0):
-                window = own[k:k + PICK]
-                keep[window[np.lexsort((self.grams[window], rank[window]))[0]]] = True
-        order = np.flatnonzero(keep)[np.argsort(self.grams[keep], kind="stable")]
-        self.seed, self.seed_item, self.seed_at = self.grams[order], self.gram_item[order], self.gram_at[order]
+        self.lengths = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.seed, self.seed_item, self.seed_at, self.step = pairs_of(np.concatenate(words), counts)
         self.lookup = Lookup(self.seed)
-        self.first = np.searchsorted(self.seed, self.lookup.hashes, side="left")
-        self.last = np.searchsorted(self.seed, self.lookup.hashes, side="right")
-        n_seeds = np.bincount(self.seed_item, minlength=len(self.ids))
-        self.least = np.minimum(n_seeds, np.maximum(2, -(-n_seeds * 12 // 100)))
+
+    def choose(self, frequency: dict[int, int], limit: float = LIMIT) -> None:
+        """Openers: the rarest places of each item (ties by hash), all but
+        those that together weigh less than a passage at ``limit`` needs."""
+        self.limit = limit
+        self.need = np.maximum(1, np.ceil(MATCH * limit * self.lengths - 1e-6).astype(np.int64) - 2)
+        self.reach = np.maximum(1, np.floor(MATCH * (1 - limit) * self.lengths + 1e-6).astype(np.int64))      # edits at the limit
+        key = np.searchsorted(self.lookup.hashes, self.seed)
+        # the distinct pairs of each item, and where a place finds its pairs among them
+        self.own, slot = np.unique(self.seed_item * len(self.lookup.hashes) + key, return_inverse=True)
+        self.own_first = np.searchsorted(self.own, np.arange(len(self.ids) + 1) * len(self.lookup.hashes))
+        self.place_first = np.append(0, np.cumsum(np.maximum(0, self.lengths - 1)))
+        place = self.place_first[self.seed_item] + self.seed_at
+        self.slots = np.full((PICK, self.place_first[-1]), -1, dtype=np.int64)
+        self.slots[self.step - 1, place] = slot - self.own_first[self.seed_item]
+        n = np.array([frequency.get(h, 0) for h in self.lookup.hashes.view(np.int64).tolist()], dtype=np.int64)
+        rank = np.bincount(place, n[key], minlength=self.place_first[-1])
+        near = np.zeros(self.place_first[-1], dtype=np.uint64)
+        near[place[self.step == 1]] = self.seed[self.step == 1]
+        opens = np.zeros(self.place_first[-1], dtype=bool)
+        for k in range(len(self.ids)):
+            lo, hi = self.place_first[k], self.place_first[k + 1]
+            if self.lengths[k] >= SHORTEST:
+                opens[lo + np.lexsort((near[lo:hi], rank[lo:hi]))[:hi - lo - (self.need[k] - 1) // 2]] = True
+        some = np.flatnonzero(opens[place])
+        some = some[np.argsort(key[some], kind="stable")]
+        self.open_item, self.open_at = self.seed_item[some], self.seed_at[some]
+        self.open_first, self.open_last = (np.searchsorted(key[some], np.arange(len(self.lookup.hashes)), side=e) for e in ("left", "right"))
+
+    def weigh(self, item: np.ndarray, start: np.ndarray, stop: np.ndarray, key: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, places of the item) that the pairs ``start`` to ``stop`` of a text hold of each item."""
+        base = np.append(0, np.cumsum(self.own_first[item + 1] - self.own_first[item]))
+        held = np.zeros(base[-1] + 1, dtype=np.int64)         # the last one is for pairs past the item's end
+        c, h = spread(start, stop)
+        code = item[c] * len(self.lookup.hashes) + key[h]
+        slot = np.searchsorted(self.own, code)
+        slot[slot == len(self.own)] = 0
+        hit = self.own[slot] == code
+        slot, near = (base[c] + slot - self.own_first[item[c]])[hit], (step[h] == 1)[hit]
+        held[slot] = 1
+        held[slot[near]] = 2
+        c, place = spread(self.place_first[item], self.place_first[item + 1])
+        weight = held[base[c] + self.slots[0, place]]
+        for slots in self.slots[1:]:
+            weight = np.maximum(weight, np.minimum(1, held[np.where(slots[place] < 0, base[-1], base[c] + slots[place])]))
+        return np.bincount(c, weight, len(item)).astype(np.int64), np.bincount(c, weight > 0, len(item)).astype(np.int64)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,38 +181,43 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best // _UNIT, best % _UNIT, end
 
 
-def passages(column: pa.Array, items: Items, limit: float = LIMIT) -> list[tuple[int, int, float, int, int, int]]:
+def passages(column: pa.Array, items: Items) -> list[tuple[int, int, float, int, int, int]]:
     """(row, item number, score, first word, last word + 1, seeds) of the
-    best passage of each text and item that reaches ``limit``."""
+    best passage of each text and item that reaches the limit."""
     found: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-    lengths = np.array([len(w) for w in items.words], dtype=np.int64)
+    lengths, limit = items.lengths, items.limit
     for base, words, counts in texts_of(column):
-        grams, row, place = grams_of(words, counts)
-        hit, seed = items.lookup.find(grams)
-        if not len(hit):
+        first = np.cumsum(counts) - counts
+        pairs, row, place, step = pairs_of(words, counts)
+        hit, key = items.lookup.find(pairs)
+        order = np.argsort(first[row[hit]] + place[hit], kind="stable")
+        hit, key = hit[order], key[order]
+        row, place, step = row[hit], place[hit], step[hit]
+        h, opener = spread(items.open_first[key], items.open_last[key])
+        if not len(h):
             continue
-        times = items.last[seed] - items.first[seed]
-        hit, which = np.repeat(hit, times), np.repeat(items.first[seed], times)
-        which = which + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-        r, item, diagonal = row[hit], items.seed_item[which], place[hit] - items.seed_at[which]
-        order = np.lexsort((diagonal, item, r))
-        r, item, diagonal, which = r[order], item[order], diagonal[order], which[order]
-        slack = np.maximum(5, lengths[item] // 4)
-        cut = np.ones(len(r), dtype=bool)
-        cut[1:] = (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > slack[1:])
-        run = np.flatnonzero(cut)
-        stop = np.append(run[1:], len(r))
-        group = np.cumsum(cut) - 1
-        seen = np.unique(np.stack([group, which]), axis=1)[0]        # distinct seeds of a run
-        seeds = np.bincount(seen, minlength=len(run))
-        todo = np.flatnonzero(seeds >= items.least[item[run]])
+        r, n, diagonal = row[h], items.open_item[opener], place[h] - items.open_at[opener]
+        stretch = diagonal // items.reach[n]
+        order = np.lexsort((stretch, n, r))
+        r, n, diagonal, stretch = r[order], n[order], diagonal[order], stretch[order]
+        run = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (n[1:] != n[:-1]) | (stretch[1:] != stretch[:-1])))
+        lowest, highest = np.minimum.reduceat(diagonal, run), np.maximum.reduceat(diagonal, run)
+        r, n = r[run], n[run]
+        lo = np.maximum(0, lowest - items.reach[n])
+        hi = np.minimum(counts[r], highest + lengths[n] + items.reach[n])
+        at = first[row] + place
+        a, b = np.searchsorted(at, first[r] + lo), np.searchsorted(at, first[r] + hi)
+        size = np.cumsum(b - a + PICK * lengths[n])
+        weight, seeds = np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
+        k = 0
+        while k < len(r):
+            end = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + CELLS, side="right")))
+            weight[k:end], seeds[k:end] = items.weigh(n[k:end], a[k:end], b[k:end], key, step)
+            k = end
+        todo = np.flatnonzero(weight >= items.need[n])
         if not len(todo):
             continue
-        a, b = run[todo], stop[todo] - 1
-        first = np.cumsum(counts) - counts
-        r, n, seeds = r[a], item[a], seeds[todo]
-        lo = np.maximum(0, diagonal[a] - slack[a])
-        hi = np.minimum(counts[r], diagonal[b] + lengths[n] + slack[a])
+        r, n, lo, hi, seeds = r[todo], n[todo], lo[todo], hi[todo], seeds[todo]
         by_size = np.argsort(np.maximum(hi - lo, lengths[n]), kind="stable")
         at = 0
         while at < len(by_size):
@@ -201,23 +256,23 @@ def benchmark_blocks(items: DataFrame, id_col: str = "item_id", text_col: str =
 
 
 def frequencies(texts: DataFrame, items: Items) -> dict[int, int]:
-    """Documents that hold each gram of the block, over the whole corpus."""
-    lookup = texts.sparkSession.sparkContext.broadcast(Lookup(items.grams))
+    """Documents that hold each pair of the block, over the whole corpus."""
+    lookup = texts.sparkSession.sparkContext.broadcast(items.lookup)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(lookup.value.hashes), dtype=np.int64)
         for batch in batches:
             for _, words, counts in texts_of(batch.column(0)):
-                grams, row, _ = grams_of(words, counts)
-                hit, gram = lookup.value.find(grams)
+                pairs, row, _, _ = pairs_of(words, counts)
+                hit, pair = lookup.value.find(pairs)
                 if len(hit):
-                    seen = np.unique(row[hit] * len(total) + gram) % len(total)
+                    seen = np.unique(row[hit] * len(total) + pair) % len(total)
                     total += np.bincount(seen, minlength=len(total))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lookup.value.hashes[some].view(np.int64)), pa.array(total[some])], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(lookup.value.hashes[some].view(np.int64)), pa.array(total[some])], names=["pair", "n"])
 
-    found = texts.mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r.gram: r.n for r in found.collect()}        # at most the block's grams
+    found = texts.mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return {r.pair: r.n for r in found.collect()}        # at most the block's pairs
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -232,13 +287,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     schema = "doc_id bigint, item_id bigint, score double, first_word bigint, last_word bigint, n_seeds bigint"
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("text"))
     for items in benchmark_blocks(benchmark):
-        items.choose(frequencies(_texts(docs, text_col), items))
+        items.choose(frequencies(_texts(docs, text_col), items), limit)
         shared = spark.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, item_ids = batch.column(0), shared.value.ids
-                found = [(ids[r].as_py(), item_ids[n], *rest) for r, n, *rest in passages(batch.column(1), shared.value, limit)]
+                found = [(ids[r].as_py(), item_ids[n], *rest) for r, n, *rest in passages(batch.column(1), shared.value)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (
                         pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))],
@@ -253,11 +308,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         "doc_id", "item_id", "b.score", (-F.col("b.col2")).alias("first_word"), "b.last_word", "b.n_seeds")
 
 
-def _leaked(shared, limit: float):
+def _leaked(shared):
     @F.pandas_udf("boolean")
     def leaked(texts: pd.Series) -> pd.Series:
         out = np.zeros(len(texts), dtype=bool)
-        for r, *_ in passages(pa.array(texts, pa.string()), shared.value, limit):
+        for r, *_ in passages(pa.array(texts, pa.string()), shared.value):
             out[r] = True
         return pd.Series(out)
 
@@ -270,10 +325,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", li
     small_batches(spark)
     kept = docs
     for items in benchmark_blocks(benchmark):
-        items.choose(frequencies(_texts(docs, text_col), items))
+        items.choose(frequencies(_texts(docs, text_col), items), limit)
         shared = spark.sparkContext.broadcast(items)
 
-        kept = kept.filter(~_leaked(shared, limit)(F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))))
+        kept = kept.filter(~_leaked(shared)(F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))))
     return kept
 
 

@@ -106,3 +106,28 @@ def test_every_long_enough_run_holds_a_seed():
     places = sorted(items.seed_at.tolist())
     assert places[0] <= 2 and all(b - a <= D.PICK for a, b in zip(places, places[1:]))
     assert D.passages(pa.array(["", None], pa.string()), items) == []
+
+
+def rewritten(item, kind):
+    """Every third or fourth word replaced, a word put in after each one or two, or the first half alone."""
+    if kind in (3, 4):
+        return [f"new{k}" if k % kind == kind - 1 else w for k, w in enumerate(item)]
+    if kind in (1, 2):
+        return [x for k, w in enumerate(item) for x in ([w, f"put{k}"] if k % kind == kind - 1 else [w])]
+    return item[:(len(item) + 1) // 2]
+
+
+def test_all_passages_at_the_limit_are_found(spark):
+    rng = random.Random(4)
+    items = [words(n, 60 + 7 * n + k, size) for n in (15, 17, 20, 38) for k in range(2) for size in (3000, 40)]
+    docs = []
+    for k, item in enumerate(items):
+        docs += [words(60, 1000 + 10 * k + kind) + rewritten(item, kind) + words(40, 2000 + 10 * k + kind) for kind in range(5)]
+        docs.append([w if rng.random() < 0.72 else f"other{rng.randrange(99)}" for w in item])
+        docs.append(words(80, 3000 + k, 40))
+    got = found(spark, [(d, " ".join(w)) for d, w in enumerate(docs)], [(k, " ".join(i)) for k, i in enumerate(items)])
+    scores = {(d, k): smith_waterman(item, w) / (2 * len(item)) for d, w in enumerate(docs) for k, item in enumerate(items)
+              if len(set(item) & set(w)) * 4 >= len(set(item))}
+    real = {pair: s for pair, s in scores.items() if s >= D.LIMIT}
+    assert len(real) > 5 * len(items) and set(got) == set(real)
+    assert all(abs(got[pair].score - s) < 1e-9 for pair, s in real.items())
