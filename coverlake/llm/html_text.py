@@ -13,7 +13,9 @@ main text.  Scripts, styles, forms' controls and hidden elements give no block.
 Each page is worked on where it is read.  Time per page grows with its blocks.
 
 Defined cases: null or empty html gives an empty text; unclosed, misnested
-and truncated markup is read as far as it goes; repeated rows are extracted
+and truncated markup is read as far as it goes (a silent or hidden element
+ends with the element around it, and one that holds elements and has no end
+at all is passed over); repeated rows are extracted
 one by one; other columns do not matter; an empty table gives an empty result.
 """
 
@@ -35,8 +37,9 @@ BLOCK_TAGS = frozenset("""address article aside blockquote body button caption c
 fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol
 optgroup option p pre search section summary table tbody td tfoot th thead tr ul""".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("""applet audio canvas datalist head iframe math noembed noframes noscript object script select
+SILENT_TAGS = frozenset("""applet audio canvas datalist iframe math noembed noframes noscript object script select
 style svg template textarea title video""".split())
+RAW_TAGS = frozenset("iframe noembed noframes script style textarea title".split())     # hold no elements
 CLOSES = {
     # an opening tag ends these open elements, up to the nearest of the second set
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -100,12 +103,14 @@ class Block:
 class PageParser(HTMLParser):
     """Collects the text blocks of a page."""
 
-    def __init__(self) -> None:
+    def __init__(self, passed: frozenset[tuple[int, int]] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.passed = passed                # places of silent tags that silence nothing
+        self.silent: list[tuple[str, int, tuple[int, int]]] = []       # open ones: tag, open elements around it, place
         self.open: list[Element] = []
         self.blocks: list[Block] = []
         self.parts: list[str] = []
-        self.link_chars = self.silent = self.count = 0
+        self.link_chars = self.count = 0
         self.in_link = False
         self.hidden: list[str] = []         # open tags of a hidden element, from its own on
 
@@ -136,13 +141,26 @@ class PageParser(HTMLParser):
         return cost
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        ends, limit = CLOSES.get(tag, ((), ()))
+        if self.hidden:
+            if self.hidden[-1] == "p" and tag in BLOCK_TAGS:
+                self.hidden.pop()
+            for k in range(len(self.hidden) - 1, -1, -1) if ends else ():
+                if self.hidden[k] in ends:
+                    del self.hidden[k:]
+                    break
+                if self.hidden[k] in limit:
+                    break
         if self.hidden:
             if tag not in VOID_TAGS:
                 self.hidden.append(tag)
             return
         if tag in SILENT_TAGS:
-            self.silent += 1
+            if self.getpos() not in self.passed:
+                self.silent.append((tag, len(self.open), self.getpos()))
             return
+        if tag == "body":
+            self.silent = [s for s in self.silent if s[0] == "noframes"]
         if tag == "br":
             self.parts.append(" ")
             return
@@ -160,10 +178,10 @@ class PageParser(HTMLParser):
         self.in_link = False
         if tag == "hr":
             return
-        if self.open and self.open[-1].tag == "p":
+        floor = self.silent[-1][1] if self.silent else 0
+        if len(self.open) > floor and self.open[-1].tag == "p":
             self.open.pop()
-        ends, limit = CLOSES.get(tag, ((), ()))
-        for k in range(len(self.open) - 1, -1, -1) if ends else ():
+        for k in range(len(self.open) - 1, floor - 1, -1) if ends else ():
             if self.open[k].tag in ends:
                 del self.open[k:]
                 break
@@ -182,9 +200,15 @@ class PageParser(HTMLParser):
             if tag in self.hidden:
                 while self.hidden.pop() != tag:
                     pass
-            return
+                return
+            if not any(e.tag == tag for e in self.open):
+                return
+            self.hidden = []
         if tag in SILENT_TAGS:
-            self.silent = max(0, self.silent - 1)
+            for k in range(len(self.silent) - 1, -1, -1):
+                if self.silent[k][0] == tag:
+                    del self.open[self.silent[k][1]:], self.silent[k:]
+                    break
             return
         if tag == "a":
             self.in_link = False
@@ -195,10 +219,12 @@ class PageParser(HTMLParser):
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k].tag == tag:
                 del self.open[k:]
+                while self.silent and self.silent[-1][1] > k:
+                    self.silent.pop()
                 break
 
     def handle_data(self, data: str) -> None:
-        if self.silent or self.hidden:
+        if self.silent or self.hidden or self.open and self.open[-1].tag in ("option", "optgroup"):
             return
         self.parts.append(data)
         if self.in_link:
@@ -206,11 +232,16 @@ class PageParser(HTMLParser):
 
 
 def parse_page(html: str) -> list[Block]:
-    parser = PageParser()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    return parser.blocks
+    passed: frozenset[tuple[int, int]] = frozenset()
+    while True:
+        parser = PageParser(passed)
+        parser.feed(html)
+        parser.close()
+        parser.flush()
+        endless = {place for tag, _, place in parser.silent if tag not in RAW_TAGS}
+        if not endless:
+            return parser.blocks
+        passed |= endless
 
 
 def neighbours(blocks: list[Block]) -> Iterator[tuple[int, int, float]]:

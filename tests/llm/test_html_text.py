@@ -50,6 +50,22 @@ def test_a_page_without_landmarks():
     assert H.main_text(f"<p>{text}<p>{text}") == f"{text}\n\n{text}"
 
 
+@pytest.mark.parametrize("start", [
+    "<html><head><meta charset=utf-8><title>T</title><style>p{}</style><body>", "<head><title>T</title><script>var a;</script>",
+    "<head><title>T</title><noscript><style>p{}</style><body>", "<div><select><option>one<option>two</div>", "<div><object><param name=a></div>",
+    "<div><noscript><p>Turn it on.</div>", "<ul><li><canvas>none<li hidden>not shown</ul>", "<select><option>one<option>two", "<object><param name=a>",
+    "<div><span hidden>not shown</div>", "<p hidden>not shown", "<div><p><svg><title>T</title></div>"])
+def test_text_after_an_element_without_an_end(start):
+    text = "A paragraph of a plain page with enough words in it to look like prose."
+    assert H.main_text(f"{start}<p>{text}</p><p>{text}</p>") == f"{text}\n\n{text}"
+
+
+def test_silent_elements_with_an_end_stay_silent():
+    text = "A paragraph of a plain page with enough words in it to look like prose."
+    inside = "<noscript><div><p>{0}</div></noscript><select><option>one<option>two</select><object><p>{0}</p><div>{0}</object><canvas><ul><li>{0}</ul></canvas>".format(text)
+    assert H.main_text(f"<head><title>T</title></head><body><p>{text}</p>{inside}<p>{text}</p><textarea>{text}") == f"{text}\n\n{text}"
+
+
 def test_forms_around_and_inside_an_article():
     text = "Words of a paragraph that is long enough to be content by itself, surely."
     page = f"<form id=f1><div class=top>Site</div><article><header><h1>Head</h1></header><p>{text}<form><p>{text} Subscribe.</p></form></article></form>"
