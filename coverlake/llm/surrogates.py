@@ -47,8 +47,14 @@ IP = re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 CARD = re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){0,4}(?!\w)")
-DATE = re.compile(r"\d{4}[-.]\d{2}[-.]\d{2}|\d{2}[-.]\d{2}[-.]\d{4}")
+DATE = re.compile(r"\d{4}[-./]\d{2}[-./]\d{2}|\d{2}[-./]\d{2}[-./]\d{4}")
+# a date (left alone); + and 7 to 15 digits; an area code and a long group; a trunk 0 and digits; short groups
+PHONE = re.compile(
+    rf"(?<![\w+])(?:(?:{DATE.pattern})(?![./-]?\d)|\+\d(?:[ ./()-]{{0,2}}\d){{6,14}}"
+    r"|(?:\(\d{1,5}\)[ ./-]?|0\d{1,4}[ ./-]|\d{3}[ /-](?=\d{7}(?!\d)))\d{6,9}(?:-\d{1,4})?|0\d{8,11}"
+    r"|(?:\(\d{1,5}\)[ ./-]?)?\d{2,5}(?:[ ./-]\d{2,5}){0,4})(?!\w)")
+# Country codes of one and two digits; all others have three.
+COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 DIGIT = re.compile(r"[0-9]")
 
 # Forms of address and their gender.
@@ -140,7 +146,7 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
             if luhn(out):
                 return out
     if kind == "phone":
-        plus = entity[:entity.index(" ") + 1] if " " in entity else ""     # country code and a blank
+        plus = entity[:entity.index(" ") + 1] if " " in entity else entity[:entity[0] == "0"]     # country code and a blank, or trunk 0
         return plus + permute(entity[len(plus):], key, tweak)
     if kind == "ssn":
         return permute(entity, key, tweak)
@@ -165,9 +171,12 @@ def canonical(kind: str, value: str) -> str:
     if kind == "iban":
         return value.replace(" ", "")
     if kind == "phone":
-        code = re.match(r"\+(\d{1,3})(?=\D)", value)
         digits = re.sub(r"\D", "", value)
-        return f"+{code[1]} {digits[len(code[1]):]}" if code else ("+" if value[0] == "+" else "") + digits
+        if value[0] != "+":
+            return digits
+        shown = re.match(r"\+(\d{1,3})(?=\D)", value)
+        code = shown[1] if shown else COUNTRY.match(digits)[0]
+        return f"+{code} {digits[len(code):]}"
     return value.casefold()
 
 
@@ -194,12 +203,17 @@ def detect(text: str) -> list[tuple[str, int, int]]:
             at, known = 0, sorted(found, key=lambda s: s[1])
             for m in pattern.finditer(text):
                 a, b = m.span()
+                while at < len(known) and known[at][2] <= a:
+                    at += 1
                 if kind == "phone":
+                    if at < len(known) and a < known[at][1] < b:        # ends where the next entity begins
+                        m = pattern.match(text, a, known[at][1])
+                        if not m:
+                            continue
+                        b = m.end()
                     n = sum(c.isdigit() for c in m[0])
-                    if not 7 <= n <= 15 or DATE.fullmatch(m[0]) or not (m[0][0] in "+(" or re.search(r"\d[ .-]\d", m[0])):
+                    if not 7 <= n <= 15 or DATE.fullmatch(m[0]) or not (m[0][0] in "+(0" or re.search(r"\d[ ./-]\d", m[0])):
                         continue
-                while at < len(known) and known[at][2] <= a:
-                    at += 1
                 if at < len(known) and known[at][1] < b:
                     continue
                 more.append((kind, a, b))

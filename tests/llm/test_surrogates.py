@@ -17,6 +17,27 @@ def test_everything_is_found_and_gone():
         assert part in out
 
 
+@pytest.mark.parametrize("phone", [
+    "+14155551234", "+49 1701234567", "(415) 5551234", "(415)5551234", "0170 1234567", "+44 7911 123456", "0170/1234567", "030/123456-78", "01701234567",
+    "+49/170/1234567", "+44 (0)20 7946 0958", "415-5551234", "415 555 1234", "+1.415.555.1234", "01 23 45 67 89", "+123 4567890 12345"])
+def test_phone_formats(phone):
+    for after in ("", ".", ", card 4111 1111 1111 1111", " 97.51.17.173", " SSN 123-45-6789"):
+        text = f"Please call {phone}{after}"
+        assert ("phone", 12, 12 + len(phone)) in S.detect(text)
+        out = S.replace(text, {})
+        new = out[12:12 + len(phone)]
+        assert out.startswith("Please call ") and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", phone) and new != phone
+        assert S.detect(new) == [("phone", 0, len(phone))]
+
+
+def test_phone_spellings_agree_and_other_numbers_stay():
+    for code, spellings in (("1", ("+14155551234", "+1 415 555 1234", "+1 (415) 555-1234")), ("49", ("+491701234567", "+49 1701234567", "+49 170/1234567"))):
+        out = {re.sub(r"\D", "", S.replace(f"x {p} y", {})) for p in spellings}
+        assert len(out) == 1 and out.pop().startswith(code)
+    for text in ("on 12/31/2019 and 2019/12/31", "at 52.520008, 13.404954", "about 1234567 people", "in 2019 500000 people", "3.14159265"):
+        assert S.replace(text, {}) == text
+
+
 def test_type_and_format_stay():
     out = S.replace("card 4111 1111 1111 1111 and 4111-1111-1111-1112, +1 (017) 555-7713, 97.51.17.173, SSN 123-45-6789", {})
     cards = re.findall(r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", out)
