@@ -10,12 +10,13 @@ the parse frequencies.  Every n-gram is counted in the one chunk that owns its
 first word, times that chunk's frequency; the overlap is counted nowhere else.
 
 Only phrases of ``min_count`` occurrences matter, and a part of a phrase is at
-least as frequent as the phrase.  So words are counted first, then pairs of
-frequent words, both by 64-bit hash; the frequent hashes set bits of an array
-of a fixed size (``BITS``), which is what the last pass is sent.  It counts the
-phrases themselves, as text, where all words and pairs have their bit.  A bit
-set by another hash only leaves more to count, so the counts are exact at any
-size; a full array would leave more work, not another result.
+least as frequent as the phrase.  So words are counted first, then, by hash, pairs of
+frequent words and triples of frequent pairs; what is frequent sets bits of
+arrays of a fixed size (``BITS``), which the next pass is sent.  The last one
+counts the phrases themselves, as text, where all words, pairs and triples
+have their bit.  A bit set by another hash only leaves more to count, so the
+counts are exact at any size; a full array would leave more work, not another
+result.
 
 Within a block of 8 MB equal n-grams are recognised by 64-bit hash before
 their text is cut out once.
@@ -35,10 +36,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coverlake.llm.common import blocks, hash_words, mix, read, small_batches, stored, utf8
+from coverlake.llm.common import blocks, hash_words, mix, read, scratch_path, small_batches, stored, utf8
 from coverlake.session import shuffle_partitions
 
-PERIOD = 32
+PERIOD = 64
 """Mean number of words that a chunk owns."""
 MAX_WORDS = 5
 MIN_COUNT = 100
@@ -123,8 +124,10 @@ def parse(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", perio
 
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    parsed = rows.mapInArrow(run, CHUNKS)
-    return stored(parsed.groupBy("lang", "own", "chunk").agg(F.sum("n").alias("n")), "chunks")
+    parsed = rows.mapInArrow(run, CHUNKS).groupBy("lang", "own", "chunk").agg(F.sum("n").alias("n"))
+    path = scratch_path(docs.sparkSession, "llm-chunks")
+    parsed.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(parsed.schema).parquet(path)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: int, limit: int = BLOCK) -> Iterator[pa.Table]:
@@ -171,90 +174,188 @@ class Block:
 
 
 def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(8 * len(bits) - 1)
+    """Is the bit set that the top bits of a hash name?"""
+    at = hashes >> np.uint64(64 - len(bits).bit_length() - 2)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def summed(hashes: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
-    keys, inverse = np.unique(hashes, return_inverse=True)
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte: all lowest bytes, all second ones, ..., so
+    that the zeros of small numbers stand together and compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def unpacked(data: bytes, dtype) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+
+
+def summed(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, inverse = np.unique(keys, return_inverse=True)
     n = np.zeros(len(keys), dtype=np.int64)
     np.add.at(n, inverse, weight)
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+    return keys, n
+
 
+def range_bits(n: int) -> int:
+    """log2 of the number of hash ranges that ``n`` occurrences are dealt into: about a million each."""
+    return min(31, max(5, (n >> 20).bit_length()))
 
-def word_counts(chunks: DataFrame) -> DataFrame:
-    """(key, n): occurrences of each word of a language, by hash."""
+
+def frequent_hashes(chunks: DataFrame, occurrences, min_count: int, rbits: int, bits: int = BITS) -> DataFrame:
+    """(bit): the top ``bits`` bits of the hashes that occur ``min_count`` times.
+    ``occurrences(table)`` gives hashes and weights.  A task adds up what it holds,
+    keeps 32 + ``rbits`` bits of each hash, and sends each range of hashes as a sorted,
+    delta-coded block; a range is merged in one place.  Hashes that agree in those
+    bits are counted together, which only lets more through."""
+
+    def flush(keys, weight):
+        keys, n = summed(np.concatenate(keys), np.concatenate(weight))
+        number = (keys >> np.uint64(32)).astype(np.int64)
+        edges = np.append(np.flatnonzero(np.diff(number, prepend=-1)), len(keys))
+        low, rows = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), []
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            rows.append((number[i], packed(np.diff(low[i:j], prepend=np.uint32(0))), packed(n[i:j])))
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))],
+                                          names=["number", "keys", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, weight, held = [], [], 0
         for table in gathered(batches, 2):
-            b = Block(table)
-            held = np.flatnonzero(b.weight)
-            yield summed(b.words[held], b.weight[held])
+            hashes, n = occurrences(table)
+            if len(hashes):
+                k, n = summed(hashes >> np.uint64(32 - rbits), n)
+                keys.append(k)
+                weight.append(n)
+                held += len(k)
+            if held > 1 << 21:
+                yield flush(keys, weight)
+                keys, weight, held = [], [], 0
+        if held:
+            yield flush(keys, weight)
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpacked(x.as_py(), np.uint32), dtype=np.uint64) for x in table.column("keys")]
+        keys, n = summed(np.concatenate(keys), np.concatenate([unpacked(x.as_py(), np.int64) for x in table.column("n")]))
+        often = keys[n >= min_count] | (np.uint64(table.column("number")[0].as_py()) << np.uint64(32))
+        return pa.table({"bit": pa.array(np.unique(often >> np.uint64(32 + rbits - bits)).astype(np.int64))})
+
+    sent = chunks.mapInArrow(run, "number bigint, keys binary, n binary")
+    return sent.groupBy("number").applyInArrow(merge, "bit bigint")
+
+
+def bit_array(rows: DataFrame, bits: int = BITS) -> np.ndarray:
+    """An array of 2 ** ``bits`` bits with those of the column ``bit`` set."""
+    place = F.col("bit") + 1
+    rows = rows.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap"))
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for row in rows.toLocalIterator():          # 2 ** (bits - 15) rows of 4 kB at most
+        lo = (row["bucket"] - 1) * 4096
+        part = np.frombuffer(row["bitmap"], dtype=np.uint8)
+        out[lo:lo + len(part)] = part[:len(out) - lo]
+    return out
+
 
-    return chunks.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+def as_text(b: Block, first: np.ndarray, k: int) -> pa.Array:
+    """The ``k`` words from each of the words ``first``."""
+    width = b.end[first + k - 1] - b.start[first]
+    bounds = np.concatenate([[0], np.cumsum(width)]).astype(np.int64)
+    text = b.data[ranges(b.start[first], width)]
+    return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(bounds), pa.py_buffer(text)).cast(pa.string())
 
 
-def pair_counts(chunks: DataFrame, words) -> DataFrame:
-    """(key, n): occurrences of pairs of neighbours whose bits are in ``words``."""
+def counted(b: Block, at: np.ndarray, grams: np.ndarray, k: int) -> pa.RecordBatch:
+    """lang, words, phrase, n of the n-grams at the words ``at``."""
+    _, one, inverse = np.unique(grams[at], return_index=True, return_inverse=True)
+    n = np.zeros(len(one), dtype=np.int64)
+    np.add.at(n, inverse, b.weight[at])
+    one = at[one]
+    return pa.RecordBatch.from_arrays([b.langs.take(pa.array(b.lang[one])), pa.array(np.full(len(one), k, np.int32)),
+                                       as_text(b, one, k), pa.array(n)], names=["lang", "words", "phrase", "n"])
+
+
+PHRASES = "lang string, words int, phrase string, n bigint"
+
+
+def word_counts(chunks: DataFrame, min_count: int) -> DataFrame:
+    """(lang, words = 1, phrase, f) of the words that occur ``min_count`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, 2):
             b = Block(table)
-            if len(b) > 1:
-                often = has_bit(words.value, b.words)
-                held = np.flatnonzero((b.weight[:-1] > 0) & ~b.broken[:-1] & often[:-1] & often[1:])
-                yield summed(b.longer(b.words, 2)[held], b.weight[held])
+            yield counted(b, np.flatnonzero(b.weight), b.words, 1)
 
-    return chunks.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return chunks.mapInArrow(run, PHRASES).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
 
 
-def frequent_bits(counts: DataFrame, min_count: int, bits: int = BITS) -> np.ndarray:
-    """The low ``bits`` bits of the frequent keys as an array of 2 ** bits bits."""
-    place = F.col("key").bitwiseAND(F.lit((1 << bits) - 1)) + 1
-    rows = (counts.filter(F.col("n") >= min_count).groupBy(F.bitmap_bucket_number(place).alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")))
-    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    for row in rows.toLocalIterator():          # 2 ** (bits - 15) rows of 4 kB at most
-        lo = (row["bucket"] - 1) * 4096
-        part = np.frombuffer(row["bitmap"], dtype=np.uint8)
-        out[lo:lo + len(part)] = part[:len(out) - lo]
-    return out
+def word_bits(words: DataFrame, bits: int = BITS) -> DataFrame:
+    """(bit) of each frequent word, by the hash that ``Block`` gives it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one = pa.array(np.ones(batch.num_rows, np.int32))
+            b = Block(pa.table({"lang": batch.column(0), "own": one, "chunk": batch.column(1), "n": one}))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(b.words >> np.uint64(64 - bits)).astype(np.int64))], names=["bit"])
+
+    return words.select("lang", "phrase").mapInArrow(run, "bit bigint")
+
 
+def linked(b: Block, words: np.ndarray, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each word: may it and the next one be a frequent pair?  And the pairs' hashes."""
+    grams, often = b.longer(b.words, 2), has_bit(words, b.words)
+    good = ~b.broken[:-1] & often[:-1] & often[1:]
+    return (good if pairs is None else good & has_bit(pairs, grams)), grams
 
-def phrase_counts(chunks: DataFrame, words, pairs, max_words: int, min_count: int) -> DataFrame:
-    """(lang, words, phrase, f) of all phrases of up to ``max_words`` words that occur ``min_count`` times."""
+
+def pair_hashes(words):
+    """Occurrences of pairs of frequent words."""
+
+    def occurrences(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        b = Block(table)
+        if len(b) < 2:
+            return b.words[:0], b.weight[:0]
+        good, grams = linked(b, words.value)
+        at = np.flatnonzero(good & (b.weight[:-1] > 0))
+        return grams[at], b.weight[at]
+
+    return occurrences
+
+
+def triple_hashes(words, pairs):
+    """Occurrences of three words whose pairs are frequent."""
+
+    def occurrences(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        b = Block(table)
+        if len(b) < 3:
+            return b.words[:0], b.weight[:0]
+        good, grams = linked(b, words.value, pairs.value)
+        at = np.flatnonzero(good[:-1] & good[1:] & (b.weight[:-2] > 0))
+        return b.longer(grams, 3)[at], b.weight[at]
+
+    return occurrences
+
+
+def phrase_counts(chunks: DataFrame, words, pairs, triples, max_words: int, min_count: int) -> DataFrame:
+    """(lang, words, phrase, f) of the phrases of 2 to ``max_words`` words that occur ``min_count`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, 2):
             b = Block(table)
-            if not len(b):
+            if len(b) < 2:
                 continue
-            alive, grams = has_bit(words.value, b.words), b.words
-            linked = np.zeros(len(b), dtype=bool)
-            for k in range(1, max_words + 1):
-                if k > 1:
-                    if len(b) < k:
-                        break
+            pair, grams = linked(b, words.value, pairs.value)
+            alive, triple = pair, None
+            for k in range(2, min(max_words, len(b)) + 1):
+                if k > 2:
                     grams = b.longer(grams, k)
-                    if k == 2:
-                        linked[:-1] = alive[:-1] & alive[1:] & ~b.broken[:-1] & has_bit(pairs.value, grams)
-                        alive = linked[:-1]
+                    if k == 3:
+                        triple = pair[:-1] & pair[1:] & has_bit(triples.value, grams)
+                        alive = triple
                     else:
-                        alive = alive[:len(grams)] & linked[k - 2:k - 2 + len(grams)]
-                at = np.flatnonzero(alive[:len(grams)] & (b.weight[:len(grams)] > 0))
-                _, one, inverse = np.unique(grams[at], return_index=True, return_inverse=True)
-                n = np.zeros(len(one), dtype=np.int64)
-                np.add.at(n, inverse, b.weight[at])
-                one = at[one]
-                width = b.end[one + k - 1] - b.start[one]
-                text = b.data[ranges(b.start[one], width)]
-                bounds = np.concatenate([[0], np.cumsum(width)]).astype(np.int64)
-                phrase = pa.LargeStringArray.from_buffers(len(one), pa.py_buffer(bounds), pa.py_buffer(text))
-                yield pa.RecordBatch.from_arrays([
-                    b.langs.take(pa.array(b.lang[one])), pa.array(np.full(len(one), k, np.int32)), phrase.cast(pa.string()), pa.array(n)],
-                    names=["lang", "words", "phrase", "n"])
-
-    found = chunks.mapInArrow(run, "lang string, words int, phrase string, n bigint")
+                        alive = alive[:len(grams)] & triple[k - 3:k - 3 + len(grams)]
+                yield counted(b, np.flatnonzero(alive & (b.weight[:len(grams)] > 0)), grams, k)
+
+    found = chunks.mapInArrow(run, PHRASES)
     return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
 
 
@@ -292,14 +393,19 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     """Per language the ``top`` phrases by score: lang, rank, phrase, a, l, r, n, score."""
     spark = docs.sparkSession
     chunks = parse(docs, lang_col, text_col, period, max_words - 1)
-    words = spark.sparkContext.broadcast(frequent_bits(word_counts(chunks), min_count))
-    pairs = spark.sparkContext.broadcast(frequent_bits(pair_counts(chunks, words), min_count))
-    phrases = stored(phrase_counts(chunks, words, pairs, max_words, min_count), "phrases")
     totals = stored(chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n")), "totals")
+    rbits, send = range_bits(totals.agg(F.sum("n")).first()[0] or 0), spark.sparkContext.broadcast
+    words = stored(word_counts(chunks, min_count), "words")
+    often = send(bit_array(word_bits(words)))
+    pairs = send(bit_array(frequent_hashes(chunks, pair_hashes(often), min_count, rbits)))
+    triples = send(bit_array(frequent_hashes(chunks, triple_hashes(often, pairs), min_count, rbits)))
+    longer = stored(phrase_counts(chunks, often, pairs, triples, max_words, min_count), "phrases")
+    best, parts = scores(words.unionByName(longer), totals, share), shuffle_partitions(spark)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    valued = scores(phrases, totals, share).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(shuffle_partitions(spark))))
-    best = valued.withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= top)
-    best = best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
+    while parts:                                 # P parts, then about its square root, then one: no task ranks more than top x sqrt(P)
+        part = F.pmod(F.xxhash64("phrase"), F.lit(parts))
+        best = best.withColumn("rank", F.row_number().over(W.partitionBy("lang", part).orderBy(*order))).filter(F.col("rank") <= top)
+        parts = 0 if parts == 1 else int(parts ** 0.5) if parts > 3 else 1
     return best.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n",
                        F.col("score").cast("bigint").alias("score"))
 
