@@ -16,8 +16,9 @@ block, goes through them shard by shard and probes the arrays.  No line and no
 text is shuffled or joined.  A worker holds the shards that it used last, up to
 ``CACHE_BYTES``; shards are files in the shared scratch folder.
 
-A probe compares the 64 bits that choose slots and 64 more of the fingerprint;
-different keys are taken for equal at one in 2 ** 128.
+Lines are counted by all 128 bits of their hash.  A probe finds its slot by one half
+and compares the other one, 64 bits, so a line that is not in the index passes for
+one that is at most about once in 2 ** 64 / shards probes.
 
 Defined cases: null text counts as empty, which is one empty line; each row is a
 document of its own, also if its id is repeated, and all rows of the largest id
