@@ -16,8 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlake.operators.quantiles import exact_quantiles
-from coverlake.session import cut_lineage
+from coverlake.operators.quantiles import exact_quantiles, value_histogram
 
 
 def _minmax(df: DataFrame, col: str) -> tuple[float, float]:
@@ -115,17 +114,15 @@ def decile_edges(df: DataFrame, col: str, q: int = 10, by=(), duplicates: str =
 def bin_stats(df: DataFrame, bin_col: str, feature: str, measure: str, probs=(0.05, 0.5, 0.95), by=(),
               method: str = "search") -> DataFrame:
     """A8-A11 per bin: count, centre (max+min)/2 of the binned feature, and
-    exact percentiles of ``measure`` (median, 5th, 95th by default).  One
-    aggregate gives the counts, centres and the starting ranges of the
-    percentile search."""
+    exact percentiles of ``measure`` (median, 5th, 95th by default).  One scan
+    gives counts, centres and the histogram that brackets the percentiles, a
+    second one the rows of the bracketing buckets."""
     keys = list(by) + [bin_col]
     base = df.filter(F.col(bin_col).isNotNull())
-    v = F.nanvl(F.col(measure).cast("double"), F.lit(None).cast("double"))
-    counts = cut_lineage(base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), ((F.max(feature) + F.min(feature)) / 2).alias("center"),
-        F.min(v).alias("__lo"), F.max(v).alias("__hi"), F.count(v).alias("__n")))     # one row per bin
-    qs = exact_quantiles(base, measure, probs, keys, prefix="p", method=method, stats=counts.select(*keys, "__lo", "__hi", "__n"))
-    return counts.drop("__lo", "__hi", "__n").join(qs, keys, "left")
+    hist = value_histogram(base, measure, keys, __all=F.count(F.lit(1)), __least=F.min(feature), __most=F.max(feature))
+    counts = hist.groupBy(*keys).agg(F.sum("__all").alias("n"), ((F.max("__most") + F.min("__least")) / 2).alias("center"))
+    qs = exact_quantiles(base, measure, probs, keys, prefix="p", method=method, hist=hist)
+    return counts.join(qs, keys, "left")
 
 
 def rate_by_bin(df: DataFrame, bin_col: str, flags: dict[str, Column], by=()) -> DataFrame:

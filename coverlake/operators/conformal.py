@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverlake.functions.losses import cqr_score
-from coverlake.operators.quantiles import group_stats, kth_smallest
-from coverlake.session import cut_lineage
+from coverlake.operators.quantiles import group_stats, kth_smallest, value_histogram
 
 
 def add_scores(df: DataFrame, y="y_true", q_lo="lb", q_hi="ub", col: str = "score") -> DataFrame:
@@ -28,12 +27,12 @@ def add_scores(df: DataFrame, y="y_true", q_lo="lb", q_hi="ub", col: str = "scor
 def conformal_constant(scores: DataFrame, alpha: float = 0.1, by=(), score: str = "score") -> DataFrame:
     """M2: per group n, k and Q (``+inf`` when k > n)."""
     by = list(by)
-    # one pass for n (and the search's starting range), materialised: one row per group
-    stats = cut_lineage(group_stats(scores, score, by))
+    hist = value_histogram(scores, score, by)              # one scan for n and the brackets of the ranks
+    stats = group_stats(hist, by)
     level = F.lit(Decimal(1) - Decimal(str(alpha)))        # exact decimal: no float rounding in k
     sizes = stats.select(*by, F.col("__n").alias("n")).withColumn("k", F.ceil(level * (F.col("n") + 1)).cast("long"))
     targets = sizes.select(*by, F.lit(0).alias("__tid"), F.col("k").alias("__k"))
-    kth = kth_smallest(scores, score, targets, by, stats=stats).select(*by, F.col("__value").alias("__q"))
+    kth = kth_smallest(scores, score, targets, by, hist=hist).select(*by, F.col("__value").alias("__q"))
     if by:
         out = sizes.join(kth, by, "left")
     else:

@@ -1,18 +1,15 @@
 """Exact order statistics and quantiles per group, safe for huge groups.
 
 Spark's exact ``percentile`` keeps a value->count map of the whole group in
-one task.  ``kth_smallest`` instead narrows each requested rank by value
-buckets: every pass counts rows per (target, bucket) with partial
-aggregation (output <= NUM_BUCKETS rows per target), keeps the bucket that
-holds the rank, and repeats on the rows of that bucket.  Once a bucket holds
-at most ``final_rows`` rows (or a single value) the rank is resolved with a
-window over that bounded slice.
-
-Buckets are linear within an octave and logarithmic over wider ranges: the
-first pass over any doubles leaves a range of half an octave at most, and a
-linear pass divides what is left by NUM_BUCKETS, so the 52 bits of a double's
-fraction are used up after a few passes.  There is no cap on the passes: each
-one leaves a smaller range, since both ends of a range are values of it.
+one task.  Here a first scan makes a *log-linear histogram* per group
+(``value_histogram``: buckets of 1/64 octave at fixed places, with count, least and
+largest value).  It merges by adding counts, has a bounded number of rows per group,
+and brackets every rank exactly, however wide the values range.  A second scan
+takes the rows of the buckets that hold a requested rank, and ``kth_smallest``
+resolves the rank with a window over that slice.  Only a slice of more than
+``final_rows`` rows is divided further, by ``NUM_BUCKETS`` buckets over its own
+range per scan, until it is small or a single value; each pass leaves a smaller
+range, since both ends of a range are values of it, so there is no cap on the passes.
 
 ``exact_quantiles`` uses this search; ``method="percentile"`` is for callers
 who know that every group is small.
@@ -26,6 +23,9 @@ from pyspark.sql import functions as F
 from coverlake.session import cut_lineage
 
 NUM_BUCKETS = 4096
+PER_OCTAVE = 64
+BROADCAST_ROWS = 200_000
+"""Value ranges (a few longs each) that are sent to every task; more are joined."""
 
 
 def _scale(v: Column) -> Column:
@@ -52,12 +52,17 @@ def _clean(df: DataFrame, value: str, by) -> DataFrame:
 
 def _attach_range(data: DataFrame, ranges: DataFrame, by) -> DataFrame:
     """Rows within the (disjoint) value ranges of their group, with
-    the range's ends.  Grouped: an equi-join on the group key plus a range
-    residual.  Ungrouped: the few ranges are inlined as a CASE expression."""
+    the range's ends.  Grouped: an equi-join on the group key with the range as
+    a residual.  Ungrouped: the few ranges are inlined as a CASE expression."""
     v = F.col("__v")
     if by:
-        r = ranges.select(*by, "__lo", "__hi")
-        return data.join(r, by, "inner").filter(v.between(F.col("__lo"), F.col("__hi")))
+        r = ranges.select(*[F.col(c).alias(f"__by_{i}") for i, c in enumerate(by)], "__lo", "__hi")
+        if ranges.count() <= BROADCAST_ROWS:
+            r = F.broadcast(r)
+        same = v.between(F.col("__lo"), F.col("__hi"))
+        for i, c in enumerate(by):
+            same = same & (F.col(c) == F.col(f"__by_{i}"))
+        return data.join(r, same, "inner").drop(*[f"__by_{i}" for i in range(len(by))])
     rows = ranges.select("__lo", "__hi").collect()   # <= number of targets
     if not rows:
         return data.limit(0).withColumns({"__lo": F.lit(None).cast("double"), "__hi": F.lit(None).cast("double")})
@@ -69,48 +74,64 @@ def _attach_range(data: DataFrame, ranges: DataFrame, by) -> DataFrame:
     return data.withColumns({"__lo": lo, "__hi": hi}).filter(F.col("__lo").isNotNull())
 
 
-def group_stats(df: DataFrame, value: str, by=()) -> DataFrame:
+def value_histogram(df: DataFrame, value: str, by=(), **extra: Column) -> DataFrame:
+    """Per group and bucket (``__b``): count, least and largest value (``__c``,
+    ``__blo``, ``__bhi``), and ``extra`` aggregates (of ``__v``, or of the columns
+    of ``df``).  Missing values have a bucket of their own, NULL.  Checkpointed: at
+    most a few thousand rows per group."""
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    data = df.withColumn("__v", v).withColumn("__b", F.when(F.col("__v").isNotNull(), F.floor(_scale(F.col("__v")) * PER_OCTAVE).cast("int")))
+    return cut_lineage(data.groupBy(*by, "__b").agg(
+        F.count("__v").alias("__c"), F.min("__v").alias("__blo"), F.max("__v").alias("__bhi"),
+        *[c.alias(name) for name, c in extra.items()]))
+
+
+def group_stats(hist: DataFrame, by=()) -> DataFrame:
     """Per group: min (``__lo``), max (``__hi``) and count (``__n``) of the
-    non-NULL values -- the starting range of ``kth_smallest``."""
-    data = _clean(df, value, list(by))
-    return data.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
-                                 F.count(F.lit(1)).alias("__n"))
+    non-NULL values, from a ``value_histogram``."""
+    known = hist.filter(F.col("__b").isNotNull())
+    return known.groupBy(*by).agg(F.min("__blo").alias("__lo"), F.max("__bhi").alias("__hi"), F.sum("__c").alias("__n"))
+
+
+def _within(targets: DataFrame, hist: DataFrame, by) -> DataFrame:
+    """Each target's bucket: its value range, its rows, the rank in it."""
+    key = list(by) or ["__all"]
+    if not by:
+        targets, hist = targets.withColumn("__all", F.lit(0)), hist.withColumn("__all", F.lit(0))
+    w = Window.partitionBy(*key).orderBy("__b")           # a bounded number of buckets
+    hist = hist.filter(F.col("__b").isNotNull()).withColumn("__cum", F.sum("__c").over(w))
+    found = targets.join(hist, key).filter((F.col("__cum") - F.col("__c") < F.col("__k")) & (F.col("__cum") >= F.col("__k")))
+    return found.select(*by, "__tid", (F.col("__k") - (F.col("__cum") - F.col("__c"))).alias("__k"),
+                        F.col("__blo").alias("__lo"), F.col("__bhi").alias("__hi"), F.col("__c").alias("__n"))
 
 
 def kth_smallest(df: DataFrame, value: str, targets: DataFrame, by=(), *,
-                 final_rows: int = 1_000_000, stats: DataFrame | None = None) -> DataFrame:
+                 final_rows: int = 1_000_000, hist: DataFrame | None = None) -> DataFrame:
     """For each row of ``targets`` (columns ``by`` + ``__tid`` + ``__k``,
     1-based rank within its group) return ``by, __tid, __value``: the
     ``__k``-th smallest non-NULL ``value`` of the group (no row if k > n).
-    ``stats`` = ``group_stats(df, value, by)`` when the caller has it."""
+    ``hist`` = ``value_histogram(df, value, by)`` when the caller has it."""
     by = list(by)
     data = _clean(df, value, by)
-    if stats is None:
-        stats = group_stats(df, value, by)
-    if by:
-        st = targets.join(stats, by, "inner")
-    else:
-        s = stats.first()
-        st = targets.withColumns({"__lo": F.lit(s["__lo"]), "__hi": F.lit(s["__hi"]),
-                                  "__n": F.lit(s["__n"])})
-    st = st.filter(F.col("__k").between(1, F.col("__n")))
+    hist = value_histogram(df, value, by) if hist is None else hist
     # state: one row per target with its current value range and remaining rank
-    st = cut_lineage(st.select(*by, "__tid", "__k", "__lo", "__hi", "__n"))
+    st = cut_lineage(_within(targets.filter(F.col("__k") >= 1), hist, by))
     span = by + ["__lo", "__hi"]
     is_open = (F.col("__n") > final_rows) & (F.col("__lo") < F.col("__hi"))
     passes = 0
     while not st.filter(is_open).isEmpty():
         if passes == 0:
-            data = cut_lineage(data)             # several scans follow: read the source once
+            data = cut_lineage(_attach_range(data, st.filter(is_open).select(*span).distinct(), by).select(*by, "__v").unionByName(
+                _attach_range(data, st.filter(~is_open & (F.col("__lo") < F.col("__hi"))).select(*span).distinct(), by).select(*by, "__v")))
         passes += 1
         rows = _attach_range(data, st.filter(is_open).select(*span).distinct(), by)
         idx = _bucket(F.col("__v"), F.col("__lo"), F.col("__hi"))
-        hist = rows.groupBy(*span, idx.alias("__b")).agg(
+        part = rows.groupBy(*span, idx.alias("__b")).agg(
             F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__blo"), F.max("__v").alias("__bhi"))
         w = Window.partitionBy(*span).orderBy("__b")      # <= NUM_BUCKETS rows per range
-        hist = hist.withColumn("__cum", F.sum("__c").over(w))
+        part = part.withColumn("__cum", F.sum("__c").over(w))
         open_t = st.filter(is_open).select(*span, "__tid", "__k")
-        picked = (open_t.join(hist, span)
+        picked = (open_t.join(part, span)
                         .filter((F.col("__cum") - F.col("__c") < F.col("__k")) & (F.col("__cum") >= F.col("__k")))
                         .select(*by, "__tid", (F.col("__k") - (F.col("__cum") - F.col("__c"))).alias("__k"),
                                 F.col("__blo").alias("__lo"), F.col("__bhi").alias("__hi"),
@@ -127,12 +148,12 @@ def kth_smallest(df: DataFrame, value: str, targets: DataFrame, by=(), *,
 
 
 def exact_quantiles(df: DataFrame, value: str, probs, by=(), *, prefix: str = "q", method: str = "search",
-                    stats: DataFrame | None = None) -> DataFrame:
+                    hist: DataFrame | None = None) -> DataFrame:
     """Linear-interpolated quantiles (pandas / numpy default) per group:
     one column ``{prefix}_{int(p*100)}`` per probability (the name keeps
     decimals as ``_``).  ``method``: ``"search"`` (any group size) or
     ``"percentile"`` (Spark's own aggregate, whose state is a group's distinct
-    values: for groups known to be small).  ``stats`` = ``group_stats(df,
+    values: for groups known to be small).  ``hist`` = ``value_histogram(df,
     value, by)`` when the caller has it."""
     by = list(by)
     names = [f"{prefix}_{str(round(p * 100, 6)).rstrip('0').rstrip('.').replace('.', '_')}" for p in probs]
@@ -142,11 +163,12 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=(), *, prefix: str = "q
         return agg.select(*by, *[F.col("__qs")[i].alias(n) for i, n in enumerate(names)])
     if method != "search":
         raise ValueError(f"unknown method {method!r}")
-    return _quantiles_by_selection(df, value, probs, by, names, stats)
+    return _quantiles_by_selection(df, value, probs, by, names, hist)
 
 
-def _quantiles_by_selection(df, value, probs, by, names, stats=None):
-    stats = cut_lineage(group_stats(df, value, by) if stats is None else stats)     # one row per group
+def _quantiles_by_selection(df, value, probs, by, names, hist=None):
+    hist = value_histogram(df, value, by) if hist is None else hist
+    stats = group_stats(hist, by)                                                   # one row per group
     h = (F.col("__n") - 1) * F.col("__p")
     asked = F.explode(F.array(*[F.struct(F.lit(i).alias("__pi"), F.lit(float(p)).alias("__p")) for i, p in enumerate(probs)]))
     plan = (stats.filter(F.col("__n") > 0).select(*by, "__n", asked.alias("__a")).select(*by, "__n", "__a.*")
@@ -155,7 +177,7 @@ def _quantiles_by_selection(df, value, probs, by, names, stats=None):
     ranks = (plan.select(*by, F.col("__klo").alias("__k"))
                  .unionByName(plan.select(*by, F.col("__khi").alias("__k"))).distinct()
                  .withColumn("__tid", F.col("__k")))
-    vals = cut_lineage(kth_smallest(df, value, ranks, by, stats=stats))             # a row per rank
+    vals = cut_lineage(kth_smallest(df, value, ranks, by, hist=hist))               # a row per rank
     lo = vals.select(*by, F.col("__tid").alias("__klo"), F.col("__value").alias("__vlo"))
     hi = vals.select(*by, F.col("__tid").alias("__khi"), F.col("__value").alias("__vhi"))
     q = (plan.join(lo, by + ["__klo"]).join(hi, by + ["__khi"])

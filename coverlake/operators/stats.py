@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coverlake.operators import bins as B
-from coverlake.operators.quantiles import exact_quantiles
+from coverlake.operators.quantiles import exact_quantiles, value_histogram
 from coverlake.session import cut_lineage, shuffle_partitions
 
 
@@ -83,17 +83,23 @@ def histograms(spark: SparkSession, df: DataFrame, features, k: int = 10) -> Dat
 
 
 def numeric_summary(df: DataFrame, columns) -> DataFrame:
-    """A15 (``DataFrame.describe()`` with exact quartiles): moments in one
-    pass over a long (column, value) view, which also gives the quartile search
-its starting ranges; NaN counts as missing."""
+    """A15 (``DataFrame.describe()`` with exact quartiles) over a long (column,
+    value) view; NaN counts as missing.  One scan gives a histogram per column
+    with sums and variances per bucket, from which the moments follow; a second
+    one the rows of the buckets that hold a quartile."""
     longf = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("v"))
                                           for c in columns])).alias("cv")).select("cv.column", "cv.v"))
-    stats = cut_lineage(longf.groupBy("column").agg(
-        F.min("v").alias("__lo"), F.max("v").alias("__hi"), F.count("v").alias("__n"),
-        F.avg("v").alias("__mean"), F.stddev_samp("v").alias("__std")))      # one row per column
-    moments = stats.select("column", F.col("__n").alias("count"), r9(F.col("__mean")).alias("mean"),
-                           r9(F.col("__std")).alias("std"), r9(F.col("__lo")).alias("min"), r9(F.col("__hi")).alias("max"))
-    qs = exact_quantiles(longf, "v", [0.25, 0.5, 0.75], ["column"], prefix="q", stats=stats.select("column", "__lo", "__hi", "__n"))
+    hist = value_histogram(longf, "v", ["column"], __sum=F.sum("__v"), __var=F.var_pop("__v"))
+    stats = hist.groupBy("column").agg(F.min("__blo").alias("__lo"), F.max("__bhi").alias("__hi"), F.sum("__c").alias("__n"),
+                                       (F.sum("__sum") / F.sum("__c")).alias("__mean"))      # one row per column
+    away = F.col("__sum") / F.col("__c") - F.col("__mean")
+    spread = hist.filter("__c > 0").join(F.broadcast(stats.select("column", "__mean")), "column").groupBy("column").agg(
+        F.sum(F.col("__c") * (F.col("__var") + away * away)).alias("__ss"))
+    std = F.sqrt(F.col("__ss") / F.when(F.col("__n") > 1, F.col("__n") - 1))
+    moments = stats.join(spread, "column", "left").select(
+        "column", F.col("__n").alias("count"), r9(F.col("__mean")).alias("mean"), r9(std).alias("std"),
+        r9(F.col("__lo")).alias("min"), r9(F.col("__hi")).alias("max"))
+    qs = exact_quantiles(longf, "v", [0.25, 0.5, 0.75], ["column"], prefix="q", hist=hist)
     out = moments.join(qs, "column", "left")
     return out.select("column", "count", "mean", "std", "min", *[r9(F.col(c)).alias(c) for c in ("q_25", "q_50", "q_75")],
                       "max").withColumnsRenamed({"q_25": "q25", "q_50": "q50", "q_75": "q75"})
