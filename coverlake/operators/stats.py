@@ -3,12 +3,15 @@ summary, Spearman matrix (A11, A15, A16, A21, A22)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coverlake.operators import bins as B
 from coverlake.operators.quantiles import exact_quantiles, value_histogram
-from coverlake.session import cut_lineage, shuffle_partitions
+from coverlake.session import cut_lineage, importable, shuffle_partitions
 
 
 def number(c: str):
@@ -105,46 +108,109 @@ def numeric_summary(df: DataFrame, columns) -> DataFrame:
                       "max").withColumnsRenamed({"q_25": "q25", "q_50": "q50", "q_75": "q75"})
 
 
-def average_ranks(counts: DataFrame, by, value: str, count: str = "__c", out: str = "__rk") -> DataFrame:
-    """(by, value) -> average rank within ``by`` (ties share the mean of their
-    positions): ``rows below the value + (count + 1) / 2``, from a table of
-    distinct values with their counts.  Values are range-partitioned on (by,
-    value); each partition's running sum starts at the sum of those before it
-    (one row per partition), so no column is ever sorted in one task."""
-    by = list(by)
-    parts = shuffle_partitions(counts.sparkSession)
-    ranged = cut_lineage(counts.repartitionByRange(parts, *by, value).withColumn("__pid", F.spark_partition_id()))
-    totals = ranged.groupBy(*by, "__pid").agg(F.sum(count).alias("__t"))          # <= partitions + groups rows
-    before = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "__pid", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__off"))
-    local = Window.partitionBy(*by, "__pid").orderBy(value)
-    return (ranged.join(F.broadcast(offsets), by + ["__pid"])
-                  .select(*by, value, (F.col("__off") + F.sum(count).over(local) - F.col(count)
-                                       + (F.col(count) + 1) / 2.0).alias(out)))
+HEAVY = 1000
+"""Values of a column that a dictionary holds at most; any other value has about one row in so many at most."""
+
+
+def heavy_values(long_: DataFrame) -> DataFrame:
+    """(__col, __v, __w): the most frequent values of each column, as a mergeable
+    sketch finds them, with their exact counts: at most ``HEAVY`` rows a column."""
+    top = long_.groupBy("__col").agg(F.expr(f"approx_top_k(__v, {HEAVY}, {20 * HEAVY})").alias("t"))
+    items = cut_lineage(top.select("__col", F.explode("t").alias("t")).select("__col", F.col("t.item").alias("__v")))
+    found = long_.join(F.broadcast(items), ["__col", "__v"]).groupBy("__col", "__v").agg(F.count(F.lit(1)).alias("__w"))
+    return cut_lineage(found)
+
+
+def _local_ranks(batches):
+    """Average ranks within one partition of cells sorted by (column, value): rows
+    of the column below, plus half of the ties and a half.  The last value of a
+    batch waits for the next one; ties are few, since frequent values are one
+    weighted cell."""
+    waiting, column, below = None, None, 0.0
+
+    def ranked(table):
+        nonlocal column, below
+        col, v, w = (table.column(c).to_numpy() for c in ("__col", "__v", "__w"))
+        new = np.ones(len(col), dtype=bool)
+        new[1:] = (col[1:] != col[:-1]) | (v[1:] != v[:-1])
+        first = np.flatnonzero(new)
+        weight = np.add.reduceat(w, first).astype(np.float64)
+        before = np.cumsum(weight) - weight
+        opens = np.ones(len(first), dtype=bool)
+        opens[1:] = col[first[1:]] != col[first[:-1]]
+        start = before[opens] - np.where(col[first[opens]] == column, below, 0.0)       # only the first column can go on
+        before = before - np.repeat(start, np.diff(np.append(np.flatnonzero(opens), len(first))))
+        column, below = col[-1], before[-1] + weight[-1]
+        rank = np.repeat(before + (weight + 1) / 2, np.diff(np.append(first, len(col))))
+        return pa.RecordBatch.from_arrays([table.column(c).combine_chunks() for c in ("__col", "__v", "__w", "__row")] + [
+            pa.array(np.full(len(col), TaskContext.get().partitionId(), np.int32)), pa.array(rank)],
+            names=["__col", "__v", "__w", "__row", "__pid", "__rk"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([batch])])
+        if not table.num_rows:
+            continue
+        col, v = table.column("__col").to_numpy(), table.column("__v").to_numpy()
+        last = int(np.flatnonzero((col != col[-1]) | (v != v[-1]))[-1]) + 1 if ((col != col[-1]) | (v != v[-1])).any() else 0
+        if last:
+            yield ranked(table.slice(0, last))
+        waiting = table.slice(last)
+    if waiting is not None and waiting.num_rows:
+        yield ranked(waiting)
+
+
+def average_ranks(cells: DataFrame) -> DataFrame:
+    """``cells`` (__col int, __v double, __w weight, __row) with the average rank
+    ``__rk`` of each value in its column, a weight of w counting as w equal rows.
+    The cells are range-partitioned on (column, value) and ranked in place; a
+    partition's offset is the weight of its column before it (a row per partition
+    and column), so no column is sorted in one task and nothing is joined back."""
+    importable(cells.sparkSession)
+    parts = shuffle_partitions(cells.sparkSession)
+    ranged = cells.repartitionByRange(parts, "__col", "__v").sortWithinPartitions("__col", "__v")
+    local = cut_lineage(ranged.mapInArrow(_local_ranks, "__col int, __v double, __w bigint, __row bigint, __pid int, __rk double"))
+    totals = local.groupBy("__col", "__pid").agg(F.sum("__w").alias("__t"))
+    before = Window.partitionBy("__col").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__col", "__pid", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__off"))
+    return local.join(F.broadcast(offsets), ["__col", "__pid"]).select("__col", "__v", "__row", (F.col("__rk") + F.col("__off")).alias("__rk"))
 
 
 def spearman_long(df: DataFrame, columns) -> DataFrame:
     """Spearman matrix = Pearson correlation of average ranks (booleans
     as 0/1), rows with a missing value in any column dropped.
 
-    One aggregate counts rows per (column, value) over a long view, one
-    range-partitioned pass ranks all columns, and the ranks meet the long
-    view again in one join on (column, value); a row's ranks are regrouped by
-    its id, and all pairwise ``corr`` run in one pass.  Upper triangle as
-    (col_a, col_b, rho)."""
-    num = df.select(*[number(c).alias(c) for c in columns]).na.drop()
+    Frequent values (all values of a boolean or of a short list of levels) have
+    their rank in a bounded dictionary that every task gets; they are never
+    shuffled as rows and make no hot key.  The other cells are ranked in place by
+    one range partitioning and put back to their row by one grouping.  A table whose
+    values are all in the dictionary is not shuffled at all.  Then all pairwise
+    ``corr`` run in one pass.  Upper triangle as (col_a, col_b, rho)."""
+    columns, n_cols = list(columns), len(columns)
+    num = df.select(*[(number(c) + F.lit(0.0)).alias(f"__c{k}") for k, c in enumerate(columns)]).na.drop()
     num = cut_lineage(num.withColumn("__row", F.monotonically_increasing_id()))      # ids are fixed by the checkpoint
-    long_ = num.select("__row", F.explode(F.array(*[F.struct(F.lit(c).alias("__col"), F.col(c).alias("__v"))
-                                                    for c in columns])).alias("p")).select("__row", "p.*")
-    counts = long_.groupBy("__col", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    ranks = average_ranks(counts, ["__col"], "__v")
-    ranked = long_.join(ranks, ["__col", "__v"]).groupBy("__row").agg(
-        *[F.max(F.when(F.col("__col") == c, F.col("__rk"))).alias(f"__rk_{c}") for c in columns])
+    long_ = num.select("__row", F.explode(F.array(*[F.struct(F.lit(k).alias("__col"), F.col(f"__c{k}").alias("__v"))
+                                                    for k in range(n_cols)])).alias("p")).select("__row", "p.*")
+    heavy, n = heavy_values(long_), num.count()
+    in_dictionary = {r[0]: r[1] for r in heavy.groupBy("__col").agg(F.sum("__w")).collect()}       # a row per column
+    light = [k for k in range(n_cols) if in_dictionary.get(k, 0) < n]
+    cells = heavy.select("__col", "__v", "__w", F.lit(None).cast("bigint").alias("__row"))
+    if light:
+        rare = long_.filter(F.col("__col").isin(light)).join(F.broadcast(heavy.select("__col", "__v")), ["__col", "__v"], "left_anti")
+        cells = cells.unionByName(rare.select("__col", "__v", F.lit(1).cast("bigint").alias("__w"), "__row"))
+    ranks = average_ranks(cells)
+    known, ranked = ranks.filter("__row IS NULL"), num.select("__row", *[f"__c{k}" for k in range(n_cols)])
+    for k in range(n_cols):
+        mine = known.filter(F.col("__col") == k).select(F.col("__v").alias(f"__c{k}"), F.col("__rk").alias(f"__rk_{k}"))
+        ranked = ranked.join(F.broadcast(mine), f"__c{k}", "left")
+    ranked = ranked.select("__row", *[f"__rk_{k}" for k in range(n_cols)])
+    if light:
+        found = ranks.filter("__row IS NOT NULL").select("__row", *[F.when(F.col("__col") == k, F.col("__rk")).alias(f"__rk_{k}") for k in range(n_cols)])
+        ranked = ranked.unionByName(found).groupBy("__row").agg(*[F.max(f"__rk_{k}").alias(f"__rk_{k}") for k in range(n_cols)])
     aggs, names = [], []
     for i, a in enumerate(columns):
-        for b in columns[i:]:
-            aggs.append(F.corr(f"__rk_{a}", f"__rk_{b}").alias(f"{a}|{b}"))
-            names.append((a, b))
+        for j in range(i, n_cols):
+            aggs.append(F.corr(f"__rk_{i}", f"__rk_{j}").alias(f"{a}|{columns[j]}"))
+            names.append((a, columns[j]))
     row = ranked.agg(*aggs).first()
     rows = [(a, b, None if row[f"{a}|{b}"] is None else float(round(row[f"{a}|{b}"], 9))) for a, b in names]
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, rho double")

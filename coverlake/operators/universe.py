@@ -2,8 +2,8 @@
 
 Membership and link tables are interval tables.  Membership is evaluated at
 change dates only (as in the reference: link changes between change dates
-are not seen).  Joins are equi-joins on a key (permno / date bucket) with
-the interval test as residual; the per-date tables that meet the big quote
+are not seen).  Validity periods meet dates in dyadic range joins (equi-joins on
+key and block, no pair outside its period); the per-date tables that meet the big quote
 table (change-date segments, date -> change date map) have one row per
 calendar date at most; only those are hinted for broadcast.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverlake.functions.quote import fill_open_end
-from coverlake.operators.joins import bucketed_range_join, covered_points, day_coverage
+from coverlake.operators.joins import bucketed_range_join, covered_points, day_coverage, dyadic_range_join
 from coverlake.session import cut_lineage
 
 
@@ -100,16 +100,14 @@ def member_lists(dates: DataFrame, members: DataFrame) -> DataFrame:
 def members_with_returns(index_list: DataFrame, returns: DataFrame) -> DataFrame:
     """Membership x monthly returns on permno with start <= date <= ending
     (closed)."""
-    return (index_list.join(returns, "permno", "inner")
-                      .filter(F.col("date").between(F.col("start"), F.col("ending"))))
+    return dyadic_range_join(returns, index_list, "date", "start", "ending", keys=("permno",), closed_end=True)
 
 
 def names_in_force(df: DataFrame, names: DataFrame, as_of: _dt.date) -> DataFrame:
     """P11 + J9: open name end -> as-of date, then namedt <= date <= nameendt
     (a left merge followed by the range filter, i.e. an inner join)."""
     n = names.withColumn("nameendt", fill_open_end("nameendt", as_of))
-    return (df.join(n, "permno", "inner")
-              .filter(F.col("date").between(F.col("namedt"), F.col("nameendt"))))
+    return dyadic_range_join(df, n, "date", "namedt", "nameendt", keys=("permno",), closed_end=True)
 
 
 def usable_links(links: DataFrame, as_of: _dt.date) -> DataFrame:
@@ -121,5 +119,4 @@ def usable_links(links: DataFrame, as_of: _dt.date) -> DataFrame:
 
 def links_in_force(df: DataFrame, links: DataFrame) -> DataFrame:
     """Linkdt <= date <= linkenddt."""
-    return (df.join(links, "permno", "inner")
-              .filter(F.col("date").between(F.col("linkdt"), F.col("linkenddt"))))
+    return dyadic_range_join(df, links, "date", "linkdt", "linkenddt", keys=("permno",), closed_end=True)

@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from coverlake.operators.quotes import attach_spot, screen_quotes
 from coverlake.queries._sql import KEYS
 from coverlake.queries.cleaning import CLEAN_SQL, SCREEN_SQL, q_clean_features
 from coverlake.registry import register
-from coverlake.session import cut_lineage
+from coverlake.session import cut_lineage, shuffle_partitions
 from coverlake.sources import fixtures as fx
 from coverlake.sources import io
 from coverlake.sources.fixtures import KEY_COLS
@@ -81,3 +82,34 @@ def q_incremental_load(spark, sf_dir):
     incremental.land_files(quotes.filter(late | (F.dayofmonth("date") == 15)), landing, mode="append")
     out = incremental.ingest_available(spark, landing, target, ckpt, quotes.schema, **run)
     return out.select(*KEY_COLS, "secid", "best_bid")
+
+
+@register("positional_concat", f"SELECT {KEYS}, y_true, lb, pp, ub FROM predictions")
+def q_positional_concat(spark, sf_dir):
+    """J13 by position: features with their keys in one Parquet set, predictions
+    without any key in another of the same row order and other file sizes, put
+    side by side by storage position."""
+    pred = fx.predictions(spark, sf_dir)
+    one, two = io.scratch_path(spark, "features"), io.scratch_path(spark, "intervals")
+    keyed = pred.select(*KEY_COLS, "y_true", "lb", "pp", "ub")
+    keyed.repartitionByRange(5, *KEY_COLS).sortWithinPartitions(*KEY_COLS).select(*KEY_COLS, "y_true").write.parquet(one)
+    keyed.repartitionByRange(7, *KEY_COLS).sortWithinPartitions(*KEY_COLS).select("lb", "pp", "ub").write.parquet(two)
+    return io.zip_by_position(spark.read.parquet(one), spark.read.parquet(two))
+
+
+@register("spot_lookup_bucketed", f"""
+SELECT {', '.join('s.' + c for c in KEY_COLS)}, s.secid, round(p.close, 9) AS spot_price
+FROM (SELECT * FROM quotes WHERE {SCREEN_SQL}) s LEFT JOIN prices p ON p.secid = s.secid AND p.date = s.date""")
+def q_spot_lookup_bucketed(spark, sf_dir):
+    """J1 on co-partitioned tables: screened quotes and closes stored by
+    (secid, date), looked up without a shuffle of either side."""
+    names, buckets = [], shuffle_partitions(spark)
+    for kind, df in (("quotes", screen_quotes(fx.quotes(spark, sf_dir)).select(*KEY_COLS, "secid")), ("prices", fx.prices(spark, sf_dir))):
+        path = io.scratch_path(spark, f"bucketed-{kind}")
+        names.append(f"coverlake_{kind}_" + path.rsplit("-", 1)[-1])
+        io.write_bucketed(df, names[-1], ["secid", "date"], buckets, path)
+    quotes, prices = (spark.table(n) for n in names)
+    out = attach_spot(quotes.hint("merge"), prices).select(*KEY_COLS, "secid", F.round("spot_price", 9).alias("spot_price"))
+    for n in names:
+        spark.sql(f"DROP TABLE {n}")             # the names go, the files stay in the scratch folder
+    return out

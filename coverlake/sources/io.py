@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -81,3 +81,36 @@ def read_year(spark: SparkSession, path: str, year: int) -> DataFrame:
     directories (PartitionFilters in the scan), i.e. date >= y-01-01 and
     date < (y+1)-01-01 without touching other years."""
     return spark.read.parquet(path).filter(F.col("year") == year)
+
+
+# --- alignment by storage position (J13, P7, W1) ------------------------------
+
+def with_position(files: DataFrame, col: str = "position") -> DataFrame:
+    """0-based position of each row of a Parquet scan in storage order: files by
+    path, rows as they stand.  A row's place in its file comes with the scan; the
+    files' offsets are a running sum over one row per file.  Only a scan (and
+    projections of it) has positions; they do not depend on how it is split."""
+    placed = files.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    sizes = files.select(F.col("_metadata.file_path").alias("__file")).groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)       # a row per file
+    offsets = sizes.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return placed.join(F.broadcast(offsets), "__file").withColumn(col, F.col("__off") + F.col("__at")).drop("__file", "__at", "__off")
+
+
+def zip_by_position(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two Parquet scans side by side, row by row, without a key (the
+    reference's column-wise concatenation).  Unequal lengths raise: a shorter
+    side would leave rows without a partner."""
+    a, b = left.count(), right.count()           # from the file footers
+    if a != b:
+        raise ValueError(f"{a} rows on the left, {b} on the right")
+    return with_position(left, "__pos").join(with_position(right, "__pos"), "__pos").drop("__pos")
+
+
+# --- co-partitioned storage (J1, J13) ----------------------------------------------
+
+def write_bucketed(df: DataFrame, name: str, keys, buckets: int, path: str | None = None) -> None:
+    """A table hashed and sorted by ``keys`` into ``buckets`` files: tables written
+    with the same keys and number join and aggregate on them without a shuffle."""
+    w = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    (w.option("path", path) if path else w).saveAsTable(name)
