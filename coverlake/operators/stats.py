@@ -3,6 +3,8 @@ summary, Spearman matrix (A11, A15, A16, A21, A22)."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -171,7 +173,7 @@ def average_ranks(cells: DataFrame) -> DataFrame:
     local = cut_lineage(ranged.mapInArrow(_local_ranks, "__col int, __v double, __w bigint, __row bigint, __pid int, __rk double"))
     totals = local.groupBy("__col", "__pid").agg(F.sum("__w").alias("__t"))
     before = Window.partitionBy("__col").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__col", "__pid", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__off"))
+    offsets = cut_lineage(totals.select("__col", "__pid", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__off")))
     return local.join(F.broadcast(offsets), ["__col", "__pid"]).select("__col", "__v", "__row", (F.col("__rk") + F.col("__off")).alias("__rk"))
 
 
@@ -184,7 +186,7 @@ def spearman_long(df: DataFrame, columns) -> DataFrame:
     shuffled as rows and make no hot key.  The other cells are ranked in place by
     one range partitioning and put back to their row by one grouping.  A table whose
     values are all in the dictionary is not shuffled at all.  Then all pairwise
-    ``corr`` run in one pass.  Upper triangle as (col_a, col_b, rho)."""
+    sums of products run in one pass.  Upper triangle as (col_a, col_b, rho)."""
     columns, n_cols = list(columns), len(columns)
     num = df.select(*[(number(c) + F.lit(0.0)).alias(f"__c{k}") for k, c in enumerate(columns)]).na.drop()
     num = cut_lineage(num.withColumn("__row", F.monotonically_increasing_id()))      # ids are fixed by the checkpoint
@@ -198,7 +200,7 @@ def spearman_long(df: DataFrame, columns) -> DataFrame:
         rare = long_.filter(F.col("__col").isin(light)).join(F.broadcast(heavy.select("__col", "__v")), ["__col", "__v"], "left_anti")
         cells = cells.unionByName(rare.select("__col", "__v", F.lit(1).cast("bigint").alias("__w"), "__row"))
     ranks = average_ranks(cells)
-    known, ranked = ranks.filter("__row IS NULL"), num.select("__row", *[f"__c{k}" for k in range(n_cols)])
+    known, ranked = cut_lineage(ranks.filter("__row IS NULL")), num.select("__row", *[f"__c{k}" for k in range(n_cols)])
     for k in range(n_cols):
         mine = known.filter(F.col("__col") == k).select(F.col("__v").alias(f"__c{k}"), F.col("__rk").alias(f"__rk_{k}"))
         ranked = ranked.join(F.broadcast(mine), f"__c{k}", "left")
@@ -206,11 +208,14 @@ def spearman_long(df: DataFrame, columns) -> DataFrame:
     if light:
         found = ranks.filter("__row IS NOT NULL").select("__row", *[F.when(F.col("__col") == k, F.col("__rk")).alias(f"__rk_{k}") for k in range(n_cols)])
         ranked = ranked.unionByName(found).groupBy("__row").agg(*[F.max(f"__rk_{k}").alias(f"__rk_{k}") for k in range(n_cols)])
-    aggs, names = [], []
-    for i, a in enumerate(columns):
-        for j in range(i, n_cols):
-            aggs.append(F.corr(f"__rk_{i}", f"__rk_{j}").alias(f"{a}|{columns[j]}"))
-            names.append((a, columns[j]))
-    row = ranked.agg(*aggs).first()
-    rows = [(a, b, None if row[f"{a}|{b}"] is None else float(round(row[f"{a}|{b}"], 9))) for a, b in names]
+    # average ranks of n rows have the mean (n + 1) / 2, so the correlations are sums of products
+    away = [F.col(f"__rk_{k}") - F.lit((n + 1) / 2) for k in range(n_cols)]
+    pairs = [(i, j) for i in range(n_cols) for j in range(i, n_cols)]
+    row = ranked.agg(*[F.sum(away[i] * away[j]).alias(f"{i}|{j}") for i, j in pairs]).first()
+
+    def rho(i, j):
+        size = math.sqrt((row[f"{i}|{i}"] or 0.0) * (row[f"{j}|{j}"] or 0.0))
+        return float(round(row[f"{i}|{j}"] / size, 9)) if size else None
+
+    rows = [(columns[i], columns[j], rho(i, j)) for i, j in pairs]
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, rho double")
