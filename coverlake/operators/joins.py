@@ -1,4 +1,4 @@
-"""Join helpers: bucketed and dyadic range joins, day-coverage bitmaps.
+"""Join helpers: bucketed and dyadic range joins, as-of merge, day-coverage bitmaps.
 
 Spark has no native range or as-of join.  A range condition alone plans as a
 nested-loop join; these helpers always give Spark an equi-key (an exact key
@@ -8,9 +8,15 @@ hinted for broadcast: the planner and AQE decide on measured bytes.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coverlake.session import cut_lineage, importable, shuffle_partitions
+
 def bucketed_range_join(points: DataFrame, intervals: DataFrame, point_col: str,
                         start_col: str, end_col: str, *, keys: tuple[str, ...] = (),
                         closed_end: bool = False, bucket_days: int = 32, how: str = "inner") -> DataFrame:
@@ -92,6 +98,98 @@ def dyadic_range_join(points: DataFrame, intervals: DataFrame, point_col: str, s
     return pts.join(iv, cond, "inner").drop(*[iv[k] for k in keys]).drop("__at", "__in")
 
 
+# --- as-of merge --------------------------------------------------------------------
+#
+# Points and events of all keys are sorted together once: one range partitioning on
+# (key, time), whatever the number of events of a key or the gap between them.  Each
+# partition is read in order and remembers its last event; the last event of the
+# partitions before (a row per partition) is handed to it, since the event that a
+# point wants may lie there.  Nothing is grouped by key and nothing is exploded.
+
+
+def _last_events(batches):
+    """The last event of a partition, with the partition's number."""
+    last = None
+    for batch in batches:
+        at = np.flatnonzero(batch.column("__side").to_numpy() == 0)
+        if len(at):
+            last = batch.slice(int(at[-1]), 1)
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([*last.columns, pa.array([TaskContext.get().partitionId()], pa.int32())], names=[*last.schema.names, "__pid"])
+
+
+def _same_as_before(table: pa.Table, names) -> np.ndarray:
+    """Has a row the keys of the row before it?  (A missing key equals nothing.)"""
+    same = np.ones(max(0, table.num_rows - 1), dtype=bool)
+    for name in names:
+        column = table.column(name).combine_chunks()
+        same &= pc.fill_null(pc.equal(column.slice(1), column.slice(0, len(column) - 1)), False).to_numpy(zero_copy_only=False)
+    return same
+
+
+def asof_merge(points: DataFrame, events: DataFrame, point_time: str, event_time: str, *, keys: tuple[str, ...] = (),
+               strict: bool = False, how: str = "left") -> DataFrame:
+    """Each point with the last event of its key at or before it (``strict``:
+    before it): the point's columns, then the event's other than ``keys``.  Among
+    events of one key and time the one with the largest columns, in their order,
+    counts.  A point without an event, or with a missing key or time, has NULLs
+    (``how="left"``) or is left out (``"inner"``); events with a missing key or time
+    are nobody's.  Dates and timestamps of any resolution."""
+    spark = points.sparkSession
+    importable(spark)
+    extra = [c for c in events.columns if c not in keys]
+    clash = {c.lower() for c in extra} & {c.lower() for c in points.columns}
+    if clash:
+        raise ValueError(f"columns on both sides: {sorted(clash)}")
+    usable = events.filter(F.col(event_time).isNotNull())
+    for k in keys:
+        usable = usable.filter(F.col(k).isNotNull())
+    both = points.select(F.col(point_time).alias("__t"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.lit(1).alias("__side"),
+                         *[F.col(c).alias(f"p{i}") for i, c in enumerate(points.columns)])
+    both = both.unionByName(usable.select(F.col(event_time).alias("__t"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+                                          F.lit(0).alias("__side"), *[F.col(c).alias(f"e{i}") for i, c in enumerate(extra)]), allowMissingColumns=True)
+    key_cols, event_cols = [f"__k{i}" for i in range(len(keys))], [f"e{i}" for i in range(len(extra))]
+    side = F.desc("__side") if strict else F.asc("__side")
+    parts = shuffle_partitions(spark)
+    ranged = cut_lineage(both.repartitionByRange(parts, *key_cols, "__t").sortWithinPartitions(*key_cols, "__t", side, *event_cols))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema)
+    lasts = ranged.mapInArrow(_last_events, f"{fields}, __pid int").toArrow()                  # a row per partition
+    order = np.argsort(lasts.column("__pid").to_numpy(), kind="stable")
+    handed = spark.sparkContext.broadcast((lasts.column("__pid").to_numpy()[order], lasts.drop_columns(["__pid"]).take(pa.array(order))))
+
+    point_cols = [f"p{i}" for i in range(len(points.columns))]
+
+    def run(batches):
+        numbers, rows = handed.value
+        at = int(np.searchsorted(numbers, TaskContext.get().partitionId())) - 1                # the nearest partition before with an event
+        carry = rows.slice(at, 1) if at >= 0 else None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if carry is None else pa.concat_tables([carry.cast(table.schema), table])
+            n = table.num_rows
+            is_event = table.column("__side").to_numpy() == 0
+            last = np.maximum.accumulate(np.where(is_event, np.arange(n), -1))
+            group = np.concatenate([[0], np.cumsum(~_same_as_before(table, key_cols))])
+            point = np.flatnonzero(~is_event & (np.arange(n) >= n - batch.num_rows))
+            known = ~pc.is_null(table.column("__t")).to_numpy()[point]
+            j = last[point]
+            good = known & (j >= 0) & (group[j] == group[point])
+            keep = point if how == "left" else point[good]
+            take = pa.array(np.where(good, j, 0) if how == "left" else j[good], mask=~good if how == "left" else None)
+            yield from _beside(table, point_cols, keep, event_cols, take)
+            carry = table.slice(int(last[-1]), 1) if last[-1] >= 0 else None
+
+    schema = ", ".join(f"p{i} {points.schema[c].dataType.simpleString()}" for i, c in enumerate(points.columns))
+    schema += "".join(f", e{i} {events.schema[c].dataType.simpleString()}" for i, c in enumerate(extra))
+    return ranged.mapInArrow(run, schema).toDF(*points.columns, *extra)
+
+
+def _beside(table: pa.Table, left, rows, right, others):
+    """Columns of some rows beside columns of other rows."""
+    a, b = table.select(left).take(pa.array(rows)), table.select(right).take(others)
+    yield from pa.table([*a.columns, *b.columns], names=[*left, *right]).combine_chunks().to_batches()
+
+
 # --- day-coverage bitmaps -----------------------------------------------------
 #
 # When only *whether* some interval covers a date matters (semi-join

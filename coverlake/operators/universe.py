@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverlake.functions.quote import fill_open_end
-from coverlake.operators.joins import bucketed_range_join, covered_points, day_coverage, dyadic_range_join
+from coverlake.operators.joins import asof_merge, covered_points, day_coverage, dyadic_range_join
 from coverlake.session import cut_lineage
 
 
@@ -58,14 +58,9 @@ def change_segments(dates: DataFrame) -> DataFrame:
 
 def asof_change_date(trading_dates: DataFrame, dates: DataFrame, date_col: str = "date") -> DataFrame:
     """For each trading date the last change date <= it (dates before the
-    first change date drop out).  Works on distinct trading dates."""
-    seg = change_segments(dates)
-    # the open last segment ends the day after the latest trading date
-    last_day = trading_dates.agg(F.date_add(F.max(date_col), 1)).scalar()
-    seg = seg.withColumn("next_change", F.coalesce(F.col("next_change"), F.greatest(last_day, F.col("change_date"))))
+    first change date drop out), by one ordered merge of both."""
     td = trading_dates.select(date_col).distinct()
-    return (bucketed_range_join(td, seg, date_col, "change_date", "next_change", bucket_days=32)
-            .select(date_col, "change_date"))
+    return asof_merge(td, dates.select("change_date"), date_col, "change_date", how="inner")
 
 
 def restrict_to_universe(quotes: DataFrame, dates: DataFrame, members: DataFrame,

@@ -133,3 +133,39 @@ def test_average_ranks_across_partitions_and_batches(spark):
         below = sum(w for c, x, w, _ in cells if c == col and x < v)
         ties = sum(w for c, x, w, _ in cells if c == col and x == v)
         assert got[k] == below + (ties + 1) / 2
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_asof_merge_equals_brute_force(spark, strict, how):
+    rng = random.Random(7)
+    moment = lambda: rng.choice([None] + [dt.datetime(2020, 1, 1, 9, 0, rng.randrange(60), rng.randrange(3))] * 12)
+    pts = [(rng.choice(["a", "b", "c", None]), moment(), k) for k in range(400)]
+    evs = [(rng.choice(["a", "b", None]), moment(), rng.randrange(50)) for _ in range(60)]
+    p = spark.createDataFrame(pts, "key string, at timestamp, id int").repartition(5)
+    e = spark.createDataFrame(evs, "key string, seen timestamp, x int").repartition(3)
+    got = sorted((r["id"], r["key"], r["at"], r["seen"], r["x"]) for r in J.asof_merge(p, e, "at", "seen", keys=("key",), strict=strict, how=how).collect())
+    want = []
+    for key, at, k in pts:
+        able = [(t, x) for q, t, x in evs if None not in (key, at, t) and q == key and (t < at if strict else t <= at)]
+        if able or how == "left":
+            want.append((k, key, at, *(max(able) if able else (None, None))))
+    assert got == sorted(want)
+
+
+def test_asof_event_partitions_away(spark):
+    """One event, then many points in all later partitions; two keys; dates; no key at all."""
+    p = spark.range(5000).select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("at"), (F.col("id") % 2).alias("key"))
+    e = spark.createDataFrame([(dt.date(2000, 1, 1), 0, "first"), (dt.date(2010, 1, 1), 1, "second")], "seen date, key long, name string")
+    got = {(r["key"], r["name"]): r["n"] for r in J.asof_merge(p, e, "at", "seen", keys=("key",)).groupBy("key", "name").agg(F.count("*").alias("n")).collect()}
+    after = sum(1 for k in range(5000) if k % 2 and dt.date(2000, 1, 1) + dt.timedelta(days=k) >= dt.date(2010, 1, 1))
+    assert got == {(0, "first"): 2500, (1, None): 2500 - after, (1, "second"): after}
+    assert J.asof_merge(p, e.drop("key"), "at", "seen").filter("name is null").count() == 0
+    assert J.asof_merge(p, e.limit(0), "at", "seen", keys=("key",)).filter("name is null").count() == 5000
+    assert J.asof_merge(p.limit(0), e, "at", "seen", keys=("key",)).count() == 0
+
+
+def test_asof_clashing_columns_are_refused(spark):
+    p = spark.createDataFrame([(1, 1.0)], "at long, x double")
+    with pytest.raises(ValueError):
+        J.asof_merge(p, p.withColumnRenamed("at", "seen"), "at", "seen")
