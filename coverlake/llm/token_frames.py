@@ -22,6 +22,7 @@ an empty table gives no shard and no row.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -49,6 +50,16 @@ FRAME_IDS = 1 << 24
 """Ids in one frame at most; a longer document takes several frames."""
 CACHE_WORDS = 400_000
 """Encoded words of a generation; a worker keeps two generations."""
+CACHE_BYTES = 96 << 20
+"""Bytes of a generation, with ``ENTRY_BYTES`` for each entry."""
+ENTRY_BYTES = 150
+LONG_PART = 200
+"""Longer parts (texts without blanks) are not kept."""
+
+PLAIN_SIGNS = r"!-;=-@\[-~ß-öø-ÿ"
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+"""The sign that a byte-level model has for each byte: printable Latin-1 stands for itself, the rest follows from U+0100 on."""
 
 MANIFEST = "doc_id bigint, shard string, shard_no int, first_frame bigint, n_frames int, in_shard bigint, n_tokens bigint"
 
@@ -58,13 +69,26 @@ class WordEncoder:
 
     The tokenizer must split at white space before its merges and drop it
     (``word_bpe_49k.json`` does): then the ids of a text are those of its
-    blank-separated parts, and each distinct part is encoded once.  New parts
-    are encoded together, with a control character between them whose single
-    id shows where each ends; a part that holds that character is encoded on
-    its own.
+    blank-separated parts.  A part of printable ASCII without capitals and ``<``, and
+    of the small letters of Latin-1, is cut into the runs that the tokenizer's own
+    pattern gives (letters, digits, other signs), and the model encodes each distinct
+    run once.  This is done for a tokenizer that a list of probes shows to work so.
+    Other parts are kept whole; new ones are encoded together, with a control
+    character between them whose single id shows where each ends; a part that holds
+    that character is encoded on its own.
+
+    The cache is bounded in bytes and in entries; a part of more than ``LONG_PART``
+    characters (a text without blanks) is encoded but not kept.
     """
 
     MARK = "\x01"
+    PLAIN = re.compile(rf"[{PLAIN_SIGNS}]+")
+    # a part with another sign as a whole; else the pattern's runs
+    RUNS = re.compile(rf"(?<![^ \n])[{PLAIN_SIGNS}]*+[^ \n{PLAIN_SIGNS}][^ \n]*|"
+                      r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~']+")
+    PROBES = ("it's we're i'll he'd they've i'm don't", "abc123def 4.5-6", "a!?b ...--c :;'' 's 'sx x'tt''re", "http://x.y/z?a=1&b=%20#q_r~s",
+              "{[()]}@^`|\\$*+ ,", "0123456789 antidisestablishmentarianism qqqzzzxxx",
+              "déjà ßtraße'll ñandú9 àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,46 +100,76 @@ class WordEncoder:
         self.lowers = ids[0] == ids[1] and all(t.content.startswith("<") for t in self.tokenizer.get_added_tokens_decoder().values())
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.cache_words, self.cache_bytes, self.held = cache_words, CACHE_BYTES, 0
+        self.model, self.by_runs = self.tokenizer.model, False
+        self.by_runs = self.lowers and all(b"".join(map(self._run, self.RUNS.findall(p))) == self._alone(p) for p in self.PROBES)
+
+    def _alone(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        shown = run if run.isascii() else "".join([BYTE_SIGNS[x] for x in run.encode()])
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _lower(self, text: str) -> str:
         """ASCII capitals in lower case, if the tokenizer does so anyway and
         no special token could come out of it: fewer distinct parts."""
         return text.encode().lower().decode() if self.lowers and "<" not in text else text
 
-    def _learn(self, words: list[str]) -> None:
-        alone = [w for w in words if self.mark is None or self.MARK in w]
-        for w, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False)):
-            self.young[w] = array("I", e.ids).tobytes()
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new parts."""
+        found, rest = {}, words
+        if self.by_runs:
+            rest, plain = [], self.PLAIN.fullmatch
+            for w in words:
+                if plain(w):
+                    found[w] = self._run(w)
+                else:
+                    rest.append(w)
+        for w in rest if self.mark is None else [w for w in rest if self.MARK in w]:
+            found[w] = self._alone(w)
         if self.mark is not None:
-            words = [w for w in words if self.MARK not in w]
-            for at in range(0, len(words), 5000):
-                part = words[at:at + 5000]
+            rest = [w for w in rest if self.MARK not in w]
+            for at in range(0, len(rest), 5000):
+                part = rest[at:at + 5000]
                 ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
                 ends = (np.flatnonzero(ids == self.mark) * 4).tolist() + [len(ids) * 4]
                 if len(ends) != len(part):
                     raise AssertionError("the mark's id stands in another place")
                 data, first = ids.tobytes(), 0
                 for w, end in zip(part, ends):
-                    self.young[w] = data[first:end]
+                    found[w] = data[first:end]
                     first = end + 4
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [self._lower(t or "").replace("\n", " ").split(" ") for t in texts]
-        missing = [w for w in set().union(*parts) if w not in self.young]
-        if len(self.young) + len(missing) > self.cache_words:      # the last generation stays for words that recur
-            self.old, self.young = self.young, {"": b""}
-            missing = [w for w in set().union(*parts) if w]
-        fresh = []
+        if self.by_runs:
+            parts = [self.RUNS.findall(self._lower(t or "")) for t in texts]
+        else:
+            parts = [self._lower(t or "").replace("\n", " ").split(" ") for t in texts]
+        distinct = set().union(*parts)
+        missing = distinct - self.young.keys()
+        if len(self.young) + len(missing) > self.cache_words or self.held > self.cache_bytes:
+            self.old, self.young, self.held = self.young, {"": b""}, 0       # the last generation stays for words that recur
+            missing = distinct - self.young.keys()
+        long_parts, fresh = [], []
         for w in missing:
             known = self.old.get(w)
-            if known is None:
-                fresh.append(w)
-            else:
+            if known is not None:
                 self.young[w] = known
-        self._learn(fresh)
-        at = self.young.__getitem__
-        return [b"".join(map(at, p)) for p in parts]
+                self.held += len(w) + len(known) + ENTRY_BYTES
+            elif len(w) > LONG_PART:
+                long_parts.append(w)
+            else:
+                fresh.append(w)
+        for w, ids in self._learn(fresh).items():
+            self.young[w] = ids
+            self.held += len(w) + len(ids) + ENTRY_BYTES
+        if not long_parts:
+            at = self.young.__getitem__
+            return [b"".join(map(at, p)) for p in parts]
+        once = {w: self._alone(w) for w in long_parts}
+        return [b"".join([self.young[w] if len(w) <= LONG_PART else once[w] for w in p]) for p in parts]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -222,7 +276,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
         if writer is not None:
             writer.close()
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     dealt = rows.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     return stored(dealt.mapInArrow(write, MANIFEST), "token-manifest")
 

@@ -66,3 +66,44 @@ def test_empty_table(spark):
     folder = scratch_path(spark, "test-shards")
     manifest = T.write_token_shards(spark.createDataFrame([], "doc_id bigint, text string"), folder, PATH)
     assert T.digest_tokens(T.read_tokens(manifest, folder), manifest).count() == 0
+
+
+ODD = ["a<|endoftext|>b <x Y", "\x1c a\x1cb\x85c's S 'S it'S ʼs İ ﬁ K Å", "'s't're''ve'm'll'd'D", "tab\tx\x0by\x0cz\rq", "x" * 1000 + "\x01y",
+       "".join(map(chr, range(33, 600))), " ".join(map(chr, range(33, 3000))), "é\u0301 é ªµº ß", "a\nb\n\nc'\n's", "x" * 500 + "!" * 300 + " " + "x" * 500]
+
+
+@pytest.mark.parametrize("by_runs", [True, False])
+def test_encoder_equals_the_library_on_odd_text(by_runs):
+    e = T.WordEncoder(PATH)
+    assert e.by_runs
+    e.by_runs = by_runs
+    assert [list(np.frombuffer(x, "<u4")) + [1] for x in e.encode(ODD)] == [ids_of(t) for t in ODD]
+
+
+def test_cache_is_bounded_in_bytes():
+    e = T.WordEncoder(PATH)
+    e.cache_bytes = 20_000
+    for k in range(40):
+        texts = ["日本語" * 400 + str(k), f"{k}" + "x" * 150, " ".join(f"w{k}q{j}" for j in range(20)), "long" * 100 + f" {k}"]
+        assert [list(np.frombuffer(x, "<u4")) + [1] for x in e.encode(texts)] == [ids_of(t) for t in texts]
+        assert all(len(w) <= T.LONG_PART for w in e.young) and e.held < 60_000
+
+
+def test_a_document_of_several_frames(spark, monkeypatch):
+    monkeypatch.setattr(T, "FRAME_IDS", 7)
+    folder = scratch_path(spark, "test-shards")
+    manifest = T.write_token_shards(spark.createDataFrame([(1, "one " * 50), (2, "two")], "`doc.id` bigint, text string"), folder, PATH, id_col="doc.id")
+    rows = {r.doc_id: r for r in T.digest_tokens(T.read_tokens(manifest, folder), manifest).collect()}
+    assert rows[1].ids_crc32 == zlib.crc32(np.array(ids_of("one " * 50), "<u4").tobytes()) and rows[2].n_tokens == 2
+
+
+def test_query_equals_the_library_on_the_table(spark):
+    from tests.conftest import SF_SMALL
+    docs = sorted(spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect())
+    start, want = 0, []
+    for d, t in docs:
+        ids = ids_of(t)
+        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = T.q_token_frames(spark, SF_SMALL).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(tuple(r) for r in got) == want
