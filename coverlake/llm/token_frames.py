@@ -64,6 +64,29 @@ BYTE_SIGNS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerat
 MANIFEST = "doc_id bigint, shard string, shard_no int, first_frame bigint, n_frames int, in_shard bigint, n_tokens bigint"
 
 
+class Known(dict):
+    """Ids of runs and parts; what it does not hold it takes from the
+    generation before or encodes, and keeps."""
+
+    def __init__(self, encoder: "WordEncoder", old: dict[str, bytes]):
+        super().__init__()
+        self.encoder, self.old, self.held = encoder, old, 0
+        self.tokenize, self.plain = encoder.tokenizer.model.tokenize, encoder.PLAIN.fullmatch
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            if not self.encoder.by_runs or not self.plain(part):
+                ids = self.encoder.alone(part)
+            else:
+                shown = part if part.isascii() else "".join([BYTE_SIGNS[x] for x in part.encode()])
+                ids = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+        if len(part) <= LONG_PART:
+            self[part] = ids
+            self.held += len(part) + len(ids) + ENTRY_BYTES
+        return ids
+
+
 class WordEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit integers.
 
@@ -98,78 +121,44 @@ class WordEncoder:
         self.mark = ids[0] if len(ids) == 1 else None
         ids = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")]
         self.lowers = ids[0] == ids[1] and all(t.content.startswith("<") for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        self.cache_words, self.cache_bytes, self.held = cache_words, CACHE_BYTES, 0
-        self.model, self.by_runs = self.tokenizer.model, False
-        self.by_runs = self.lowers and all(b"".join(map(self._run, self.RUNS.findall(p))) == self._alone(p) for p in self.PROBES)
+        self.cache_words, self.cache_bytes, self.by_runs = cache_words, CACHE_BYTES, self.lowers
+        self.young = Known(self, {})
+        self.by_runs = self.lowers and all(self.encode([p])[0] == self.alone(p) for p in self.PROBES)
+        self.young = Known(self, {})
 
-    def _alone(self, text: str) -> bytes:
+    def alone(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _run(self, run: str) -> bytes:
-        shown = run if run.isascii() else "".join([BYTE_SIGNS[x] for x in run.encode()])
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-
     def _lower(self, text: str) -> str:
         """ASCII capitals in lower case, if the tokenizer does so anyway and
         no special token could come out of it: fewer distinct parts."""
         return text.encode().lower().decode() if self.lowers and "<" not in text else text
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new parts."""
-        found, rest = {}, words
-        if self.by_runs:
-            rest, plain = [], self.PLAIN.fullmatch
-            for w in words:
-                if plain(w):
-                    found[w] = self._run(w)
-                else:
-                    rest.append(w)
-        for w in rest if self.mark is None else [w for w in rest if self.MARK in w]:
-            found[w] = self._alone(w)
-        if self.mark is not None:
-            rest = [w for w in rest if self.MARK not in w]
-            for at in range(0, len(rest), 5000):
-                part = rest[at:at + 5000]
-                ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-                ends = (np.flatnonzero(ids == self.mark) * 4).tolist() + [len(ids) * 4]
-                if len(ends) != len(part):
-                    raise AssertionError("the mark's id stands in another place")
-                data, first = ids.tobytes(), 0
-                for w, end in zip(part, ends):
-                    found[w] = data[first:end]
-                    first = end + 4
-        return found
+    def _learn(self, words: list[str]) -> None:
+        """Encode new parts together."""
+        words = [w for w in words if self.mark is not None and self.MARK not in w and len(w) <= LONG_PART]
+        for at in range(0, len(words), 5000):
+            part = words[at:at + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(ids == self.mark) * 4).tolist() + [len(ids) * 4]
+            if len(ends) != len(part):
+                raise AssertionError("the mark's id stands in another place")
+            data, first = ids.tobytes(), 0
+            for w, end in zip(part, ends):
+                self.young[w] = data[first:end]
+                self.young.held += len(w) + end - first + ENTRY_BYTES
+                first = end + 4
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.young) > self.cache_words or self.young.held > self.cache_bytes:
+            self.young.old = {}
+            self.young = Known(self, self.young)       # the last generation stays for words that recur
+        at = self.young.__getitem__
         if self.by_runs:
-            parts = [self.RUNS.findall(self._lower(t or "")) for t in texts]
-        else:
-            parts = [self._lower(t or "").replace("\n", " ").split(" ") for t in texts]
-        distinct = set().union(*parts)
-        missing = distinct - self.young.keys()
-        if len(self.young) + len(missing) > self.cache_words or self.held > self.cache_bytes:
-            self.old, self.young, self.held = self.young, {"": b""}, 0       # the last generation stays for words that recur
-            missing = distinct - self.young.keys()
-        long_parts, fresh = [], []
-        for w in missing:
-            known = self.old.get(w)
-            if known is not None:
-                self.young[w] = known
-                self.held += len(w) + len(known) + ENTRY_BYTES
-            elif len(w) > LONG_PART:
-                long_parts.append(w)
-            else:
-                fresh.append(w)
-        for w, ids in self._learn(fresh).items():
-            self.young[w] = ids
-            self.held += len(w) + len(ids) + ENTRY_BYTES
-        if not long_parts:
-            at = self.young.__getitem__
-            return [b"".join(map(at, p)) for p in parts]
-        once = {w: self._alone(w) for w in long_parts}
-        return [b"".join([self.young[w] if len(w) <= LONG_PART else once[w] for w in p]) for p in parts]
+            return [b"".join(map(at, self.RUNS.findall(self._lower(t or "")))) for t in texts]
+        parts = [self._lower(t or "").replace("\n", " ").split(" ") for t in texts]
+        self._learn([w for w in set().union(*parts) if w and w not in self.young and w not in self.young.old])
+        return [b"".join([at(w) for w in p if w]) for p in parts]
 
 
 _encoders: dict[str, WordEncoder] = {}

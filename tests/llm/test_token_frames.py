@@ -86,7 +86,7 @@ def test_cache_is_bounded_in_bytes():
     for k in range(40):
         texts = ["日本語" * 400 + str(k), f"{k}" + "x" * 150, " ".join(f"w{k}q{j}" for j in range(20)), "long" * 100 + f" {k}"]
         assert [list(np.frombuffer(x, "<u4")) + [1] for x in e.encode(texts)] == [ids_of(t) for t in texts]
-        assert all(len(w) <= T.LONG_PART for w in e.young) and e.held < 60_000
+        assert all(len(w) <= T.LONG_PART for w in e.young) and e.young.held < 60_000
 
 
 def test_a_document_of_several_frames(spark, monkeypatch):
