@@ -3,14 +3,18 @@
 Three patterns give the base spans.  Their values are the labelled
 credentials: a bounded sample of distinct ones per kind (the lowest hashes,
 ``SAMPLE``) trains one probabilistic automaton per kind by state merging
-(``automata.py``).  Every other credential-like run of characters in every
-text is a candidate; it is added as a ``learned`` span when its format
-likelihood under some automaton is as high as that of the labelled ones (the
-``CUT`` quantile of their scores).
+(``automata.py``).  Every run of 12 or more credential characters in every text is
+a candidate, with or without a digit, also the whole run around a base span (only
+a run that lies in a base span is that span already).  A bounded sample of the runs
+that no base span touches trains one more automaton, that of ordinary words.  A
+candidate is added as a ``learned`` span when its likelihood under some format is
+as high as that of the labelled credentials (the ``CUT`` quantile of their scores)
+and higher than as an ordinary word.
 
 The texts are scanned once, in whole; the spans and candidates are stored,
-and only those are scored.  The driver holds the sample (at most
-3 x ``SAMPLE`` strings of ``LONGEST`` characters) and the automata.
+and only those are scored.  The driver holds the samples (at most 4 x ``SAMPLE``
+strings; values of more than ``LONGEST`` characters train nothing, so no format
+ends where a value was cut) and the automata.
 
 Defined cases: null text counts as empty; repeated rows are scanned one by
 one; without a labelled credential nothing is added; other columns do not
@@ -19,13 +23,12 @@ matter; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverlake.llm.automata import Automaton, learn
@@ -39,14 +42,17 @@ KINDS = ("assign", "access", "hex")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 LEARNED = "learned"
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+ORDINARY = "ordinary"
+HEX_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+TRIMMED = ".-"
+"""Signs that belong to the sentence when a run begins or ends with them."""
 LONG_HEX = re.compile(r"[0-9a-f]{16,}")
-DIGIT = re.compile(r"[0-9]")
 
 SAMPLE = 400
 """Labelled credentials of a kind that train its automaton."""
 LONGEST = 256
-"""Characters of a credential that are used in training."""
+"""Longer values are left out of the training sample."""
 CUT = 0.02
 """Share of the labelled credentials that may score below the limit."""
 
@@ -61,21 +67,28 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     # a maximal run of [0-9a-f] that is long enough: what HEX gives after its failing matches are dropped
-    out += [("hex", m.start(), m.end(), m[0]) for r in RUN.finditer(text) if r.end() - r.start() >= LEAST["hex"]
-            for m in LONG_HEX.finditer(text, r.start(), r.end())]
+    out += [("hex", m.start(), m.end(), m[0]) for r in HEX_RUN.finditer(text) for m in LONG_HEX.finditer(text, r.start(), r.end())]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
 def candidates(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-    """Other runs of credential characters, with a digit, that no base span touches."""
-    out, k, covered = [], 0, 0          # base spans before k start before b; covered: the furthest end of them
+    """All runs of credential characters that do not lie in a base span; the
+    kind says whether a base span touches the run (``learned``) or none does
+    (``ordinary``)."""
+    out, k, covered = [], 0, -1         # base spans before k start at or before a; covered: the furthest end of them
     for m in RUN.finditer(text):
-        a, b = m.span()
-        while k < len(base) and base[k][1] < b:
+        value = m[0].strip(TRIMMED)
+        if len(value) < 12:
+            continue
+        a = m.start() + m[0].index(value)
+        b = a + len(value)
+        while k < len(base) and base[k][1] <= a:
             covered = max(covered, base[k][2])
             k += 1
-        if covered <= a and DIGIT.search(text, a, b):
-            out.append((LEARNED, a, b, m[0]))
+        if covered >= b:
+            continue
+        touched = covered > a or (k < len(base) and base[k][1] < b)
+        out.append((LEARNED if touched else ORDINARY, a, b, value))
     return out
 
 
@@ -102,20 +115,23 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def labelled(found: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
-    """The labelled credentials: per kind the ``sample`` distinct values of lowest hash."""
-    values = found.select(F.explode("base").alias("s")).select("s.kind", F.substring("s.value", 1, LONGEST).alias("value")).distinct()
+    """The training samples: per kind the ``sample`` distinct values of lowest
+    hash, and as many ordinary runs."""
+    both = found.select(F.explode(F.concat("base", F.filter("candidates", lambda s: s.kind == ORDINARY))).alias("s"))
+    values = both.filter(F.length("s.value") <= LONGEST).select("s.kind", "s.value").distinct()
     out = {}
-    for kind in KINDS:
+    for kind in (*KINDS, ORDINARY):
         rows = values.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
         out[kind] = [r.value for r in rows]
     return out
 
 
 def learn_formats(examples: dict[str, list[str]], cut: float = CUT) -> list[tuple[str, Automaton, float]]:
-    """(kind, automaton, lowest score that counts as the kind's format)."""
+    """(kind, automaton, lowest score that counts as the kind's format); none
+    without a labelled credential."""
     out = []
     for kind, values in examples.items():
-        if values:
+        if values and (kind != ORDINARY or out):
             automaton = learn(values)
             scores = sorted(automaton.score(v) for v in values)
             out.append((kind, automaton, scores[int(cut * len(scores))]))
@@ -123,8 +139,15 @@ def learn_formats(examples: dict[str, list[str]], cut: float = CUT) -> list[tupl
 
 
 def format_margin(formats: list[tuple[str, Automaton, float]], value: str) -> float:
-    """How far the best format's likelihood is above its limit (0 or more: accepted)."""
-    return max((a.score(value) - least for _, a, least in formats), default=float("-inf"))
+    """How far the best format's likelihood is above its limit and above that of
+    an ordinary word (0 or more: accepted)."""
+    word = max((a.score(value) for kind, a, _ in formats if kind == ORDINARY), default=float("-inf"))
+    best = float("-inf")
+    for kind, a, least in formats:
+        if kind != ORDINARY:
+            score = a.score(value)
+            best = max(best, min(score - least, score - word))
+    return best
 
 
 def secret_spans(found: DataFrame, formats: list[tuple[str, Automaton, float]]) -> DataFrame:
@@ -134,7 +157,7 @@ def secret_spans(found: DataFrame, formats: list[tuple[str, Automaton, float]])
     def accept(rows: pd.Series) -> pd.Series:
         def one(spans):
             scored = ((dict(s), format_margin(formats, s["value"])) for s in (spans if spans is not None else ()))
-            return [s | {"margin": m} for s, m in scored if m >= 0]
+            return [s | {"kind": LEARNED, "margin": m} for s, m in scored if m >= 0]
         return rows.map(one)
 
     return found.withColumn("learned", accept("candidates"))
@@ -182,24 +205,18 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
-def joined(spans: list[tuple[str, int, int]]) -> str:
-    order = (*KINDS, LEARNED)
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], order.index(s[0]))))
+def span_list(spans: Column) -> Column:
+    """kind:start:end of an array of spans by start, then kind, comma-joined."""
+    rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in (*KINDS, LEARNED)]), s.kind)
+    keyed = F.transform(spans, lambda s: F.struct(s.start.alias("start"), rank(s).alias("rank"), F.concat_ws(":", s.kind, s.start, s.end).alias("span")))
+    return F.array_join(F.transform(F.array_sort(keyed), lambda s: s.span), ",")
 
 
 def q_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, formats = train(read(spark, sf_dir, "documents"))
-
-    @F.pandas_udf("base_sha256 string, spans string")
-    def digest(base: pd.Series, learned: pd.Series) -> pd.DataFrame:
-        rows = []
-        for b, l in zip(base, learned):
-            own = [(s["kind"], s["start"], s["end"]) for s in b]
-            more = [(s["kind"], s["start"], s["end"]) for s in l]
-            rows.append((hashlib.sha256(joined(own).encode()).hexdigest(), joined(own + more)))
-        return pd.DataFrame(rows, columns=["base_sha256", "spans"])
-
+    plain = lambda c: F.transform(c, lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end")))
     count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
-    out = secret_spans(found, formats).withColumn("d", digest("base", "learned"))
-    return out.select("doc_id", *[count(k) for k in KINDS], "d.base_sha256", "d.spans",
-                      F.size("learned").cast("bigint").alias("n_learned"))
+    out = secret_spans(found, formats)
+    return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(span_list(plain("base")), 256).alias("base_sha256"),
+                      span_list(F.concat(plain("base"), plain("learned"))).alias("spans"),
+                      F.size("learned").cast("bigint").alias("n_learned"), F.size("candidates").cast("bigint").alias("n_scored"))

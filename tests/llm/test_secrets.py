@@ -83,3 +83,75 @@ def test_empty_and_unlabelled(spark):
     assert S.redact_secrets(df).count() == 0
     found, formats = S.train(spark.createDataFrame([(1, "abc 123456789abcZZZ")], "doc_id bigint, text string"))
     assert formats == [] and S.secret_spans(found, formats).first().learned == []
+
+
+def brute_runs(text, base):
+    """Maximal runs by hand: (start, end) of those that no single base span holds."""
+    out, at = [], 0
+    ok = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in ok:
+            end += 1
+        if end - at >= 12:
+            a, b = at, end
+            while a < b and text[a] in ".-":
+                a += 1
+            while b > a and text[b - 1] in ".-":
+                b -= 1
+            if b - a >= 12 and not any(s[1] <= a and s[2] >= b for s in base):
+                out.append((a, b))
+        at = max(end, at + 1)
+    return out
+
+
+def test_every_run_is_a_candidate():
+    rng = random.Random(8)
+    pool = ["tok_", "9f86d081884c7d65", "ZkQw8YtR2", " ", "password=", "abcdefghijklm", "...", "-", "NoDigitsInThisOne", "é", "\n", "AKIA", "ABCDEFGHIJKLMNOPQR", ".", "/"]
+    for _ in range(3000):
+        text = "".join(rng.choices(pool, k=rng.randint(0, 12)))
+        base = S.base_spans(text)
+        found = S.candidates(text, base)
+        assert [(a, b) for _, a, b, _ in found] == brute_runs(text, base)
+        for kind, a, b, value in found:
+            assert value == text[a:b] and (kind == S.LEARNED) == any(s[1] < b and s[2] > a for s in base)
+
+
+def test_formats_without_digits_and_ordinary_words(spark):
+    """Credentials of letters are found where they stand bare; ordinary long words are not."""
+    rng = random.Random(3)
+    secret = lambda: "KEY-" + "".join(rng.choices("QWXZJKV", k=20))
+    words = ["internationalisation", "responsibilities", "unquestionably", "characteristics", "misunderstanding", "straightforward"]
+    rows = [(k, f"secret: {secret()} and {rng.choice(words)}{rng.choice(['', 's', 'ly'])}") for k in range(200)]
+    planted = {1000 + k: secret() for k in range(50)}
+    rows += [(k, f"bare {v}. {rng.choice(words)}") for k, v in planted.items()]
+    found, formats = S.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    learned = {r.doc_id: [s.value for s in r.learned] for r in S.secret_spans(found, formats).collect() if r.learned}
+    right = sum(learned.get(k) == [v] for k, v in planted.items())
+    assert right >= 45 and not set(learned) - set(planted)         # recall 0.9 or more, no false find
+
+
+def test_long_values_train_nothing(spark):
+    long = "a1" * 200
+    found = S.find_secrets(spark.createDataFrame([(1, f"token={long}"), (2, "token=abcdefgh123456")], "doc_id bigint, text string"))
+    assert S.labelled(found)["assign"] == ["abcdefgh123456"]
+
+
+def test_learned_spans_of_the_query_are_those_of_a_plain_scan(spark):
+    """The query's spans against base patterns, runs and likelihoods applied text by text."""
+    from tests.conftest import SF_SMALL
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    _, formats = S.train(docs)
+    rows = {r.doc_id: r for r in S.q_secrets(spark, SF_SMALL).collect()}
+    order, scored = {"assign": 0, "access": 1, "hex": 2, "learned": 3}, 0
+    for t in docs.collect():
+        text = t.text or ""
+        spans = [(a, order[k], f"{k}:{a}:{b}") for k, a, b in brute(text)]
+        runs = brute_runs(text, [(k, a, b) for k, a, b in brute(text)])
+        scored += len(runs)
+        for a, b in runs:
+            word = [m.score(text[a:b]) for k, m, _ in formats if k == S.ORDINARY]
+            if any(m.score(text[a:b]) >= max([least, *word]) for k, m, least in formats if k != S.ORDINARY):
+                spans.append((a, 3, f"learned:{a}:{b}"))
+        assert rows[t.doc_id].spans == ",".join(s[2] for s in sorted(spans)) and rows[t.doc_id].n_scored == len(runs)
+    assert scored > 500
