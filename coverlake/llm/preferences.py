@@ -9,11 +9,13 @@ and not the turns of others.
 Pairs come as two arrays of turns, so that any source of preferences fits.
 ``reply_pairs`` and ``opening_pairs`` derive them from one table of
 conversations: a conversation against the same one with another's last
-answer, and the conversations that open with the same turn against the first
-of them (one pair per conversation, not all pairs of a group).
+answer (that of the next answered conversation by id, however far its id is; the
+last one has none), and the conversations that open with the same turn against the
+first of them (one pair per conversation, not all pairs of a group).
 
 Defined cases: turns are ordered by number, then role, then text (repeated
-rows stay); null role or text counts as empty; rows without a conversation id
+rows stay); null role or text counts as empty; a mark of the format inside a role or
+text is rendered escaped (``&lt;|im_``), so no turn can open or close another; rows without a conversation id
 are left out; conversations that are equal have empty completions and masks;
 other columns do not matter; an empty table gives an empty result.
 """
@@ -26,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlake.llm.common import read, small_batches
+from coverlake.llm.common import read, small_batches, stored
+from coverlake.operators.splits import global_row_number
 
 HEAD, TAIL = "<|im_start|>{role}\n", "<|im_end|>\n"
+MARK, ESCAPED = "<|im_", "&lt;|im_"
 LEARNT_ROLE = "assistant"
 SALTS = 32
 """Tasks that share the conversations of one opening."""
@@ -46,12 +50,16 @@ def conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
 
 
 def reply_pairs(conv: DataFrame) -> DataFrame:
-    """Each conversation up to its last answer (chosen), and the same with
-    the last answer of the conversation with the next id (rejected)."""
+    """Each conversation up to its last answer (chosen), and the same with the
+    last answer of the next answered conversation (rejected).  Answered
+    conversations are numbered by id over range partitions; n meets n + 1."""
     answers = F.filter(F.transform("turns", lambda t, k: F.when(t.role == LEARNT_ROLE, k + 1)), lambda k: k.isNotNull())
-    own = conv.select("conv_id", "turns", F.array_max(answers).alias("last")).filter("last is not null")
-    other = own.select((F.col("conv_id") - 1).alias("conv_id"), F.col("conv_id").alias("rejected_id"), F.get("turns", F.col("last") - 1).alias("reply"))
-    return own.join(other, "conv_id").select(
+    own = stored(conv.select("conv_id", "turns", F.array_max(answers).alias("last")).filter("last is not null"), "answered")
+    numbers = stored(global_row_number(own.select("conv_id"), ["conv_id"], col="n"), "answered-numbers")
+    following = numbers.select((F.col("n") - 1).alias("n"), F.col("conv_id").alias("rejected_id"))
+    partner = numbers.join(following, "n").select("conv_id", "rejected_id")
+    reply = own.select(F.col("conv_id").alias("rejected_id"), F.get("turns", F.col("last") - 1).alias("reply"))
+    return own.join(partner.join(reply, "rejected_id"), "conv_id").select(
         F.lit("reply").alias("kind"), F.col("conv_id").alias("chosen_id"), "rejected_id",
         F.slice("turns", 1, F.col("last")).alias("chosen"),
         F.concat(F.slice("turns", 1, F.col("last") - 1), F.array("reply")).alias("rejected"))
@@ -82,7 +90,7 @@ def render(turns: list[dict], head: str = HEAD, tail: str = TAIL) -> tuple[str,
     """The text of the turns, and the spans of the assistant's words and end marks."""
     out, spans, at = [], [], 0
     for t in turns:
-        role, text = t["role"] or "", t["text"] or ""
+        role, text = ((t[c] or "").replace(MARK, ESCAPED) for c in ("role", "text"))
         parts = head.format(role=role), text, tail
         if role == LEARNT_ROLE:
             spans.append((at + len(parts[0]), at + len(parts[0]) + len(text) + len(tail.rstrip("\n"))))
@@ -131,10 +139,10 @@ PREFERENCES_SQL = f"""WITH
 conv AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns
          FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 answered AS (SELECT *, list_max(list_filter(range(1, len(turns) + 1), lambda k: turns[k].role = 'assistant')) AS last FROM conv),
-own AS (SELECT * FROM answered WHERE last IS NOT NULL),
+own AS (SELECT *, lead(conv_id) OVER (ORDER BY conv_id) AS next_id FROM answered WHERE last IS NOT NULL),
 replies AS (SELECT 'reply' AS kind, a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.turns[1:a.last] AS c,
                    list_append(a.turns[1:a.last - 1], b.turns[b.last]) AS r
-            FROM own a JOIN own b ON b.conv_id = a.conv_id + 1),
+            FROM own a JOIN own b ON b.conv_id = a.next_id),
 first AS (SELECT turns[1] AS opening, min(conv_id) AS conv_id FROM conv GROUP BY turns[1] HAVING count(*) > 1),
 openings AS (SELECT 'opening' AS kind, f.conv_id AS chosen_id, o.conv_id AS rejected_id, c.turns AS c, o.turns AS r
              FROM first f JOIN conv c ON c.conv_id = f.conv_id JOIN conv o ON o.turns[1] = f.opening AND o.conv_id <> f.conv_id),
@@ -142,7 +150,8 @@ pairs AS (SELECT *, row_number() OVER () AS pair FROM (SELECT * FROM replies UNI
 common AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda k: c[k] <> r[k])) - 1, least(len(c), len(r))) AS n_common FROM pairs),
 sides AS (SELECT pair, n_common, 'c' AS side, unnest(range(1, len(c) + 1)) AS k, unnest(c) AS t FROM common
           UNION ALL SELECT pair, n_common, 'r', unnest(range(1, len(r) + 1)), unnest(r) FROM common),
-flat AS (SELECT pair, n_common, side, k, t.role AS role, t.text AS text, 12 + length(t.role) + 1 + length(t.text) + 10 + 1 AS size FROM sides),
+escaped AS (SELECT pair, n_common, side, k, replace(t.role, '{MARK}', '{ESCAPED}') AS role, replace(t.text, '{MARK}', '{ESCAPED}') AS text FROM sides),
+flat AS (SELECT *, 12 + length(role) + 1 + length(text) + 10 + 1 AS size FROM escaped),
 rest AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY pair, side ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at
          FROM flat WHERE k > n_common),
 text_of AS (SELECT pair, side, {_SIDE} AS text FROM flat GROUP BY pair, side),
