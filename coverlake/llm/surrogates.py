@@ -1,23 +1,25 @@
 """PII (4): keyed surrogates of the same type and format.
 
-Detected entities are e-mail addresses, IPv4 addresses, card and account
+Detected entities are e-mail addresses, IPv4 and IPv6 addresses, card and account
 numbers, phone numbers, social security numbers, IBANs, and person names
-after a form of address or a name field (with later mentions of the same
-name).  A surrogate follows from the key and the entity alone, so equal
+after a form of address or a name field (all their words, particles such as
+"de la" between them left as they are; with later mentions of the same name).  A surrogate follows from the key and the entity alone, so equal
 entities get equal surrogates in every document and spelling (coreference):
 
 * numbers: a keyed Feistel permutation of the digits (distinct by
   construction); separators, country code, leading digit and the validity of
   the check digit stay;
-* addresses: a keyed permutation of the 32 bits (IPv4), or a keyed name and
-  domain (e-mail, one surrogate domain per domain);
+* addresses: a keyed permutation within the address block (private, link-local
+  and loopback addresses stay such, public ones stay public; IPv6 keeps its first
+  16 bits), or a keyed name and domain (e-mail, one surrogate domain per domain);
 * names: keyed syllables in the script of the name, with an ending for its
   gender and its capitals; family and given names are mapped on their own,
   so that short and long forms of a name agree.
 
 Distinctness is checked over the whole corpus: entities whose surrogates are
 equal, or are themselves entities of the corpus, are keyed again with the
-next attempt until none is left.  The table of entities is shuffled by
+next attempt until none is left.  A name is one entity whatever the gender of its
+mentions: they share the attempt, and differ in the ending at most.  The table of entities is shuffled by
 surrogate, so no group grows; documents then take the attempts above 0 of
 their own entities by a join.  Texts are otherwise rewritten where they are.
 
@@ -29,6 +31,7 @@ stay as they are; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -44,6 +47,7 @@ KEY = b"change this key"
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 IP = re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)(?!\w)")
+IPV6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{2,39}(?![\w:])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 CARD = re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
@@ -66,7 +70,11 @@ ADDRESS = {
 GENDER = {word: g for g, words in ADDRESS.items() for word in words.split()}
 _FIELD = {"Name", "Nombre", "Nom", "Имя"}
 _TOKEN = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
-PERSON = re.compile(rf"\b({'|'.join(sorted(GENDER, key=len, reverse=True))})(\.?:?)[ \t]+({_TOKEN}(?:[ \t]+{_TOKEN}){{0,2}})")
+TITLE = re.compile(rf"\b({'|'.join(sorted(GENDER, key=len, reverse=True))})(\.?:?)[ \t]+(?={_TOKEN})")
+WORD = re.compile(_TOKEN)
+NEXT = re.compile(rf"[ \t]+(?={_TOKEN})")
+# Small words inside a name.
+PARTICLES = set("de del della der den des di do dos du da das la las le los van von zu zum zur ten ter af av y e bin ibn al el".split())
 
 SYLLABLES = {
     "latin": ("ba be bi bo bu da de di do du fa fe fi fo ga ge gi go ka ke ki ko la le li lo lu ma me mi mo mu na ne ni no nu "
@@ -77,6 +85,9 @@ SYLLABLES = {
 GIVEN_END = {"latin": {"m": "n", "f": "na", "n": "l"}, "cyrillic": {"m": "н", "f": "на", "n": "ль"}, "greek": {"m": "ς", "f": "να", "n": "λ"}}
 FAMILY_END = {"latin": {"m": "r", "f": "r", "n": "r"}, "cyrillic": {"m": "в", "f": "ва", "n": "к"}, "greek": {"m": "ς", "f": "υ", "n": "ς"}}
 
+BLOCKS = [ipaddress.IPv4Network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16")]
+"""Address blocks that an address does not leave."""
+
 ENTITY = "struct<kind:string,start:int,end:int,value:string,entity:string>"
 
 
@@ -96,6 +107,21 @@ def permute(digits: str, key: bytes, tweak: str) -> str:
     return a + b
 
 
+def permute_bits(value: int, bits: int, key: bytes, tweak: str) -> int:
+    """A keyed permutation of the numbers of so many bits (Feistel, 10 rounds)."""
+    wide, narrow = bits - bits // 2, bits // 2
+    a, b = value >> narrow, value & ((1 << narrow) - 1)        # a has ``wide`` bits; the widths change places in each round
+    for k in range(10):
+        a, b = b, (a + number(key, tweak, str(bits), str(k), str(b))) & ((1 << wide) - 1)
+        wide, narrow = narrow, wide
+    return a << narrow | b
+
+
+def iban_rest(iban: str) -> int:
+    """The remainder of the check; 1 for a valid number."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
 def luhn(digits: str) -> int:
     """Sum of the check; 0 modulo 10 for a valid number."""
     total = 0
@@ -132,10 +158,18 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         mark = re.sub(r"[a-z]+", "", local)[:1]
         return f"{shown}{mark if mark in '._-+' else ''}{number(key, tweak, 'mark', entity) % 90 + 10}@{host}.example"
     if kind == "ip":
-        a, b = (lambda x: (x >> 16, x & 0xFFFF))(int.from_bytes(bytes(map(int, entity.split("."))), "big"))
-        for k in range(10):
-            a, b = b, a ^ (number(key, tweak, str(k), str(b)) & 0xFFFF)
-        return ".".join(map(str, (a << 16 | b).to_bytes(4, "big")))
+        address = int(ipaddress.IPv4Address(entity))
+        block = next((n for n in BLOCKS if ipaddress.IPv4Address(entity) in n), None)
+        if block is not None:
+            return str(block.network_address + permute_bits(address & int(block.hostmask), 32 - block.prefixlen, key, tweak))
+        while True:                                   # a public address: walk on until the permutation gives one
+            address = permute_bits(address, 32, key, tweak)
+            if not any(ipaddress.IPv4Address(address) in n for n in BLOCKS):
+                return str(ipaddress.IPv4Address(address))
+    if kind == "ipv6":
+        address = int(ipaddress.IPv6Address(entity))
+        low = permute_bits(address & ((1 << 112) - 1), 112, key, tweak)
+        return str(ipaddress.IPv6Address(address >> 112 << 112 | low))
     if kind == "card":
         if luhn(entity) == 0:
             body = entity[0] + permute(entity[1:-1], key, tweak + " valid")
@@ -152,8 +186,13 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         return permute(entity, key, tweak)
     if kind == "iban":
         letters = iter(number(key, tweak, entity).to_bytes(16, "big") * 3)
-        digits = iter(permute("".join(c for c in entity[2:] if c.isdigit()), key, tweak))
-        return entity[:2] + "".join(next(digits) if c.isdigit() else chr(65 + next(letters) % 26) for c in entity[2:])
+        digits = iter(permute("".join(c for c in entity[4:] if c.isdigit()), key, tweak))
+        body = "".join(next(digits) if c.isdigit() else chr(65 + next(letters) % 26) for c in entity[4:])
+        right = 98 - iban_rest(f"{entity[:2]}00{body}")
+        if iban_rest(entity) == 1:                    # a valid number stays valid, any other one invalid
+            return f"{entity[:2]}{right:02d}{body}"
+        wrong = number(key, tweak, "check", entity) % 97
+        return f"{entity[:2]}{wrong + (wrong >= right):02d}{body}"
     part, gender = kind.split("_")
     letters = script(entity)
     end = (GIVEN_END if part == "given" else FAMILY_END)[letters][gender]
@@ -168,6 +207,8 @@ def canonical(kind: str, value: str) -> str:
         return re.sub(r"\D", "", value)
     if kind == "ip":
         return ".".join(str(int(x)) for x in value.split("."))
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(value))
     if kind == "iban":
         return value.replace(" ", "")
     if kind == "phone":
@@ -185,18 +226,44 @@ def rendered(kind: str, value: str, new: str) -> str:
     if kind in ("card", "ssn", "phone", "iban"):
         left = iter(re.sub(r"[^0-9A-Z]", "", new) if kind == "iban" else re.sub(r"\D", "", new))
         return "".join(next(left) if c.isdigit() or kind == "iban" and c != " " else c for c in value)
-    if kind in ("email", "ip"):
+    if kind in ("email", "ip", "ipv6"):
         return new
     if value.isupper() and len(value) > 1:
         return new.upper()
     return new[0].upper() + new[1:] if value[0].isupper() else new
 
 
+def is_ipv6(text: str) -> bool:
+    try:
+        return bool(int(ipaddress.IPv6Address(text)) >> 16)          # not ::, ::1 and the like
+    except ValueError:
+        return False
+
+
+def name_words(text: str, at: int) -> list[str]:
+    """The capitalised words of the name that begins at ``at``, to its end."""
+    words = []
+    while True:
+        w = WORD.match(text, at)
+        if not w or w[0] in GENDER:
+            return words
+        if w[0][0].isupper():
+            words.append(w[0])
+        elif not words or w[0] not in PARTICLES:
+            return words
+        gap = NEXT.match(text, w.end())
+        if not gap:
+            return words
+        at = gap.end()
+
+
 def detect(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the entities of a text, in order, none overlapping."""
     found: list[tuple[str, int, int]] = []
     if "@" in text:
         found += [("email", *m.span()) for m in EMAIL.finditer(text)]
+    if ":" in text:
+        found += [("ipv6", *m.span()) for m in IPV6.finditer(text) if is_ipv6(m[0])]
     if DIGIT.search(text):
         for kind, pattern in (("ip", IP), ("iban", IBAN), ("ssn", SSN), ("card", CARD), ("phone", PHONE)):
             more = []
@@ -219,14 +286,10 @@ def detect(text: str) -> list[tuple[str, int, int]]:
                 more.append((kind, a, b))
             found += more
     people: dict[str, str] = {}
-    for m in PERSON.finditer(text):
+    for m in TITLE.finditer(text):
         if (m[1] in _FIELD) != (":" in m[2]):
             continue
-        words = []
-        for w in re.finditer(_TOKEN, m[3]):
-            if not w[0][0].isupper() or w[0] in GENDER:
-                break
-            words.append(w[0])
+        words = name_words(text, m.end())
         for k, w in enumerate(words):
             if len(w) > 1:
                 people.setdefault(w.casefold(), f"{'family' if k == len(words) - 1 else 'given'}_{GENDER[m[1]]}")
@@ -287,10 +350,11 @@ def distinct_attempts(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     table = stored(table.withColumn("surrogate", keyed("kind", "entity", "attempt")), "surrogates")
     real = table.select("space", F.col("entity").alias("surrogate")).distinct().withColumn("real", F.lit(True))
     while True:
-        # the first holder of a surrogate keeps it, unless it is an entity itself
-        rank = F.row_number().over(W.partitionBy("space", "surrogate").orderBy("attempt", "entity", "kind"))
+        # the first holder of a surrogate keeps it, unless it is an entity itself; all kinds of an entity go on together
+        rank = F.dense_rank().over(W.partitionBy("space", "surrogate").orderBy("attempt", "entity"))
         ranked = table.withColumn("rank", rank).join(real, ["space", "surrogate"], "left")
-        ranked = ranked.withColumn("again", (F.col("rank") > 1) | F.coalesce("real", F.lit(False)))
+        taken = (F.col("rank") > 1) | F.coalesce("real", F.lit(False))
+        ranked = ranked.withColumn("again", F.max(taken).over(W.partitionBy("space", "entity")))
         ranked = stored(ranked.select("kind", "entity", "space", F.when(F.col("again"), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"),
                                       "surrogate", "again"), "ranked-surrogates")
         if ranked.filter("again").isEmpty():

@@ -103,3 +103,81 @@ def test_query_leaves_no_entity_and_other_words_as_they_are(spark):
     assert real and not real & {m for t in after.values() for m in pattern.findall(t or "")}
     for d, t in before.items():
         assert pattern.sub("@", t) == pattern.sub("@", after[d])
+
+
+def test_one_surrogate_for_a_name_of_several_genders(spark):
+    rows = [(1, "Mr Smith came"), (2, "Dr Smith came"), (3, "Mrs Smith came"), (4, "Herr SMITH came"), (5, "г-н Иванов и"), (6, "Dr Иванов и")]
+    out = {r.doc_id: r.text for r in S.replace_entities(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    name = re.match(r"Mr (\w+) came", out[1])[1]
+    assert name != "Smith" and out[2] == f"Dr {name} came" and out[3] == f"Mrs {name} came" and out[4] == f"Herr {name.upper()} came"
+    stems = {re.search(r"(?:г-н|Dr) (\w{4})", out[k])[1] for k in (5, 6)}
+    assert len(stems) == 1
+
+
+def test_genders_go_on_together(spark, monkeypatch):
+    monkeypatch.setitem(S.SYLLABLES, "latin", ["ba", "be"])            # collisions for certain
+    entities = [(f"family_{g}", f"name{k}") for k in range(40) for g in "mfn"]
+    out = S.distinct_attempts(spark.createDataFrame(entities, "kind string, entity string")).collect()
+    by_name, by_surrogate = {}, {}
+    for r in out:
+        by_name.setdefault(r.entity, set()).add((r.attempt, r.surrogate))
+        by_surrogate.setdefault(r.surrogate, set()).add(r.entity)
+    assert len(by_name) == 40 and all(len(x) == 1 for x in by_name.values()) and all(len(x) == 1 for x in by_surrogate.values())
+
+
+def test_whole_names():
+    out = S.replace("Mr Juan Carlos de la Cruz Ortega left. Herr Otto von Berg, Dr Anna Maria Luisa Rossi Bianchi spoke", {})
+    for word in ("Juan", "Carlos", "Cruz", "Ortega", "Otto", "Berg", "Anna", "Maria", "Luisa", "Rossi", "Bianchi"):
+        assert word not in out
+    assert " de la " in out and " von " in out and out.endswith(" spoke") and " left. Herr " in out
+    assert S.replace("Mr Smith met Mrs Jones", {}).split(" met ")[1].startswith("Mrs ") and "Jones" not in S.replace("Mr Smith Mrs Jones", {})
+
+
+def test_iban_check_digits():
+    for iban, valid in (("DE89370400440532013000", True), ("GB82WEST12345698765432", True), ("DE88370400440532013000", False)):
+        assert (S.iban_rest(iban) == 1) == valid
+        for attempt in range(20):
+            new = S.surrogate("iban", iban, attempt)
+            assert (S.iban_rest(new) == 1) == valid and new != iban
+            assert new[:2] == iban[:2] and [c.isdigit() for c in new] == [c.isdigit() for c in iban]
+
+
+def test_addresses_keep_their_block():
+    import ipaddress
+    for ip in ("10.1.2.3", "172.20.0.1", "192.168.1.1", "127.0.0.1", "169.254.7.7", "8.8.8.8", "97.51.17.173"):
+        block = [n for n in S.BLOCKS if ipaddress.IPv4Address(ip) in n]
+        for attempt in range(30):
+            new = S.surrogate("ip", ip, attempt)
+            assert [n for n in S.BLOCKS if ipaddress.IPv4Address(new) in n] == block
+    assert len({S.surrogate("ip", f"192.168.3.{k}") for k in range(256)}) == 256
+    text = "at 2001:db8::ff00:42:8329 and FE80:0:0:0:1:2:3:4, 12:34:56, a::b::c, ::1, std::vector"
+    assert [text[a:b] for k, a, b in S.detect(text) if k == "ipv6"] == ["2001:db8::ff00:42:8329", "FE80:0:0:0:1:2:3:4"]
+    out = S.replace(text, {})
+    assert "42:8329" not in out and out.startswith("at 2001:") and " and fe80:" in out and out.endswith(", 12:34:56, a::b::c, ::1, std::vector")
+
+
+@pytest.mark.parametrize("bits", [1, 2, 7, 8])
+def test_bit_permutation(bits):
+    assert len({S.permute_bits(x, bits, b"k", "t") for x in range(1 << bits)}) == 1 << bits
+
+
+def test_distinctness_and_coreference_over_the_table(spark):
+    """Brute force over whole documents: mentions of one entity get one surrogate, other entities others."""
+    from tests.conftest import SF_MID
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "text")
+    before = {r.doc_id: r.text or "" for r in docs.collect()}
+    after = {r.doc_id: r.text or "" for r in S.q_surrogates(spark, SF_MID).collect()}
+    forward, back = {}, {}
+    for d, text in before.items():
+        found = S.detect(text)
+        cuts = [0, *(x for _, a, b in found for x in (a, b)), len(text)]
+        words = [re.escape(text[a:b]) for a, b in zip(cuts[::2], cuts[1::2])]
+        new = re.fullmatch("(.+?)".join(words), after[d], re.S)
+        assert new, d
+        for (kind, a, b), shown in zip(found, new.groups()):
+            space = kind.split("_")[0]
+            mine = re.sub(r"\W", "", shown.casefold()) if space not in ("email", "ip", "ipv6") else shown
+            forward.setdefault((space, S.canonical(kind, text[a:b])), set()).add(mine)
+            back.setdefault((space, mine), set()).add(S.canonical(kind, text[a:b]))
+    assert len(forward) > 50 and all(len(x) == 1 for x in forward.values()) and all(len(x) == 1 for x in back.values())
+    assert not {m for (space, _), x in forward.items() for m in x if space in ("ip", "email")} & {e for _, e in forward}
