@@ -14,7 +14,8 @@ rest of it is scored.  The forward state of a prefix is its best last piece:
   so the same forward pass gives the library's result, not a re-scored one.
 
 A character without a piece gives its UTF-8 bytes' pieces (byte fallback) or
-the unknown id.  Encoded words are kept per worker up to ``CACHE_WORDS``.
+the unknown id.  Encoded words are kept per worker up to ``CACHE_WORDS`` and
+``CACHE_BYTES``, answers on neighbouring pieces up to ``JOINS``.
 Nothing is shuffled: documents are read, encoded and decoded where they are.
 
 Defined cases: null or empty text has no pieces and decodes to the empty
@@ -37,6 +38,13 @@ from coverlake.llm.common import binary, read, small_batches
 MARK = "▁"
 CACHE_WORDS = 500_000
 """Encoded words that a worker keeps; the cache starts anew beyond it."""
+CACHE_BYTES = 128 << 20
+"""The same in bytes, with ``ENTRY_BYTES`` for each word."""
+ENTRY_BYTES = 150
+LONG_WORD = 200
+"""Words of more characters (texts without blanks) are encoded but not kept."""
+JOINS = 400_000
+"""Remembered answers on whether a piece may follow another one."""
 BLOCK = 1000
 """Documents whose distinct words are sorted together."""
 
@@ -109,7 +117,7 @@ class Pieces:
         self.joins: dict[str, dict[str, bool]] = {}
         self.packed: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {"": b""}
-        self.cache_words = cache_words
+        self.cache_words, self.cache_bytes, self.held, self.n_joins = cache_words, CACHE_BYTES, 0, 0
         self.content = [self._content(n) for n in range(len(self.text))]
 
     def _content(self, n: int) -> bytes:
@@ -155,12 +163,13 @@ class Pieces:
 
     def _best_merges(self, words: list[str]) -> list[bytes]:
         ids, longest, joins = self.id, self.longest, self.joins
-        if len(joins) > 200_000:            # left pieces; bounds what a worker keeps
-            joins.clear()
         last = [""]                         # last[i]: the piece that ends the prefix of i characters
         right = [joins.setdefault("", {})]  # right[i]: whether a piece may follow it
         before, out = "", []
         for word in words:
+            if self.n_joins > JOINS:        # what the current prefix needs stays in ``right``
+                joins.clear()
+                self.n_joins = 0
             shared = 0
             for x, y in zip(word, before):
                 if x != y:
@@ -175,6 +184,7 @@ class Pieces:
                     fits = right[i - size].get(piece)
                     if fits is None:
                         fits = right[i - size][piece] = self._joins(last[i - size], piece)
+                        self.n_joins += 1
                     if fits:
                         last.append(piece)
                         follow = joins.get(piece)
@@ -246,12 +256,18 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         split = [self.marked_words(self.normalise(t or "")) for t in texts]
-        fresh = {w for w in set().union(*split) if w not in self.known}
-        if len(self.known) + len(fresh) > self.cache_words:
-            self.known = {"": b""}
-            fresh = set().union(*split) - {""}
+        words = set().union(*split)
+        fresh = {w for w in words if w not in self.known}
+        if len(self.known) + len(fresh) > self.cache_words or self.held > self.cache_bytes:
+            self.known, self.held = {"": b""}, 0
+            fresh = words - {""}
         fresh = sorted(fresh)
-        self.known.update(zip(fresh, self.encode_sorted(fresh)))
+        found = dict(zip(fresh, self.encode_sorted(fresh)))
+        once = {w: found.pop(w) for w in fresh if len(w) > LONG_WORD}
+        self.known.update(found)
+        self.held += sum(len(w) + len(x) + ENTRY_BYTES for w, x in found.items())
+        if once:
+            return [b"".join([once[w] if w in once else self.known[w] for w in words]) for words in split]
         at = self.known.__getitem__
         return [b"".join(map(at, words)) for words in split]
 

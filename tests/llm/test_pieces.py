@@ -71,3 +71,18 @@ def test_user_pieces_are_refused(tmp_path):
     path.write_bytes(data + b"\x0a" + bytes([len(extra)]) + extra)
     with pytest.raises(ValueError):
         P.Pieces(str(path))
+
+
+def test_what_a_worker_keeps_is_bounded(monkeypatch):
+    """Texts without blanks, and ever new words: the caches stay small and the ids the library's."""
+    monkeypatch.setattr(P, "JOINS", 2000)
+    m = P.Pieces(P.default_path())
+    m.cache_bytes = 100_000
+    library = sentencepiece.SentencePieceProcessor(model_file=P.default_path())
+    rng = random.Random(2)
+    for _ in range(12):
+        texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz日本語", k=900)), " ".join("".join(rng.choices("etaoinshr", k=7)) for _ in range(150)),
+                 "QUJD" * 300, "one two  three"]
+        assert [np.frombuffer(x, "<u4").tolist() for x in m.encode(texts)] == library.encode(texts)
+        assert max(map(len, m.known)) <= P.LONG_WORD and m.held < 200_000 and m.n_joins < 12_000
+        assert sum(map(len, m.joins.values())) <= m.n_joins
