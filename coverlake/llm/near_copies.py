@@ -17,7 +17,8 @@ not to its pairs.  A part pair returns, per node, its number of links and the
 smallest node that it hangs together with; these make the classes.
 
 Defined cases: a text without words is linked to nothing; rows that repeat
-an id count as one document (its class is the smallest of them); rows
+an id count as one document (its class is the smallest of them), but when copies
+are dropped each of their texts is judged on its own; rows
 without an id are left out of the result; other columns do not matter; an
 empty table gives an empty result.
 """
@@ -103,11 +104,12 @@ def labels(sets: list[np.ndarray], trees: int, prefix: int) -> np.ndarray:
 
 
 def sign(docs: DataFrame, trees: int, prefix: int) -> DataFrame:
-    """id, node, size (distinct shingles) and the tries' matched prefixes of each text."""
+    """id, h, node, size (distinct shingles) and the tries' matched prefixes of each
+    text; ``docs`` has id, text and h, a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets, done = batch.column(0), [], 0
+            ids, hashes, sets, done = batch.column(0), batch.column(2), [], 0
 
             def emit(sets, at):
                 keys = [node_key(s) if len(s) else None for s in sets]
@@ -115,8 +117,8 @@ def sign(docs: DataFrame, trees: int, prefix: int) -> DataFrame:
                 rows = iter(labels(full, trees, prefix).tolist() if full else [])
                 prefixes = [next(rows) if len(s) else [] for s in sets]
                 return pa.RecordBatch.from_arrays([
-                    ids.slice(at, len(sets)), binary(keys), pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "node", "size", "prefixes"])
+                    ids.slice(at, len(sets)), hashes.slice(at, len(sets)), binary(keys), pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "h", "node", "size", "prefixes"])
 
             held = 0
             for s in shingle_sets(batch.column(1)):
@@ -128,7 +130,7 @@ def sign(docs: DataFrame, trees: int, prefix: int) -> DataFrame:
             if sets:
                 yield emit(sets, done)
 
-    return docs.mapInArrow(run, "id bigint, node binary, size int, prefixes array<bigint>")
+    return docs.mapInArrow(run, "id bigint, h bigint, node binary, size int, prefixes array<bigint>")
 
 
 def clusters(nodes: DataFrame) -> DataFrame:
@@ -227,37 +229,52 @@ def verify(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return dealt.groupBy("cluster", "p", "q").applyInPandas(compare, "node binary, root binary, links bigint")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+
+
+def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
                  target_recall: float = RECALL) -> DataFrame:
-    """One row per id: ``class_id`` (the smallest id that it hangs together
-    with) and ``n_links`` (other documents at the threshold or above)."""
+    """id, h, first, n_links of each row with an id: ``h`` is the hash of its
+    (lower-cased) text, ``first`` the smallest (id, h) that it hangs together with."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"),
-                       F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("text")).filter("id is not null")
+    rows = _rows(docs, id_col, text_col).filter("id is not null")
     signed = stored(sign(rows, TREES, prefix_length(threshold, target_recall)), "signed")
     nodes = stored(signed.filter("node is not null").groupBy("node").agg(
-        F.min("id").alias("rep"), F.countDistinct("id").alias("weight"), F.first("size").alias("size"),
-        F.first("prefixes").alias("prefixes")), "nodes")
-    verified = stored(verify(rows, nodes, threshold), "verified")
+        F.min(F.struct("id", "h")).alias("first"), F.countDistinct("id").alias("weight"), F.first("size").alias("size"),
+        F.first("prefixes").alias("prefixes")).withColumn("rep", F.col("first.id")), "nodes")
+    verified = stored(verify(rows.select("id", "text"), nodes, threshold), "verified")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    ranked = (nodes.select("node", "rep", "weight").join(links, "node", "left").join(roots, "node", "left")
-              .select("node", "rep", "weight", "links", F.coalesce("root", "node").alias("root")))
+    ranked = (nodes.select("node", "first", "weight").join(links, "node", "left").join(roots, "node", "left")
+              .select("node", "first", "weight", "links", F.coalesce("root", "node").alias("root")))
     ranked = stored(ranked, "ranked")
-    classes = ranked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = ranked.join(classes, "root").select("node", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return (signed.select("id", "node").join(named, "node", "left").groupBy("id")
-            .agg(F.min(F.coalesce("class_id", "id")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
-            .select(F.col("id").alias(id_col), "class_id", "n_links"))
+    classes = ranked.groupBy("root").agg(F.min("first").alias("class"))
+    named = ranked.join(classes, "root").select("node", "class", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return signed.select("id", "h", "node").join(named, "node", "left").select(
+        "id", "h", F.coalesce("class", F.struct("id", "h")).alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+                 target_recall: float = RECALL) -> DataFrame:
+    """One row per id: ``class_id`` (the smallest id that it hangs together
+    with) and ``n_links`` (other documents at the threshold or above)."""
+    found = text_classes(docs, id_col, text_col, threshold, target_recall)
+    return found.groupBy("id").agg(F.min("first.id").alias("class_id"), F.max("n_links").alias("n_links")).select(
+        F.col("id").alias(id_col), "class_id", "n_links")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class: that of the smallest id.
+    """``docs`` with one text of each class: that of the smallest id.  Rows
+    that share an id count by their texts: one whose text is no copy stays.
     Rows without an id stay."""
-    joined = jaccard_join(docs, id_col, text_col, **options)
-    kept, key = free_name(docs, "kept_id"), F.col(f"`{id_col}`")
-    keep = joined.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias(kept))
-    first = docs.filter(key.isNotNull()).join(keep, key == F.col(kept), "left_semi").dropDuplicates([id_col])
+    found = text_classes(docs, id_col, text_col, **options)
+    kept, mark, key = free_name(docs, "kept_id"), free_name(docs, "kept_text"), F.col(f"`{id_col}`")
+    keep = found.filter((F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h"))).select(F.col("id").alias(kept), F.col("h").alias(f"{mark}_"))
+    text = F.xxhash64(F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    rows = docs.filter(key.isNotNull()).withColumn(mark, text)
+    first = rows.join(keep, (key.cast("bigint") == F.col(kept)) & (F.col(mark) == F.col(f"{mark}_")), "left_semi").dropDuplicates([id_col, mark]).drop(mark)
     return first.unionByName(docs.filter(key.isNull()))
 
 

@@ -108,3 +108,11 @@ def test_components(spark, edges):
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+def test_texts_that_share_an_id_are_judged_on_their_own(spark):
+    one, two, three = (" ".join(f"{p}{k}" for k in range(60)) for p in "abc")
+    rows = [(1, one), (1, two), (2, two + " end"), (3, three), (3, three), (4, one.upper()), (5, ""), (5, None), (None, one)]
+    out = N.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted([(1, one), (1, two), (3, three), (None, one)] + [
+        (r.doc_id, r.text) for r in out if r.doc_id == 5], key=repr) and sum(r.doc_id == 5 for r in out) == 1
