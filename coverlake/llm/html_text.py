@@ -54,6 +54,11 @@ gdpr legal login masthead menu menubar modal nav navbar navigation newsletter no
 pager pagination paywall popup privacy promo promoted recommended register related replies reply respond responses
 rss share sharing shoutbox sidebar signin signup skip skyscraper social sponsor sponsored subscribe taboola tags
 teaser toolbar topbar trending widget widgets""".split())
+# Words that also name subjects: inside an article they count little, so that its prose stays.
+SUBJECT_WORDS = frozenset("""banner billboard copyright discussion dock donate feedback legal login notice notification
+popup privacy register rss skip social tags top trending""".split())
+# Words that do so as a part of a longer name only (a study of replies, not the replies).
+PART_WORDS = frozenset("promo promoted recommended replies reply respond responses sponsored teaser".split())
 HEADER_WORDS = frozenset("header head top".split())
 CONTENT_WORDS = frozenset("article articlebody body content entry main post story text".split())
 WRAPPER_WORDS = frozenset("has no with without".split())
@@ -65,6 +70,8 @@ BORDER = 0.1
 """Share of that capacity where only one of the two is inside a menu, advert, article or the like."""
 WEAK = 3.5
 """Cost of a form outside articles."""
+SUBJECT = 2.5
+"""Cost, inside an article, of a name that may be a subject: a sentence outweighs it, a short line or a list of links does not."""
 SCALE = 1000
 _WORD = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
@@ -74,18 +81,21 @@ class Element:
 
     def __init__(self, tag: str, attrs: dict[str, str | None], number: int, inside_content: bool):
         self.tag, self.number = tag, number
-        words = set()
+        words, strong = set(), set()
         if tag not in ("html", "body"):
             for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
                 parts = {w.lower() for w in _WORD.findall(name)} | {name.lower()}
                 if not parts & WRAPPER_WORDS:
                     words |= parts
+                    strong |= (parts & BOILERPLATE_WORDS) - SUBJECT_WORDS - (PART_WORDS if len(parts) > 1 else frozenset())
         good = bool(words & CONTENT_WORDS)
         self.content = (2.0 if tag in CONTENT_TAGS or attrs.get("itemprop") == "articleBody" or attrs.get("role") == "main"
                         else 1.0 if good else 0.0)
         if tag in BOILERPLATE_TAGS or words & BOILERPLATE_WORDS or attrs.get("role") in BOILERPLATE_ROLES:
+            sure = tag in BOILERPLATE_TAGS or strong or attrs.get("role") in BOILERPLATE_ROLES
             # a form around the article is how some servers wrap a page; one inside it is not text
-            self.boiler = WEAK if tag == "form" and not inside_content and not words & BOILERPLATE_WORDS else 8.0
+            self.boiler = (WEAK if tag == "form" and not inside_content and not words & BOILERPLATE_WORDS
+                           else SUBJECT if inside_content and not sure else 8.0)
         elif tag == "header" or words & HEADER_WORDS and not good:
             self.boiler = 1.0 if inside_content else 5.0
         else:

@@ -102,3 +102,31 @@ def test_query_matches_the_article_elements(spark):
         inner = re.search(r"<article>(.*?)(</article>|$)", pages[r.page_id], re.S)[1].replace("<br>", " ")
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("opening", ['<section id="discussion">', '<section id="privacy">', '<div class="legal-history">', '<div class="banner-image">',
+                                     '<div class="social">', '<div class="replies-study">', '<div id="top" class="notice">'])
+def test_a_name_does_not_veto_the_prose_of_an_article(opening):
+    text = "Words of a paragraph that is long enough to be content by itself, surely."
+    close = "</section>" if opening.startswith("<section") else "</div>"
+    page = f"<article><h1>Head</h1><p>{text}</p>{opening}<h2>A part</h2><p>{text}</p><ul><li><a>Tweet</a></li><li><a>Mail</a></li></ul>{close}<p>{text}</p></article>"
+    got = H.main_text(page).split("\n\n")
+    assert got.count(text) == 3 and "Tweet" not in got and "Mail" not in got
+    assert H.main_text(f"<p>{text}</p>{opening}<p>{text}</p>{close}<p>{text}</p>") == f"{text}\n\n{text}"      # outside an article it does
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "replies", "responses", "ad", "ad-slot", "share-buttons", "newsletter", "related-posts", "cookie-notice", "sidebar"])
+def test_other_names_still_do(name):
+    text = "Words of a paragraph that is long enough to be content by itself, surely."
+    assert H.main_text(f'<article><p>{text}</p><div class="{name}"><p>{text} Not this one.</p></div></article>') == text
+
+
+def test_the_cut_overrules_single_blocks():
+    """A bare short line between paragraphs of one element stays with them, one among links goes with those."""
+    text = "Words of a paragraph that is long enough to be content by itself, surely."
+    page = f"<div><p>{text}</p><div>so be it</div><p>{text}</p></div>"
+    labels = {t: (keep, odds) for t, keep, odds in H.label_page(page)}
+    assert labels["so be it"][0] and labels["so be it"][1] < 0
+    links = "<div><a>One</a></div><div><a>Two</a></div>"
+    labels = {t: (keep, odds) for t, keep, odds in H.label_page(f"<div>{links}<p>Go on.</p>{links}</div>")}
+    assert not labels["Go on."][0] and labels["Go on."][1] > 0
