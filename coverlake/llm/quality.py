@@ -5,11 +5,17 @@ measure (six leading bits of the value: relative error of 1/32 at most) is
 counted per (language, source); such histograms are quantile sketches that
 merge by adding counts, so the same table rolls up to the language and to
 the corpus, and gives the same result in any order and on any partitioning.
-A group with fewer than ``min_rows`` documents takes the sketch of its
-language, and a small language that of the corpus.  The upper limit of a
-measure is ``q75 + reach * max(q75 - q25, least spread)``, the lower one is
-its mirror; documents are joined with the limits of their group, and a
-document outside any of them is rejected.
+A group's sketch is merged with those of its language and of the corpus, each
+weighing as much as ``PRIOR`` documents, so a small group leans on them and a
+large one on itself, without a step between the two.
+
+The upper limit of a measure is ``q75 + REACH * (q75 - q25)``.  A document has a
+resolution of its own: in 30 words one symbol is 33 thousandths.  So it is rejected
+if it is above the limit even without ``REACH`` events (symbols, repeated lines,
+stuttered words, lines seen twice).  The mean word length has a lower limit, too,
+and its spread widens for documents shorter than the group's median as the error of
+a mean does.  No limit and no spread is a constant.  Documents are joined with the
+limits of their group, and a document outside any of them is rejected.
 
 Only DataFrame expressions run here.  The texts are scanned once; what is
 joined is a table with a row per (language, source), whose true size the
@@ -34,16 +40,17 @@ WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 
-MEASURES = {
-    # name: (value, two-sided, least spread), in thousandths or hundredths
-    "symbols": ("1000 * n_symbols div nullif(n_words, 0)", False, 30),
-    "dup_lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", False, 170),
-    "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", False, 70),
-    "stutters": ("1000 * n_stutters div nullif(n_words, 0)", False, 60),
-    "word_length": ("100 * word_chars div nullif(n_words, 0)", True, 150),
+RATES = {
+    # name: (count, out of, size of one event)
+    "symbols": ("n_symbols", "n_words", "1"),
+    "dup_lines": ("n_dup_lines", "n_lines", "1"),
+    "repeats": ("n_repeat_words", "n_words", "2 * greatest(5, n_words div n_lines)"),
+    "stutters": ("n_stutters", "n_words", "1"),
 }
+VALUES = {**{m: f"1000 * {x} div nullif({d}, 0)" for m, (x, d, _) in RATES.items()},
+          "word_length": "100 * word_chars div nullif(n_words, 0)", "length": "n_words"}
 REACH = 3
-MIN_ROWS = 200
+PRIOR = 50
 
 
 def base_counts(df: DataFrame, text: Column, out: str, keep: list[str]) -> DataFrame:
@@ -89,43 +96,71 @@ def bucket(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 
+def top(value: Column) -> Column:
+    """Highest value of the bucket that begins at ``value``."""
+    shift = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
+    return value + F.call_function("shiftleft", F.lit(1).cast("bigint"), shift) - 1
+
+
 def sketches(rows: DataFrame) -> DataFrame:
     """lang, source, measure, bucket, rows: the mergeable sketches of the
     documents that pass the base rule."""
     return rows.groupBy("lang", "source", "measure", "bucket").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, measure, n, q25, q75 of the sketches merged over ``keys``."""
-    merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("rows").alias("rows"))
-    by = W.partitionBy(*keys, "measure")
-    upto = merged.select("*", F.sum("rows").over(by.orderBy("bucket")).alias("upto"), F.sum("rows").over(by).alias("n"))
-    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("n") * q, F.col("bucket")))
-    return upto.groupBy(*keys, "measure").agg(F.max("n").alias("n"), at(25).alias("q25"), at(75).alias("q75"))
-
-
-def limits(sketch: DataFrame, min_rows: int = MIN_ROWS, reach: int = REACH) -> DataFrame:
-    """lang, source, and lo_/hi_ of each measure: one row per group."""
-    q = lambda df, k: df.select(*[c for c in df.columns if c not in ("n", "q25", "q75")],
-                                F.struct("n", "q25", "q75").alias(k))
-    own = q(quantiles(sketch, ["lang", "source"]), "a")
-    lang = q(quantiles(sketch, ["lang"]), "b")
-    every = q(quantiles(sketch, []), "c")
-    joined = own.join(lang, ["lang", "measure"]).join(every, "measure")
-    used = F.when(F.col("a.n") >= min_rows, F.col("a")).when(F.col("b.n") >= min_rows, F.col("b")).otherwise(F.col("c"))
-    joined = joined.select("lang", "source", "measure", used.alias("q"))
-    out = []
-    for name, (_, two_sided, least) in MEASURES.items():
-        spread = reach * F.greatest(F.col("q.q75") - F.col("q.q25"), F.lit(least))
-        mine = lambda c: F.max(F.when(F.col("measure") == name, c))  # noqa: E731,B023
-        out.append(mine(F.col("q.q75") + spread).alias(f"hi_{name}"))
-        if two_sided:
-            out.append(mine(F.col("q.q25") - spread).alias(f"lo_{name}"))
-    return joined.groupBy("lang", "source").agg(*out)
+def merged(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """lang, source, measure, bucket, weight: each group's sketch merged with
+    ``prior`` documents' worth of its language's and of the corpus's.  Weights are
+    whole numbers: all shares are brought to the denominator (rows of the language
+    x rows of the corpus)."""
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    keys = ["lang", "source", "measure"]
+
+    def level(by):
+        rows = sketch.groupBy(*by, "bucket").agg(F.sum("rows").alias("rows"))
+        return rows, rows.groupBy(*by).agg(F.sum("rows").alias("n"))
+
+    by_lang, lang_n = level(["lang", "measure"])
+    every, every_n = level(["measure"])
+    sizes = (sketch.select(*keys).distinct().join(lang_n.withColumnRenamed("n", "ln"), ["lang", "measure"])
+             .join(every_n.withColumnRenamed("n", "en"), "measure"))
+    own = sketch.join(sizes, keys).select(*keys, "bucket", (big("rows") * big("ln") * big("en")).alias("weight"))
+    tongue = sizes.join(by_lang, ["lang", "measure"]).select(*keys, "bucket", (big("rows") * prior * big("en")).alias("weight"))
+    corpus = sizes.join(every, "measure").select(*keys, "bucket", (big("rows") * prior * big("ln")).alias("weight"))
+    return own.unionByName(tongue).unionByName(corpus).groupBy(*keys, "bucket").agg(F.sum("weight").cast("decimal(38,0)").alias("weight"))
+
+
+def quantiles(weighted: DataFrame) -> DataFrame:
+    """lang, source, measure, q25, q50, q75 of the merged sketches: the lowest value
+    of the bucket that holds the quantile, for q75 the highest one."""
+    by = W.partitionBy("lang", "source", "measure")              # a bounded number of buckets
+    upto = weighted.select("*", F.sum("weight").over(by.orderBy("bucket")).cast("decimal(38,0)").alias("upto"),
+                           F.sum("weight").over(by).cast("decimal(38,0)").alias("total"))
+    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bucket")))
+    return upto.groupBy("lang", "source", "measure").agg(at(1).alias("q25"), at(2).alias("q50"), top(at(3)).alias("q75"))
+
+
+def limits(sketch: DataFrame, prior: int = PRIOR, reach: int = REACH) -> DataFrame:
+    """lang, source, hi_ of each rate, q25_, q75_ and spread_word_length, q50_length: one row per group."""
+    q = quantiles(merged(sketch, prior))
+    mine = lambda name, c: F.max(F.when(F.col("measure") == name, c))
+    spread = reach * (F.col("q75") - F.col("q25"))
+    return q.groupBy("lang", "source").agg(
+        *[mine(m, F.col("q75") + spread).alias(f"hi_{m}") for m in RATES],
+        mine("word_length", F.col("q25")).alias("q25_word_length"), mine("word_length", F.col("q75")).alias("q75_word_length"),
+        mine("word_length", spread).alias("spread_word_length"), mine("length", F.col("q50")).alias("q50_length"))
+
+
+def fine(reach: int = REACH) -> str:
+    """The condition of a document within its group's limits, in SQL."""
+    rules = [f"1000 * ({x} - {reach} * {event}) <= hi_{m} * {d}" for m, (x, d, event) in RATES.items()]
+    length = VALUES["word_length"]
+    slack = f"spread_word_length * greatest(CAST(1 AS DOUBLE), sqrt(q50_length / n_words)) + {reach} * ({length}) / n_words"
+    return " AND ".join([*rules, f"({length}) <= q75_word_length + {slack}", f"({length}) >= q25_word_length - ({slack})"])
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-          min_rows: int = MIN_ROWS, reach: int = REACH, keep: list[str] | None = None) -> tuple[DataFrame, str]:
+          prior: int = PRIOR, reach: int = REACH, keep: list[str] | None = None) -> tuple[DataFrame, str]:
     """The columns ``keep`` of ``docs`` (all if None; language and source
     must be among them) with a struct column of counts, ``base_failed`` and
     ``kept``, and that column's name (one that ``docs`` does not have)."""
@@ -134,20 +169,14 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     counted = stored(base_counts(docs, F.col(f"`{text_col}`"), name, keep), "quality-counts")
     c = F.col(name)
     keys = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")).alias(a) for k, a in ((lang_col, "lang"), (source_col, "source"))]
-    value = {m: F.expr(v) for m, (v, _, _) in MEASURES.items()}
-    measures = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(v).alias("bucket")) for m, v in value.items()]))
+    measures = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.expr(v)).alias("bucket")) for m, v in VALUES.items()]))
     rows = (counted.filter(~failed(c)).select(*keys, f"{name}.*")
             .select("lang", "source", measures.alias("m")).select("lang", "source", "m.*"))
-    bounds = stored(limits(stored(sketches(rows), "quality-sketches"), min_rows, reach), "quality-limits")
+    bounds = stored(limits(stored(sketches(rows), "quality-sketches"), prior, reach), "quality-limits")
     row = counted.select(F.struct(*[F.col(f"`{x}`") for x in keep]).alias("row"), c.alias("c"), *keys)
-    row = row.join(bounds, ["lang", "source"], "left").withColumn("base_failed", failed(F.col("c")))
-    fine = F.lit(True)
-    for m, (v, two_sided, _) in MEASURES.items():
-        x = F.expr(v.replace("n_", "c.n_").replace("word_chars", "c.word_chars"))
-        fine = fine & (x <= F.col(f"hi_{m}"))
-        if two_sided:
-            fine = fine & (x >= F.col(f"lo_{m}"))
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(fine, F.lit(False)))
+    row = row.join(bounds, ["lang", "source"], "left").select("row", "c", "c.*", *[x for x in bounds.columns if x not in ("lang", "source")])
+    row = row.withColumn("base_failed", failed(F.col("c")))
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.expr(fine(reach)), F.lit(False)))
     out = row.select("row.*", F.struct("c.*", "base_failed", kept.alias("kept")).alias(name))
     return out, name
 
@@ -165,15 +194,11 @@ def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PASSED = " UNION ALL ".join(
-    f"SELECT lang, source, '{m}' AS measure, {v.replace('div', '//')} AS v FROM counts WHERE NOT base_failed"
-    for m, (v, _, _) in MEASURES.items())
-_LIMIT = ", ".join(
-    f"max(CASE WHEN measure = '{m}' THEN q75 + {REACH} * greatest(q75 - q25, {s}) END) AS hi_{m}, "
-    f"max(CASE WHEN measure = '{m}' THEN q25 - {REACH} * greatest(q75 - q25, {s}) END) AS lo_{m}"
-    for m, (_, _, s) in MEASURES.items())
-_INSIDE = " AND ".join(
-    f"({v.replace('div', '//')}) <= hi_{m}" + (f" AND ({v.replace('div', '//')}) >= lo_{m}" if two else "")
-    for m, (v, two, _) in MEASURES.items())
+    f"SELECT lang, source, '{m}' AS measure, {v.replace('div', '//')} AS v FROM counts WHERE NOT base_failed" for m, v in VALUES.items())
+_LIMIT = ", ".join([f"max(CASE WHEN measure = '{m}' THEN q75 + {REACH} * (q75 - q25) END) AS hi_{m}" for m in RATES] + [
+    "max(CASE WHEN measure = 'word_length' THEN q25 END) AS q25_word_length", "max(CASE WHEN measure = 'word_length' THEN q75 END) AS q75_word_length",
+    f"max(CASE WHEN measure = 'word_length' THEN {REACH} * (q75 - q25) END) AS spread_word_length",
+    "max(CASE WHEN measure = 'length' THEN q50 END) AS q50_length"])
 
 QUALITY_CTES = f"""
 split_docs AS (
@@ -195,17 +220,22 @@ counts AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base
 valued AS ({_PASSED}),
 bucketed AS (
   SELECT lang, source, measure, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS b FROM valued),
-sketch_own AS (SELECT lang, source, measure, count(*) AS n, quantile_disc(b, 0.25) AS q25, quantile_disc(b, 0.75) AS q75 FROM bucketed GROUP BY ALL),
-sketch_lang AS (SELECT lang, measure, count(*) AS n, quantile_disc(b, 0.25) AS q25, quantile_disc(b, 0.75) AS q75 FROM bucketed GROUP BY ALL),
-sketch_all AS (SELECT measure, quantile_disc(b, 0.25) AS q25, quantile_disc(b, 0.75) AS q75 FROM bucketed GROUP BY ALL),
-used AS (
-  SELECT a.lang, a.source, a.measure,
-         CASE WHEN a.n >= {MIN_ROWS} THEN a.q25 WHEN b.n >= {MIN_ROWS} THEN b.q25 ELSE c.q25 END AS q25,
-         CASE WHEN a.n >= {MIN_ROWS} THEN a.q75 WHEN b.n >= {MIN_ROWS} THEN b.q75 ELSE c.q75 END AS q75
-  FROM sketch_own a JOIN sketch_lang b USING (lang, measure) JOIN sketch_all c USING (measure)),
+own AS (SELECT lang, source, measure, b, count(*)::HUGEINT AS n FROM bucketed GROUP BY ALL),
+tongue AS (SELECT lang, measure, b, sum(n)::HUGEINT AS n FROM own GROUP BY ALL),
+corpus AS (SELECT measure, b, sum(n)::HUGEINT AS n FROM own GROUP BY ALL),
+sizes AS (SELECT DISTINCT o.lang, o.source, o.measure, l.n AS ln, e.n AS en FROM own o
+          JOIN (SELECT lang, measure, sum(n)::HUGEINT AS n FROM tongue GROUP BY ALL) l USING (lang, measure)
+          JOIN (SELECT measure, sum(n)::HUGEINT AS n FROM corpus GROUP BY ALL) e USING (measure)),
+weighted AS (SELECT lang, source, measure, b, sum(w)::HUGEINT AS w FROM (
+  SELECT s.lang, s.source, s.measure, b, n*ln*en AS w FROM own JOIN sizes s USING (lang, source, measure)
+  UNION ALL SELECT s.lang, s.source, s.measure, b, n*{PRIOR}*en FROM sizes s JOIN tongue USING (lang, measure)
+  UNION ALL SELECT s.lang, s.source, s.measure, b, n*{PRIOR}*ln FROM sizes s JOIN corpus USING (measure)) GROUP BY ALL),
+upto AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY b) AS u, sum(w) OVER (PARTITION BY lang, source, measure) AS t FROM weighted),
+used AS (SELECT lang, source, measure, min(CASE WHEN 4*u >= t THEN b END) AS q25, min(CASE WHEN 4*u >= 2*t THEN b END) AS q50,
+                min(CASE WHEN 4*u >= 3*t THEN b + (1 << greatest(length(bin(b)) - 6, 0)) - 1 END) AS q75 FROM upto GROUP BY ALL),
 bounds AS (SELECT lang, source, {_LIMIT} FROM used GROUP BY lang, source),
 judged AS (
-  SELECT counts.*, CASE WHEN base_failed THEN false ELSE coalesce({_INSIDE}, false) END AS kept
+  SELECT counts.*, CASE WHEN base_failed THEN false ELSE coalesce({fine().replace('div', '//')}, false) END AS kept
   FROM counts LEFT JOIN bounds USING (lang, source))
 """
 QUALITY_SQL = f"""WITH {QUALITY_CTES}

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -63,6 +64,64 @@ def test_main_path_is_native(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def lines_of(n, seed=0, words=10):
+    rng = random.Random(seed)
+    return [" ".join(f"w{rng.randrange(1000, 9999)}x" for _ in range(words)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("measure", ["symbols", "dup_lines", "repeats", "stutters", "long words", "short words"])
+def test_every_measure_can_reject(spark, measure):
+    """Documents that are outside in one way only; none of the others goes."""
+    prose = [(k, "\n".join(lines_of(40, k)), "en", "a") for k in range(120)]
+    base = lines_of(200, 500)
+    bad = {"symbols": [x.replace("w1", "$1") for x in base], "dup_lines": [*base[:60], *["ok so"] * 30],
+           "repeats": [*base, *base[:14]], "stutters": [x + " " + x.split()[-1] for x in base],
+           "long words": [x.replace("x", "xxxx") for x in base], "short words": [x.replace("x", "").replace("w", "") for x in base]}[measure]
+    out = {r.doc_id for r in Q.filter_quality(spark.createDataFrame([*prose, (1000, "\n".join(bad), "en", "a")], SCHEMA)).collect()}
+    r = Q.judge(spark.createDataFrame([(1000, "\n".join(bad), "en", "a")], SCHEMA), keep=["doc_id", "lang", "source"])[0].first()[-1]
+    assert not r.base_failed and out == {k for k, *_ in prose}
+
+
+def test_a_few_events_reject_no_short_document(spark):
+    prose = [(k, "\n".join(lines_of(40, k)), "en", "a") for k in range(120)]
+    short = [(1000, "one two three four five six seven eight nine $ # *", "en", "a"), (1001, "one one two two three three four five six seven eight", "en", "a")]
+    out = {r.doc_id for r in Q.filter_quality(spark.createDataFrame(prose + [short[0]], SCHEMA)).collect()}
+    assert out == {r[0] for r in prose} | {1000}
+    rows = Q.judge(spark.createDataFrame(prose + short, SCHEMA))[0].filter("doc_id >= 1000").collect()
+    assert len(rows) == 2
+
+
+def test_merged_sketches_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["en", "de"]), rng.choice("ab"), "m", rng.randrange(8)) for _ in range(300)] + [("de", "rare", "m", 7)]
+    df = Q.sketches(spark.createDataFrame(rows, "lang string, source string, measure string, bucket int"))
+    got = {(r.lang, r.source): (r.q25, r.q50, r.q75) for r in Q.quantiles(Q.merged(df, 20)).collect()}
+    from fractions import Fraction
+    for lang, source in {r[:2] for r in rows}:
+        own, tongue, every = ([b for l, s, _, b in rows if test(l, s)] for test in (
+            lambda l, s: (l, s) == (lang, source), lambda l, s: l == lang, lambda l, s: True))  # noqa: B023,E741
+        weight = {b: own.count(b) + 20 * (Fraction(tongue.count(b), len(tongue)) + Fraction(every.count(b), len(every))) for b in range(8)}
+        total, run, want = sum(weight.values()), 0, []
+        for q in (1, 2, 3):
+            run = 0
+            for b in range(8):
+                run += weight[b]
+                if 4 * run >= q * total and weight[b]:
+                    want.append(b)              # below 64 a bucket is a value
+                    break
+        assert got[lang, source] == tuple(want)
+
+
+def test_labelled_documents(spark):
+    """Of the labelled documents that pass the base rule, clean ones stay and bad ones go."""
+    from tests.conftest import SF_MID
+    docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
+    judged, name = Q.judge(docs, keep=["doc_id", "lang", "source"])
+    rows = judged.select("doc_id", f"{name}.base_failed", f"{name}.kept").join(labels, "doc_id").filter("not base_failed").collect()
+    good, bad = ([r.kept for r in rows if r["quality"] == q] for q in (1, 0))
+    assert len(good) > 200 and sum(good) >= 0.99 * len(good) and len(bad) > 10 and sum(bad) <= 0.1 * len(bad)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     r = compare(spark, duck(SF_SMALL), name, QUERIES[name], ORACLES[name], SF_SMALL)
