@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coverlake.functions.hashing import hash_uniform_sql
-from coverlake.operators import intervals as iops
 from coverlake.operators import splits as sp
 from coverlake.operators import stats as S
+from coverlake.plans import experiments as X
 from coverlake.queries._sql import FLAGS_SQL, KEYS
 from coverlake.registry import register
 from coverlake.session import cut_lineage
@@ -109,13 +109,7 @@ per_seed AS (SELECT seed, avg(CAST(covered AS DOUBLE)) AS coverage,
 
 
 def _seed_table(spark, sf_dir):
-    df = iops.add_interval_flags(fx.predictions(spark, sf_dir))
-    d = sp.seed_draws(df.select(*KEY_COLS, "covered", "valid", "pp_valid"), KEY_COLS, N_SEEDS)
-    return (d.filter(F.col("role") == "validation")
-             .groupBy(F.col("seed").cast("int").alias("seed"))
-             .agg(F.avg(F.col("covered").cast("double")).alias("coverage"),
-                  (100 * F.avg(F.col("pp_valid").cast("double"))).alias("pp_valid_pct"),
-                  (100 * F.avg(F.col("valid").cast("double"))).alias("valid_pct")))
+    return X.seed_coverage(fx.predictions(spark, sf_dir), KEY_COLS, N_SEEDS)
 
 
 @register("seed_coverage", f"""{_SEED_SQL}
