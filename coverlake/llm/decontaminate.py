@@ -47,7 +47,7 @@ PICK = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 LIMIT = 0.5
 BLOCK_WORDS = 300_000
-CELLS = 1 << 20
+CELLS = 1 << 18
 """Cells of one row of the alignment matrices that are scored together, and pairs that are weighed together."""
 _UNIT = 1 << 32     # a cell is score * _UNIT + start word: one maximum keeps both
 
