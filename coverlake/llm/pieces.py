@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 from coverlake.llm.common import binary, read, small_batches
 
 MARK = "▁"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 """Encoded words that a worker keeps; the cache starts anew beyond it."""
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 96 << 20
 """The same in bytes, with ``ENTRY_BYTES`` for each word."""
 ENTRY_BYTES = 150
 LONG_WORD = 200
 """Words of more characters (texts without blanks) are encoded but not kept."""
-JOINS = 200_000
+JOINS = 600_000
 """Remembered answers on whether a piece may follow another one."""
 BLOCK = 1000
 """Documents whose distinct words are sorted together."""
