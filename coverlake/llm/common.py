@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from coverlake.sources.io import scratch_path
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 """Text bytes that one vectorised block holds (a single longer text is a block of its own)."""
 
 _MASK = (1 << 64) - 1
