@@ -11,8 +11,8 @@ large one on itself, without a step between the two.
 
 The upper limit of a measure is ``q75 + REACH * (q75 - q25)``.  A document has a
 resolution of its own: in 30 words one symbol is 33 thousandths.  So it is rejected
-if it is above the limit even without ``REACH`` events (symbols, repeated lines,
-stuttered words, lines seen twice).  The mean word length has a lower limit, too,
+if it is above the limit, by a thousandth (the unit of the sketches) or more, even
+without ``REACH`` events (symbols, repeated lines, stuttered words, lines seen twice).  The mean word length has a lower limit, too,
 and its spread widens for documents shorter than the group's median as the error of
 a mean does.  No limit and no spread is a constant.  Documents are joined with the
 limits of their group, and a document outside any of them is rejected.
@@ -153,7 +153,7 @@ def limits(sketch: DataFrame, prior: int = PRIOR, reach: int = REACH) -> DataFra
 
 def fine(reach: int = REACH) -> str:
     """The condition of a document within its group's limits, in SQL."""
-    rules = [f"1000 * ({x} - {reach} * {event}) <= hi_{m} * {d}" for m, (x, d, event) in RATES.items()]
+    rules = [f"1000 * ({x} - {reach} * {event}) < (hi_{m} + 1) * {d}" for m, (x, d, event) in RATES.items()]
     length = VALUES["word_length"]
     slack = f"spread_word_length * greatest(CAST(1 AS DOUBLE), sqrt(q50_length / n_words)) + {reach} * ({length}) / n_words"
     return " AND ".join([*rules, f"({length}) <= q75_word_length + {slack}", f"({length}) >= q25_word_length - ({slack})"])
