@@ -3,7 +3,8 @@
 Spark has no native range or as-of join.  A range condition alone plans as a
 nested-loop join; these helpers always give Spark an equi-key (an exact key
 or a date bucket) so the join stays a hash or sort-merge join.  No side is
-hinted for broadcast: the planner and AQE decide on measured bytes.
+hinted for broadcast: the planner and AQE decide on measured bytes, but for the
+dyadic join, whose exploded sides the planner takes for much smaller than they are.
 """
 
 from __future__ import annotations
@@ -87,15 +88,20 @@ def dyadic_range_join(points: DataFrame, intervals: DataFrame, point_col: str, s
                       keys: tuple[str, ...] = (), closed_end: bool = False) -> DataFrame:
     """Each point with each interval of its key that contains it ([start, end),
     or [start, end] with ``closed_end``); a missing point, start or end matches
-    nothing.  Rows: points x levels + intervals x blocks + matches."""
+    nothing.  Rows: points x levels + intervals x blocks + matches.
+
+    Merged by hint: Spark's size of an exploded side is that of the side before it,
+    some forty times too small, so it would send all blocks through the driver as a
+    broadcast.  A merge join spills, and AQE splits its skewed partitions."""
     t, bits, levels = _instant(points, point_col)
     start, end = _instant(intervals, start_col)[0], _instant(intervals, end_col)[0]
     level = F.explode(F.array(*[F.struct(F.lit(j).alias("level"), F.call_function("shiftright", t, F.lit(bits * j)).alias("block"))
                                 for j in range(levels)]))
     pts = points.withColumn("__at", level)
-    iv = intervals.withColumn("__in", F.explode(interval_blocks(start, end + (1 if closed_end else 0), bits, levels)))
+    spread = intervals.repartition(shuffle_partitions(intervals.sparkSession))      # a small file is one task, its blocks are many
+    iv = spread.withColumn("__in", F.explode(interval_blocks(start, end + (1 if closed_end else 0), bits, levels)))
     cond = [pts[k] == iv[k] for k in keys] + [F.col("__at.level") == F.col("__in.level"), F.col("__at.block") == F.col("__in.block")]
-    return pts.join(iv, cond, "inner").drop(*[iv[k] for k in keys]).drop("__at", "__in")
+    return pts.join(iv.hint("merge"), cond, "inner").drop(*[iv[k] for k in keys]).drop("__at", "__in")
 
 
 # --- as-of merge --------------------------------------------------------------------

@@ -58,6 +58,16 @@ def test_one_key_of_many_intervals_and_dates(spark):
     assert (row["n"], row["same"]) == (n, n)
 
 
+def test_dyadic_join_sends_no_blocks_through_the_driver(spark):
+    """Spark takes the exploded blocks for as small as the intervals; a broadcast of them fills the driver."""
+    pts = spark.range(50).select(F.lit(1).alias("key"), F.date_add(F.lit(DAY0), F.col("id").cast("int")).alias("at"))
+    ivs = spark.range(20).select(F.lit(1).alias("key"), F.lit(DAY0).alias("lo"), F.date_add(F.lit(DAY0), F.col("id").cast("int")).alias("hi"))
+    joined = J.dyadic_range_join(pts, ivs, "at", "lo", "hi", keys=("key",))
+    assert joined.count() == sum(range(20))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_blocks_cover_each_instant_once(spark):
     rows = [(a, b) for a in (-70, -8, -1, 0, 1, 7, 8, 9, 63, 64, 511) for b in (-70, -64, 0, 1, 8, 64, 65, 512, 4096, 40_000)]
     df = spark.createDataFrame(rows, "a bigint, b bigint").withColumn("x", F.explode(J.interval_blocks(F.col("a"), F.col("b"), 3, 6)))
