@@ -17,6 +17,8 @@ from coverlake.streaming import incremental
 
 CLEAN_SCHEMA = "secid int, date date, S double, sigma double, tau double, r double, cp_flag string, V double"
 SLICE_YEAR = 1997
+ROWS_PER_FILE = 500_000
+"""Rows of a file of the positional sets, about; more rows make more files, not larger ones."""
 
 
 @register("csv_roundtrip", f"SELECT * FROM ({CLEAN_SQL}) c")
@@ -92,8 +94,9 @@ def q_positional_concat(spark, sf_dir):
     pred = fx.predictions(spark, sf_dir)
     one, two = io.scratch_path(spark, "features"), io.scratch_path(spark, "intervals")
     keyed = pred.select(*KEY_COLS, "y_true", "lb", "pp", "ub")
-    keyed.repartitionByRange(5, *KEY_COLS).sortWithinPartitions(*KEY_COLS).select(*KEY_COLS, "y_true").write.parquet(one)
-    keyed.repartitionByRange(7, *KEY_COLS).sortWithinPartitions(*KEY_COLS).select("lb", "pp", "ub").write.parquet(two)
+    more = keyed.count() // ROWS_PER_FILE        # from the file footers
+    keyed.repartitionByRange(5 + more, *KEY_COLS).sortWithinPartitions(*KEY_COLS).select(*KEY_COLS, "y_true").write.parquet(one)
+    keyed.repartitionByRange(7 + 2 * more, *KEY_COLS).sortWithinPartitions(*KEY_COLS).select("lb", "pp", "ub").write.parquet(two)
     return io.zip_by_position(spark.read.parquet(one), spark.read.parquet(two))
 
 

@@ -12,6 +12,7 @@ from coverlake.operators import joins as J
 from coverlake.operators import quotes as Q
 from coverlake.operators import stats as S
 from coverlake.sources import io
+from coverlake.queries import io_queries
 from coverlake.queries.io_queries import q_spot_lookup_bucketed
 
 from tests.conftest import SF_SMALL
@@ -107,6 +108,16 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_positional_sets_get_more_files_with_more_rows(spark, monkeypatch):
+    sides = []
+    monkeypatch.setattr(io_queries, "ROWS_PER_FILE", 100, raising=False)
+    monkeypatch.setattr(io_queries.io, "zip_by_position", lambda *both: sides.extend(both))
+    io_queries.q_positional_concat(spark, SF_SMALL)
+    rows = [[r["n"] for r in side.groupBy(F.col("_metadata.file_path")).agg(F.count("*").alias("n")).collect()] for side in sides]
+    assert len(rows[0]) != len(rows[1]) and sum(rows[0]) == sum(rows[1])
+    assert max(rows[0] + rows[1]) <= 400
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark):
     plan = plan_of(q_spot_lookup_bucketed(spark, SF_SMALL))
     assert "SortMergeJoin" in plan and "Exchange" not in plan
