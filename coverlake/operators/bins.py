@@ -77,6 +77,20 @@ def right_closed_bin(x, edges) -> Column:
     return F.when(inside, idx)
 
 
+def with_right_closed_bin(df: DataFrame, x: str, edges: dict, by: str, bin_col: str = "bin") -> DataFrame:
+    """``right_closed_bin`` with each group's own edges (ascending, one list per
+    value of ``by``); rows outside them are dropped.  The few bins are joined: the
+    comparisons of all groups in one expression make a generated method of more
+    than 8,000 bytes, which the JVM interprets instead of compiling it."""
+    bins = [(g, i, float(lo), float(hi)) for g, e in edges.items()
+            for i, (lo, hi) in enumerate(zip(e, e[1:] or e))]        # a single edge is a bin of its own
+    kind = df.schema[by].dataType.simpleString()
+    bins = df.sparkSession.createDataFrame(bins, f"__by {kind}, {bin_col} int, __lower double, __upper double")
+    above = (F.col(x) > F.col("__lower")) | ((F.col(bin_col) == 0) & (F.col(x) == F.col("__lower")))
+    inside = (F.col(by) == F.col("__by")) & above & (F.col(x) <= F.col("__upper"))
+    return df.join(F.broadcast(bins), inside).drop("__by", "__lower", "__upper")
+
+
 def left_closed_bin(x, edges) -> Column:
     """Bin of ``np.histogram``: [e_i, e_i+1), the last bin closed; NULL outside."""
     x = F.col(x) if isinstance(x, str) else x

@@ -47,11 +47,11 @@ def _bucket(v: Column, lo: Column, hi: Column) -> Column:
 
 def _clean(df: DataFrame, value: str, by) -> DataFrame:
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    return df.select(*by, v.alias("__v")).filter(F.col("__v").isNotNull())
+    return df.select(*by, v.alias("__v"))
 
 
 def _attach_range(data: DataFrame, ranges: DataFrame, by) -> DataFrame:
-    """Rows within the (disjoint) value ranges of their group, with
+    """Rows within the (disjoint) value ranges of their group (no NULLs), with
     the range's ends.  Grouped: an equi-join on the group key with the range as
     a residual.  Ungrouped: the few ranges are inlined as a CASE expression."""
     v = F.col("__v")
@@ -59,7 +59,8 @@ def _attach_range(data: DataFrame, ranges: DataFrame, by) -> DataFrame:
         r = ranges.select(*[F.col(c).alias(f"__by_{i}") for i, c in enumerate(by)], "__lo", "__hi")
         if ranges.count() <= BROADCAST_ROWS:
             r = F.broadcast(r)
-        same = v.between(F.col("__lo"), F.col("__hi"))
+        # coalesce: otherwise Catalyst infers "v is not NULL" and repeats v's whole expression in a filter on the scan
+        same = F.coalesce(v.between(F.col("__lo"), F.col("__hi")), F.lit(False))
         for i, c in enumerate(by):
             same = same & (F.col(c) == F.col(f"__by_{i}"))
         return data.join(r, same, "inner").drop(*[f"__by_{i}" for i in range(len(by))])
@@ -121,8 +122,7 @@ def kth_smallest(df: DataFrame, value: str, targets: DataFrame, by=(), *,
     passes = 0
     while not st.filter(is_open).isEmpty():
         if passes == 0:
-            data = cut_lineage(_attach_range(data, st.filter(is_open).select(*span).distinct(), by).select(*by, "__v").unionByName(
-                _attach_range(data, st.filter(~is_open & (F.col("__lo") < F.col("__hi"))).select(*span).distinct(), by).select(*by, "__v")))
+            data = cut_lineage(_attach_range(data, st.filter(F.col("__lo") < F.col("__hi")).select(*span).distinct(), by).select(*by, "__v"))
         passes += 1
         rows = _attach_range(data, st.filter(is_open).select(*span).distinct(), by)
         idx = _bucket(F.col("__v"), F.col("__lo"), F.col("__hi"))

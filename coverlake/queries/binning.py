@@ -149,10 +149,7 @@ def q_width_by_feature_decile(spark, sf_dir):
                                            for f in FEATURES])).alias("fx"), "rel_width")
                 .select("fx.feature", "fx.x", "rel_width"))
     edges = B.decile_edges(longf, "x", 10, by=["feature"], duplicates="drop").collect()     # a row per feature
-    bin_ = F.lit(None).cast("int")
-    for row in edges:
-        bin_ = F.when(F.col("feature") == row["feature"], B.right_closed_bin("x", row["edges"])).otherwise(bin_)
-    binned = longf.withColumn("bin", bin_)
+    binned = B.with_right_closed_bin(longf, "x", {row["feature"]: row["edges"] for row in edges}, "feature")
     st = B.bin_stats(binned, "bin", "x", "rel_width", by=["feature"])
     return st.select("feature", "bin", "n", *[r9(F.col(c)).alias(c) for c in ("center", "p_5", "p_50", "p_95")])
 

@@ -2,17 +2,20 @@
 
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from coverlake.operators import bins as B
 from coverlake.operators import joins as J
+from coverlake.operators import quantiles as QT
 from coverlake.operators import quotes as Q
 from coverlake.operators import stats as S
 from coverlake.sources import io
-from coverlake.queries import io_queries
+from coverlake.queries import binning, io_queries
 from coverlake.queries.io_queries import q_spot_lookup_bucketed
 
 from tests.conftest import SF_SMALL
@@ -190,3 +193,51 @@ def test_asof_clashing_columns_are_refused(spark):
     p = spark.createDataFrame([(1, 1.0)], "at long, x double")
     with pytest.raises(ValueError):
         J.asof_merge(p, p.withColumnRenamed("at", "seen"), "at", "seen")
+
+
+def test_decile_scans_are_compiled_by_the_jvm(spark, monkeypatch):
+    """The JVM interprets methods of more than 8,000 bytes, at several times the time."""
+    sizes, cut = [], QT.cut_lineage
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+
+    def noted(df):
+        text = df._jdf.queryExecution().explainString(mode)
+        sizes.extend(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text))
+        return cut(df)
+
+    monkeypatch.setattr(QT, "cut_lineage", noted)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")       # otherwise nothing is generated before the run
+    try:
+        assert binning.q_width_by_feature_decile(spark, SF_SMALL).count() > 30
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) <= 6000
+
+
+def test_bins_of_groups_equal_bins_by_comparison(spark):
+    inf, nan = float("inf"), float("nan")
+    edges = {"a": [0.0, 1.0, 1.5, 4.0], "b": [-inf, 2.0, inf], "c": [3.0], "d": [0.0, 2.0, nan]}
+    values = [None, nan, -inf, inf, -1.0, -0.0, 0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0]
+    df = spark.createDataFrame([(g, x) for g in [*edges, "e", None] for x in values + values[3:9]], "g string, x double")
+    want = F.lit(None).cast("int")
+    for g, e in edges.items():
+        want = F.when(F.col("g") == g, B.right_closed_bin("x", e)).otherwise(want)
+    want = sorted(map(repr, df.withColumn("bin", want).filter("bin IS NOT NULL").collect()))
+    assert sorted(map(repr, B.with_right_closed_bin(df, "x", edges, "g").collect())) == want and len(want) > 40
+    assert B.with_right_closed_bin(df, "x", {}, "g").count() == 0
+
+
+def test_kth_smallest_scans_its_input_twice(spark, monkeypatch):
+    """Once for the histogram, once for the rows of the buckets, even if a bucket is divided further."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(2000).select((F.col("id") % 2).alias("g"), (1 + F.col("id") / 100000).alias("v")).mapInArrow(count, "g bigint, v double")
+    targets = spark.createDataFrame([(g, k, k) for g in (0, 1) for k in (1, 500, 1000)], "g bigint, __tid bigint, __k bigint")
+    rows = QT.kth_smallest(df, "v", targets, ["g"], final_rows=500).collect()      # the lower bucket is divided, the upper one not
+    assert {(r["g"], r["__tid"]): r["__value"] for r in rows} == {(g, k): 1 + (2 * (k - 1) + g) / 100000 for g in (0, 1) for k in (1, 500, 1000)}
+    assert seen.value == 2 * 2000
